@@ -5,19 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import sharding
+from pairloom.llm import packing, quality, sharding, tokens
 from pairloom.llm.common import read
 
 SHARDS = 8
 
 
+TOKEN_LIMIT = 4096
+
+
+def op2_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), keep_ids=False)
+
+
+def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokens.prefix_token_counts(read(spark, sf_dir, "documents"), store=False)
+    return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op7_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op10_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(read(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op10_prefix_sum_shards,)}
+    return {f.__name__: f for f in (op2_hierarchical_packing, op6_prefix_token_counts, op7_line_frequency_rules, op10_prefix_sum_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
