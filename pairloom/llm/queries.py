@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import packing, quality, sharding, tokens
-from pairloom.llm.common import read
+from pairloom.llm import langid, packing, quality, sharding, tokens, toxicity
+from pairloom.llm.common import held_out, read
 
 SHARDS = 8
 
@@ -14,6 +14,13 @@ SHARDS = 8
 TOKEN_LIMIT = 4096
 
 
+def op1_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    away = held_out("doc_id", 3, 1)
+    model = langid.train(docs.filter(~away))
+    return langid.predict(docs.withColumn("held_out", away), model, keep=["doc_id", "held_out"])
+
+
 def op2_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -27,13 +34,20 @@ def op7_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op8_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 5, 0))
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out("doc_id", 5, 0))
+    model = toxicity.train(docs.join(labels, "doc_id"))
+    return toxicity.score(docs, model, keep=("doc_id", "held_out"))
+
+
 def op10_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(read(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_hierarchical_packing, op6_prefix_token_counts, op7_line_frequency_rules, op10_prefix_sum_shards)}
+    return {f.__name__: f for f in (op1_ftrl_language_id, op2_hierarchical_packing, op6_prefix_token_counts, op7_line_frequency_rules, op8_levenshtein_toxicity, op10_prefix_sum_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
