@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import htmltext, langid, ngramjoin, packing, quality, sharding, tokens, toxicity
+from pairloom.llm import htmltext, langid, linededup, ngramjoin, packing, quality, sharding, tokens, toxicity
 from pairloom.llm.common import held_out, read
 
 SHARDS = 8
@@ -49,13 +49,18 @@ def op8_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=("doc_id", "held_out"))
 
 
+def op9_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "removed", F.length("text").cast("long").alias("kept_chars"))
+
+
 def op10_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(read(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ftrl_language_id, op2_hierarchical_packing, op3_template_html_text, op5_partenum_jaccard_join, op6_prefix_token_counts, op7_line_frequency_rules, op8_levenshtein_toxicity, op10_prefix_sum_shards)}
+    return {f.__name__: f for f in (op1_ftrl_language_id, op2_hierarchical_packing, op3_template_html_text, op5_partenum_jaccard_join, op6_prefix_token_counts, op7_line_frequency_rules, op8_levenshtein_toxicity, op9_segment_line_dedup, op10_prefix_sum_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
