@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import htmltext, langid, linededup, ngramjoin, packing, quality, sharding, tokens, toxicity
+from pairloom.llm import decontaminate, htmltext, langid, linededup, ngramjoin, packing, quality, sharding, tokens, toxicity
 from pairloom.llm.common import held_out, read
 
 SHARDS = 8
@@ -29,6 +29,11 @@ def op3_template_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_main_text(read(spark, sf_dir, "pages"))
 
 
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
+
+
 def op5_partenum_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(read(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ftrl_language_id, op2_hierarchical_packing, op3_template_html_text, op5_partenum_jaccard_join, op6_prefix_token_counts, op7_line_frequency_rules, op8_levenshtein_toxicity, op9_segment_line_dedup, op10_prefix_sum_shards)}
+    return {f.__name__: f for f in (op1_ftrl_language_id, op2_hierarchical_packing, op3_template_html_text, op4_template_decontamination, op5_partenum_jaccard_join, op6_prefix_token_counts, op7_line_frequency_rules, op8_levenshtein_toxicity, op9_segment_line_dedup, op10_prefix_sum_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
