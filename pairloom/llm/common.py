@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -29,6 +30,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that only finished, written steps used, before the next large step."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of materialize() that no later step reads."""
     path = getattr(df, "_pairloom_path", None)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import discard, materialize
 
 #: Rows that a task combines at a time, and members of one side of a block of pairs.
-COMBINE_ROWS, BLOCK = 1_000_000, 512
+COMBINE_ROWS, BLOCK = 1_000_000, 1024
 
 
 def _buckets(key: np.ndarray, item: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, ...]:

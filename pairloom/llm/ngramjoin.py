@@ -6,7 +6,9 @@ is hashed into n1 = k + 1 + 2e parts, so two such sets agree in at least 1 + 2e
 set leaves out the e parts where it has fewest shingles and signs each other part with
 (band, part, hash of its shingles there). Each of the two sets leaves out at most e of the
 parts they agree in, so one signature is shared: no link is lost. Sets that share a
-signature form families, in which an exact intersection decides every pair.
+signature form families. In these, parities of hashed cells bound the difference of two sets
+from below, which splits the families without their shingles and without losing a link; in
+what is left an exact intersection decides every pair.
 """
 
 from __future__ import annotations
@@ -22,14 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import discard, materialize
-from pairloom.llm.linking import connected, family_links, star_edges
+from pairloom.llm.common import discard, materialize, release
+from pairloom.llm.linking import Forest, connected, family_links, star_edges
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 BAND = 1.4  # ratio of a size band's ends
 SPARE = 0.08  # share of the parts that a set may leave out, to each side
 KEPT_WORDS = 500_000
+SKETCH_BLOCK = 4096  # items of one side of a block when only sketches are compared
+CELLS = 512  # bits of the parity sketch
 _MIX, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -100,11 +104,16 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-FACTS = pa.schema([("key", pa.int64()), ("n_shingles", pa.int64()), ("item", pa.int64()), ("signatures", pa.list_(pa.int64()))])
+def parities(shingles: np.ndarray) -> bytes:
+    """Bit i: parity of the shingles hashed to cell i. Two sets differ in no fewer shingles than bits."""
+    return np.packbits(np.bincount((shingles >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS) & 1).tobytes()
+
+
+FACTS = pa.schema([("key", pa.int64()), ("n_shingles", pa.int64()), ("item", pa.int64()), ("signatures", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
 def shingle_facts(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """From (key, text): size, 64-bit hash of the set (item, null if empty) and its signatures."""
+    """From (key, text): size, 64-bit hash of the set (item, null if empty), its signatures and its sketch."""
 
     def facts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -113,12 +122,34 @@ def shingle_facts(docs: DataFrame, width: int, percent: int) -> DataFrame:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingler.set_of(x.as_py() or "")
                 raw = s.tobytes()
-                row = (k, len(s), xxhash.xxh3_64_intdigest(raw) - (1 << 63), signatures(s, percent)) if len(s) else (k, 0, None, None)
+                row = (k, len(s), xxhash.xxh3_64_intdigest(raw) - (1 << 63), signatures(s, percent), parities(s)) if len(s) else (k, 0, None, None, None)
                 for o, v in zip(out, row, strict=True):
                     o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, FACTS, strict=True)], schema=FACTS)
 
-    return docs.mapInArrow(facts, "key bigint, n_shingles bigint, item bigint, signatures array<bigint>")
+    return docs.mapInArrow(facts, "key bigint, n_shingles bigint, item bigint, signatures array<bigint>, sketch binary")
+
+
+def possible_links(percent: int):
+    """verify() for family_links: pairs that sizes and sketches don't rule out, as a spanning forest."""
+
+    def verify(x: pd.DataFrame, y: pd.DataFrame | None) -> Iterator[tuple[int, int]]:
+        sides = [x] if y is None else [x, y]
+        bits = [np.frombuffer(b"".join(s["sketch"]), np.uint64).reshape(len(s), CELLS // 64) for s in sides]
+        sizes = [s["n_shingles"].to_numpy(np.int64) for s in sides]
+        n = len(x)
+        forest = Forest(sum(map(len, sides)))
+        for i in range(n):
+            a, b = sizes[0][i], sizes[-1]
+            differ = np.bitwise_count(bits[-1] ^ bits[0][i]).sum(1, dtype=np.int64)
+            near = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & ((100 + percent) * differ <= (100 - percent) * (a + b))
+            if y is None:
+                near[: i + 1] = False
+            for j in np.flatnonzero(near).tolist():
+                if forest.join(i, j if y is None else n + j):
+                    yield i, j
+
+    return verify
 
 
 def linked_sets(percent: int):
@@ -177,7 +208,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     items = facts.filter("item is not null")
     ties = materialize(star_edges(items.select(F.explode("signatures").alias("key"), "item", F.lit(0).cast("tinyint").alias("role")), parts), "ties")
-    families = materialize(connected(ties, "family"), "families")
+    release(spark)
+    wide = materialize(connected(ties, "family"), "families")
+    sketches = items.groupBy("item").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    possible = materialize(family_links(wide, sketches, possible_links(percent), SKETCH_BLOCK), "possible")
+    families = materialize(connected(possible, "family"), "families")
     # the sets of items in families only, made again from one text each
     wanted = items.groupBy("item").agg(F.min("key").alias("key")).join(families.select("item"), "item")
 
@@ -195,4 +230,5 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     smallest = grouped.groupBy("class").agg(F.min("first").alias("component_id"))
     by_item = grouped.join(smallest, "class").select("item", "component_id")
     discard(ties)
+    discard(possible)
     return facts.select("key", "n_shingles", "item").join(by_item, "item", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
