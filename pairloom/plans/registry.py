@@ -2,10 +2,40 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pairloom.operators import lexical
+from pairloom.plans import lexical_sql
+from pairloom.sources.pairs import pairs_from_documents
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to so many digits, as in the SQL; -0.0 as 0.0."""
+    return df.select(*[(F.round(n, digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
+
+
+def on_pairs(feature, digits: int = 6):
+    """A query that applies a pair feature to the derived pair table."""
+    return lambda spark, sf_dir: rounded(feature(pairs_from_documents(spark, sf_dir)), digits)
+
+
+LEXICAL = {
+    "pair_len": on_pairs(lexical.length_features),
+    "pair_caps": on_pairs(lexical.capital_features),
+    "pair_question_words": on_pairs(lexical.question_word_features),
+    "pair_capped_len": on_pairs(lexical.capped_length_features),
+    "pair_match": on_pairs(lexical.match_features),
+    "pair_word_weights": on_pairs(lexical.word_weights, 12),
+    "pair_weighted_share": on_pairs(lexical.weighted_share_features),
+    "pair_simhash": on_pairs(lexical.simhash_features),
+    "pair_char_jaccard": on_pairs(lexical.char_jaccard_features),
+}
+
 
 def queries() -> dict:
-    return {}
+    return dict(LEXICAL)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(lexical_sql.SQL)
