@@ -22,6 +22,8 @@ from pairloom.llm.common import discard, materialize
 
 #: Rows that a task combines at a time, and members of one side of a block of pairs.
 COMBINE_ROWS, BLOCK = 1_000_000, 1024
+#: Edges that one task may hold.
+TASK_EDGES = 2_000_000
 
 
 def _buckets(key: np.ndarray, item: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -109,13 +111,53 @@ def star_edges(rows: DataFrame, partitions: int) -> DataFrame:
     return combined.repartition(partitions, "key").mapInArrow(_reduce, "a bigint, b bigint").distinct()
 
 
-def connected(edges: DataFrame, label: str = "component") -> DataFrame:
+def smallest_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items of the edges and, for each, the smallest item of its component."""
+    items, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(items))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        np.minimum.at(label, before, label)  # the old root learns of the new one
+        while not np.array_equal(jumped := label[label], label):
+            label = jumped
+        if np.array_equal(before, label):
+            return items, items[label]
+
+
+def _contract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task to (item, smallest item of its component in this task)."""
+    got = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in it if x.num_rows]
+    if got:
+        items, label = smallest_labels(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(label, pa.int64())], names=["a", "b"])
+
+
+def connected(edges: DataFrame, label: str = "component", task_edges: int = TASK_EDGES) -> DataFrame:
     """(item, component) of every item in the edges (a, b); the component is its smallest item.
 
-    Smallest labels of neighbours, then of the label's own item, until nothing changes; each
-    round is a table in the shared folder.
+    Edges are first contracted to stars, task by task. As soon as they fit one bounded task
+    (task_edges) it finishes them; a larger graph goes on with distributed rounds: smallest
+    labels of neighbours, then of the label's own item, until nothing changes. Every step is a
+    table in the shared folder.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "edges")
+    held = materialize(edges.select("a", "b"), "edges")
+    size = held.count()
+    if size > task_edges:
+        parts = -(-size // task_edges) * 2
+        stars = materialize(held.repartition(parts, "a").mapInArrow(_contract, "a bigint, b bigint"), "edges")
+        discard(held)
+        held, size = stars, stars.count()
+    if size <= task_edges:
+        return held.coalesce(1).mapInArrow(_contract, "a bigint, b bigint").select(F.col("a").alias("item"), F.col("b").alias(label))
+    return _rounds(held, label)
+
+
+def _rounds(edges: DataFrame, label: str) -> DataFrame:
+    both = materialize(edges.union(edges.select(F.col("b"), F.col("a"))), "edges")
     labels = materialize(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("c")).select(F.col("a").alias("item"), "c"), "labels")
     while True:
         near = both.join(labels.select(F.col("item").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("n"))
@@ -128,6 +170,7 @@ def connected(edges: DataFrame, label: str = "component") -> DataFrame:
         labels._pairloom_path = after._pairloom_path
         if not moved:
             discard(both)
+            discard(edges)
             return labels.withColumnRenamed("c", label)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.llm import decontaminate, htmltext, langid, linededup, ngramjoin, packing, quality, sharding, tokens, toxicity
+from pairloom.llm import decontaminate, htmltext, langid, linededup, linking, ngramjoin, packing, quality, sharding, tokens, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, size string, item string"
 
@@ -72,6 +72,24 @@ def test_jaccard_components_match_brute_force(spark):
         assert got == brute_components(rows, width, percent)
 
 
+@pytest.mark.parametrize("task_edges", [1000, 20, 0])
+def test_components_at_any_task_size(spark, task_edges):
+    rng = random.Random(task_edges)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(40)]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)
+    assert {r["item"]: r["component"] for r in linking.connected(df, task_edges=task_edges).collect()} == {x: root(x) for x in up}
+
+
 def test_families_larger_than_a_block_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngramjoin.family_links, "__defaults__", (5,))
     rng = random.Random(2)
