@@ -72,7 +72,7 @@ def test_jaccard_components_match_brute_force(spark):
         assert got == brute_components(rows, width, percent)
 
 
-@pytest.mark.parametrize("task_edges", [1000, 20, 0])
+@pytest.mark.parametrize("task_edges", [1000, 20, 1])
 def test_components_at_any_task_size(spark, task_edges):
     rng = random.Random(task_edges)
     edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(40)]
