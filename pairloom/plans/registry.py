@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.operators import lexical
-from pairloom.plans import lexical_sql
+from pairloom.functions.fuzzy import diff_ratios, fuzzy
+from pairloom.functions.text import q_text
+from pairloom.functions.vectors import distances, kurtosis, skewness
+from pairloom.operators import alignment, graph, lexical, modeling, neural, postprocess, sequences, vector_features
+from pairloom.plans import lexical_sql, more_sql
 from pairloom.sources.pairs import pairs_from_documents
+from pairloom.sources.tables import shared_table
+
+DIMS = 64
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to so many digits, as in the SQL; -0.0 as 0.0."""
-    return df.select(*[(F.round(n, digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
+    return df.select(*[(F.round(n, digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
 
 
 def on_pairs(feature, digits: int = 6):
@@ -20,6 +27,143 @@ def on_pairs(feature, digits: int = 6):
     return lambda spark, sf_dir: rounded(feature(pairs_from_documents(spark, sf_dir)), digits)
 
 
+def score() -> Column:
+    """A fixed function of the pair that stands in for a model's probability."""
+    return ((F.col("pair_id") * 7919 + 13) % 1000).cast("double") / 1000
+
+
+def scored(pairs: DataFrame) -> DataFrame:
+    return pairs.select("pair_id", "question1", "question2", "split", "is_duplicate", score().alias("p"))
+
+
+def word_vectors(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    """(word, vec): each word takes a row of the table embeddings by its hash, which stands in for trained vectors."""
+    words = vector_features.sides(pairs).select(F.explode(F.array_union(F.split(F.lower("text"), r"\s+"), F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))).alias("word")).distinct()
+    ids = words.withColumn("vec_id", F.conv(F.substring(F.md5(F.col("word").cast("binary")), 17, 8), 16, 10).cast("bigint") % 500)
+    return ids.join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id").select("word", F.col("embedding").alias("vec"))
+
+
+def fuzzy_features(pairs: DataFrame) -> DataFrame:
+    return pairs.select("pair_id", fuzzy(q_text("question1"), q_text("question2")).alias("f")).select("pair_id", "f.*")
+
+
+def difflib_features(pairs: DataFrame) -> DataFrame:
+    return pairs.select("pair_id", diff_ratios(q_text("question1"), q_text("question2")).alias("diff_ratios"))
+
+
+def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    cols = distances(F.col("x"), F.col("y")) | {"skew": skewness(F.col("x")), "kur": kurtosis(F.col("x"))}
+    return rounded(both.select("vec_id", *[c.alias(n) for n, c in cols.items()]))
+
+
+def pair_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = pairs_from_documents(spark, sf_dir)
+    e = vector_features.embedding_features(pairs, word_vectors(spark, sf_dir, pairs), DIMS, "emb")
+    return e.select("pair_id", F.round("emb_cosine_distance", 5).alias("emb_cosine_distance"), F.round("emb_cityblock_distance", 4).alias("emb_cityblock_distance"), F.round("emb_euclidean_distance", 5).alias("emb_euclidean_distance"))
+
+
+def pair_embedding_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = pairs_from_documents(spark, sf_dir)
+    return vector_features.embedding_features(pairs, word_vectors(spark, sf_dir, pairs), DIMS, "emb")
+
+
+def pair_wmd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = pairs_from_documents(spark, sf_dir)
+    return vector_features.wmd_features(pairs, word_vectors(spark, sf_dir, pairs), "emb")
+
+
+def sequence_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = pairs_from_documents(spark, sf_dir)
+    out = sequences.encode(pairs, sequences.vocabulary(pairs))
+    return out.select("pair_id", F.array_join("ids1", " ").alias("ids1"), F.array_join("ids2", " ").alias("ids2"))
+
+
+def model_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Pairs with lexical features and folds, as one written table."""
+    pairs = shared_table(pairs_from_documents(spark, sf_dir), "pairs")
+    df = pairs.select("pair_id", "split", "is_duplicate")
+    names: list[str] = []
+    for f in (lexical.length_features, lexical.match_features, lexical.weighted_share_features):
+        part = f(pairs)
+        names += part.columns[1:]
+        df = df.join(part, "pair_id")
+    return shared_table(modeling.with_fold(modeling.assembled(df, names)), "model"), names
+
+
+def oof_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold elastic-net regressions on hashed term blocks, calibrated."""
+    from pyspark.ml.feature import HashingTF
+
+    pairs = shared_table(pairs_from_documents(spark, sf_dir), "pairs")
+    words = pairs.select("pair_id", "split", "is_duplicate", lexical.split_words(q_text("question1", "")).alias("w1"), lexical.split_words(q_text("question2", "")).alias("w2"))
+    tf = words
+    for i in (1, 2):
+        tf = HashingTF(inputCol=f"w{i}", outputCol=f"tf{i}", numFeatures=256).transform(tf)
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    tf = tf.withColumns({"a": vector_to_array("tf1"), "b": vector_to_array("tf2")})
+    blocks = {"tf": F.concat("a", "b"), "diff_tf": F.zip_with("a", "b", lambda x, y: x - y), "svd_absdiff": F.zip_with("a", "b", lambda x, y: F.abs(x - y)), "svd_mult": F.zip_with("a", "b", lambda x, y: x * y)}
+    tf = shared_table(modeling.with_stratified_fold(tf.drop("w1", "w2", "tf1", "tf2"), 3), "blocks")
+    out = None
+    for name, column in blocks.items():
+        mixing, strength, calibrate = modeling.BLOCKS[name]
+        got = modeling.out_of_fold(tf.withColumn("features", array_to_vector(column)), lambda m=mixing, s=strength: modeling.logistic(m, s).setMaxIter(15), 3, f"m_{name}_oof", calibrate)
+        out = got if out is None else out.join(got.select("pair_id", f"m_{name}_oof"), "pair_id")
+    return out
+
+
+def gbt_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, _ = model_table(spark, sf_dir)
+    out = modeling.out_of_fold(df, lambda: modeling.boosted_trees(depth=4, rounds=8), 5, "p")
+    return out.select("pair_id", "split", "p", postprocess.prior_shift(F.col("p")).alias("p_shifted"))
+
+
+def stacked_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, _ = model_table(spark, sf_dir)
+    a = modeling.out_of_fold(df, lambda: modeling.boosted_trees(depth=3, rounds=4), 5, "gbt")
+    b = modeling.out_of_fold(df, lambda: modeling.logistic(0.01, 1e-3).setMaxIter(10), 5, "lr")
+    return modeling.stacked([a, b], ["gbt", "lr"])
+
+
+def mean_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postprocess.match_mean(scored(pairs_from_documents(spark, sf_dir)), "p", 0.3).select("pair_id", "p")
+
+
+def neural_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forward passes of the three networks with seeded weights, and of the two with a feature branch."""
+    pairs = pairs_from_documents(spark, sf_dir)
+    vocab = sequences.vocabulary(pairs)
+    extra = lexical.length_features(pairs).select("pair_id", *[(F.col(c) / 100).alias(c) for c in ("char_len1", "char_len2", "word_len1", "word_len2")])
+    seqs = shared_table(sequences.encode(pairs, vocab).join(extra, "pair_id"), "sequences")
+    table = np.random.default_rng(7).normal(0, 0.1, (20_000, 16))
+    table[0] = 0
+    names = ["char_len1", "char_len2", "word_len1", "word_len2"]
+    nets = {"lstm": (neural.LstmConcat(table, 8), None), "lstm_features": (neural.LstmConcat(table, 8, 4), names), "attention": (neural.DecomposableAttention(table, 8, 500), None), "attention_features": (neural.DecomposableAttention(table, 8, 500, 4), names), "cnn": (neural.Convolutions(table, (8, 8, 8, 8, 4, 4)), None)}
+    out = None
+    for name, (net, more) in nets.items():
+        got = neural.score(seqs, net, more).withColumnRenamed("p", name)
+        out = got if out is None else out.join(got, "pair_id")
+    return out
+
+
+def perceptron_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    pairs = shared_table(pairs_from_documents(spark, sf_dir), "pairs")
+    vocab = shared_table(sequences.vocabulary(pairs), "vocabulary")
+    matrix = sequences.embedding_matrix(vocab, word_vectors(spark, sf_dir, pairs), DIMS)
+    pooled = neural.pooled(sequences.encode(pairs, vocab), matrix, DIMS).withColumn("features", array_to_vector(F.concat("abs_diff", "product")))
+    df = modeling.with_fold(pairs.select("pair_id", "split", "is_duplicate").join(pooled.select("pair_id", "features"), "pair_id"), 2)
+    return modeling.out_of_fold(df, lambda: modeling.perceptron(2 * DIMS).setMaxIter(10), 2, "p")
+
+
+def fold_average(pairs: DataFrame) -> DataFrame:
+    s = scored(pairs)
+    return modeling.averaged(s.select("pair_id", "p").union(s.select("pair_id", F.col("p") * F.col("p"))).union(s.select("pair_id", F.sqrt("p"))))
+
+
 LEXICAL = {
     "pair_len": on_pairs(lexical.length_features),
     "pair_caps": on_pairs(lexical.capital_features),
@@ -30,12 +174,60 @@ LEXICAL = {
     "pair_weighted_share": on_pairs(lexical.weighted_share_features),
     "pair_simhash": on_pairs(lexical.simhash_features),
     "pair_char_jaccard": on_pairs(lexical.char_jaccard_features),
+    "pair_difflib": on_pairs(difflib_features),
+    "pair_fuzzy": on_pairs(fuzzy_features),
+}
+VECTORS = {
+    "pair_tfidf": on_pairs(vector_features.tfidf_features),
+    "pair_trigram_distances": on_pairs(vector_features.trigram_distance_features),
+    "pair_lemma_distances": on_pairs(lambda p: vector_features.lemma_distance_features(p, prefix="lemma")),
+    "vector_distances": vector_distances,
+    "pair_embedding": pair_embedding,
+    "pair_embedding_all": pair_embedding_all,
+    "pair_wmd": pair_wmd,
+    "pair_svd": on_pairs(vector_features.svd_features),
+}
+GRAPH = {
+    "question_ids": on_pairs(graph.question_ids),
+    "graph_frequency": on_pairs(graph.frequency),
+    "graph_common_neighbours": on_pairs(graph.common_neighbours),
+    "graph_pagerank": on_pairs(lambda p: graph.pagerank(p, steps=more_sql.STEPS), 9),
+    "graph_pagerank_40": on_pairs(graph.pagerank, 9),
+    "graph_triangles": on_pairs(graph.triangles),
+    "graph_clique": on_pairs(graph.clique_size),
+    "graph_subgraphs": on_pairs(graph.component_sizes),
+}
+MODELS = {
+    "sequence_vocabulary": on_pairs(sequences.vocabulary),
+    "sequence_encode": sequence_encode,
+    "folds": on_pairs(lambda p: modeling.with_fold(p).select("pair_id", "fold")),
+    "stratified_folds": on_pairs(lambda p: modeling.with_stratified_fold(p).select("pair_id", "fold")),
+    "prior_shift": on_pairs(lambda p: scored(p).select("pair_id", postprocess.prior_shift(F.col("p")).alias("p")), 9),
+    "class_weights": on_pairs(lambda p: p.select("pair_id", postprocess.class_weight(F.col("is_duplicate")).alias("weight")), 9),
+    "prior_from_loss": on_pairs(lambda p: scored(p).filter("p > 0.001 and p <> 0.5").select("pair_id", postprocess.prior_from_loss(F.col("p"), F.lit(0.55)).alias("rate"))),
+    "mean_matching": mean_matching,
+    "metrics": on_pairs(lambda p: modeling.metrics(scored(p))),
+    "score_correlation": on_pairs(lambda p: modeling.correlation(scored(p).withColumn("q", F.col("p") * F.col("p") + F.col("is_duplicate")), "p", "q")),
+    "standardised": on_pairs(lambda p: modeling.standardised(lexical.with_texts(p).select("pair_id", F.length("a").cast("double").alias("l1"), F.length("b").cast("double").alias("l2")), ["l1", "l2"])),
+    "fold_average": on_pairs(fold_average, 9),
+    "oversampled": on_pairs(lambda p: modeling.oversampled(p.filter("split = 'train'"), 0.05).select("pair_id", "is_duplicate", "copy")),
+    "oof_logistic": oof_logistic,
+    "gbt_predictions": gbt_predictions,
+    "stacked_predictions": stacked_predictions,
+    "neural_scores": neural_scores,
+    "perceptron_scores": perceptron_scores,
+}
+RULES = {
+    "pair_surface": on_pairs(lambda p: alignment.surface_features(alignment.annotated_simply(p))),
+    "pair_alignment": on_pairs(lambda p: alignment.alignment_features(alignment.annotated_simply(p))),
+    "transitivity": on_pairs(lambda p: postprocess.transitivity(scored(p)), 9),
+    "implied_labels": on_pairs(postprocess.implied_labels),
 }
 
 
 def queries() -> dict:
-    return dict(LEXICAL)
+    return LEXICAL | VECTORS | GRAPH | MODELS | RULES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(lexical_sql.SQL)
+    return lexical_sql.SQL | more_sql.SQL
