@@ -31,7 +31,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 BAND = 1.4  # ratio of a size band's ends
 SPARE = 0.08  # share of the parts that a set may leave out, to each side
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 SKETCH_BLOCK = 4096  # items of one side of a block when only sketches are compared
 CELLS = 512  # bits of the parity sketch
 _MIX, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
