@@ -6,6 +6,7 @@ import re
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 NOT_WORD = re.compile(r"[\W_]")
@@ -83,11 +84,11 @@ FUZZ = {
 }
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def diff_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([sequence_ratio(x.lower(), y.lower()) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@pandas_udf(", ".join(f"{n} int" for n in FUZZ))
+@pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in FUZZ]))
 def fuzzy(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([[f(x, y) for f in FUZZ.values()] for x, y in zip(a, b, strict=True)], columns=list(FUZZ)).astype("int32")
