@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import decontaminate, htmltext, langid, linededup, ngramjoin, packing, quality, sharding, tokens, toxicity
+from pairloom.llm import decontaminate, htmltext, langid, linededup, ngramjoin, oracles, packing, quality, sharding, tokens, toxicity
 from pairloom.llm.common import held_out, read
 
 SHARDS = 8
@@ -69,4 +69,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()
