@@ -50,7 +50,7 @@ def op7_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 5, 0))
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out("doc_id", 5, 0))
-    model = toxicity.train(docs.join(labels, "doc_id"))
+    model = toxicity.train(docs, labels)
     return toxicity.score(docs, model, keep=("doc_id", "held_out"))
 
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.common import materialize
+
 #: Bound of the fit: about this many labelled rows of each class (a hash decides which).
 SAMPLE_PER_CLASS = 3000
 STEMS = (4, 5, 6, 7)
@@ -232,19 +234,23 @@ def lexicon(sample: DataFrame, min_share: float = 0.02, least: int = 6, odds: fl
     return words, stems, exempt
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
-    """Fit on about per_class rows of each label, chosen by a hash of the key; null labels are left out.
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
+    """Fit on about per_class labelled documents of each class, chosen by a hash of the key.
 
-    Only the lexicon (terms over fixed thresholds) and one short feature vector for each
-    sampled row reach the driver. Without labelled rows the model is the prior with no terms.
+    Null labels, and labels without a document, are left out. The sampled keys (bounded by
+    per_class) go to every task, so only the texts of the sample move; of these, the lexicon
+    (terms over fixed thresholds) and one short feature vector a row reach the driver. Without
+    labelled rows the model is the prior with no terms.
     """
-    rows = labelled.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return ToxicityModel([], [], frozenset(), PRIOR.copy())
     uniform = F.pmod(F.xxhash64("key", F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("toxic") == 1, min(1.0, per_class / counts.get(1, 1))).otherwise(min(1.0, per_class / counts.get(0, 1)))
-    sample = rows.filter(uniform < share)
+    chosen = F.broadcast(known.filter(uniform < share))
+    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sample = materialize(texts.join(chosen, "key"), "labelled")
     model = ToxicityModel(*lexicon(sample), PRIOR.copy())
     names = [f"x{i}" for i in range(len(PRIOR))]
 

@@ -343,13 +343,14 @@ def test_toxicity_learns_terms_and_quotations(spark, docs, empty):
             for b in bad[: 1 + k % 3]:
                 w[rng.randrange(len(w))] = b
         rows.append((k, " ".join(w), k % 2))
-    model = toxicity.train(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int"))
+    known = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.train(known.drop("toxic"), known.drop("text"))
     assert set(bad) <= set(model.words) | {b for b in bad if any(b.startswith(s) for s in model.stems)}
     assert model.score("you blarghead and grubbish one") > 0.5 > model.score("a quiet day")
     assert model.score("he wrote “blarghead” once " + "jab " * 60) < model.score("such blarghead here once " + "jab " * 60)
     odd = toxicity.score(docs, model).collect()
     assert len(odd) == docs.count() and all(0 <= r["score"] <= 1 for r in odd) and {r["predicted"] for r in odd if r["doc_id"] in (5, 6)} == {0}
-    assert toxicity.score(empty, toxicity.train(empty.withColumn("toxic", F.lit(None).cast("int")))).count() == 0
+    assert toxicity.score(empty, toxicity.train(empty, empty.withColumn("toxic", F.lit(None).cast("int")))).count() == 0
 
 
 ITEM = "Maria bought 12 apples and 30 pears for 5 dollars at the market. How many fruits did Maria buy in total on that day?"
