@@ -45,6 +45,29 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+KEY_BITS = 22
+
+
+def split_by_keys(docs: DataFrame, key: str, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(docs that may have a key of keys.name, docs that surely have none), in the JVM and without a shuffle of docs.
+
+    The keys set bits of a map of 2^KEY_BITS bits: at most 2^(KEY_BITS - 6) rows go to every
+    task, whatever the number of keys. A full map rules nothing out, and stays right.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << KEY_BITS))
+    bits = keys.select(place(name).alias("b")).groupBy(F.shiftright("b", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("__bits"))
+    marked = docs.withColumn("__place", place(key)).withColumn("__word", F.shiftright("__place", 6)).join(F.broadcast(bits), "__word", "left")
+    hit = F.expr("coalesce(getbit(__bits, cast(__place & 63 as int)) = 1, false)")
+    return marked.filter(hit).select(*docs.columns), marked.filter(~hit).select(*docs.columns)
+
+
+def without_keys(docs: DataFrame, key: str, lost: DataFrame, name: str) -> DataFrame:
+    """docs without the rows whose key is in lost.name; only rows that may be lost are joined. Null keys stay."""
+    maybe, free = split_by_keys(docs, key, lost, name)
+    gone = lost.select(F.col(name).alias("__gone"))
+    return free.union(maybe.join(gone, F.col(key) == F.col("__gone"), "left_anti"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
