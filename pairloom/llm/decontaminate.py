@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialize
+from pairloom.llm.common import materialize, without_keys
 
 WINDOW = 8
 LITERALS = 4  # fewest words of a window that are no placeholder
@@ -229,4 +229,4 @@ def _joined(chosen: DataFrame, wins: DataFrame, width: int, out: str, names: lis
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents that hold a benchmark item; null keys are kept (nothing can be held against them)."""
     leaked = find_leaks(docs, benchmark, key, text).select(F.col("key").alias("__leaked")).distinct()
-    return docs.join(leaked, F.col(key) == F.col("__leaked"), "left_anti")
+    return without_keys(docs, key, materialize(leaked, "leaked"), "__leaked")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import discard, materialize, release
+from pairloom.llm.common import discard, materialize, release, split_by_keys
 from pairloom.llm.linking import Forest, connected, family_links, star_edges
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -214,7 +214,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     possible = materialize(family_links(wide, sketches, possible_links(percent), SKETCH_BLOCK), "possible")
     families = materialize(connected(possible, "family"), "families")
     # the sets of items in families only, made again from one text each
-    wanted = items.groupBy("item").agg(F.min("key").alias("key")).join(families.select("item"), "item")
+    wanted = materialize(items.groupBy("item").agg(F.min("key").alias("key")).join(families.select("item"), "item").select("key", "item"), "wanted")
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -222,7 +222,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             made = [shingler.set_of(x.as_py() or "").view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.sort(s) for s in made], pa.list_(pa.int64()))], names=["item", "shingles"])
 
-    payload = chosen.join(wanted.select("key", "item"), "key").dropDuplicates(["item"]).select("item", "text").mapInArrow(sets, "item bigint, shingles array<bigint>")
+    payload = split_by_keys(chosen, "key", wanted, "key")[0].join(wanted, "key").dropDuplicates(["item"]).select("item", "text").mapInArrow(sets, "item bigint, shingles array<bigint>")
     links = materialize(family_links(families, payload, linked_sets(percent)), "links")
     classes = connected(links, "class")
     first = items.groupBy("item").agg(F.min("key").alias("first"))
