@@ -104,6 +104,11 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def item_of(shingles: np.ndarray) -> int:
+    """64-bit name of a set."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
 def parities(shingles: np.ndarray) -> bytes:
     """Bit i: parity of the shingles hashed to cell i. Two sets differ in no fewer shingles than bits."""
     return np.packbits(np.bincount((shingles >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS) & 1).tobytes()
@@ -121,8 +126,7 @@ def shingle_facts(docs: DataFrame, width: int, percent: int) -> DataFrame:
             out: list[list] = [[] for _ in FACTS]
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingler.set_of(x.as_py() or "")
-                raw = s.tobytes()
-                row = (k, len(s), xxhash.xxh3_64_intdigest(raw) - (1 << 63), signatures(s, percent), parities(s)) if len(s) else (k, 0, None, None, None)
+                row = (k, len(s), item_of(s), signatures(s, percent), parities(s)) if len(s) else (k, 0, None, None, None)
                 for o, v in zip(out, row, strict=True):
                     o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, FACTS, strict=True)], schema=FACTS)
@@ -210,7 +214,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ties = materialize(star_edges(items.select(F.explode("signatures").alias("key"), "item", F.lit(0).cast("tinyint").alias("role")), parts), "ties")
     release(spark)
     wide = materialize(connected(ties, "family"), "families")
-    sketches = items.groupBy("item").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    sketches = materialize(items.groupBy("item").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "sketches")
+    # the signatures have done their work
+    fat, facts = facts, materialize(facts.select("key", "n_shingles", "item"), "facts")
+    items = facts.filter("item is not null")
+    discard(fat)
+    discard(ties)
+    release(spark)
     possible = materialize(family_links(wide, sketches, possible_links(percent), SKETCH_BLOCK), "possible")
     families = materialize(connected(possible, "family"), "families")
     # the sets of items in families only, made again from one text each
@@ -219,16 +229,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in it:
-            made = [shingler.set_of(x.as_py() or "").view(np.int64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.sort(s) for s in made], pa.list_(pa.int64()))], names=["item", "shingles"])
-
-    payload = split_by_keys(chosen, "key", wanted, "key")[0].join(wanted, "key").dropDuplicates(["item"]).select("item", "text").mapInArrow(sets, "item bigint, shingles array<bigint>")
+            out: list[list] = [[], []]
+            for item, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                shingles = shingler.set_of(x.as_py() or "")
+                if item_of(shingles) == item:  # a repeated key may hold another text
+                    out[0].append(item), out[1].append(np.sort(shingles.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))], names=["item", "shingles"])
+
+    payload = split_by_keys(chosen, "key", wanted, "key")[0].join(wanted, "key").select("item", "text").mapInArrow(sets, "item bigint, shingles array<bigint>")
     links = materialize(family_links(families, payload, linked_sets(percent)), "links")
     classes = connected(links, "class")
     first = items.groupBy("item").agg(F.min("key").alias("first"))
     grouped = materialize(first.join(classes, "item", "left").withColumn("class", F.coalesce("class", "item")), "classes")
     smallest = grouped.groupBy("class").agg(F.min("first").alias("component_id"))
     by_item = grouped.join(smallest, "class").select("item", "component_id")
-    discard(ties)
     discard(possible)
+    discard(sketches)
     return facts.select("key", "n_shingles", "item").join(by_item, "item", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
