@@ -60,9 +60,12 @@ class LanguageModel:
     def features(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices and l2-normalised tf-idf values."""
         at = np.flatnonzero(counts)
-        x = (1.0 + np.log(counts[at])) * self.idf[at]
+        return self.weighted(at, counts[at])
+
+    def weighted(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = (1.0 + np.log(n)) * self.idf[at]
         norm = float(np.sqrt((x * x).sum()))
-        return at, x / (norm or 1.0)
+        return at, (x / (norm or 1.0)).astype(np.float32)
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
         at, x = self.features(counts)
@@ -160,10 +163,9 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     model = LanguageModel(langs, np.log((1 + total) / (1 + df)) + 1, np.zeros((buckets, len(langs))), np.zeros(len(langs)))
     xs, ys = [], []
     for g, at, n in zip(sample["lang"], sample["at"], sample["n"], strict=True):
-        c = np.zeros(buckets, np.float32)
-        c[at] = n
-        xs.append(model.features(c))
+        xs.append(model.weighted(np.asarray(at, np.int32), np.asarray(n, np.float32)))
         ys.append(langs.index(g))
+    del sample
     y = np.array(ys)
     calibrating = np.arange(len(xs)) % 5 == 4 if len(xs) >= 50 else np.zeros(len(xs), bool)
     fit = np.flatnonzero(~calibrating)
