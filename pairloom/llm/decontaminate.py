@@ -2,8 +2,10 @@
 
 Words become template tokens: numbers, units and names (capitalised words) turn into typed
 placeholders, everything else is lower-cased. Windows of template tokens of the benchmark are
-hashed; a document is hit where its windows hash-join with them. For each item the slots of
-the hit windows are then laid over each other: a re-parameterised copy maps every value of a
+hashed; a document is hit where its windows hash-join with them. Windows with too few literal
+words to tell one text from another are hashed with the values of their slots instead, so they
+hit exact copies only. The hits of an item are grouped by placement, the offset between item
+and document; each placement is judged by itself: a re-parameterised copy maps every value of a
 slot to one value, back and forth, so inconsistent hits, which only share their grammar, are
 dropped. What is left counts by the share of the item's windows that were found.
 """
@@ -11,6 +13,7 @@ dropped. What is left counts by the share of the item's windows that were found.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,13 +27,14 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import materialize, without_keys
 
 WINDOW = 8
-LITERALS = 4  # fewest words of a window that are no placeholder
+LITERALS = 4  # a window with fewer words that are no placeholder is hashed by its values
 COVERAGE = 0.6  # share of an item's windows that make a leak
 CONSISTENT = 0.8  # share of the slots of the hit windows that one mapping explains
 #: Benchmark windows up to this many go to every task; above it, windows are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 TOKEN = re.compile(r"[^\W_]+(?:[.,'][^\W_]+)*|[%$€£°]")
 NUMBER = re.compile(r"\d[\d.,]*(?:st|nd|rd|th)?")
+DIGIT = re.compile(r"\d")
 MEASURE = re.compile(r"(\d[\d.,]*)([^\W\d_]+)")
 # Units of measure and number words.
 UNITS = frozenset("% $ € £ ° mm cm m km in ft yd mi mg g kg t lb oz ml cl l s ms min h hr hrs sec secs hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms liter liters litre litres dollar dollars euro euros cent cents percent degree degrees kmh mph hz khz mhz ghz kb mb gb tb v kv w kw mw j kj cal kcal".split())
@@ -44,11 +48,11 @@ def _parts(word: str) -> tuple[str, ...]:
 
 
 class Canonical(dict):
-    """Word -> (template hash, 0 for a literal or the slot type 1 number, 2 unit, 3 name), filled on demand."""
+    """Word -> (template hash, 0 for a literal or the slot type 1 number, 2 unit, 3 name, value hash), filled on demand."""
 
     TYPES = ("", "<number>", "<unit>", "<name>")
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> tuple[int, int, int]:
         if len(self) >= KEPT_WORDS:
             self.clear()
         low = word.lower()
@@ -60,41 +64,60 @@ class Canonical(dict):
             kind = 3
         else:
             kind = 0
-        out = self[word] = (xxhash.xxh3_64_intdigest(self.TYPES[kind] if kind else low), kind)
+        value = xxhash.xxh3_64_intdigest(low)
+        out = self[word] = (xxhash.xxh3_64_intdigest(self.TYPES[kind]) if kind else value, kind, value)
         return out
 
-    def template(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words of a text, their template hashes and slot types."""
+    def template(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Words of a text, their template hashes, slot types and value hashes."""
         words = TOKEN.findall(text)
-        if any(c.isdigit() for c in text):  # 5km is a number and a unit
+        if DIGIT.search(text):  # 5km is a number and a unit
             words = [p for w in words for p in _parts(w)]
         got = [self[w] for w in words]
-        return words, np.array([g[0] for g in got], np.uint64), np.array([g[1] for g in got], np.int8)
+        hashes, kinds = np.array([g[0] for g in got], np.uint64), np.array([g[1] for g in got], np.int8)
+        values, slots = hashes.copy(), np.flatnonzero(kinds)
+        values[slots] = [got[i][2] for i in slots.tolist()]
+        return words, hashes, kinds, values
 
 
-def windows(hashes: np.ndarray, kinds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows with enough literals."""
+def has_literals(kinds: np.ndarray, width: int) -> np.ndarray:
+    """Whether each window has enough literals to be hashed as a template."""
+    literal = np.concatenate(([0], np.cumsum(kinds == 0)))
+    return literal[width:] - literal[:-width] >= min(LITERALS, width)
+
+
+def windows(hashes: np.ndarray, kinds: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all windows: of templates, or of values where literals are few."""
     n = len(hashes) - width + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64)
+
+    def mix(h: np.ndarray, part: np.ndarray) -> None:
+        h *= np.uint64(0xD1B54A32D192ED03)
+        h += part
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+
     h = np.full(n, width, np.uint64)
     for i in range(width):
-        h = (h * np.uint64(0xD1B54A32D192ED03) + hashes[i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    literal = np.concatenate(([0], np.cumsum(kinds == 0)))
-    ok = literal[width:] - literal[:-width] >= min(LITERALS, width)
-    return np.flatnonzero(ok), h[ok].view(np.int64)
+        mix(h, hashes[i : n + i])
+    exact = np.flatnonzero(~has_literals(kinds, width))
+    if len(exact):
+        v = np.full(len(exact), width + 1000, np.uint64)  # never equal to a template by its start value
+        for i in range(width):
+            mix(v, values[exact + i])
+        h[exact] = v
+    return h.view(np.int64)
 
 
 def item_windows(items: list[tuple[int, str]], width: int = WINDOW) -> list[tuple[int, int, int, int, str]]:
     """(hash, width, item, start, text) of each benchmark window; short items are one window of their own width."""
     canonical, out = Canonical(), []
     for item, text in items:
-        _, hashes, kinds = canonical.template(text)
+        _, hashes, kinds, values = canonical.template(text)
         w = min(width, len(hashes))
         if w >= 3:
-            starts, keys = windows(hashes, kinds, w)
-            out.extend((k, w, item, s, text) for s, k in zip(starts.tolist(), keys.tolist(), strict=True))
+            out.extend((k, w, item, s, text) for s, k in enumerate(windows(hashes, kinds, values, w).tolist()))
     return out
 
 
@@ -105,49 +128,91 @@ class ItemIndex:
         self.widths = sorted({r[1] for r in rows})
         self.keys = {w: np.unique(np.array([r[0] for r in rows if r[1] == w], np.int64)) for w in self.widths}
         self.at: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        self.count: dict[int, int] = defaultdict(int)
         for key, width, item, start in rows:
             self.at[width, key].append((item, start))
-            self.count[item] += 1
         self.texts = texts
 
     @lru_cache(maxsize=50_000)  # noqa: B019 - one index lives as long as its worker
-    def words(self, item: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-        return Canonical().template(self.texts[item])
+    def words(self, item: int, width: int) -> tuple[list[str], list[int], list[bool]]:
+        """Words of an item, their slot types, and whether each window is a template."""
+        words, _, kinds, _ = Canonical().template(self.texts[item])
+        return words, kinds.tolist(), has_literals(kinds, width).tolist()
 
 
 def leaks_of(text: str, index: ItemIndex, canonical: Canonical) -> list[tuple[int, float, float]]:
     """(item, coverage, consistency) of the items that a text holds."""
-    words, hashes, kinds = canonical.template(text)
+    words, hashes, kinds, values = canonical.template(text)
     hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for w in index.widths:
-        starts, keys = windows(hashes, kinds, w)
+        keys = windows(hashes, kinds, values, w)
         known = index.keys[w]
         if not len(keys) or not len(known):
             continue
         pos = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         for i in np.flatnonzero(known[pos] == keys).tolist():
             for item, start in index.at[w, int(keys[i])]:
-                hits[item].append((start, int(starts[i]), w))
+                hits[item].append((start, i, w))
     return [(item, *judged) for item, found in sorted(hits.items()) if (judged := judge(words, found, index, item)) is not None]
 
 
+def placements(found: list[tuple[int, int, int]], length: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Groups of an item's hits that may be one copy of it.
+
+    Hits at one offset are one copy. Words put in or left out shift the rest of a copy, so
+    each offset is also tried with what other offsets within the item's length add in the same
+    order, nearest first. All hits together come last, for copies in another order.
+    """
+    by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for hit in sorted(found):
+        by[hit[1] - hit[0]].append(hit)
+    ranked = sorted(by, key=lambda d: (-len(by[d]), d))
+    for d in ranked:
+        yield by[d]
+    if len(by) == 1:
+        return
+    offsets, used = sorted(by), set()
+    for d in ranked:
+        if d in used:
+            continue
+        near = offsets[bisect_left(offsets, d - length) : bisect_right(offsets, d + length)]
+        chain = list(by[d])
+        for e in sorted(near, key=lambda e: (abs(e - d), e)):
+            fits = []
+            for hit in by[e] if e != d else ():
+                i = bisect_left(chain, hit[:1])
+                if (i == len(chain) or chain[i][0] > hit[0] and chain[i][1] > hit[1]) and (i == 0 or chain[i - 1][1] < hit[1]):
+                    fits.append(hit)
+            if fits:
+                chain = sorted(chain + fits)
+                if len(fits) == len(by[e]):
+                    used.add(e)
+        if len(chain) > len(by[d]):
+            yield chain
+    yield found
+
+
 def judge(words: list[str], found: list[tuple[int, int, int]], index: ItemIndex, item: int) -> tuple[float, float] | None:
-    """Coverage and slot consistency of an item's hit windows; None below the limits."""
-    coverage = len({start for start, _, _ in found}) / index.count[item]
-    if coverage < COVERAGE:
-        return None
-    own, _, kinds = index.words(item)
-    # each slot of the item once for each place that it was found at
-    slots = {(start + i, at + i) for start, at, w in found for i in range(w) if kinds[start + i]}
-    there: dict[tuple[int, str], dict[str, int]] = defaultdict(lambda: defaultdict(int))
-    back: dict[tuple[int, str], dict[str, int]] = defaultdict(lambda: defaultdict(int))
-    for i, j in slots:
-        there[kinds[i], own[i]][words[j]] += 1
-        back[kinds[i], words[j]][own[i]] += 1
-    agree = sum(max(v.values()) for v in there.values()) + sum(max(v.values()) for v in back.values())
-    consistency = agree / (2 * len(slots)) if slots else 1.0
-    return (coverage, consistency) if consistency >= CONSISTENT else None
+    """Coverage and slot consistency of the first placement of an item that passes the limits; None if none does."""
+    width = found[0][2]  # an item has windows of one width
+    own, kinds, template = index.words(item, width)
+    for placed in placements(found, len(own)):
+        starts = {start for start, _, _ in placed}
+        # windows that are hashed by value can't be hit by changed copies, so templates alone are enough
+        coverage = max(len(starts) / len(template), sum(template[s] for s in starts) / max(1, sum(template)))
+        if coverage < COVERAGE:
+            continue
+        # each slot of the item once for each place that it was found at
+        slots = {(start + i, at + i) for start, at, w in placed for i in range(w) if kinds[start + i]}
+        there: dict[tuple[int, str], dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        back: dict[tuple[int, str], dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        for i, j in slots:
+            there[kinds[i], own[i]][words[j]] += 1
+            back[kinds[i], words[j]][own[i]] += 1
+        agree = sum(max(v.values()) for v in there.values()) + sum(max(v.values()) for v in back.values())
+        consistency = agree / (2 * len(slots)) if slots else 1.0
+        if consistency >= CONSISTENT:
+            return coverage, consistency
+    return None
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
@@ -198,24 +263,22 @@ def _joined(chosen: DataFrame, wins: DataFrame, width: int, out: str, names: lis
         for batch in it:
             cols: list[list] = [[], [], [], [], []]
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words, hashes, kinds = canonical.template(x.as_py() or "")
+                words, hashes, kinds, values = canonical.template(x.as_py() or "")
                 for w in widths:
-                    starts, keys = windows(hashes, kinds, w)
-                    for s, h in zip(starts.tolist(), keys.tolist(), strict=True):
+                    for s, h in enumerate(windows(hashes, kinds, values, w).tolist()):
                         for c, v in zip(cols, (h, w, k, s, " ".join(words[s : s + w])), strict=True):
                             c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["hash", "width", "key", "at", "said"])
 
     cells = chosen.mapInArrow(cut, "hash bigint, width int, key bigint, at int, said string")
-    counts = wins.groupBy("item").agg(F.count(F.lit(1)).alias("windows"), F.first("body").alias("body"))
-    hit = cells.join(wins.select("hash", "width", "item", "start"), ["hash", "width"]).groupBy("key", "item").agg(F.collect_set(F.struct("start", "at", "width", "said")).alias("found")).join(counts, "item")
+    bodies = wins.groupBy("item").agg(F.first("body").alias("body"))
+    hit = cells.join(wins.select("hash", "width", "item", "start"), ["hash", "width"]).groupBy("key", "item").agg(F.collect_set(F.struct("start", "at", "width", "said")).alias("found")).join(bodies, "item")
 
     def decide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             cols: list[list] = [[], [], [], []]
             for r in batch.to_pylist():
                 index = ItemIndex([], {r["item"]: r["body"]})
-                index.count[r["item"]] = r["windows"]
                 words: dict[int, str] = {f["at"] + i: s for f in r["found"] for i, s in enumerate(f["said"].split(" "))}
                 judged = judge(words, [(f["start"], f["at"], f["width"]) for f in r["found"]], index, r["item"])
                 if judged:
@@ -223,7 +286,7 @@ def _joined(chosen: DataFrame, wins: DataFrame, width: int, out: str, names: lis
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=names)
 
-    return hit.select("key", "item", "windows", "body", "found").mapInArrow(decide, out)
+    return hit.select("key", "item", "body", "found").mapInArrow(decide, out)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -384,6 +384,20 @@ def test_inconsistent_slots_are_no_leak():
     assert decontaminate.leaks_of(mixed, index, decontaminate.Canonical())[0][2] < 1.0
 
 
+def test_each_placement_is_judged_alone():
+    more = " Then Maria gave 12 apples to her brother, who ate 5 of them and kept the rest for his friends at school."
+    items = [(1, ITEM), (2, "Sums: 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17"), (3, ITEM + more)]
+    index = decontaminate.ItemIndex([r[:4] for r in decontaminate.item_windows(items)], dict(items))
+    found = lambda text: [x[0] for x in decontaminate.leaks_of(text, index, decontaminate.Canonical())]
+    values = [("Peter", "7", "41", "9"), ("Olga", "8", "3", "77"), ("Ivan", "1", "2", "64")]
+    changed = lambda text: [text.replace("Maria", n).replace("12", a).replace("30", b).replace(" 5 ", f" {c} ") for n, a, b, c in values]
+    assert found(" ".join(changed(ITEM))) == [1] and found(ITEM + " " + changed(ITEM)[0]) == [1]
+    # copies with a word put in, so that no offset holds enough of the item
+    assert found(" ".join(changed((ITEM + more).replace("in total", "in grand total")))) == [1, 3]
+    # few literals: found by value only
+    assert found("so " + items[1][1] + " end") == [2] and found("Sums: 8 1 6 2 9 5 1 44 2 7 5 9 30 2 1") == []
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">x</a></ul></nav>
 <div class="ad-box">Buy now</div><div class="cookie notice">We use</div><div id=content><h1>Head {n} &amp; co</h1><p>One  {n}<br>two
 <p>Three&nbsp;<b>bold</b> {n}</div><div class="comments"><p>first!</p></div><form><label>Mail</label></form><footer>(c) all</footer></body></html>"""
