@@ -1,7 +1,8 @@
 """Toxicity scores: Levenshtein automata intersected with a lexicon trie, and context windows.
 
 The lexicon is learned from labelled rows: words, and stems of four to seven letters, that
-occur in many different toxic texts and almost no other (near copies of one text count once). The terms form a trie; its product with
+occur in many different toxic texts and almost no other (near copies of one text count once,
+told by many minima of their shingles). The terms form a trie; its product with
 the Levenshtein automaton of each term's allowed distance is made deterministic as words are
 read, so a word costs one table lookup a letter and dies early. Every hit is looked at in its
 window: inside quotation marks or beside a reporting word it counts as quoted, else as abuse.
@@ -20,9 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import materialize
+from pairloom.llm.linking import smallest_labels
+from pairloom.llm.ngramjoin import Shingler
 
 #: Bound of the fit: about this many labelled rows of each class (a hash decides which).
 SAMPLE_PER_CLASS = 3000
+#: Near copies among them: so many minima over shingles of so many words, and the share that agrees.
+COPY_MINIMA, COPY_WIDTH, COPY_SHARE = 128, 5, 0.8
 STEMS = (4, 5, 6, 7)
 TOKEN = re.compile(r"[^\W_]+(?:[*@$][^\W_]+)*")
 WINDOW = 40  # characters to each side of a hit
@@ -187,19 +192,54 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def copy_classes(texts: DataFrame) -> DataFrame:
+    """(text_id, copy) of each distinct text from (text_id, words); texts are those of the bounded sample.
+
+    Only the sketches, of COPY_MINIMA numbers a text, reach the driver, where each pair is compared.
+    """
+    rng = np.random.default_rng(42)
+    factors, shifts = rng.integers(0, 1 << 63, (2, COPY_MINIMA)).astype(np.uint64)
+    factors |= np.uint64(1)
+
+    def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(COPY_WIDTH)
+        for batch in it:
+            rows = []
+            for x in batch.column(1):
+                shingles = shingler.set_of(x.as_py())
+                minima = [int(((shingles * f + s) >> np.uint64(32)).min()) for f, s in zip(factors, shifts, strict=True)]
+                rows.append(np.array(minima, "<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["text_id", "sketch"])
+
+    distinct = texts.dropDuplicates(["text_id"]).select("text_id", F.array_join("words", " ").alias("text"))
+    got = sorted((r["text_id"], bytes(r["sketch"])) for r in distinct.mapInArrow(sketch, "text_id bigint, sketch binary").collect())
+    ids = np.array([i for i, _ in got], np.int64)
+    sketches = np.frombuffer(b"".join(x for _, x in got), "<u4").reshape(len(got), COPY_MINIMA)
+    # each text is tied to itself, so that all have a class
+    a, b = [ids], [ids]
+    for i in range(len(ids)):
+        near = ids[i + 1 :][(sketches[i + 1 :] == sketches[i]).sum(1) >= COPY_SHARE * COPY_MINIMA]
+        a.append(np.full(len(near), ids[i])), b.append(near)
+    items, label = smallest_labels(np.concatenate(a), np.concatenate(b))
+    return texts.sparkSession.createDataFrame(list(zip(items.tolist(), label.tolist(), strict=True)), "text_id bigint, copy bigint")
+
+
 def lexicon(sample: DataFrame, min_share: float = 0.02, least: int = 6, odds: float = 40.0) -> tuple[list[str], list[str], frozenset[str]]:
     """Words and stems of toxic texts from (text, toxic) rows, by the distinct texts that hold them,
     and the words of other texts that merely look like a term.
 
-    Texts count by their smallest word hash, so that copies and near copies of one text count
-    once. A term needs `least` toxic texts and a share of them, and `odds` times as many as
-    there are other texts with it.
+    Near copies are texts that agree in COPY_SHARE of their COPY_MINIMA minima over shingles of
+    COPY_WIDTH words, and chains of such texts. A class of copies counts once, any other text
+    by itself. A term needs `least` toxic texts and a share of them, and `odds` times as many
+    as there are other texts with it.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
-    texts = sample.select("toxic", words.alias("words")).withColumn("sketch", F.array_min(F.transform("words", lambda w: F.xxhash64(w)))).filter(F.col("sketch").isNotNull())
-    bad_texts = texts.filter("toxic = 1").select("sketch").distinct().count()
+    # equal word sequences are one text, named by their hash
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
+    texts = sample.select("toxic", words.alias("words")).filter(F.size("words") > 0).withColumn("text_id", F.xxhash64("words"))
+    texts = texts.join(F.broadcast(copy_classes(texts)), "text_id").select("toxic", "copy", F.array_distinct("words").alias("words"))
+    bad_texts = texts.filter("toxic = 1").select("copy").distinct().count()
     least = max(least, round(min_share * bad_texts))
-    seen = texts.select("toxic", "sketch", F.explode("words").alias("word")).distinct()
+    seen = texts.select("toxic", "copy", F.explode("words").alias("word")).distinct()
     by_word = seen.groupBy("word").agg(F.sum((F.col("toxic") == 1).cast("int")).alias("bad"), F.sum((F.col("toxic") == 0).cast("int")).alias("good"))
     by_word = by_word.cache()
     try:

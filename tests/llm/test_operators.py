@@ -353,6 +353,20 @@ def test_toxicity_learns_terms_and_quotations(spark, docs, empty):
     assert toxicity.score(empty, toxicity.train(empty, empty.withColumn("toxic", F.lit(None).cast("int")))).count() == 0
 
 
+def test_only_near_copies_count_as_one_text(spark):
+    rng = random.Random(21)
+    # every text holds the word with the smallest hash, which says nothing about copies
+    pool = {w for _ in range(200) for w in words(rng, 5).split()}
+    hashes = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in pool], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    common = min(hashes, key=hashes.get)
+    rows = [(f"{words(rng, 30)} {common} blarghead {words(rng, 30)}", 1) for _ in range(12)] + [(f"{words(rng, 30)} {common} {words(rng, 30)}", 0) for _ in range(12)]
+    copied = words(rng, 60).split()
+    for k in range(12):  # near copies of one text
+        rows.append((" ".join([*copied, "snorfling", *copied[: 2 + k % 2]]), 1))
+    found, stems, _ = toxicity.lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "blarghead" in found and "snorfling" not in found and stems == []
+
+
 ITEM = "Maria bought 12 apples and 30 pears for 5 dollars at the market. How many fruits did Maria buy in total on that day?"
 
 
