@@ -5,8 +5,9 @@ token over the pages of a host is hashed with an order-free sum (bit_xor of a ha
 and count), so tokens with equal vectors meet in one pre-aggregated pass whatever the size of
 the host. A class of tokens with one vector is valid if it is frequent enough; classes nest
 by their paths into the host's template. The template element that appears once a page and
-holds nearly all of the text that differs between pages is the article; slots whose text
-repeats over pages are template text. What remains in the article's slots is extracted.
+holds nearly all of the text that differs between pages is the article. A text block that
+stands at its path in nearly all different pages of the host (copies of a page count once) is
+template text. What remains in the article is extracted.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ NOT_WORDS = frozenset(
 )
 ARTICLES = frozenset(("article", "main"))
 # Share of a host's pages that a token needs to be in its template, pages below which nothing
-# is deduced, and share of distinct texts below which a slot is template text.
-LEAST_SHARE, LEAST_PAGES, VARIED, ARTICLE_SHARE = 0.02, 10, 0.1, 0.7
+# is deduced, share of distinct texts below which a slot does not help to find the article, and
+# share of a host's different pages that hold a block of template text.
+LEAST_SHARE, LEAST_PAGES, VARIED, ARTICLE_SHARE, REPEATED = 0.02, 10, 0.1, 0.7, 0.9
 
 
 def blocks_of(page: str) -> tuple[dict[str, int], list[tuple[str, bool, str]]]:
@@ -124,7 +126,7 @@ def deduce(tokens: pd.DataFrame) -> pd.DataFrame:
     pages = int(tokens["pages"].iloc[0])
     host = tokens["host"].iloc[0]
     if pages < LEAST_PAGES:
-        return pd.DataFrame({"host": [host], "article": [None], "constant": [[]]})
+        return pd.DataFrame({"host": [host], "article": [None]})
     # equivalence classes: tokens with one occurrence vector; once: in each of its pages one time
     elements = tokens[tokens["support"] > 0]
     classes = [g for _, g in elements.groupby(["fp", "support"], sort=True) if int(g["support"].iloc[0]) >= 0.5 * pages]
@@ -141,11 +143,36 @@ def deduce(tokens: pd.DataFrame) -> pd.DataFrame:
         below = varied["path"].eq(p) | varied["path"].str.startswith(p + "/")
         if total and varied.loc[below, "distinct_texts"].sum() >= ARTICLE_SHARE * total and (best is None or p.startswith(best + "/")):
             best = p
-    return pd.DataFrame({"host": [host], "article": [best], "constant": [constant]})
+    return pd.DataFrame({"host": [host], "article": [best]})
+
+
+def repeated_blocks(pages: DataFrame, html_column: str) -> DataFrame:
+    """(host, repeated): hashes of path and text of the blocks in REPEATED of a host's different pages.
+
+    Pages with equal blocks are one page; hosts with under LEAST_PAGES different pages have no row.
+    """
+
+    def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows: list[list] = [[], [], []]
+            for host, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                said = [_hash(path, text) for path, bad, text in blocks_of(x.as_py() or "")[1] if not bad]
+                page = _hash(*said)
+                for b in (None, *dict.fromkeys(said)):  # null stands for the page itself
+                    for r, v in zip(rows, (host, page, b), strict=True):
+                        r.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *[pa.array(r, pa.int64()) for r in rows[1:]]], names=["host", "page", "block"])
+
+    found = pages.select("host", html_column).mapInArrow(blocks, "host string, page bigint, block bigint").distinct()
+    counted = found.groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counted.filter(F.col("block").isNull() & (F.col("n") >= LEAST_PAGES)).select("host", F.col("n").alias("different"))
+    often = counted.filter(F.col("block").isNotNull() & (F.col("n") >= REPEATED * LEAST_PAGES)).join(sizes, "host").filter(F.col("n") >= REPEATED * F.col("different"))
+    # at most the blocks of a page / REPEATED
+    return often.groupBy("host").agg(F.collect_list("block").alias("repeated"))
 
 
 def templates(pages: DataFrame, key: str, html_column: str) -> DataFrame:
-    """(host, article path or null, constant slot paths) from pages with a host column; one row a host."""
+    """(host, article path or null) from pages with a host column; one row a host."""
 
     def tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -169,7 +196,7 @@ def templates(pages: DataFrame, key: str, html_column: str) -> DataFrame:
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     # rare tokens can't be in a template, so a host has at most a few tokens a page / LEAST_SHARE rows here
     kept = counted.join(sizes, "host").filter((F.col("support") >= LEAST_SHARE * F.col("pages")) | (F.col("blocks") >= LEAST_SHARE * F.col("pages")))
-    return kept.groupBy("host").applyInPandas(deduce, "host string, article string, constant array<string>")
+    return kept.groupBy("host").applyInPandas(deduce, "host string, article string")
 
 
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html_column: str = "html") -> DataFrame:
@@ -184,28 +211,28 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     hosted = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html_column).alias("h"), host.alias("host"))
     # written first, so that Spark knows its size when it picks the join
-    deduced = materialize(templates(hosted, "k", "h"), "templates")
+    deduced = materialize(templates(hosted, "k", "h").join(repeated_blocks(hosted, "h"), "host", "left"), "templates")
 
     def extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             texts = []
-            for x, article, constant in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                texts.append("\n\n".join(main_blocks(x.as_py() or "", article, frozenset(constant or ()))))
+            for x, article, repeated in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                texts.append("\n\n".join(main_blocks(x.as_py() or "", article, frozenset(repeated or ()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["k", "u", "text", "n_chars"])
 
-    joined = hosted.join(deduced, "host", "left").select("k", "u", "h", "article", "constant")
+    joined = hosted.join(deduced, "host", "left").select("k", "u", "h", "article", "repeated")
     kind = dict(pages.dtypes)[key]
     return joined.mapInArrow(extract, f"k {kind}, u string, text string, n_chars bigint").withColumnsRenamed({"k": key, "u": url})
 
 
-def main_blocks(page: str, article: str | None, constant: frozenset[str]) -> list[str]:
-    """Texts of the slots that remain once template text and what is outside the article are gone."""
+def main_blocks(page: str, article: str | None, repeated: frozenset[int]) -> list[str]:
+    """Texts of the blocks that remain once template text and what is outside the article are gone."""
     _, blocks = blocks_of(page)
     left = [(path, text) for path, bad, text in blocks if not bad]
     marked = [(p, t) for p, t in left if any(s.split(".")[0] in ARTICLES for s in p.split("/"))]
-    if marked:  # the page names its article; the template can only take constant slots from it
-        inner = [t for p, t in marked if p not in constant]
+    if marked:  # the page names its article; the template can only take repeated blocks from it
+        inner = [t for p, t in marked if _hash(p, t) not in repeated]
         return inner or [t for _, t in marked]
     if article is not None and (inside := [(p, t) for p, t in left if p == article or p.startswith(article + "/")]):
         left = inside
-    return [t for p, t in left if p not in constant]
+    return [t for p, t in left if _hash(p, t) not in repeated]

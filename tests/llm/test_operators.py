@@ -426,3 +426,13 @@ def test_html_text(spark):
     assert by[7]["text"] == "Head n7 & co\n\nOne n7 two\n\nThree bold n7" and by[7]["n_chars"] == len(by[7]["text"])
     assert by[100]["text"] == by[101]["text"] == "" and by[102]["text"] == "plain text" and by[103]["text"] == "only"
     assert htmltext.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_html_text_keeps_repeated_values_of_an_article(spark):
+    page = "<body><article><div class=note>Printed by us</div><h2>{h}</h2><p>{p}</p><b>{n}</b></article></body>"
+    pages = [page.format(h=("Introduction", "Methods", "Results")[n % 3], p=f"Text {n}", n=f"n{n}") for n in range(60)]
+    # and copies of one page, far more than other pages
+    pages += [page.format(h="Copied", p="The same text", n="c")] * 900
+    df = spark.createDataFrame([(n, "http://a.org/x", h) for n, h in enumerate(pages)], "page_id bigint, url string, html string")
+    by = {r["page_id"]: r["text"] for r in htmltext.extract_main_text(df).collect()}
+    assert by[4] == "Methods\n\nText 4\n\nn4" and by[500] == "Copied\n\nThe same text\n\nc"
