@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -95,6 +96,21 @@ def document_facts(docs: DataFrame, key: str, text: str, host: str) -> DataFrame
     return docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(host), F.lit("\0")).alias("host"), F.col(text).alias("text")).mapInArrow(facts, schema)
 
 
+def host_lines(facts: DataFrame) -> DataFrame:
+    """(key, host, line, chars) of each distinct line of a document."""
+    return facts.select("key", "host", F.explode(F.arrays_zip("lines", "chars")).alias("x")).select("key", "host", F.col("x.lines").alias("line"), F.col("x.chars").alias("chars"))
+
+
+def frequent_lines(facts: DataFrame, lines: DataFrame, min_docs: int, min_share: float) -> DataFrame:
+    """(host, line) of the lines above the limits."""
+    sizes = facts.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    # lines of a document are distinct, so rows are documents; counts are summed before the shuffle
+    return (
+        lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > min_docs)
+        .join(sizes, "host").filter(F.col("docs") > min_share * F.col("host_docs")).select("host", "line")
+    )
+
+
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, depleted: float = DEPLETED) -> DataFrame:
     """Base rule and line-frequency verdict of every document.
 
@@ -105,13 +121,8 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
     share their sum of boilerplate. An empty table gives no rows; other columns are not read.
     """
     facts = materialize(document_facts(docs, key, text, host), "quality")
-    sizes = facts.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    lines = facts.select("key", "host", F.explode(F.arrays_zip("lines", "chars")).alias("x")).select("key", "host", F.col("x.lines").alias("line"), F.col("x.chars").alias("chars"))
-    # lines of a document are distinct, so rows are documents; counts are summed before the shuffle
-    frequent = (
-        lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > min_docs)
-        .join(sizes, "host").filter(F.col("docs") > min_share * F.col("host_docs")).select("host", "line")
-    )
+    lines = host_lines(facts)
+    frequent = frequent_lines(facts, lines, min_docs, min_share)
     # one row a line on the small side; AQE splits the partitions of very common lines
     lost = lines.join(frequent, ["host", "line"]).groupBy("key").agg(F.sum("chars").alias("boilerplate_chars"))
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -122,3 +133,34 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
         .withColumn("kept", ~F.col("base_failed") & (F.col("boilerplate_chars") <= depleted * F.col("word_chars")))
         .select(F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boilerplate_chars")
     )
+
+
+def without_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """docs with the lines above the limits taken out of `text`, and removed (their positions from 0).
+
+    The lines are those that quality_rules counts. Null texts stay null. Rows that repeat a key
+    lose the lines that are boilerplate of any row with that key and host.
+    """
+    facts = materialize(document_facts(docs, key, text, host), "quality")
+    lines = host_lines(facts)
+    frequent = frequent_lines(facts, lines, min_docs, min_share)
+    # bounded by the lines of one document
+    lost = lines.join(frequent, ["host", "line"]).groupBy("key", "host").agg(F.collect_set("line").alias("__lost")).withColumnsRenamed({"key": "__key", "host": "__host"})
+    there = (F.col(key).cast("long").eqNullSafe(F.col("__key"))) & (F.coalesce(F.col(host), F.lit("\0")) == F.col("__host"))
+    kind = "removed array<int>, cleaned string"
+
+    @F.pandas_udf(kind)
+    def cut(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, d in zip(texts, drops, strict=True):
+            if t is None or d is None:
+                rows.append(([], t))
+                continue
+            gone, split = set(map(int, d)), t.split("\n")
+            at = [i for i, line in enumerate(split) if (k := line_key(line)) is not None and k[0] in gone]
+            out = set(at)
+            rows.append((at, "\n".join(x for i, x in enumerate(split) if i not in out)))
+        return pd.DataFrame(rows, columns=["removed", "cleaned"])
+
+    joined = docs.join(lost, there, "left").withColumn("__cut", cut(F.col(text), F.col("__lost")))
+    return joined.withColumn(text, F.col("__cut.cleaned")).withColumn("removed", F.col("__cut.removed")).select(*docs.columns, "removed")

@@ -436,3 +436,11 @@ def test_html_text_keeps_repeated_values_of_an_article(spark):
     df = spark.createDataFrame([(n, "http://a.org/x", h) for n, h in enumerate(pages)], "page_id bigint, url string, html string")
     by = {r["page_id"]: r["text"] for r in htmltext.extract_main_text(df).collect()}
     assert by[4] == "Methods\n\nText 4\n\nn4" and by[500] == "Copied\n\nThe same text\n\nc"
+
+
+def test_boilerplate_lines_are_taken_out(spark):
+    rows = [(k, f"Own line {'abcdefghij'[k % 10] * (k + 1)}\nAll rights  reserved {k}.\nend {'x' * k}", "s") for k in range(30)] + [(99, None, "s"), (100, "All rights reserved 5.", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    by = {r["doc_id"]: r for r in quality.without_boilerplate(df).collect()}
+    assert len(by) == len(rows) and by[99]["text"] is None and by[100]["text"] == rows[-1][1]
+    assert all(by[k]["removed"] == [1] and by[k]["text"].split("\n") == t.split("\n")[::2] for k, t, _ in rows[:30])
