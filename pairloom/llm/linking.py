@@ -4,8 +4,9 @@ star_edges: items that share a key are tied to one item of their bucket, first i
 task and then once a key, so a bucket costs as many rows as it has members and a hot key at
 most one row a task in the shuffle. connected: components of the ties ("families"); items
 that can be linked are always in one family. family_links: inside a family every pair is
-decided by an exact test on payloads, in square blocks of bounded size; a block returns a
-spanning forest of its links, so rows stay linear in the members.
+decided by an exact test on payloads. Large families first meet a few of their own members;
+what these tie into one component needs no test inside it, so only the rest meets everything,
+in square blocks of bounded size. Links come back as spanning forests.
 """
 
 from __future__ import annotations
@@ -18,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import discard, materialize
+from pairloom.llm.common import discard, materialize, tidy
 
 #: Rows that a task combines at a time, and members of one side of a block of pairs.
-COMBINE_ROWS, BLOCK = 1_000_000, 1024
+COMBINE_ROWS, BLOCK = 400_000, 1024
+#: Members of a large family that all its members meet first.
+PIVOTS = 48
 #: Edges that one task may hold.
 TASK_EDGES = 2_000_000
+#: (key, item, role) rows of a batch of input; role 0 indexes a key, role 1 only probes it.
+Signer = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
 def _buckets(key: np.ndarray, item: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -50,65 +55,91 @@ def _stars(key: np.ndarray, item: np.ndarray, role: np.ndarray) -> tuple[np.ndar
     return pivot[tie], item[tie], key[rest], item[rest], role[rest]
 
 
-_TIES = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("role", pa.int8())])
-
-
-def _ties_batch(key, a, b, role) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), b, pa.array(role, pa.int8())], schema=_TIES)
-
-
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(a):
         return a, b
-    pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
 
 
-def _combine(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map side: rows (key, item, role) of one block at a time to ties and one row a key."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    size = 0
+def _longs(*columns: np.ndarray | pa.Array, names: str = "key a b") -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=names.split())
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal size
-        a, b, key, item, role = _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        held.clear()
+
+def _combine(sign: Signer):
+    """Map side: rows (key, item, role) of one block at a time to ties (key, a, b) and one row (key, item, null) a key.
+
+    The lowest bit of the key is the role of the row, so that a row is three numbers.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
-        yield _ties_batch(key, item, pa.nulls(len(key), pa.int64()), role)
-        a, b = _distinct(a, b)
-        # a tie travels under its own key, to be spread evenly
-        yield _ties_batch(a ^ (b * np.int64(-7046029254386353131)), a, pa.array(b, pa.int64()), np.zeros(len(a), np.int8))
 
-    for batch in it:
-        held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
-        size += batch.num_rows
-        if size >= COMBINE_ROWS:
+        def flush() -> Iterator[pa.RecordBatch]:
+            a, b, key, item, role = _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            for at in range(0, len(key), 50_000):
+                part = slice(at, at + 50_000)
+                yield _longs(key[part] & ~1 | role[part], item[part], pa.nulls(len(key[part]), pa.int64()))
+            a, b = _distinct(a, b)
+            # a tie travels under its own key, to be spread evenly
+            yield _longs(a ^ (b * np.int64(-7046029254386353131)), a, b)
+
+        for key, item, role in sign(it):
+            held.append((key & ~1, item, role))
+            size += len(key)
+            if size >= COMBINE_ROWS:
+                yield from flush()
+                size = 0
+        if held:
             yield from flush()
-    if held:
-        yield from flush()
+
+    return tidy(run)
 
 
 def _reduce(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side: all rows of a key are here, at most one from each task and block if indexed."""
-    rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    """Reduce side: rows come sorted by key (the role's bit aside), so a block of whole keys is held at a time."""
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def flush(whole: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal size
+        key, item = (np.concatenate(x) for x in zip(*rows, strict=True))
+        rows.clear()
+        cut = len(key) if whole else int(np.searchsorted(key >> 1, key[-1] >> 1))
+        if cut < len(key):  # the last key may go on
+            rows.append((key[cut:], item[cut:]))
+        size = len(key) - cut
+        if cut:
+            key, item = key[:cut], item[:cut]
+            a, b, *_ = _stars(key >> 1, item, (key & 1).astype(np.int8))
+            yield _longs(*_distinct(a, b), names="a b")
+
     for batch in it:
         b = batch.column(2)
         tie = np.asarray(b.is_valid())
-        key, a, role = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+        key, a = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         if tie.any():
-            yield pa.RecordBatch.from_arrays([pa.array(a[tie], pa.int64()), b.drop_null()], names=["a", "b"])
+            yield _longs(a[tie], b.drop_null(), names="a b")
         if not tie.all():
-            rows.append((key[~tie], a[~tie], role[~tie]))
+            rows.append((key[~tie], a[~tie]))
+            size += len(rows[-1][0])
+            if size >= COMBINE_ROWS:
+                yield from flush(False)
     if rows:
-        a, b, *_ = _stars(*(np.concatenate(x) for x in zip(*rows, strict=True)))
-        a, b = _distinct(a, b)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        yield from flush(True)
 
 
-def star_edges(rows: DataFrame, partitions: int) -> DataFrame:
-    """Distinct ties (a, b) from rows (key bigint, item bigint, role tinyint)."""
-    combined = rows.mapInArrow(_combine, "key bigint, a bigint, b bigint, role tinyint")
-    return combined.repartition(partitions, "key").mapInArrow(_reduce, "a bigint, b bigint").distinct()
+def star_edges(rows: DataFrame, sign: Signer, partitions: int) -> DataFrame:
+    """Distinct ties (a, b) of the items that sign() gives a common key that one of them indexes."""
+    combined = rows.mapInArrow(_combine(sign), "key bigint, a bigint, b bigint")
+    place = F.shiftright("key", 1)
+    return combined.repartition(partitions, place).sortWithinPartitions("key").mapInArrow(tidy(_reduce), "a bigint, b bigint").distinct()
 
 
 def smallest_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,31 +159,47 @@ def smallest_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
             return items, items[label]
 
 
-def _contract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a task to (item, smallest item of its component in this task)."""
-    got = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in it if x.num_rows]
-    if got:
-        items, label = smallest_labels(*(np.concatenate(x) for x in zip(*got, strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(label, pa.int64())], names=["a", "b"])
+def _contract(task_edges: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Up to task_edges edges of a task at a time to (item, smallest item of its component among them)."""
+        got: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            items, label = smallest_labels(*(np.concatenate(x) for x in zip(*got, strict=True)))
+            got.clear()
+            return _longs(items, label, names="a b")
+
+        for x in it:
+            if x.num_rows:
+                got.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
+                size += x.num_rows
+            if size >= task_edges:
+                yield flush()
+                size = 0
+        if got:
+            yield flush()
+
+    return tidy(run)
 
 
 def connected(edges: DataFrame, label: str = "component", task_edges: int = TASK_EDGES) -> DataFrame:
     """(item, component) of every item in the edges (a, b); the component is its smallest item.
 
-    Edges are first contracted to stars, task by task. As soon as they fit one bounded task
-    (task_edges) it finishes them; a larger graph goes on with distributed rounds: smallest
-    labels of neighbours, then of the label's own item, until nothing changes. Every step is a
-    table in the shared folder.
+    Edges are first contracted to stars, block by block in each task. As soon as they fit one
+    bounded task (task_edges) it finishes them; a larger graph goes on with distributed rounds:
+    smallest labels of neighbours, then of the label's own item, until nothing changes. Every
+    step is a table in the shared folder.
     """
     held = materialize(edges.select("a", "b"), "edges")
     size = held.count()
     if size > task_edges:
         parts = -(-size // task_edges) * 2
-        stars = materialize(held.repartition(parts, "a").mapInArrow(_contract, "a bigint, b bigint"), "edges")
+        stars = materialize(held.repartition(parts, "a").mapInArrow(_contract(task_edges), "a bigint, b bigint"), "edges")
         discard(held)
         held, size = stars, stars.count()
     if size <= task_edges:
-        return held.coalesce(1).mapInArrow(_contract, "a bigint, b bigint").select(F.col("a").alias("item"), F.col("b").alias(label))
+        return held.coalesce(1).mapInArrow(_contract(task_edges + 1), "a bigint, b bigint").select(F.col("a").alias("item"), F.col("b").alias(label))
     return _rounds(held, label)
 
 
@@ -192,21 +239,49 @@ class Forest:
         return x != y
 
 
-def family_links(families: DataFrame, payload: DataFrame, verify: Callable[[pd.DataFrame, pd.DataFrame | None], Iterator[tuple[int, int]]], block: int = BLOCK) -> DataFrame:
-    """Links (a, b): for each block of pairs of a family a spanning forest of the linked pairs.
+Verify = Callable[[pd.DataFrame, "pd.DataFrame | None"], Iterator[tuple[int, int]]]
+
+
+def family_links(families: DataFrame, payload: DataFrame, verify: Verify, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """Links (a, b) that join every component of the linked pairs of each family.
 
     families: (item, family); payload: item and what verify needs. verify(x, y) yields the
     linked positions of rows of x and y (of x and itself if y is None). A family of up to
-    `block` items is one group; larger ones are dealt by hash into sides of about that size,
-    and each pair of sides is a group of its own.
+    `block` items is one group. In a larger one about `pivots` members, chosen by hash, first
+    meet all others; the largest component that their links make is settled: pairs inside it
+    need no test. The others are dealt into sides of about `block` items and each of their sides
+    meets every side of the family, so copies of a member are as many as the sides of the others.
     """
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    sided = (
-        families.join(sizes, "family").withColumn("sides", F.ceil(F.col("members") / block).cast("int"))
-        .withColumn("side", F.pmod(F.xxhash64("item"), F.col("sides")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-        .select("item", "family", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
-    )
+    spark = families.sparkSession
+    sizes = materialize(families.groupBy("family").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "sizes")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not sizes.filter(F.col("members") > block).limit(1).count():
+        whole = families.join(sizes, "family").select("item", "family", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"))
+        return _decide(whole, payload, verify, parts)
+    held = materialize(families.join(sizes, "family").join(payload, "item"), "members")
+    extra = [c for c in held.columns if c not in ("item", "family", "members")]
+    payload = held.select("item", *extra)
+    large = held.select("item", "family", "members").filter(F.col("members") > block).withColumn("dealt", F.ceil(F.col("members") / block).cast("int"))
+    # side 0 are the pivots, side 1 the members of one deal
+    uniform = F.pmod(F.xxhash64("item", F.lit("pivot")), F.lit(1 << 30)) / float(1 << 30)
+    first = large.filter(uniform < pivots / F.col("members")).withColumn("high", F.explode(F.sequence(F.lit(1), F.col("dealt")))).withColumn("side", F.lit(0))
+    deal = large.withColumn("high", (1 + F.pmod(F.xxhash64("item"), F.col("dealt"))).cast("int")).withColumn("side", F.col("high"))
+    met = first.select("item", "family", F.lit(0).alias("low"), "high", "side").union(deal.select("item", "family", F.lit(0).alias("low"), "high", "side"))
+    links = materialize(_decide(met, payload, verify, parts), "links")
+    joined = large.join(connected(links, "tree"), "item", "left")
+    trees = joined.filter("tree is not null").groupBy("family", "tree").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max(F.struct("n", "tree")).alias("most"))
+    known = materialize(joined.join(trees.select("family", F.col("most.tree").alias("settled")), "family", "left").select("item", "family", "dealt", F.coalesce(F.col("tree") == F.col("settled"), F.lit(False)).alias("done")), "known")
+    rest = known.filter("not done").groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("open"))
+    # sides 0 .. open - 1 are the others, the settled ones follow
+    sided = known.join(rest, "family").withColumn("side", F.when(F.col("done"), F.col("open") + F.pmod(F.xxhash64("item"), F.col("dealt"))).otherwise(F.pmod(F.xxhash64("item"), F.col("open"))).cast("int"))
+    other = F.when(F.col("done"), F.sequence(F.lit(0), F.col("open") - 1)).otherwise(F.sequence(F.lit(0), F.col("open") + F.col("dealt") - 1))
+    crossed = sided.withColumn("other", F.explode(other)).select("item", "family", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side")
+    small = held.filter(F.col("members") <= block).select("item", "family", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"))
+    return links.union(_decide(small.union(crossed), payload, verify, parts))
+
+
+def _decide(sided: DataFrame, payload: DataFrame, verify: Verify, parts: int) -> DataFrame:
+    """Links of the groups (family, low, high): rows of side low meet those of side high, or each other if the two are one."""
     # small families share groups, so that a group's fixed cost is not paid for every pair of items
     chunk = F.when(F.col("high") > 0, F.xxhash64("family", "low", "high")).otherwise(F.pmod(F.xxhash64("family"), F.lit(1 << 40)))
     rows = payload.join(sided, "item").withColumn("cell", chunk)
@@ -214,17 +289,22 @@ def family_links(families: DataFrame, payload: DataFrame, verify: Callable[[pd.D
     def decide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in cells(it):
             a, b = [], []
-            for _, g in table.groupby(["family", "low", "high"], sort=False):
-                g = g.sort_values("item").reset_index(drop=True)
-                one = int(g["low"].iloc[0]) == int(g["high"].iloc[0])
-                x = g if one else g[g["side"] == g["low"]].reset_index(drop=True)
-                y = None if one else g[g["side"] == g["high"]].reset_index(drop=True)
-                n = len(x)
-                forest = Forest(len(g))
+            order = ["family", "low", "high", "side", "item"]
+            table = table.drop_duplicates(order).sort_values(order, ignore_index=True)
+            family, low, high, side = (table[c].to_numpy() for c in order[:4])
+            new = np.flatnonzero((family[1:] != family[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            for start, end in zip([0, *new.tolist()], [*new.tolist(), len(table)], strict=True):
+                one = low[start] == high[start]
+                n = end - start if one else int(np.searchsorted(side[start:end], high[start]))
+                if end - start < 2 or not n or not one and start + n == end:
+                    continue
+                x, y = table.iloc[start : start + n], None if one else table.iloc[start + n : end]
+                left, right = x["item"].to_numpy(), (x if one else y)["item"].to_numpy()
+                forest = Forest(end - start)
                 for i, j in verify(x, y):
-                    if forest.join(i, j if one else n + j):
-                        a.append(int(x["item"].iloc[i]))
-                        b.append(int((x if one else y)["item"].iloc[j]))
+                    if forest.join(i, j if one else n + j) and left[i] != right[j]:
+                        a.append(int(left[i]))
+                        b.append(int(right[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def cells(it: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -251,5 +331,4 @@ def family_links(families: DataFrame, payload: DataFrame, verify: Callable[[pd.D
         if held:
             yield pa.Table.from_batches(held).to_pandas()
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(4 * parts, "cell").sortWithinPartitions("cell").mapInArrow(decide, "a bigint, b bigint")
+    return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(tidy(decide), "a bigint, b bigint")

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.llm import decontaminate, htmltext, langid, linededup, linking, ngramjoin, packing, quality, sharding, tokens, toxicity
+from pairloom.llm import decontaminate, htmltext, langid, linededup, linking, ngramjoin, packing, quality, sharding, stages, tokens, toxicity
+from pairloom.llm.common import row_hash
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, size string, item string"
 
@@ -91,7 +92,8 @@ def test_components_at_any_task_size(spark, task_edges):
 
 
 def test_families_larger_than_a_block_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ngramjoin.family_links, "__defaults__", (5,))
+    monkeypatch.setattr(ngramjoin.family_links, "__defaults__", (5, 3))
+    monkeypatch.setattr(ngramjoin, "SKETCH_BLOCK", 5)
     rng = random.Random(2)
     base = words(rng, 80).split()
     rows = []
@@ -122,18 +124,19 @@ def test_signatures_share_one_at_the_threshold():
             assert set(ngramjoin.signatures(a, 85).tolist()) & set(ngramjoin.signatures(b, 85).tolist())
 
 
-def test_line_dedup_matches_brute_force(spark):
-    rng = random.Random(4)
-    rows, pool = [], [words(rng, 12) for _ in range(8)]
-    for k in range(30):
-        lines = []
-        for _ in range(4):
-            line = list(rng.choice(pool))
-            for _ in range(rng.randrange(4)):
-                line[rng.randrange(len(line))] = rng.choice("abc")
-            lines.append("".join(line))
-        rows.append((k, "\n".join([*lines, "short"])))
-    seen = sorted({linededup.normal(x) for _, t in rows for x in t.split("\n") if linededup.eligible(linededup.normal(x))})
+def lev(a, b):
+    p = list(range(len(b) + 1))
+    for i, c in enumerate(a):
+        q = [i + 1]
+        for j, d in enumerate(b):
+            q.append(min(p[j + 1] + 1, q[j] + 1, p[j] + (c != d)))
+        p = q
+    return p[-1]
+
+
+def brute_lines(rows):
+    """{(key, text): removed positions} by comparing all pairs of lines."""
+    seen = sorted({n for _, t in rows for x in (t or "").split("\n") if (n := linededup.normal(x))})
     up = {x: x for x in seen}
 
     def root(x):
@@ -142,51 +145,106 @@ def test_line_dedup_matches_brute_force(spark):
         return x
 
     for a, b in combinations(seen, 2):
-        if linededup.within(a, b, linededup.EDITS):
+        x, y = a.split(), b.split()
+        short = min(len(x), len(y))
+        near = short >= 20 and lev(x, y) <= (1 if short < 40 else 2 if short < 150 else 3)
+        if near or max(len(x), len(y)) < 22 and min(len(a), len(b)) >= 30 and lev(a, b) <= 2:
             up[root(a)] = root(b)
+    return root
+
+
+def changed_lines(rng, pool, n):
+    lines = []
+    for _ in range(n):
+        line = rng.choice(pool).split(" ")
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(line))
+            kind = rng.randrange(4)
+            if kind == 0:
+                line[i] = rng.choice(["other", "new"])
+            elif kind == 1 and len(line) > 1:
+                del line[i]
+            elif kind == 2:
+                line.insert(i, "more")
+            else:
+                line[i] = line[i][:2] + rng.choice("abc") + line[i][2:]
+        lines.append(" ".join(line))
+    return lines
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rng = random.Random(4)
+    pool = [words(rng, n) for n in (1, 4, 6, 12, 18, 19, 20, 21, 25, 39, 41, 60, 148, 152, 200)]
+    rows = [(k // 2 * 2 if k % 7 == 0 else k, "\n".join([*changed_lines(rng, pool, 5), "", "short", " Short "])) for k in range(40)]
+    root = brute_lines(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in df.withColumn("h", row_hash("doc_id", "text")).collect()}
     first, removed = {}, {}
-    for k, t in rows:
+    for k, t in sorted(rows, key=lambda r: (r[0], hashes[r])):
         for i, x in enumerate(t.split("\n")):
-            if linededup.eligible(n := linededup.normal(x)):
+            if n := linededup.normal(x):
                 if root(n) in first:
-                    removed.setdefault(k, []).append(i)
+                    removed.setdefault((k, t), []).append(i)
                 first.setdefault(root(n), (k, i))
-    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert {r["doc_id"]: r["removed"] for r in got if r["removed"]} == removed
-    for r in got:
-        lines = dict(rows)[r["doc_id"]].split("\n")
-        assert r["text"] == "\n".join(x for i, x in enumerate(lines) if i not in r["removed"]) and r["n_lines"] == len(lines)
+    got = {(r["doc_id"], r["h"]): r for r in linededup.dedup_lines(df.withColumn("h", row_hash("doc_id", "text"))).collect()}
+    for k, t in rows:
+        r, gone = got[k, hashes[k, t]], removed.get((k, t), [])
+        assert r["removed"] == gone and r["n_removed"] == len(gone) and r["n_lines"] == 8
+        assert r["text"] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
 
 
-def test_edit_distance_and_keys():
-    def plain(a, b):
-        p = list(range(len(b) + 1))
-        for i, c in enumerate(a):
-            q = [i + 1]
-            for j, d in enumerate(b):
-                q.append(min(p[j + 1] + 1, q[j] + 1, p[j] + (c != d)))
-            p = q
-        return p[-1]
+def test_line_dedup_finds_a_changed_word_in_long_lines(spark):
+    rng = random.Random(31)
+    rows = []
+    for k in range(0, 300, 2):
+        line = words(rng, rng.randrange(20, 120), 9999).split()
+        copy = list(line)
+        copy[rng.randrange(len(copy))] = "replacement"
+        rows += [(k, " ".join(line)), (k + 1, " ".join(copy))]
+    got = {r["doc_id"]: r["removed"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[k] == [k % 2 - 1] * (k % 2) for k, _ in rows)
+
 
+def test_edit_distance_and_keys():
     rng = random.Random(6)
     for _ in range(3000):
         a, b = ("".join(rng.choice("ab ") for _ in range(rng.randrange(3, 12))) for _ in range(2))
         for e in (1, 2, 3):
-            near = plain(a, b) <= e
-            assert linededup.within(a, b, e) == near
-            if near:
-                x, y = sorted((a, b), key=len)
-                assert set(linededup.keys_of(x, e)[0]) & set(linededup.keys_of(y, e)[1])
+            assert linededup.within(a, b, e) == (lev(a, b) <= e) == linededup.within(list(a), list(b), e)
+
+
+def test_copies_within_the_bound_share_a_key():
+    rng = random.Random(16)
+    for _ in range(400):
+        base = words(rng, rng.choice([4, 7, 15, 19, 20, 21, 23, 38, 39, 40, 41, 42, 90, 148, 150, 153, 240]), 30)
+        a, b = base, changed_lines(rng, [base], 1)[0]
+        if a != b and linededup.linked(a, b):
+            keys = {0: [set(), set()], 1: [set(), set()]}
+            for key, line, role in linededup.sign_lines(["some other line that is long enough", a, b]):
+                for i in (1, 2):
+                    keys[role][i - 1].update(key[line == i].tolist())
+            assert any((keys[0][i] & (keys[0][1 - i] | keys[1][1 - i])) for i in (0, 1)), (a, b)
 
 
 def test_line_dedup_edge_cases(docs, empty):
-    out = linededup.dedup_lines(docs)
-    assert out.columns == [*docs.columns, "n_lines", "n_removed", "removed"] and out.count() == docs.count()
-    got = {r["doc_id"]: r for r in out.filter("doc_id in (1, 2, 5, 6)").collect()}
-    assert got[1]["n_removed"] == 0 and got[2]["removed"] == [0] and got[2]["text"] == "" and got[6]["text"] is None and got[6]["n_lines"] == 0 and got[5]["n_lines"] == 1
+    clash = docs.withColumn("removed", F.lit("r")).withColumn("N_LINES", F.lit("n"))
+    out = linededup.dedup_lines(clash)
+    assert out.columns == [*clash.columns, "_n_lines", "n_removed", "_removed"] and out.count() == docs.count()
+    got = {r["doc_id"]: r for r in out.filter("doc_id in (1, 2, 3, 5, 6, 9)").collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["_removed"] == [0] and got[2]["text"] == "" and got[6]["text"] is None and got[6]["_n_lines"] == 0 and got[5]["_n_lines"] == 1
+    assert got[3]["n_removed"] == 1 and got[9]["_removed"] == [0] and got[9]["removed"] == "r"
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_rows_that_repeat_a_key_keep_their_own_text(spark):
+    rng = random.Random(32)
+    body, other = words(rng, 60), words(rng, 60)
+    rows = [(1, body), (2, body), (2, other), (2, other), (3, other)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in linededup.dedup_lines(df).collect()) == [(1, 0), (2, 0), (2, 0), (2, 1), (3, 1)]
+    assert sorted(map(tuple, stages.near_copies(spark, df, "").collect())) == [(1, body), (2, other)]
+
+
 def test_shards_are_contiguous_and_balanced(spark, docs, empty):
     rows = [(i, "x" * (i * 37 % 900)) for i in range(3000)]
     got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id bigint, text string"), 8).orderBy("doc_id").collect()
@@ -311,16 +369,6 @@ def test_long_texts_are_counted_whole():
     assert int(langid.ngram_counts(t).sum()) == 3 * len(t) + 3  # with the spaces put at both ends
 
 
-def lev(a, b):
-    p = list(range(len(b) + 1))
-    for i, c in enumerate(a):
-        q = [i + 1]
-        for j, d in enumerate(b):
-            q.append(min(p[j + 1] + 1, q[j] + 1, p[j] + (c != d)))
-        p = q
-    return p[-1]
-
-
 def test_automaton_matches_brute_force():
     rng = random.Random(13)
     terms, stems = ["abcab", "bca", "cabcabcab", "aaa"], ["accb", "bbcaab"]
@@ -370,27 +418,82 @@ def test_only_near_copies_count_as_one_text(spark):
 ITEM = "Maria bought 12 apples and 30 pears for 5 dollars at the market. How many fruits did Maria buy in total on that day?"
 
 
-def test_decontamination_finds_renamed_questions(spark, docs, empty, monkeypatch):
-    bench = spark.createDataFrame([(1, ITEM), (2, None), (3, "hi"), (1, ITEM)], "item_id bigint, text string")
+def test_decontamination_finds_renamed_questions(spark, docs, empty):
+    bench = spark.createDataFrame([(1, ITEM), (2, None), (3, "hi"), (1, ITEM), (4, ""), (5, "?!")], "item_id bigint, text string")
     rows = [
         (1, "Some words. Peter bought 7 apples and 41 pears for 9 euros at the market. How many fruits did Peter buy in total on that day? More."),
-        (2, "Quite another text about apples and pears that nobody bought at the market."),
+        (2, "Quite another text, hi, about apples and pears that nobody bought at the market."),
         (3, ITEM.replace("12", "1").replace("in total on that day?", "there")),
-        (4, None), (5, ""), (1, ITEM),
+        (4, None), (5, ""), (1, ITEM), (1, "a clean row of the same key"), (6, "Hi!"), (7, "!"),
     ]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    want = sorted((r["key"], r["item"]) for r in decontaminate.find_leaks(df, bench).select("key", "item").distinct().collect())
-    assert want == [(1, 1), (3, 1)]
-    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(df, bench).collect()) == [2, 4, 5]
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
-    joined = sorted((r["key"], r["item"]) for r in decontaminate.find_leaks(df.filter("doc_id <> 1 or text not like 'Maria%'"), bench).select("key", "item").distinct().collect())
-    assert joined == want
+    want = sorted((r["key"], r["item"]) for r in decontaminate.find_leaks(df, bench).collect())
+    assert want == [(1, 1), (1, 1), (3, 1), (6, 3)]
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(df, bench).collect()) == [1, 2, 4, 5, 7]
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
+def plain_leaks(text, items, width=8):
+    """{item: (coverage, consistency)}: windows as tuples of words, compared one by one."""
+    canonical, out = decontaminate.Canonical(), {}
+
+    def cut(t, w):
+        words, _, kinds, _ = canonical.template(t)
+        tokens = [x.lower() if k == 0 else f"<{k}>" for x, k in zip(words, kinds.tolist(), strict=True)]
+        for i in range(len(words) - w + 1):
+            bare = sum(k == 0 for k in kinds[i : i + w].tolist()) < min(4, w)
+            yield i, ("value", *[x.lower() for x in words[i : i + w]]) if bare else ("template", *tokens[i : i + w])
+
+    words = canonical.template(text)[0]
+    for number, t in enumerate(items):
+        own = canonical.template(t)[0]
+        w = min(width, len(own))
+        if w < 3:
+            if w and [x.lower() for x in own] == [x.lower() for x in words]:
+                out[number] = (1.0, 1.0)
+            continue
+        there: dict = {}
+        for i, k in cut(text, w):
+            there.setdefault(k, []).append(i)
+        hits = [(s, i, w) for s, k in cut(t, w) for i in there.get(k, ())]
+        if hits and (judged := decontaminate.judge(words, hits, decontaminate.ItemIndex([*items]), number)):
+            out[number] = judged
+    return out
+
+
+@pytest.mark.parametrize("block_words", [500_000, 40])
+def test_decontamination_matches_a_plain_search(spark, monkeypatch, block_words):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
+    rng = random.Random(33)
+    vocabulary = ["buys", "sells", "of", "the", "what", "is", "sum", "Anna", "Bert", "Cleo", "5", "17", "km", "3.5", "%"]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [text(n) for n in (1, 2, 3, 5, 8, 9, 14, 20, 30, 30)] + ["1 2 3 4 5 6 7 8 9 10 11"]
+
+    def changed(t):
+        names = dict(zip(["Anna", "Bert", "Cleo", "5", "17"], rng.sample(["Dora", "Emil", "Fred"], 3) + ["8", "99"], strict=True))
+        return " ".join(names.get(x, x) for x in t.split())
+
+    rows = []
+    for k in range(60):
+        parts = [text(rng.randrange(0, 20))]
+        for _ in range(rng.randrange(3)):
+            t = rng.choice(items)
+            parts += [rng.choice([t, changed(t), t[: len(t) // 2]]), text(rng.randrange(0, 6))]
+        rows.append((k // 2 * 2 if k % 5 == 0 else k, " ".join(parts).strip()))
+    rows += [(100, items[0]), (101, items[1].upper())]
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()
+    want = {(k, t, i): v for k, t in rows for i, v in plain_leaks(t, items).items()}
+    assert len(want) > 15 and sorted((r["key"], r["item"], r["coverage"], r["consistency"]) for r in got) == sorted((k, i, *v) for (k, _, i), v in want.items())
+
+
+def test_a_benchmark_item_of_any_length_is_indexed_once():
+    item = words(random.Random(34), 200_000, 9999)
+    index = decontaminate.ItemIndex([item])
+    assert [x[0] for x in decontaminate.leaks_of("before " + item + " after", index, decontaminate.Canonical())] == [0]
+
+
 def test_inconsistent_slots_are_no_leak():
-    items = [(1, ITEM)]
-    index = decontaminate.ItemIndex([r[:4] for r in decontaminate.item_windows(items)], dict(items))
+    index = decontaminate.ItemIndex([ITEM])
     names = iter("Ada Bob Cid Dan Eve Fay".split())
     mixed = ITEM.replace("12", "7", 1)
     while "Maria" in mixed:
@@ -400,16 +503,16 @@ def test_inconsistent_slots_are_no_leak():
 
 def test_each_placement_is_judged_alone():
     more = " Then Maria gave 12 apples to her brother, who ate 5 of them and kept the rest for his friends at school."
-    items = [(1, ITEM), (2, "Sums: 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17"), (3, ITEM + more)]
-    index = decontaminate.ItemIndex([r[:4] for r in decontaminate.item_windows(items)], dict(items))
+    items = [ITEM, "Sums: 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17", ITEM + more]
+    index = decontaminate.ItemIndex(items)
     found = lambda text: [x[0] for x in decontaminate.leaks_of(text, index, decontaminate.Canonical())]
     values = [("Peter", "7", "41", "9"), ("Olga", "8", "3", "77"), ("Ivan", "1", "2", "64")]
     changed = lambda text: [text.replace("Maria", n).replace("12", a).replace("30", b).replace(" 5 ", f" {c} ") for n, a, b, c in values]
-    assert found(" ".join(changed(ITEM))) == [1] and found(ITEM + " " + changed(ITEM)[0]) == [1]
+    assert found(" ".join(changed(ITEM))) == [0] and found(ITEM + " " + changed(ITEM)[0]) == [0]
     # copies with a word put in, so that no offset holds enough of the item
-    assert found(" ".join(changed((ITEM + more).replace("in total", "in grand total")))) == [1, 3]
+    assert found(" ".join(changed((ITEM + more).replace("in total", "in grand total")))) == [0, 2]
     # few literals: found by value only
-    assert found("so " + items[1][1] + " end") == [2] and found("Sums: 8 1 6 2 9 5 1 44 2 7 5 9 30 2 1") == []
+    assert found("so " + items[1] + " end") == [1] and found("Sums: 8 1 6 2 9 5 1 44 2 7 5 9 30 2 1") == []
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">x</a></ul></nav>
