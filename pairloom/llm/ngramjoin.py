@@ -2,10 +2,11 @@
 
 Sets whose sizes can pair lie in one size band or two adjoining ones. In a band, two sets with
 Jaccard similarity of at least the threshold differ in at most k shingles. The shingle domain
-is hashed into n1 = k + 1 + 2e parts, so two such sets agree in at least 1 + 2e parts; every
-set leaves out the e parts where it has fewest shingles and signs each other part with
-(band, part, hash of its shingles there). Each of the two sets leaves out at most e of the
-parts they agree in, so one signature is shared: no link is lost. Sets that share a
+is hashed into n1 parts, and each part into SECOND smaller ones. If n1 parts hold at most k
+differences, one of them holds at most FEW = SECOND - CHOSEN, so the two sets agree in some CHOSEN
+smaller parts of it: each set signs every subset of that size of every part with
+(band, part, subset, hash of its shingles there). Parts that hold few shingles tell little,
+so every set leaves out its e thinnest parts and n1 has 2e parts more: no link is lost. Sets that share a
 signature form families. In these, parities of hashed cells bound the difference of two sets
 from below, which splits the families without their shingles and without losing a link; in
 what is left an exact intersection decides every pair.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -24,15 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import discard, materialize, release, split_by_keys
+from pairloom.llm.common import discard, matching, materialize, release, row_hash, split_by_keys, tidy
 from pairloom.llm.linking import Forest, connected, family_links, star_edges
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 BAND = 1.4  # ratio of a size band's ends
-SPARE = 0.08  # share of the parts that a set may leave out, to each side
-KEPT_WORDS = 200_000
-SKETCH_BLOCK = 4096  # items of one side of a block when only sketches are compared
+SECOND, CHOSEN = 3, 2  # smaller parts of a part, and those of them that a signature covers
+FEW = SECOND - CHOSEN
+SPARE = 0.06  # share of the parts that a set may leave out
+KEPT_WORDS, KEPT_TEXTS = 100_000, 200_000
+SKETCH_BLOCK = 2048  # items of one side of a block when only sketches are compared
 CELLS = 512  # bits of the parity sketch
 _MIX, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -89,18 +93,29 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     if not len(shingles):
         return np.empty(0, np.int64)
     mixed = _mix(shingles + _ADD)
+    high, low = mixed >> np.uint64(32), mixed & np.uint64(0xFFFFFFFF)
+    smaller = (low * np.uint64(SECOND) >> np.uint64(32)).astype(np.int64)
     out = []
     for band in bands_of(len(shingles), percent):
         k = difference_bound(math.ceil(BAND ** (band + 1)), percent)
-        spare = int(SPARE * (k + 1))
-        n1 = k + 1 + 2 * spare
-        part = ((mixed >> np.uint64(32)) * np.uint64(n1) >> np.uint64(32)).astype(np.int64)
-        count = np.bincount(part, minlength=n1)
-        total = np.zeros(n1, np.uint64)
-        np.add.at(total, part, mixed)  # order-free hash of the part's shingles
-        keep = np.sort(np.argsort(-count, kind="stable")[: n1 - spare])
-        sig = _mix(total[keep] + _mix(keep.astype(np.uint64) * _ADD + np.uint64(band)) + count[keep].astype(np.uint64))
-        out.append(sig.view(np.int64))
+        if k < FEW:  # no room for a difference: the whole set
+            out.append(_mix(np.array([mixed.sum(dtype=np.uint64)]) + _mix(np.array([band], np.uint64) * _ADD)).view(np.int64))
+            continue
+        needed = -(-(k + 1) // (FEW + 1))
+        spare = int(SPARE * needed)
+        n1 = needed + 2 * spare
+        cell = (high * np.uint64(n1) >> np.uint64(32)).astype(np.int64) * SECOND + smaller
+        count = np.bincount(cell, minlength=n1 * SECOND).reshape(n1, SECOND)
+        total = np.zeros(n1 * SECOND, np.uint64)
+        np.add.at(total, cell, mixed)  # order-free hash of a cell's shingles
+        total = total.reshape(n1, SECOND)
+        # a part's thinnest signature holds all but its largest smaller parts
+        thin = count.sum(1) - np.sort(count, 1)[:, CHOSEN:].sum(1)
+        keep = np.sort(np.argsort(-thin, kind="stable")[: n1 - spare])
+        for number, subset in enumerate(combinations(range(SECOND), CHOSEN)):
+            held = [total[keep, i] for i in subset]
+            name = _mix((keep * 64 + number).astype(np.uint64) * _ADD + np.uint64(band))
+            out.append(_mix(sum(held[1:], held[0]) + name + count[keep][:, list(subset)].sum(1).astype(np.uint64)).view(np.int64))
     return np.concatenate(out)
 
 
@@ -114,24 +129,46 @@ def parities(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS) & 1).tobytes()
 
 
-FACTS = pa.schema([("key", pa.int64()), ("n_shingles", pa.int64()), ("item", pa.int64()), ("signatures", pa.list_(pa.int64())), ("sketch", pa.binary())])
+FACTS = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("item", pa.int64()), ("sketch", pa.binary())])
 
 
-def shingle_facts(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """From (key, text): size, 64-bit hash of the set (item, null if empty), its signatures and its sketch."""
+def shingle_facts(docs: DataFrame, width: int) -> DataFrame:
+    """From (key, row, text): size, 64-bit hash of the set (item, null if empty) and its sketch."""
 
+    @tidy
     def facts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in it:
-            out: list[list] = [[] for _ in FACTS]
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out: list[list] = [[], [], []]
+            for x in batch.column(2):
                 s = shingler.set_of(x.as_py() or "")
-                row = (k, len(s), item_of(s), signatures(s, percent), parities(s)) if len(s) else (k, 0, None, None, None)
-                for o, v in zip(out, row, strict=True):
+                for o, v in zip(out, (len(s), item_of(s), parities(s)) if len(s) else (0, None, None), strict=True):
                     o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, FACTS, strict=True)], schema=FACTS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(o, f.type) for o, f in zip(out, list(FACTS)[2:], strict=True)]], schema=FACTS)
 
-    return docs.mapInArrow(facts, "key bigint, n_shingles bigint, item bigint, signatures array<bigint>, sketch binary")
+    return docs.mapInArrow(facts, "key bigint, row bigint, n_shingles bigint, item bigint, sketch binary")
+
+
+def signer(width: int, percent: int):
+    """sign() for star_edges on a text column; most copies of a text inside a task sign once."""
+
+    def sign(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        shingler, seen = Shingler(width), set()
+        for batch in it:
+            for x in batch.column(0):
+                text = x.as_py()
+                h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+                if h in seen:
+                    continue
+                if len(seen) >= KEPT_TEXTS:
+                    seen.clear()
+                seen.add(h)
+                s = shingler.set_of(text)
+                if len(s):
+                    keys = signatures(s, percent)
+                    yield keys, np.full(len(keys), item_of(s), np.int64), np.zeros(len(keys), np.int8)
+
+    return sign
 
 
 def possible_links(percent: int):
@@ -198,51 +235,56 @@ def _matrix(sets: list[np.ndarray], slab: np.ndarray) -> np.ndarray:
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """key, n_shingles and component_id (smallest key reachable by links) of every row.
+    """key, n_shingles, component_id (smallest key reachable by links), row and first of every row.
 
     Rows link when 100 * common >= percent * union of their sets of word shingles (words:
     runs of non-space, A-Z lower-cased). Null and wordless texts have empty sets and are
-    linked with nothing. Equal sets link; repeated keys get one component. An empty table
-    gives no rows; other columns are not read.
+    linked with nothing. Equal sets link; rows that repeat a key are documents of their own, told apart by
+    row (row_hash) unless their texts are equal, too. first marks the smallest (key, row) of a
+    component, null keys last. A component of null keys alone has a null component_id. An empty
+    table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    chosen = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    facts = materialize(shingle_facts(chosen, width, percent), "shingles")
+    chosen = docs.select(F.col(key).cast("long").alias("key"), row_hash(key, text).alias("row"), F.col(text).alias("text"))
+    facts = materialize(shingle_facts(chosen, width), "shingles")
     # equal sets are one item from here on
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     items = facts.filter("item is not null")
-    ties = materialize(star_edges(items.select(F.explode("signatures").alias("key"), "item", F.lit(0).cast("tinyint").alias("role")), parts), "ties")
+    ties = materialize(star_edges(chosen.select("text").filter("text is not null"), signer(width, percent), parts), "ties")
     release(spark)
     wide = materialize(connected(ties, "family"), "families")
-    sketches = materialize(items.groupBy("item").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "sketches")
-    # the signatures have done their work
-    fat, facts = facts, materialize(facts.select("key", "n_shingles", "item"), "facts")
-    items = facts.filter("item is not null")
-    discard(fat)
     discard(ties)
-    release(spark)
+    tied = split_by_keys(items, ["item"], wide, ["item"])[0]
+    sketches = materialize(tied.groupBy("item").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "sketches")
     possible = materialize(family_links(wide, sketches, possible_links(percent), SKETCH_BLOCK), "possible")
     families = materialize(connected(possible, "family"), "families")
     # the sets of items in families only, made again from one text each
-    wanted = materialize(items.groupBy("item").agg(F.min("key").alias("key")).join(families.select("item"), "item").select("key", "item"), "wanted")
+    named = split_by_keys(items.select("key", "row", "item"), ["item"], families, ["item"])[0]
+    wanted = named.join(families.select("item"), "item", "left_semi").groupBy("item").agg(F.min(F.struct("key", "row")).alias("at"))
+    wanted = materialize(wanted.select("item", F.col("at.key").alias("k"), F.col("at.row").alias("r")), "wanted")
 
+    @tidy
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in it:
             out: list[list] = [[], []]
             for item, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shingles = shingler.set_of(x.as_py() or "")
-                if item_of(shingles) == item:  # a repeated key may hold another text
-                    out[0].append(item), out[1].append(np.sort(shingles.view(np.int64)))
+                out[0].append(item), out[1].append(np.sort(shingler.set_of(x.as_py() or "").view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))], names=["item", "shingles"])
 
-    payload = split_by_keys(chosen, "key", wanted, "key")[0].join(wanted, "key").select("item", "text").mapInArrow(sets, "item bigint, shingles array<bigint>")
+    texts = matching(split_by_keys(chosen, ["key", "row"], wanted, ["k", "r"])[0], wanted, {"key": "k", "row": "r"}, "inner")
+    payload = texts.select("item", "text").dropDuplicates(["item"]).mapInArrow(sets, "item bigint, shingles array<bigint>")
     links = materialize(family_links(families, payload, linked_sets(percent)), "links")
-    classes = connected(links, "class")
-    first = items.groupBy("item").agg(F.min("key").alias("first"))
-    grouped = materialize(first.join(classes, "item", "left").withColumn("class", F.coalesce("class", "item")), "classes")
-    smallest = grouped.groupBy("class").agg(F.min("first").alias("component_id"))
-    by_item = grouped.join(smallest, "class").select("item", "component_id")
+    classes = materialize(connected(links, "class"), "classes")
+    # a component: a class of linked items, or the copies of one item
+    at = F.struct(F.col("key").isNull().alias("none"), "key", "row")
+    first = items.groupBy("item").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n"))
+    grouped = first.join(classes, "item", "left").filter((F.col("n") > 1) | F.col("class").isNotNull()).withColumn("class", F.coalesce("class", "item"))
+    grouped = materialize(grouped.select("item", "at", "class"), "grouped")
+    smallest = grouped.groupBy("class").agg(F.min("at").alias("at"))
+    by_item = materialize(grouped.select("item", "class").join(smallest, "class").select("item", "at"), "first")
     discard(possible)
     discard(sketches)
-    return facts.select("key", "n_shingles", "item").join(by_item, "item", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
+    alone, joined = F.col("at").isNull(), facts.join(by_item, "item", "left")
+    own = F.col("key").eqNullSafe(F.col("at.key")) & (F.col("row") == F.col("at.row"))
+    return joined.select(F.col("key").alias(key), "n_shingles", F.when(alone, F.col("key")).otherwise(F.col("at.key")).alias("component_id"), "row", (alone | own).alias("first"))

@@ -31,11 +31,11 @@ def op3_template_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "coverage", "consistency")
 
 
 def op5_partenum_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.jaccard_components(read(spark, sf_dir, "documents"))
+    return ngramjoin.jaccard_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
