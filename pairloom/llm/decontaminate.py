@@ -7,7 +7,12 @@ words to tell one text from another are hashed with the values of their slots in
 hit exact copies only. The hits of an item are grouped by placement, the offset between item
 and document; each placement is judged by itself: a re-parameterised copy maps every value of a
 slot to one value, back and forth, so inconsistent hits, which only share their grammar, are
-dropped. What is left counts by the share of the item's windows that were found.
+dropped. What is left counts by the share of the item's windows that were found. Items of under
+LEAST_WORDS words, which many texts hold by chance, are found where they are a whole document.
+
+The benchmark is taken in blocks of bounded size, by whole items: each block's index goes to
+every task and all documents are searched for it where they lie. A larger benchmark takes more
+passes of the same kind; documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,7 +21,6 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialize, without_keys
+from pairloom.llm.common import materialize, row_hash, tidy, without_rows
 
 WINDOW = 8
 LITERALS = 4  # a window with fewer words that are no placeholder is hashed by its values
 COVERAGE = 0.6  # share of an item's windows that make a leak
 CONSISTENT = 0.8  # share of the slots of the hit windows that one mapping explains
-#: Benchmark windows up to this many go to every task; above it, windows are joined by a shuffle.
-BROADCAST_WINDOWS = 500_000
+LEAST_WORDS = 3
+#: Words of benchmark items in a block, about as many windows: what goes to every task at a time.
+BLOCK_WORDS = 500_000
 TOKEN = re.compile(r"[^\W_]+(?:[.,'][^\W_]+)*|[%$€£°]")
 NUMBER = re.compile(r"\d[\d.,]*(?:st|nd|rd|th)?")
 DIGIT = re.compile(r"\d")
@@ -39,7 +44,8 @@ MEASURE = re.compile(r"(\d[\d.,]*)([^\W\d_]+)")
 # Units of measure and number words.
 UNITS = frozenset("% $ € £ ° mm cm m km in ft yd mi mg g kg t lb oz ml cl l s ms min h hr hrs sec secs hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms liter liters litre litres dollar dollars euro euros cent cents percent degree degrees kmh mph hz khz mhz ghz kb mb gb tb v kv w kw mw j kj cal kcal".split())
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
-KEPT_WORDS = 400_000
+KEPT_WORDS, KEPT_ITEMS = 150_000, 5_000
+SLOT_BITS = 22
 
 
 def _parts(word: str) -> tuple[str, ...]:
@@ -110,49 +116,60 @@ def windows(hashes: np.ndarray, kinds: np.ndarray, values: np.ndarray, width: in
     return h.view(np.int64)
 
 
-def item_windows(items: list[tuple[int, str]], width: int = WINDOW) -> list[tuple[int, int, int, int, str]]:
-    """(hash, width, item, start, text) of each benchmark window; short items are one window of their own width."""
-    canonical, out = Canonical(), []
-    for item, text in items:
-        _, hashes, kinds, values = canonical.template(text)
-        w = min(width, len(hashes))
-        if w >= 3:
-            out.extend((k, w, item, s, text) for s, k in enumerate(windows(hashes, kinds, values, w).tolist()))
-    return out
-
-
 class ItemIndex:
-    """Windows of the benchmark by hash, in sorted arrays."""
-
-    def __init__(self, rows: list[tuple[int, int, int, int]], texts: dict[int, str]):
-        self.widths = sorted({r[1] for r in rows})
-        self.keys = {w: np.unique(np.array([r[0] for r in rows if r[1] == w], np.int64)) for w in self.widths}
-        self.at: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for key, width, item, start in rows:
-            self.at[width, key].append((item, start))
+    """Windows of a block of the benchmark by hash, in sorted arrays; items are numbered in the order given."""
+
+    def __init__(self, texts: list[str], width: int = WINDOW):
         self.texts = texts
+        self.whole: dict[bytes, list[int]] = defaultdict(list)  # of short items
+        canonical, found = Canonical(), defaultdict(list)
+        for item, text in enumerate(texts):
+            _, hashes, kinds, values = canonical.template(text)
+            w = min(width, len(hashes))
+            if w >= LEAST_WORDS:
+                keys = windows(hashes, kinds, values, w)
+                found[w].append((keys, np.full(len(keys), item, np.int32), np.arange(len(keys), dtype=np.int32)))
+            elif w:
+                self.whole[values.tobytes()].append(item)
+        self.parts: dict[int, tuple[np.ndarray, ...]] = {}
+        for w, rows in sorted(found.items()):
+            keys, items, starts = (np.concatenate(x) for x in zip(*rows, strict=True))
+            order = np.argsort(keys, kind="stable")
+            maybe = np.zeros(1 << SLOT_BITS - 3, np.uint8)  # a bit for each value of a key's top bits
+            slot = keys.view(np.uint64) >> np.uint64(64 - SLOT_BITS)
+            np.bitwise_or.at(maybe, slot >> np.uint64(3), np.left_shift(1, slot & np.uint64(7)).astype(np.uint8))
+            self.parts[w] = keys[order], items[order], starts[order], maybe
+        self.cache: dict[int, tuple[list[str], list[int], list[bool]]] = {}
 
-    @lru_cache(maxsize=50_000)  # noqa: B019 - one index lives as long as its worker
     def words(self, item: int, width: int) -> tuple[list[str], list[int], list[bool]]:
         """Words of an item, their slot types, and whether each window is a template."""
-        words, _, kinds, _ = Canonical().template(self.texts[item])
-        return words, kinds.tolist(), has_literals(kinds, width).tolist()
+        got = self.cache.get(item)
+        if got is None:
+            if len(self.cache) >= KEPT_ITEMS:
+                self.cache.clear()
+            words, _, kinds, _ = Canonical().template(self.texts[item])
+            got = self.cache[item] = words, kinds.tolist(), has_literals(kinds, width).tolist()
+        return got
+
+    def hits(self, hashes: np.ndarray, kinds: np.ndarray, values: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """item -> (its window's start, the place in the text, width) of each window that a text shares."""
+        hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for w, (known, items, starts, maybe) in self.parts.items():
+            keys = windows(hashes, kinds, values, w)
+            slot = keys.view(np.uint64) >> np.uint64(64 - SLOT_BITS)
+            at = np.flatnonzero(maybe[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+            low, high = np.searchsorted(known, keys[at], "left"), np.searchsorted(known, keys[at], "right")
+            for i, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
+                for j in range(a, b):
+                    hits[int(items[j])].append((int(starts[j]), i, w))
+        return hits
 
 
 def leaks_of(text: str, index: ItemIndex, canonical: Canonical) -> list[tuple[int, float, float]]:
-    """(item, coverage, consistency) of the items that a text holds."""
+    """(item number, coverage, consistency) of the items that a text holds."""
     words, hashes, kinds, values = canonical.template(text)
-    hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for w in index.widths:
-        keys = windows(hashes, kinds, values, w)
-        known = index.keys[w]
-        if not len(keys) or not len(known):
-            continue
-        pos = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        for i in np.flatnonzero(known[pos] == keys).tolist():
-            for item, start in index.at[w, int(keys[i])]:
-                hits[item].append((start, i, w))
-    return [(item, *judged) for item, found in sorted(hits.items()) if (judged := judge(words, found, index, item)) is not None]
+    out = [(item, 1.0, 1.0) for item in index.whole.get(values.tobytes(), ())] if len(words) < LEAST_WORDS else []
+    return out + [(item, *judged) for item, found in sorted(index.hits(hashes, kinds, values).items()) if (judged := judge(words, found, index, item)) is not None]
 
 
 def placements(found: list[tuple[int, int, int]], length: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -216,80 +233,48 @@ def judge(words: list[str], found: list[tuple[int, int, int]], index: ItemIndex,
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
-    """(key, item, coverage, consistency) of each document and benchmark item that it holds.
+    """(key, item, coverage, consistency, row) of each document and benchmark item that it holds.
 
-    Null and empty texts hold nothing; items of under three words are never found; rows that
-    repeat a key are searched each and give distinct rows. Tables may be empty. Other columns
-    are not read.
+    Null and empty texts hold nothing, null and empty items are never found; an item id with several texts
+    is found where one of them is, with the best coverage. Rows that repeat a key are searched each
+    and told apart by row (row_hash); rows equal in key and text give one row. Null keys and
+    null item ids are kept as such. Tables may be empty. Other columns are not read.
     """
     spark = docs.sparkSession
-    chosen = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    out = "key bigint, item bigint, coverage double, consistency double"
-    names = ["key", "item", "coverage", "consistency"]
-
-    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            rows = item_windows([(i, t or "") for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], width)
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["hash", "width", "item", "start", "body"])
-
-    items = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).dropDuplicates()
-    wins = materialize(items.mapInArrow(cut, "hash bigint, width int, item bigint, start int, body string"), "windows")
-    if wins.count() <= BROADCAST_WINDOWS:
-        rows = [(r["hash"], r["width"], r["item"], r["start"]) for r in wins.select("hash", "width", "item", "start").collect()]
-        texts = {r["item"]: r["body"] for r in wins.groupBy("item").agg(F.first("body").alias("body")).collect()}
-        shared = spark.sparkContext.broadcast((rows, texts))
-
+    chosen = docs.select(F.col(key).cast("long").alias("key"), row_hash(key, text).alias("row"), F.col(text).alias("text"))
+    schema = "key bigint, row bigint, item bigint, coverage double, consistency double"
+    items = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).filter("t is not null").distinct()
+    blocks = max(1, -(-(items.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0) // BLOCK_WORDS))
+    items = materialize(items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))), "items")
+
+    def searcher(shared):
+        @tidy
         def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, canonical = ItemIndex(*shared.value), Canonical()
+            (ids, index), canonical = shared.value, Canonical()
             for batch in it:
                 cols: list[list] = [[], [], [], []]
-                for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    for found in leaks_of(x.as_py() or "", index, canonical):
-                        for c, v in zip(cols, (k, *found), strict=True):
+                for r, x in enumerate(batch.column(2)):
+                    best: dict[int | None, tuple[float, float]] = {}
+                    for i, *judged in leaks_of(x.as_py() or "", index, canonical):
+                        best[ids[i]] = max(best.get(ids[i], (0.0, 0.0)), tuple(judged))
+                    for i, judged in best.items():
+                        for c, v in zip(cols, (r, i, *judged), strict=True):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=names)
-
-        return chosen.mapInArrow(search, out).distinct()
-    return _joined(chosen, wins, width, out, names)
-
-
-def _joined(chosen: DataFrame, wins: DataFrame, width: int, out: str, names: list[str]) -> DataFrame:
-    """The same for a benchmark of any size: document windows meet item windows in a shuffle join."""
-    widths = [r["width"] for r in wins.select("width").distinct().collect()]  # at most `width` numbers
-
-    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canonical = Canonical()
-        for batch in it:
-            cols: list[list] = [[], [], [], [], []]
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words, hashes, kinds, values = canonical.template(x.as_py() or "")
-                for w in widths:
-                    for s, h in enumerate(windows(hashes, kinds, values, w).tolist()):
-                        for c, v in zip(cols, (h, w, k, s, " ".join(words[s : s + w])), strict=True):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["hash", "width", "key", "at", "said"])
-
-    cells = chosen.mapInArrow(cut, "hash bigint, width int, key bigint, at int, said string")
-    bodies = wins.groupBy("item").agg(F.first("body").alias("body"))
-    hit = cells.join(wins.select("hash", "width", "item", "start"), ["hash", "width"]).groupBy("key", "item").agg(F.collect_set(F.struct("start", "at", "width", "said")).alias("found")).join(bodies, "item")
+                at = pa.array(cols[0], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]], names=["key", "row", "item", "coverage", "consistency"])
 
-    def decide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            cols: list[list] = [[], [], [], []]
-            for r in batch.to_pylist():
-                index = ItemIndex([], {r["item"]: r["body"]})
-                words: dict[int, str] = {f["at"] + i: s for f in r["found"] for i, s in enumerate(f["said"].split(" "))}
-                judged = judge(words, [(f["start"], f["at"], f["width"]) for f in r["found"]], index, r["item"])
-                if judged:
-                    for c, v in zip(cols, (r["key"], r["item"], *judged), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=names)
+        return search
 
-    return hit.select("key", "item", "body", "found").mapInArrow(decide, out)
+    found = None
+    for b in range(blocks):
+        rows = sorted(((r["i"], r["t"]) for r in items.filter(F.col("block") == b).collect()), key=str)
+        one = chosen.mapInArrow(searcher(spark.sparkContext.broadcast(([i for i, _ in rows], ItemIndex([t for _, t in rows], width)))), schema)
+        found = one if found is None else found.union(one)
+    best = found.groupBy("key", "row", "item").agg(F.max(F.struct("coverage", "consistency")).alias("best"))
+    return best.select("key", "item", F.col("best.coverage").alias("coverage"), F.col("best.consistency").alias("consistency"), "row")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents that hold a benchmark item; null keys are kept (nothing can be held against them)."""
-    leaked = find_leaks(docs, benchmark, key, text).select(F.col("key").alias("__leaked")).distinct()
-    return without_keys(docs, key, materialize(leaked, "leaked"), "__leaked")
+    """docs without the documents that hold a benchmark item; columns and other rows stay as they are."""
+    leaked = find_leaks(docs, benchmark, key, text).select(F.col("key").alias("__key"), F.col("row").alias("__row")).distinct()
+    return without_rows(docs, key, text, materialize(leaked, "leaked"))
