@@ -17,6 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from pairloom.llm.common import free_name, tidy
 
 BUCKETS = 1 << 14
 #: Bound of the fit: about this many labelled rows of each language (the hash decides which).
@@ -141,6 +144,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     uniform = F.pmod(F.xxhash64("key", F.lit("langid")), F.lit(1_000_000)) / 1_000_000
     schema = "key bigint, lang string, at array<int>, n array<float>"
 
+    @tidy
     def sparse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             out: list[list] = [[], [], [], []]
@@ -153,7 +157,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.float32()))], names=["key", "lang", "at", "n"])
 
     sample = rows.filter(uniform < share[F.col("lang")]).select("key", "lang", "text").mapInArrow(sparse, schema).toPandas().sort_values("key", kind="stable")
-    parts = rows.select("text").mapInArrow(lambda it: _count_rows(it, buckets), "docs bigint, df array<bigint>")
+    parts = rows.select("text").mapInArrow(tidy(lambda it: _count_rows(it, buckets)), "docs bigint, df array<bigint>")
     summed = parts.select("docs", F.posexplode("df").alias("bucket", "df")).groupBy("bucket").agg(F.sum("docs").alias("docs"), F.sum("df").alias("df")).toPandas()
     if sample.empty or summed.empty:
         return None
@@ -177,24 +181,28 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return model
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Add lang_pred and score (the calibrated probability) to every row, from its whole text.
 
     Null texts, texts without a letter and any text where nothing could be learned get "und"
-    and score 0. The columns in keep (all, if None) are returned before the two; they must not
-    be named lang_pred or score. Repeated rows are predicted each.
+    and score 0. The columns in keep (all, if None) are returned before the two, which get underscores
+    put before them where a kept column has their name. Equal probabilities go to the language that
+    sorts first. Repeated rows are predicted each; an empty table gives no rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # buckets x languages numbers, whatever the table's size
-    names = list(docs.columns if keep is None else keep)
-    chosen = docs.select(*names, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", lang_pred string, score double"
+    kept = list(docs.columns if keep is None else keep)
+    new = [free_name(kept, n) for n in names]
+    chosen = docs.select(*kept) if text in kept else docs.select(*kept, F.col(text))
+    at = chosen.columns.index(text)
+    out = StructType([docs.schema[n] for n in kept] + [StructField(new[0], StringType()), StructField(new[1], DoubleType())])
 
+    @tidy
     def label(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in it:
             langs, scores = [], []
-            for x in batch.column(len(names)):
+            for x in batch.column(at):
                 c = ngram_counts(x.as_py() or "", len(m.idf)) if m is not None else None
                 if c is None:
                     langs.append(UNKNOWN), scores.append(0.0)
@@ -202,6 +210,6 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", ke
                     p = m.probabilities(c)
                     best = int(p.argmax())
                     langs.append(m.langs[best]), scores.append(float(min(1.0, p[best])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, *new])
 
-    return chosen.mapInArrow(label, schema)
+    return chosen.mapInArrow(label, out)

@@ -25,10 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.common import tidy
 from pairloom.llm.wordbpe import word_bpe
 
 TIERS = (4096, 2048, 1024, 512)
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 STEP_TOKENS = 16 * 4096
 
 
@@ -131,6 +132,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tok
     """
     end = np.asarray([end_id], "<u4").tobytes()
 
+    @tidy
     def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_bpe(tokenizer_path(tokenizer)).ids_bytes
         part = TaskContext.get().partitionId()

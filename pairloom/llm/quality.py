@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialize
+from pairloom.llm.common import materialize, tidy
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NOT_SYMBOL = re.compile(r"[^#*$%&|<>]+")
@@ -78,6 +78,7 @@ FACTS = pa.schema([("key", pa.int64()), ("host", pa.string())] + [(n, pa.int64()
 def document_facts(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     """Base counts and, in `lines` and `chars`, each distinct line hash with its word characters (all occurrences)."""
 
+    @tidy
     def facts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             out: list[list] = [[] for _ in FACTS]

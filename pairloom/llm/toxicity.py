@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from pairloom.llm.common import materialize
+from pairloom.llm.common import free_name, materialize, tidy
 from pairloom.llm.linking import smallest_labels
 from pairloom.llm.ngramjoin import Shingler
 
@@ -30,6 +31,7 @@ SAMPLE_PER_CLASS = 3000
 COPY_MINIMA, COPY_WIDTH, COPY_SHARE = 128, 5, 0.8
 STEMS = (4, 5, 6, 7)
 TOKEN = re.compile(r"[^\W_]+(?:[*@$][^\W_]+)*")
+KEPT_STEPS = 400_000  # letters of states that a worker remembers
 WINDOW = 40  # characters to each side of a hit
 # Quotation marks, and words that report what someone else said.
 OPENING, CLOSING = "\"“„«‹‘", "\"”“»›’"
@@ -63,11 +65,16 @@ class TermAutomaton:
                     node = self.children[node][c]
                     self.most[node] = max(self.most[node], k)
                 ends[node] = k
+        self._begin()
+
+    def _begin(self) -> None:
+        """No state but the first is known; the others are made again as words need them."""
         self.states: dict[frozenset, int] = {}
         self.sets: list[dict[int, int]] = []
         self.steps: list[dict[str, int]] = []
-        self.verdict: list[tuple[int, int] | None] = []
+        self.verdict: list[int | None] = []
         self.stemmed: list[int | None] = []
+        self.known = 0
         self.start = self._state(self._closure({0: 0}))
 
     def _closure(self, at: dict[int, int]) -> dict[int, int]:
@@ -106,10 +113,13 @@ class TermAutomaton:
             for letter, child in self.children[node].items():
                 add(child, e + (letter != c))
         to = self.steps[state][c] = self._state(self._closure(out))
+        self.known += 1
         return to
 
     def match(self, word: str) -> tuple[int, bool] | None:
         """(edits, whether by a stem) of the best term for a lower-case word; None where none is near."""
+        if self.known >= KEPT_STEPS:
+            self._begin()
         state, stem = self.start, None
         for c in word:
             nxt = self.steps[state].get(c)
@@ -201,6 +211,7 @@ def copy_classes(texts: DataFrame) -> DataFrame:
     factors, shifts = rng.integers(0, 1 << 63, (2, COPY_MINIMA)).astype(np.uint64)
     factors |= np.uint64(1)
 
+    @tidy
     def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(COPY_WIDTH)
         for batch in it:
@@ -241,36 +252,34 @@ def lexicon(sample: DataFrame, min_share: float = 0.02, least: int = 6, odds: fl
     least = max(least, round(min_share * bad_texts))
     seen = texts.select("toxic", "copy", F.explode("words").alias("word")).distinct()
     by_word = seen.groupBy("word").agg(F.sum((F.col("toxic") == 1).cast("int")).alias("bad"), F.sum((F.col("toxic") == 0).cast("int")).alias("good"))
-    by_word = by_word.cache()
-    try:
-        keep = (F.col("bad") >= least) & (F.col("bad") >= odds * F.col("good"))
-        whole = [r["word"] for r in by_word.filter(keep & (F.length("word") >= 3)).select("word").collect()]
-        stems = (
-            by_word.select("word", "bad", "good", F.explode(F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEMS])).alias("stem"))
-            .filter(F.col("stem").isNotNull()).groupBy("stem")
-            .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum((F.col("bad") > 0).cast("int")).alias("forms"))
-            .filter((F.col("bad") >= 3 * least) & (F.col("bad") >= odds * F.col("good")) & (F.col("forms") >= 4))
-        )
-        found = {r["stem"]: r["bad"] for r in stems.collect()}
-        # of nested stems the longest that keeps nearly all texts of the shortest
-        chosen = set()
-        for stem in sorted(found, key=len):
-            if not any(stem[:n] in found for n in range(1, len(stem))):
-                best = stem
-                while longer := [s for s in found if len(s) == len(best) + 1 and s.startswith(best) and found[s] >= 0.9 * found[stem]]:
-                    best = longer[0]
-                chosen.add(best)
-        words, stems = sorted(w for w in whole if not any(w.startswith(s) for s in chosen)), sorted(chosen)
-
-        def alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            match = TermAutomaton(words, stems).match
-            for batch in it:
-                yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if (m := match(w)) and m[0]], pa.string())], names=["word"])
-
-        clean = by_word.filter((F.col("good") > 0) & (F.col("bad") < odds * F.col("good"))).select("word")
-        exempt = frozenset(r["word"] for r in clean.mapInArrow(alike, "word string").collect())
-    finally:
-        by_word.unpersist()
+    by_word = materialize(by_word, "words")
+    keep = (F.col("bad") >= least) & (F.col("bad") >= odds * F.col("good"))
+    whole = [r["word"] for r in by_word.filter(keep & (F.length("word") >= 3)).select("word").collect()]
+    stems = (
+        by_word.select("word", "bad", "good", F.explode(F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEMS])).alias("stem"))
+        .filter(F.col("stem").isNotNull()).groupBy("stem")
+        .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum((F.col("bad") > 0).cast("int")).alias("forms"))
+        .filter((F.col("bad") >= 3 * least) & (F.col("bad") >= odds * F.col("good")) & (F.col("forms") >= 4))
+    )
+    found = {r["stem"]: r["bad"] for r in stems.collect()}
+    # of nested stems the longest that keeps nearly all texts of the shortest
+    chosen = set()
+    for stem in sorted(found, key=len):
+        if not any(stem[:n] in found for n in range(1, len(stem))):
+            best = stem
+            while longer := [s for s in found if len(s) == len(best) + 1 and s.startswith(best) and found[s] >= 0.9 * found[stem]]:
+                best = longer[0]
+            chosen.add(best)
+    words, stems = sorted(w for w in whole if not any(w.startswith(s) for s in chosen)), sorted(chosen)
+
+    @tidy
+    def alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = TermAutomaton(words, stems).match
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if (m := match(w)) and m[0]], pa.string())], names=["word"])
+
+    clean = by_word.filter((F.col("good") > 0) & (F.col("bad") < odds * F.col("good"))).select("word")
+    exempt = frozenset(r["word"] for r in clean.mapInArrow(alike, "word string").collect())
     return words, stems, exempt
 
 
@@ -294,6 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     model = ToxicityModel(*lexicon(sample), PRIOR.copy())
     names = [f"x{i}" for i in range(len(PRIOR))]
 
+    @tidy
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             x = np.array([model.features(t.as_py() or "") for t in batch.column(1)]).reshape(-1, len(PRIOR))
@@ -309,17 +319,21 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
     """key, the columns in keep, score (0 to 1) and predicted (score >= 0.5) of every whole text.
 
     Null and empty texts have no hit and get the model's base score. Repeated rows are scored
-    each; an empty table gives no rows.
+    each; an empty table gives no rows. score and predicted get underscores put before them where
+    a kept column has their name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the lexicon and six weights
     cols = list(dict.fromkeys([key, *keep]))
-    chosen = docs.select(*cols, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", score double, predicted int"
+    new = [free_name(cols, n) for n in ("score", "predicted")]
+    chosen = docs.select(*cols) if text in cols else docs.select(*cols, F.col(text))
+    at = chosen.columns.index(text)
+    out = StructType([docs.schema[n] for n in cols] + [StructField(new[0], DoubleType()), StructField(new[1], IntegerType())])
 
+    @tidy
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in it:
-            s = [m.score(t.as_py() or "") for t in batch.column(len(cols))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())], names=[*cols, "score", "predicted"])
+            s = [m.score(t.as_py() or "") for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())], names=[*cols, *new])
 
-    return chosen.mapInArrow(measure, schema)
+    return chosen.mapInArrow(measure, out)

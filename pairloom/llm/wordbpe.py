@@ -20,7 +20,8 @@ END = b"\x01"
 # Latin letters, digits, ASCII and common signs: here Python's lower() and split() agree with the library's.
 PLAIN = re.compile("[\t\n\r -~¡-§©«¬®-±´¶-¸»¿-ſ‐-‟€]*")
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
-KEPT_CHUNKS = 500_000  # bound of the chunk cache of a Python worker
+# Bounds of the chunk cache of a Python worker: entries, and characters of a chunk that is kept.
+KEPT_CHUNKS, KEPT_CHARS = 150_000, 64
 
 
 def _byte_of() -> dict[str, int]:
@@ -86,7 +87,11 @@ class WordBpe(dict):
         except KeyError:
             new = list(dict.fromkeys(c for c in chunks if c not in self))
             self.learn(new) if len(self) + len(new) < KEPT_CHUNKS else self.learn(list(dict.fromkeys(chunks)))
-            return b"".join(map(self.__getitem__, chunks))
+            out = b"".join(map(self.__getitem__, chunks))
+            for c in new:
+                if len(c) > KEPT_CHARS:
+                    del self[c]
+            return out
 
 
 @lru_cache(maxsize=2)
