@@ -44,7 +44,7 @@ MEASURE = re.compile(r"(\d[\d.,]*)([^\W\d_]+)")
 # Units of measure and number words.
 UNITS = frozenset("% $ € £ ° mm cm m km in ft yd mi mg g kg t lb oz ml cl l s ms min h hr hrs sec secs hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms liter liters litre litres dollar dollars euro euros cent cents percent degree degrees kmh mph hz khz mhz ghz kb mb gb tb v kv w kw mw j kj cal kcal".split())
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
-KEPT_WORDS, KEPT_ITEMS = 150_000, 5_000
+KEPT_WORDS, KEPT_ITEMS = 300_000, 5_000
 SLOT_BITS = 22
 
 

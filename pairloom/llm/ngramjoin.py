@@ -15,7 +15,6 @@ what is left an exact intersection decides every pair.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,14 +27,13 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import discard, matching, materialize, release, row_hash, split_by_keys, tidy
 from pairloom.llm.linking import Forest, connected, family_links, star_edges
+from pairloom.llm.rolling import word_hashes
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
 BAND = 1.4  # ratio of a size band's ends
 SECOND, CHOSEN = 3, 2  # smaller parts of a part, and those of them that a signature covers
 FEW = SECOND - CHOSEN
 SPARE = 0.06  # share of the parts that a set may leave out
-KEPT_WORDS, KEPT_TEXTS = 100_000, 200_000
+KEPT_TEXTS = 200_000  # texts of a task that are remembered as signed
 SKETCH_BLOCK = 2048  # items of one side of a block when only sketches are compared
 CELLS = 512  # bits of the parity sketch
 _MIX, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -46,31 +44,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class Shingler(dict):
-    """Word -> 64-bit hash, filled on demand."""
-
-    def __init__(self, width: int):
-        super().__init__()
-        self.width = width
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+def shingles_of(text: str, width: int) -> np.ndarray:
+    """Sorted distinct shingle hashes; with fewer words, one hash of all of them; none without words."""
+    h = word_hashes(text)
+    n = len(h)
+    if not n:
         return h
-
-    def set_of(self, text: str) -> np.ndarray:
-        """Sorted distinct shingle hashes; with fewer words, one hash of all of them; none without words."""
-        words = WORD.findall(text.translate(LOWER))
-        n = len(words)
-        if not n:
-            return np.empty(0, np.uint64)
-        h = np.fromiter(map(self.__getitem__, words), np.uint64, n)
-        w = min(self.width, n)
-        out = np.full(n - w + 1, w if n < self.width else 0, np.uint64)
-        for i in range(w):
-            out = _mix(out * _ADD + h[i : n - w + 1 + i])
-        return np.unique(out)
+    w = min(width, n)
+    out = np.full(n - w + 1, w if n < width else 0, np.uint64)
+    for i in range(w):
+        out = _mix(out * _ADD + h[i : n - w + 1 + i])
+    out.sort()
+    new = np.ones(len(out), bool)
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
 
 
 def difference_bound(size: int, percent: int) -> int:
@@ -137,11 +124,10 @@ def shingle_facts(docs: DataFrame, width: int) -> DataFrame:
 
     @tidy
     def facts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
         for batch in it:
             out: list[list] = [[], [], []]
             for x in batch.column(2):
-                s = shingler.set_of(x.as_py() or "")
+                s = shingles_of(x.as_py() or "", width)
                 for o, v in zip(out, (len(s), item_of(s), parities(s)) if len(s) else (0, None, None), strict=True):
                     o.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(o, f.type) for o, f in zip(out, list(FACTS)[2:], strict=True)]], schema=FACTS)
@@ -153,7 +139,7 @@ def signer(width: int, percent: int):
     """sign() for star_edges on a text column; most copies of a text inside a task sign once."""
 
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        shingler, seen = Shingler(width), set()
+        seen: set[int] = set()
         for batch in it:
             for x in batch.column(0):
                 text = x.as_py()
@@ -163,7 +149,7 @@ def signer(width: int, percent: int):
                 if len(seen) >= KEPT_TEXTS:
                     seen.clear()
                 seen.add(h)
-                s = shingler.set_of(text)
+                s = shingles_of(text, width)
                 if len(s):
                     keys = signatures(s, percent)
                     yield keys, np.full(len(keys), item_of(s), np.int64), np.zeros(len(keys), np.int8)
@@ -265,11 +251,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     @tidy
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
         for batch in it:
             out: list[list] = [[], []]
             for item, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out[0].append(item), out[1].append(np.sort(shingler.set_of(x.as_py() or "").view(np.int64)))
+                out[0].append(item), out[1].append(np.sort(shingles_of(x.as_py() or "", width).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))], names=["item", "shingles"])
 
     texts = matching(split_by_keys(chosen, ["key", "row"], wanted, ["k", "r"])[0], wanted, {"key": "k", "row": "r"}, "inner")

@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from pairloom.llm.common import free_name, materialize, tidy
 from pairloom.llm.linking import smallest_labels
-from pairloom.llm.ngramjoin import Shingler
+from pairloom.llm.ngramjoin import shingles_of
 
 #: Bound of the fit: about this many labelled rows of each class (a hash decides which).
 SAMPLE_PER_CLASS = 3000
@@ -213,11 +213,10 @@ def copy_classes(texts: DataFrame) -> DataFrame:
 
     @tidy
     def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(COPY_WIDTH)
         for batch in it:
             rows = []
             for x in batch.column(1):
-                shingles = shingler.set_of(x.as_py())
+                shingles = shingles_of(x.as_py(), COPY_WIDTH)
                 minima = [int(((shingles * f + s) >> np.uint64(32)).min()) for f, s in zip(factors, shifts, strict=True)]
                 rows.append(np.array(minima, "<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["text_id", "sketch"])

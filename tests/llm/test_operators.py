@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns; brute force where SQL can't tell."""
 
 import random
+import re
 import zlib
 from itertools import combinations
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.llm import decontaminate, htmltext, langid, linededup, linking, ngramjoin, packing, quality, sharding, stages, tokens, toxicity
+from pairloom.llm import decontaminate, htmltext, langid, linededup, linking, ngramjoin, packing, quality, rolling, sharding, stages, tokens, toxicity
 from pairloom.llm.common import row_hash
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, size string, item string"
@@ -40,7 +41,7 @@ def empty(spark):
 def brute_components(rows, width, percent):
     sets = {}
     for k, t in rows:
-        w = ngramjoin.WORD.findall((t or "").translate(ngramjoin.LOWER))
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
         sets[k] = frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
     up = {k: k for k in sets}
 
@@ -106,6 +107,17 @@ def test_families_larger_than_a_block_match_brute_force(spark, monkeypatch):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_word_hashes_tell_words_apart(monkeypatch):
+    monkeypatch.setattr(rolling, "TEXT_BLOCK", 64)
+    rng = random.Random(35)
+    for _ in range(400):
+        t = "".join(rng.choice("abAZ\x00é日 \t\n\x0b\x85\xa0-") for _ in range(rng.randrange(0, 300)))
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)}))
+        h = rolling.word_hashes(t).tolist()
+        assert len(h) == len(w) and len(set(h)) == len(set(w)) == len(set(zip(h, w, strict=True)))
+    assert len(rolling.word_hashes("x" * 1000 + " y")) == 2
+
+
 def test_jaccard_edge_cases(docs, empty):
     got = [(r["doc_id"], r["component_id"]) for r in ngramjoin.jaccard_components(docs).collect()]
     assert len(got) == docs.count() and {c for k, c in got if k in (1, 2, 3)} == {1}
