@@ -270,11 +270,12 @@ def family_links(families: DataFrame, payload: DataFrame, verify: Verify, block:
     links = materialize(_decide(met, payload, verify, parts), "links")
     joined = large.join(connected(links, "tree"), "item", "left")
     trees = joined.filter("tree is not null").groupBy("family", "tree").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max(F.struct("n", "tree")).alias("most"))
-    known = materialize(joined.join(trees.select("family", F.col("most.tree").alias("settled")), "family", "left").select("item", "family", "dealt", F.coalesce(F.col("tree") == F.col("settled"), F.lit(False)).alias("done")), "known")
-    rest = known.filter("not done").groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("open"))
+    known = materialize(joined.join(trees.select("family", F.col("most.tree").alias("settled")), "family", "left").select("item", "family", F.coalesce(F.col("tree") == F.col("settled"), F.lit(False)).alias("done")), "known")
+    sides = lambda done: F.ceil(F.coalesce(F.sum((F.col("done") == done).cast("int")), F.lit(0)) / block).cast("int")
+    counted = known.groupBy("family").agg(sides(False).alias("open"), sides(True).alias("closed")).filter("open > 0")
     # sides 0 .. open - 1 are the others, the settled ones follow
-    sided = known.join(rest, "family").withColumn("side", F.when(F.col("done"), F.col("open") + F.pmod(F.xxhash64("item"), F.col("dealt"))).otherwise(F.pmod(F.xxhash64("item"), F.col("open"))).cast("int"))
-    other = F.when(F.col("done"), F.sequence(F.lit(0), F.col("open") - 1)).otherwise(F.sequence(F.lit(0), F.col("open") + F.col("dealt") - 1))
+    sided = known.join(counted, "family").withColumn("side", F.when(F.col("done"), F.col("open") + F.pmod(F.xxhash64("item"), F.col("closed"))).otherwise(F.pmod(F.xxhash64("item"), F.col("open"))).cast("int"))
+    other = F.when(F.col("done"), F.sequence(F.lit(0), F.col("open") - 1)).otherwise(F.sequence(F.lit(0), F.col("open") + F.col("closed") - 1))
     crossed = sided.withColumn("other", F.explode(other)).select("item", "family", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side")
     small = held.filter(F.col("members") <= block).select("item", "family", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"))
     return links.union(_decide(small.union(crossed), payload, verify, parts))

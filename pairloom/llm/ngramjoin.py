@@ -2,20 +2,21 @@
 
 Sets whose sizes can pair lie in one size band or two adjoining ones. In a band, two sets with
 Jaccard similarity of at least the threshold differ in at most k shingles. The shingle domain
-is hashed into n1 parts, and each part into SECOND smaller ones. If n1 parts hold at most k
-differences, one of them holds at most FEW = SECOND - CHOSEN, so the two sets agree in some CHOSEN
+is hashed into n1 parts, and each part into n2 smaller ones. If n1 parts hold at most k
+differences, one of them holds at most k / n1 = f of them, so the two sets agree in some n2 - f
 smaller parts of it: each set signs every subset of that size of every part with
-(band, part, subset, hash of its shingles there). Parts that hold few shingles tell little,
-so every set leaves out its e thinnest parts and n1 has 2e parts more: no link is lost. Sets that share a
-signature form families. In these, parities of hashed cells bound the difference of two sets
-from below, which splits the families without their shingles and without losing a link; in
-what is left an exact intersection decides every pair.
+(band, part, subset, hash of its shingles there). The numbers are chosen by the band (parameters()). Parts that
+hold few shingles tell little, so every set leaves out its e thinnest parts and n1 has 2e parts more: no
+link is lost. Sets that share a signature form families. In these, parities of hashed cells
+bound the difference of two sets from below, which splits the families without their shingles
+and without losing a link; in what is left an exact intersection decides every pair.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -30,12 +31,11 @@ from pairloom.llm.linking import Forest, connected, family_links, star_edges
 from pairloom.llm.rolling import word_hashes
 
 BAND = 1.4  # ratio of a size band's ends
-SECOND, CHOSEN = 3, 2  # smaller parts of a part, and those of them that a signature covers
-FEW = SECOND - CHOSEN
-SPARE = 0.06  # share of the parts that a set may leave out
+ONE_PART = 4  # most differences for which the whole domain is one part
+MOST_SIGNATURES = 0.3  # of the size of a band's largest set, above which parts aren't cut into smaller ones
 KEPT_TEXTS = 200_000  # texts of a task that are remembered as signed
 SKETCH_BLOCK = 2048  # items of one side of a block when only sketches are compared
-CELLS = 512  # bits of the parity sketch
+LEAST_CELLS = 64  # bits of the smallest parity sketch
 _MIX, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -75,34 +75,52 @@ def bands_of(size: int, percent: int) -> list[int]:
     return out
 
 
+@lru_cache(maxsize=256)
+def parameters(band: int, percent: int) -> tuple[int, int, int, int]:
+    """(n1, n2, smaller parts in a signature, parts left out) of a band.
+
+    Few differences: one part, cut into k + 2, of which each two are signed. More: parts of
+    which one has at most one difference, cut into three, of which each two are signed; or, where that makes too many
+    signatures, parts of which one has no difference, signed whole.
+    """
+    top = math.ceil(BAND ** (band + 1))
+    k = difference_bound(top, percent)
+    if not k:
+        return 1, 1, 1, 0
+    if k <= ONE_PART:
+        return 1, k + 2, 2, 0
+    needed = -(-(k + 1) // 2)
+    spare = max(1, int(0.06 * needed))
+    if 3 * (needed + spare) <= MOST_SIGNATURES * top + 6:
+        return needed + 2 * spare, 3, 2, spare
+    spare = max(1, int(0.1 * (k + 1)))
+    return k + 1 + 2 * spare, 1, 1, spare
+
+
 def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     """64-bit signatures of a set."""
     if not len(shingles):
         return np.empty(0, np.int64)
     mixed = _mix(shingles + _ADD)
     high, low = mixed >> np.uint64(32), mixed & np.uint64(0xFFFFFFFF)
-    smaller = (low * np.uint64(SECOND) >> np.uint64(32)).astype(np.int64)
     out = []
     for band in bands_of(len(shingles), percent):
-        k = difference_bound(math.ceil(BAND ** (band + 1)), percent)
-        if k < FEW:  # no room for a difference: the whole set
-            out.append(_mix(np.array([mixed.sum(dtype=np.uint64)]) + _mix(np.array([band], np.uint64) * _ADD)).view(np.int64))
-            continue
-        needed = -(-(k + 1) // (FEW + 1))
-        spare = int(SPARE * needed)
-        n1 = needed + 2 * spare
-        cell = (high * np.uint64(n1) >> np.uint64(32)).astype(np.int64) * SECOND + smaller
-        count = np.bincount(cell, minlength=n1 * SECOND).reshape(n1, SECOND)
-        total = np.zeros(n1 * SECOND, np.uint64)
+        n1, n2, chosen, spare = parameters(band, percent)
+        cell = ((high * np.uint64(n1) >> np.uint64(32)) * np.uint64(n2) + (low * np.uint64(n2) >> np.uint64(32))).astype(np.int64)
+        count = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
+        total = np.zeros(n1 * n2, np.uint64)
         np.add.at(total, cell, mixed)  # order-free hash of a cell's shingles
-        total = total.reshape(n1, SECOND)
-        # a part's thinnest signature holds all but its largest smaller parts
-        thin = count.sum(1) - np.sort(count, 1)[:, CHOSEN:].sum(1)
-        keep = np.sort(np.argsort(-thin, kind="stable")[: n1 - spare])
-        for number, subset in enumerate(combinations(range(SECOND), CHOSEN)):
-            held = [total[keep, i] for i in subset]
+        total = total.reshape(n1, n2)
+        keep = np.arange(n1)
+        if spare:  # a part's thinnest signature holds its smallest smaller parts
+            thin = np.sort(count, 1)[:, :chosen].sum(1)
+            keep = np.sort(np.argsort(-thin, kind="stable")[: n1 - spare])
+        for number, subset in enumerate(combinations(range(n2), chosen)):
+            held, size = total[keep, subset[0]], count[keep, subset[0]]
+            for i in subset[1:]:
+                held, size = held + total[keep, i], size + count[keep, i]
             name = _mix((keep * 64 + number).astype(np.uint64) * _ADD + np.uint64(band))
-            out.append(_mix(sum(held[1:], held[0]) + name + count[keep][:, list(subset)].sum(1).astype(np.uint64)).view(np.int64))
+            out.append(_mix(held + name + size.astype(np.uint64)).view(np.int64))
     return np.concatenate(out)
 
 
@@ -112,8 +130,20 @@ def item_of(shingles: np.ndarray) -> int:
 
 
 def parities(shingles: np.ndarray) -> bytes:
-    """Bit i: parity of the shingles hashed to cell i. Two sets differ in no fewer shingles than bits."""
-    return np.packbits(np.bincount((shingles >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS) & 1).tobytes()
+    """Bit i: parity of the shingles hashed to cell i. Two sets differ in no fewer shingles than bits.
+
+    The cells are a power of two and at least as many as shingles; the two halves of a sketch, one put on the other, are the
+    sketch with half the cells.
+    """
+    cells = max(LEAST_CELLS, 1 << (len(shingles) - 1).bit_length())
+    at = ((shingles >> np.uint64(20)) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """Sketches (rows of 64-bit words) with half the cells; a single word has no half and matches itself only."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:] if half else bits
 
 
 FACTS = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("item", pa.int64()), ("sketch", pa.binary())])
@@ -160,21 +190,36 @@ def signer(width: int, percent: int):
 def possible_links(percent: int):
     """verify() for family_links: pairs that sizes and sketches don't rule out, as a spanning forest."""
 
+    def levels(side: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """words of a sketch -> (positions, sketches, sketches with half the cells)."""
+        words = side["sketch"].map(len).to_numpy() // 8
+        out = {}
+        for w in np.unique(words).tolist():
+            at = np.flatnonzero(words == w)
+            bits = np.frombuffer(b"".join(side["sketch"].iloc[at]), np.uint64).reshape(len(at), w)
+            out[w] = at, bits, _folded(bits)
+        return out
+
     def verify(x: pd.DataFrame, y: pd.DataFrame | None) -> Iterator[tuple[int, int]]:
-        sides = [x] if y is None else [x, y]
-        bits = [np.frombuffer(b"".join(s["sketch"]), np.uint64).reshape(len(s), CELLS // 64) for s in sides]
-        sizes = [s["n_shingles"].to_numpy(np.int64) for s in sides]
+        left = levels(x)
+        right = left if y is None else levels(y)
+        sizes = x["n_shingles"].to_numpy(np.int64), (x if y is None else y)["n_shingles"].to_numpy(np.int64)
         n = len(x)
-        forest = Forest(sum(map(len, sides)))
-        for i in range(n):
-            a, b = sizes[0][i], sizes[-1]
-            differ = np.bitwise_count(bits[-1] ^ bits[0][i]).sum(1, dtype=np.int64)
-            near = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & ((100 + percent) * differ <= (100 - percent) * (a + b))
-            if y is None:
-                near[: i + 1] = False
-            for j in np.flatnonzero(near).tolist():
-                if forest.join(i, j if y is None else n + j):
-                    yield i, j
+        forest = Forest(n + (0 if y is None else len(y)))
+        for w, (at, bits, halves) in left.items():
+            for i, own, half in zip(at.tolist(), bits, halves, strict=True):
+                for v in (w // 2, w, 2 * w):  # sets of other sizes can't be similar enough
+                    if v not in right:
+                        continue
+                    there, bits2, halves2 = right[v]
+                    differ = np.bitwise_count(bits2 ^ own if v == w else halves2 ^ own if v > w else bits2 ^ half).sum(1, dtype=np.int64)
+                    a, b = sizes[0][i], sizes[1][there]
+                    near = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & ((100 + percent) * differ <= (100 - percent) * (a + b))
+                    if y is None:
+                        near &= there > i
+                    for j in there[near].tolist():
+                        if forest.join(i, j if y is None else n + j):
+                            yield i, j
 
     return verify
 
@@ -220,6 +265,16 @@ def _matrix(sets: list[np.ndarray], slab: np.ndarray) -> np.ndarray:
     return out
 
 
+def size_windows(families: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(item, family) with every family cut into windows of two neighbouring size classes.
+
+    The sizes of two linked sets differ by less than a class is wide, so they share a window.
+    """
+    width = math.log(100 / percent) * 1.0001
+    size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(width))
+    return families.join(sizes.select("item", size_class.alias("c")), "item").select("item", "family", F.explode(F.array(F.col("c") - 1, F.col("c"))).alias("c")).select("item", F.xxhash64("family", "c").alias("family"))
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable by links), row and first of every row.
 
@@ -242,7 +297,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     discard(ties)
     tied = split_by_keys(items, ["item"], wide, ["item"])[0]
     sketches = materialize(tied.groupBy("item").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "sketches")
-    possible = materialize(family_links(wide, sketches, possible_links(percent), SKETCH_BLOCK), "possible")
+    possible = materialize(family_links(size_windows(wide, sketches, percent), sketches, possible_links(percent), SKETCH_BLOCK), "possible")
     families = materialize(connected(possible, "family"), "families")
     # the sets of items in families only, made again from one text each
     named = split_by_keys(items.select("key", "row", "item"), ["item"], families, ["item"])[0]
