@@ -8,7 +8,8 @@ every prefix; truncation ("how many tokens has text[:n]") and budget ("longest p
 most b tokens") questions are then lookups, and no text is encoded again.
 
 No piece holds a space after another character, and none holds a newline, so a text falls
-apart at those places; the table of each distinct chunk is computed once and kept.
+apart at those places. Short chunks share the states of their prefixes and their totals are kept; a long
+chunk is counted by position in two arrays, in time and memory linear in its length.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.common import tidy
+
 SPACE = "▁"
 CHUNKS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-# Bounds of a Python worker's caches.
-KEPT_CHUNKS, KEPT_PREFIXES, KEPT_PAIRS = 300_000, 500_000, 500_000
+# Bounds of a Python worker's caches: entries, and characters of a chunk that is kept.
+KEPT_CHUNKS, KEPT_PREFIXES, KEPT_PAIRS, SHORT = 200_000, 300_000, 300_000, 48
 
 
 class _Totals(dict):
@@ -36,6 +39,8 @@ class _Totals(dict):
         self.of = of
 
     def __missing__(self, chunk: str) -> int:
+        if len(chunk) > SHORT:
+            return self.of.counts(chunk)[-1]
         if len(self) >= KEPT_CHUNKS:
             self.clear()
             self["\n"] = 1
@@ -140,9 +145,29 @@ class PrefixCounter:
             states[text[:end]] = found
         return found
 
-    def table(self, chunk: str) -> list[int]:
+    def counts(self, chunk: str) -> array:
+        """counts[i] for i = 0..len(chunk): the same recurrence, with states by position."""
+        n, score, longest, neighbours = len(chunk), self.score, self.longest, self.neighbours
+        counts, begin = array("q", bytes(8 * (n + 1))), array("q", bytes(8 * (n + 1)))  # begin: of the last piece
+        for end in range(1, n + 1):
+            for start in range(max(0, end - longest), end):
+                piece = chunk[start:end]
+                if piece in score:
+                    if self.alone(piece) and (start == 0 or neighbours(chunk[begin[start] : start], piece)):
+                        counts[end], begin[end] = counts[start] + 1, start
+                        break
+                elif end - start == 1:
+                    counts[end], begin[end] = counts[start] + len(piece.encode("utf-8", "surrogatepass")), start
+                    break
+            else:
+                raise AssertionError(f"no last piece before {end}")
+        return counts
+
+    def table(self, chunk: str) -> list[int] | array:
         """counts[i] for i = 0..len(chunk)."""
-        return [0, 1] if chunk == "\n" else [self.state(chunk[:i])[0] for i in range(len(chunk) + 1)]
+        if chunk == "\n":
+            return [0, 1]
+        return self.counts(chunk) if len(chunk) > SHORT else [self.state(chunk[:i])[0] for i in range(len(chunk) + 1)]
 
     def pieces(self, text: str) -> list[str]:
         """The chunks of a text after the model's normalisation (identity, with a space put before)."""
@@ -193,10 +218,11 @@ def prefix_token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text"
     Returns key, n_bytes, n_tokens and, with store, `counts`: the tokens of each prefix by
     characters, entry n for text[:n]; with a budget, `fit_chars`: the longest prefix within
     it. Null and empty texts have no bytes, no tokens and the table [0]. Repeated rows are
-    counted each; other columns are not read.
+    counted each; a text without spaces or newlines of any length takes time and memory in proportion; other columns are not read.
     """
     schema = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())] + [("counts", pa.list_(pa.int32()))] * store + [("fit_chars", pa.int64())] * (budget is not None))
 
+    @tidy
     def count(rows):
         c = counter(model_path(model))
         for batch in rows:

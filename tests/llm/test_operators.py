@@ -332,6 +332,19 @@ def test_tokenizers_agree_with_the_libraries():
         assert table[cut] <= 5 and (cut == len(t) or any(table[n] > 5 for n in range(cut + 2)))
 
 
+def test_texts_without_a_space_are_counted_in_linear_time():
+    import sentencepiece
+
+    rng = random.Random(36)
+    count, piece = tokens.PrefixCounter(tokens.model_path(None)), sentencepiece.SentencePieceProcessor(model_file=tokens.model_path(None))
+    for alphabet, n in (("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 1_000_000), ("日本語中文字漢", 100_000), ("a", 100_000), (" ", 3000)):
+        t = "".join(rng.choices(alphabet, k=n))
+        assert count.total(t) == len(piece.encode(t))
+    for _ in range(30):
+        t = "".join(rng.choices("thein½日Q", k=rng.randrange(49, 90)))
+        assert list(count.prefix_counts(t)) == [len(piece.encode(t[:n])) for n in range(len(t) + 1)]
+
+
 def test_prefix_counts_edge_cases(docs, empty):
     got = {r["doc_id"]: r for r in tokens.prefix_token_counts(docs, budget=3).filter("doc_id in (5, 6, 8)").collect()}
     assert got[5]["n_tokens"] == got[6]["n_tokens"] == 0 and got[6]["counts"] == [0] and got[8]["counts"][-1] == got[8]["n_tokens"] and got[8]["fit_chars"] <= 7
