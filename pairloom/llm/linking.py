@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -239,45 +238,48 @@ class Forest:
         return x != y
 
 
-Verify = Callable[[pd.DataFrame, "pd.DataFrame | None"], Iterator[tuple[int, int]]]
+Verify = Callable[[pa.Table, "pa.Table | None"], Iterator[tuple[int, int]]]
 
 
 def family_links(families: DataFrame, payload: DataFrame, verify: Verify, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """Links (a, b) that join every component of the linked pairs of each family.
 
-    families: (item, family); payload: item and what verify needs. verify(x, y) yields the
-    linked positions of rows of x and y (of x and itself if y is None). A family of up to
-    `block` items is one group. In a larger one about `pivots` members, chosen by hash, first
-    meet all others; the largest component that their links make is settled: pairs inside it
-    need no test. The others are dealt into sides of about `block` items and each of their sides
-    meets every side of the family, so copies of a member are as many as the sides of the others.
+    families: (item, family), and room, if a family's blocks are to have another size than `block`;
+    payload: item and what verify needs. verify(x, y) yields the linked positions of rows of
+    x and y (of x and itself if y is None). A family of up to `block` items is one group. In a
+    larger one about `pivots` members, chosen by hash, first meet all others; the largest component
+    that their links make is settled: pairs inside it need no test. The others are dealt into sides
+    of about `block` items and each of their sides meets every side of the family, so copies of a
+    member are as many as the sides of the others.
     """
     spark = families.sparkSession
-    sizes = materialize(families.groupBy("family").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "sizes")
+    if "room" not in families.columns:
+        families = families.withColumn("room", F.lit(block))
+    sizes = materialize(families.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.max("room").alias("room")).filter("members > 1"), "sizes")
+    families = families.drop("room")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if not sizes.filter(F.col("members") > block).limit(1).count():
+    if not sizes.filter("members > room").limit(1).count():
         whole = families.join(sizes, "family").select("item", "family", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"))
         return _decide(whole, payload, verify, parts)
-    held = materialize(families.join(sizes, "family").join(payload, "item"), "members")
-    extra = [c for c in held.columns if c not in ("item", "family", "members")]
-    payload = held.select("item", *extra)
-    large = held.select("item", "family", "members").filter(F.col("members") > block).withColumn("dealt", F.ceil(F.col("members") / block).cast("int"))
-    # side 0 are the pivots, side 1 the members of one deal
+    held = materialize(families.join(sizes, "family"), "members")
+    large = held.filter("members > room").withColumn("dealt", F.ceil(F.col("members") / F.col("room")).cast("int"))
+    # side 0 are the pivots, the others the deals
     uniform = F.pmod(F.xxhash64("item", F.lit("pivot")), F.lit(1 << 30)) / float(1 << 30)
     first = large.filter(uniform < pivots / F.col("members")).withColumn("high", F.explode(F.sequence(F.lit(1), F.col("dealt")))).withColumn("side", F.lit(0))
     deal = large.withColumn("high", (1 + F.pmod(F.xxhash64("item"), F.col("dealt"))).cast("int")).withColumn("side", F.col("high"))
     met = first.select("item", "family", F.lit(0).alias("low"), "high", "side").union(deal.select("item", "family", F.lit(0).alias("low"), "high", "side"))
     links = materialize(_decide(met, payload, verify, parts), "links")
+    # the component of a family that most of its members are in
     joined = large.join(connected(links, "tree"), "item", "left")
     trees = joined.filter("tree is not null").groupBy("family", "tree").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max(F.struct("n", "tree")).alias("most"))
-    known = materialize(joined.join(trees.select("family", F.col("most.tree").alias("settled")), "family", "left").select("item", "family", F.coalesce(F.col("tree") == F.col("settled"), F.lit(False)).alias("done")), "known")
-    sides = lambda done: F.ceil(F.coalesce(F.sum((F.col("done") == done).cast("int")), F.lit(0)) / block).cast("int")
+    known = materialize(joined.join(trees.select("family", F.col("most.tree").alias("settled")), "family", "left").select("item", "family", "room", F.coalesce(F.col("tree") == F.col("settled"), F.lit(False)).alias("done")), "known")
+    sides = lambda done: F.ceil(F.coalesce(F.sum((F.col("done") == done).cast("int")), F.lit(0)) / F.max("room")).cast("int")
     counted = known.groupBy("family").agg(sides(False).alias("open"), sides(True).alias("closed")).filter("open > 0")
     # sides 0 .. open - 1 are the others, the settled ones follow
     sided = known.join(counted, "family").withColumn("side", F.when(F.col("done"), F.col("open") + F.pmod(F.xxhash64("item"), F.col("closed"))).otherwise(F.pmod(F.xxhash64("item"), F.col("open"))).cast("int"))
     other = F.when(F.col("done"), F.sequence(F.lit(0), F.col("open") - 1)).otherwise(F.sequence(F.lit(0), F.col("open") + F.col("closed") - 1))
     crossed = sided.withColumn("other", F.explode(other)).select("item", "family", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side")
-    small = held.filter(F.col("members") <= block).select("item", "family", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"))
+    small = held.filter("members <= room").select("item", "family", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"))
     return links.union(_decide(small.union(crossed), payload, verify, parts))
 
 
@@ -290,17 +292,22 @@ def _decide(sided: DataFrame, payload: DataFrame, verify: Verify, parts: int) ->
     def decide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in cells(it):
             a, b = [], []
-            order = ["family", "low", "high", "side", "item"]
-            table = table.drop_duplicates(order).sort_values(order, ignore_index=True)
-            family, low, high, side = (table[c].to_numpy() for c in order[:4])
-            new = np.flatnonzero((family[1:] != family[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-            for start, end in zip([0, *new.tolist()], [*new.tolist(), len(table)], strict=True):
+            names = ["family", "low", "high", "side", "item"]
+            cols = [table[c].to_numpy() for c in names]
+            order = np.lexsort(cols[::-1])
+            cols = [c[order] for c in cols]
+            fresh = np.ones(len(order), bool)  # a repeated row of a side counts once
+            fresh[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+            table, cols = table.take(order[fresh]).combine_chunks(), [c[fresh] for c in cols]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
+            _, low, high, side, item = cols
+            for start, end in zip([0, *new.tolist()], [*new.tolist(), len(item)], strict=True):
                 one = low[start] == high[start]
                 n = end - start if one else int(np.searchsorted(side[start:end], high[start]))
                 if end - start < 2 or not n or not one and start + n == end:
                     continue
-                x, y = table.iloc[start : start + n], None if one else table.iloc[start + n : end]
-                left, right = x["item"].to_numpy(), (x if one else y)["item"].to_numpy()
+                x, y = table.slice(start, n), None if one else table.slice(start + n, end - start - n)
+                left, right = item[start:end], item[start if one else start + n : end]
                 forest = Forest(end - start)
                 for i, j in verify(x, y):
                     if forest.join(i, j if one else n + j) and left[i] != right[j]:
@@ -308,7 +315,7 @@ def _decide(sided: DataFrame, payload: DataFrame, verify: Verify, parts: int) ->
                         b.append(int(right[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def cells(it: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         """Whole cells at a time: rows come sorted by cell."""
         held: list[pa.Table] = []
         last = None
@@ -320,16 +327,16 @@ def _decide(sided: DataFrame, payload: DataFrame, verify: Verify, parts: int) ->
             # up to the last change of cell everything is complete
             edge = np.flatnonzero(cell[1:] != cell[:-1]) + 1
             if last is not None and cell[0] != last and held:
-                yield pa.Table.from_batches(held).to_pandas()
+                yield pa.Table.from_batches(held)
                 held = []
             if len(edge):
                 cut = int(edge[-1])
                 held.append(batch.slice(0, cut))
-                yield pa.Table.from_batches(held).to_pandas()
+                yield pa.Table.from_batches(held)
                 held, start = [], cut
             held.append(batch.slice(start))
             last = cell[-1]
         if held:
-            yield pa.Table.from_batches(held).to_pandas()
+            yield pa.Table.from_batches(held)
 
     return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(tidy(decide), "a bigint, b bigint")

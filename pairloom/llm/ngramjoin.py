@@ -20,7 +20,6 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,7 +33,7 @@ BAND = 1.4  # ratio of a size band's ends
 ONE_PART = 4  # most differences for which the whole domain is one part
 MOST_SIGNATURES = 0.3  # of the size of a band's largest set, above which parts aren't cut into smaller ones
 KEPT_TEXTS = 200_000  # texts of a task that are remembered as signed
-SKETCH_BLOCK = 2048  # items of one side of a block when only sketches are compared
+SKETCH_BLOCK, SKETCH_BYTES = 16384, 1 << 22  # most items, and bytes, of one side of a block when only sketches are compared
 LEAST_CELLS = 64  # bits of the smallest parity sketch
 _MIX, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -190,20 +189,21 @@ def signer(width: int, percent: int):
 def possible_links(percent: int):
     """verify() for family_links: pairs that sizes and sketches don't rule out, as a spanning forest."""
 
-    def levels(side: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def levels(side: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """words of a sketch -> (positions, sketches, sketches with half the cells)."""
-        words = side["sketch"].map(len).to_numpy() // 8
+        sketches = side["sketch"].to_pylist()
+        words = np.fromiter(map(len, sketches), np.int64, len(sketches)) // 8
         out = {}
         for w in np.unique(words).tolist():
             at = np.flatnonzero(words == w)
-            bits = np.frombuffer(b"".join(side["sketch"].iloc[at]), np.uint64).reshape(len(at), w)
+            bits = np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint64).reshape(len(at), w)
             out[w] = at, bits, _folded(bits)
         return out
 
-    def verify(x: pd.DataFrame, y: pd.DataFrame | None) -> Iterator[tuple[int, int]]:
+    def verify(x: pa.Table, y: pa.Table | None) -> Iterator[tuple[int, int]]:
         left = levels(x)
         right = left if y is None else levels(y)
-        sizes = x["n_shingles"].to_numpy(np.int64), (x if y is None else y)["n_shingles"].to_numpy(np.int64)
+        sizes = x["n_shingles"].to_numpy(), (x if y is None else y)["n_shingles"].to_numpy()
         n = len(x)
         forest = Forest(n + (0 if y is None else len(y)))
         for w, (at, bits, halves) in left.items():
@@ -227,9 +227,9 @@ def possible_links(percent: int):
 def linked_sets(percent: int):
     """verify() for family_links: exact Jaccard of sorted hash arrays."""
 
-    def verify(x: pd.DataFrame, y: pd.DataFrame | None) -> Iterator[tuple[int, int]]:
-        left = [np.asarray(s, np.int64) for s in x["shingles"]]
-        right = left if y is None else [np.asarray(s, np.int64) for s in y["shingles"]]
+    def verify(x: pa.Table, y: pa.Table | None) -> Iterator[tuple[int, int]]:
+        left = [s.values.to_numpy() for s in x["shingles"]]
+        right = left if y is None else [s.values.to_numpy() for s in y["shingles"]]
         if y is None and len(left) == 2:
             n = len(np.intersect1d(left[0], left[1], assume_unique=True))
             if 100 * n >= percent * (len(left[0]) + len(left[1]) - n):
@@ -266,13 +266,15 @@ def _matrix(sets: list[np.ndarray], slab: np.ndarray) -> np.ndarray:
 
 
 def size_windows(families: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(item, family) with every family cut into windows of two neighbouring size classes.
+    """(item, family, room) with every family cut into windows of two neighbouring size classes.
 
     The sizes of two linked sets differ by less than a class is wide, so they share a window.
     """
     width = math.log(100 / percent) * 1.0001
     size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(width))
-    return families.join(sizes.select("item", size_class.alias("c")), "item").select("item", "family", F.explode(F.array(F.col("c") - 1, F.col("c"))).alias("c")).select("item", F.xxhash64("family", "c").alias("family"))
+    # a sketch has at most two bits a shingle, and a window's largest set is below the end of class c + 1
+    room = F.least(F.lit(SKETCH_BLOCK), F.greatest(F.lit(256), F.lit(4 * SKETCH_BYTES) / F.exp((F.col("c") + 2) * width))).cast("int")
+    return families.join(sizes.select("item", size_class.alias("c")), "item").select("item", "family", F.explode(F.array(F.col("c") - 1, F.col("c"))).alias("c")).select("item", F.xxhash64("family", "c").alias("family"), room.alias("room"))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
@@ -297,7 +299,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     discard(ties)
     tied = split_by_keys(items, ["item"], wide, ["item"])[0]
     sketches = materialize(tied.groupBy("item").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "sketches")
-    possible = materialize(family_links(size_windows(wide, sketches, percent), sketches, possible_links(percent), SKETCH_BLOCK), "possible")
+    possible = materialize(family_links(size_windows(wide, sketches, percent), sketches, possible_links(percent)), "possible")
     families = materialize(connected(possible, "family"), "families")
     # the sets of items in families only, made again from one text each
     named = split_by_keys(items.select("key", "row", "item"), ["item"], families, ["item"])[0]
