@@ -1,13 +1,15 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Tokens are element paths (tag with class and id, from the root). The occurrence vector of a
-token over the pages of a host is hashed with an order-free sum (bit_xor of a hash of page
-and count), so tokens with equal vectors meet in one pre-aggregated pass whatever the size of
-the host. A class of tokens with one vector is valid if it is frequent enough; classes nest
-by their paths into the host's template. The template element that appears once a page and
-holds nearly all of the text that differs between pages is the article. A text block that
-stands at its path in nearly all different pages of the host (copies of a page count once) is
-template text. What remains in the article is extracted.
+Tokens are element paths (tag with classes, from the root). The occurrence vector of a token
+over the pages of a host, its count on each page, is hashed with order-free sums, so tokens with
+equal vectors meet in one pre-aggregated pass whatever the size of the host. A class of tokens
+with one vector is valid if it is on enough pages and nests: above its tokens lies one other valid
+class, or none. The nested valid classes are the template; the blocks of text at their paths fill
+its slots. The article is an element that a valid class has once on each of its pages: the outermost one that is
+named so by its tag and holds most of the text that varies, or else the deepest one that holds
+nearly all of it. Pages are cut to that element; blocks in elements that are never article text (menus, forms,
+adverts, comments by tag, role and class) go wherever they are. Pages without the template's article are
+cut by such elements alone.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialize
+from pairloom.llm.common import materialize, tidy
 
 MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -37,10 +39,10 @@ NOT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget widgets related recommended share sharing social footer masthead comment comments disqus reply replies login signup register subscribe subscription newsletter pagination pager toolbar skip".split()
 )
 ARTICLES = frozenset(("article", "main"))
-# Share of a host's pages that a token needs to be in its template, pages below which nothing
-# is deduced, share of distinct texts below which a slot does not help to find the article, and
-# share of a host's different pages that hold a block of template text.
-LEAST_SHARE, LEAST_PAGES, VARIED, ARTICLE_SHARE, REPEATED = 0.02, 10, 0.1, 0.7, 0.9
+TITLES = frozenset("h1 h2".split())
+# Share of a host's pages that a class must be on to be valid, and that a token must be on to be looked at;
+# shares of the varying text that the article holds, if its tag names it and if not.
+VALID, LEAST_SHARE, NAMED_SHARE, ARTICLE_SHARE = 0.5, 0.02, 0.5, 0.7
 
 
 def blocks_of(page: str) -> tuple[dict[str, int], list[tuple[str, bool, str]]]:
@@ -121,59 +123,69 @@ def _hash(*parts: object) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def deduce(tokens: pd.DataFrame) -> pd.DataFrame:
-    """The template of one host from its tokens: (path, fp, support, blocks, distinct_texts, pages)."""
-    pages = int(tokens["pages"].iloc[0])
-    host = tokens["host"].iloc[0]
-    if pages < LEAST_PAGES:
-        return pd.DataFrame({"host": [host], "article": [None]})
-    # equivalence classes: tokens with one occurrence vector; once: in each of its pages one time
-    elements = tokens[tokens["support"] > 0]
-    classes = [g for _, g in elements.groupby(["fp", "support"], sort=True) if int(g["support"].iloc[0]) >= 0.5 * pages]
-    # nest the valid classes: a class lies in the smallest one that holds an ancestor of each of its tokens
-    placed = {p: i for i, g in enumerate(classes) for p in g["path"]}
-    once = {p for g in classes for p, n in zip(g["path"], g["total"], strict=True) if n == g["support"].iloc[0]}
-    template = {p for p in placed if p.rpartition("/")[0] in placed or p.count("/") == 1}
-    slots = tokens[tokens["blocks"] > 0]
-    constant = [p for p, n, d in zip(slots["path"], slots["blocks"], slots["distinct_texts"], strict=True) if n >= LEAST_PAGES and d < VARIED * n]
-    varied = slots[~slots["path"].isin(constant)]
-    total = varied["distinct_texts"].sum()
-    best = None
-    for p in sorted(template & once, key=lambda p: (p.count("/"), p)):
-        below = varied["path"].eq(p) | varied["path"].str.startswith(p + "/")
-        if total and varied.loc[below, "distinct_texts"].sum() >= ARTICLE_SHARE * total and (best is None or p.startswith(best + "/")):
-            best = p
-    return pd.DataFrame({"host": [host], "article": [best]})
+def nested_classes(tokens: dict[str, tuple]) -> dict[str, tuple]:
+    """path -> occurrence vector of the tokens in the template: those of valid classes that nest.
 
+    tokens: path -> vector, any value that is equal for equal vectors. A class nests if the lowest
+    elements above its tokens that are not its own all lie in one class that nests, or there are none.
+    """
+    classes: dict[tuple, list[str]] = {}
+    for path, vector in tokens.items():
+        classes.setdefault(vector, []).append(path)
+    above: dict[tuple, tuple | None] = {}  # class -> the class that it lies in; missing where it lies in several
+    for vector, paths in classes.items():
+        found = set()
+        for path in paths:
+            up = path.rpartition("/")[0]
+            while up and tokens.get(up) == vector:
+                up = up.rpartition("/")[0]
+            found.add(tokens.get(up, ("rare", up)) if up else None)
+        found.discard(None)
+        if len(found) <= 1:
+            above[vector] = next(iter(found), None)
+    template = {}
+    for vector, paths in classes.items():
+        seen, at = set(), vector
+        while at is not None and at in above and at not in seen:
+            seen.add(at)
+            at = above[at]
+        if at is None:
+            template.update((p, vector) for p in paths)
+    return template
 
-def repeated_blocks(pages: DataFrame, html_column: str) -> DataFrame:
-    """(host, repeated): hashes of path and text of the blocks in REPEATED of a host's different pages.
 
-    Pages with equal blocks are one page; hosts with under LEAST_PAGES different pages have no row.
-    """
+def article_of(tokens: dict[str, tuple], pages: int, varied: dict[str, float]) -> str | None:
+    """The path of the article in a host's template, from its tokens (vector: hashes, support, total) and the characters of each slot's different texts."""
+    valid = {p: v for p, v in tokens.items() if v[-2] >= VALID * pages}
+    template = nested_classes(valid)
+    total = sum(varied.values())
+
+    def share(path: str) -> float:
+        return sum(n for p, n in varied.items() if p == path or p.startswith(path + "/")) / total if total else 0.0
+
+    once = sorted((p for p, v in template.items() if v[-1] == v[-2]), key=lambda p: (p.count("/"), p))
+    for p in once:
+        if p.rpartition("/")[2].split(".")[0] in ARTICLES and share(p) >= NAMED_SHARE:
+            return p
+    best = None
+    for p in once:
+        if (best is None or p.startswith(best + "/")) and share(p) >= ARTICLE_SHARE:
+            best = p
+    return best
 
-    def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            rows: list[list] = [[], [], []]
-            for host, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                said = [_hash(path, text) for path, bad, text in blocks_of(x.as_py() or "")[1] if not bad]
-                page = _hash(*said)
-                for b in (None, *dict.fromkeys(said)):  # null stands for the page itself
-                    for r, v in zip(rows, (host, page, b), strict=True):
-                        r.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *[pa.array(r, pa.int64()) for r in rows[1:]]], names=["host", "page", "block"])
 
-    found = pages.select("host", html_column).mapInArrow(blocks, "host string, page bigint, block bigint").distinct()
-    counted = found.groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counted.filter(F.col("block").isNull() & (F.col("n") >= LEAST_PAGES)).select("host", F.col("n").alias("different"))
-    often = counted.filter(F.col("block").isNotNull() & (F.col("n") >= REPEATED * LEAST_PAGES)).join(sizes, "host").filter(F.col("n") >= REPEATED * F.col("different"))
-    # at most the blocks of a page / REPEATED
-    return often.groupBy("host").agg(F.collect_list("block").alias("repeated"))
+def deduce(tokens: pd.DataFrame) -> pd.DataFrame:
+    """(host, article) of one host from its tokens: (path, fp1, fp2, support, total, blocks, varied, pages)."""
+    elements, slots = tokens[tokens["support"] > 0], tokens[tokens["blocks"] > 0]
+    vectors = {p: v for p, *v in elements[["path", "fp1", "fp2", "support", "total"]].itertuples(index=False)}
+    article = article_of({p: tuple(v) for p, v in vectors.items()}, int(tokens["pages"].iloc[0]), dict(zip(slots["path"], slots["varied"].tolist(), strict=True)))
+    return pd.DataFrame({"host": [tokens["host"].iloc[0]], "article": [article]})
 
 
 def templates(pages: DataFrame, key: str, html_column: str) -> DataFrame:
     """(host, article path or null) from pages with a host column; one row a host."""
 
+    @tidy
     def tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rows: list[list] = [[], [], [], [], []]
@@ -184,14 +196,16 @@ def templates(pages: DataFrame, key: str, html_column: str) -> DataFrame:
                         r.append(v)
                 for path, bad, text in blocks:
                     if not bad:
-                        for r, v in zip(rows, (host, path, None, None, _hash(text)), strict=True):
+                        for r, v in zip(rows, (host, path, None, len(text), _hash(text)), strict=True):
                             r.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), *[pa.array(r, pa.int64()) for r in rows[2:]]], names=["host", "path", "occurrence", "n", "said"])
 
     found = pages.select(F.col(key).alias("k"), "host", F.col(html_column).alias("h")).mapInArrow(tokens, "host string, path string, occurrence bigint, n bigint, said bigint")
+    # sums of 32 bits each can't overflow, and a page that is there twice counts twice for all its tokens
     counted = found.groupBy("host", "path").agg(
-        F.bit_xor("occurrence").alias("fp"), F.count("occurrence").alias("support"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-        F.count("said").alias("blocks"), F.approx_count_distinct("said").alias("distinct_texts"),
+        F.sum(F.col("occurrence").bitwiseAND(0xFFFFFFFF)).alias("fp1"), F.sum(F.shiftrightunsigned("occurrence", 32)).alias("fp2"),
+        F.count("occurrence").alias("support"), F.coalesce(F.sum(F.when(F.col("occurrence").isNotNull(), F.col("n"))), F.lit(0)).alias("total"),
+        F.count("said").alias("blocks"), (F.approx_count_distinct("said") * F.avg(F.when(F.col("said").isNotNull(), F.col("n")))).alias("varied"),
     )
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     # rare tokens can't be in a template, so a host has at most a few tokens a page / LEAST_SHARE rows here
@@ -204,35 +218,39 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
 
     Blocks of the article are joined in page order by two newlines; white space inside a block
     is one space; character references are decoded. Null and empty pages, and pages without
-    an article, have an empty text. Pages whose host shows too few pages, or that don't follow
-    its template, are cut by their elements alone. Null urls share one host. Repeated rows are
-    extracted each; an empty table gives no rows; other columns are not read.
+    an article, have an empty text. Pages that don't follow their host's template are cut by their
+    elements alone; the rules are the same for hosts of one page and of any number. Null
+    urls, and urls without a host, share one host. Repeated rows are extracted each; an empty table gives no
+    rows; other columns are not read.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     hosted = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html_column).alias("h"), host.alias("host"))
-    # written first, so that Spark knows its size when it picks the join
-    deduced = materialize(templates(hosted, "k", "h").join(repeated_blocks(hosted, "h"), "host", "left"), "templates")
+    # written first, so that Spark knows its size when it picks the join; a path a host
+    deduced = materialize(templates(hosted, "k", "h").filter("article is not null"), "templates")
 
+    @tidy
     def extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            texts = []
-            for x, article, repeated in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                texts.append("\n\n".join(main_blocks(x.as_py() or "", article, frozenset(repeated or ()))))
+            texts = ["\n\n".join(main_blocks(x.as_py() or "", article)) for x, article in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["k", "u", "text", "n_chars"])
 
-    joined = hosted.join(deduced, "host", "left").select("k", "u", "h", "article", "repeated")
+    joined = hosted.join(deduced, "host", "left").select("k", "u", "h", "article")
     kind = dict(pages.dtypes)[key]
     return joined.mapInArrow(extract, f"k {kind}, u string, text string, n_chars bigint").withColumnsRenamed({"k": key, "u": url})
 
 
-def main_blocks(page: str, article: str | None, repeated: frozenset[int]) -> list[str]:
-    """Texts of the blocks that remain once template text and what is outside the article are gone."""
-    _, blocks = blocks_of(page)
-    left = [(path, text) for path, bad, text in blocks if not bad]
-    marked = [(p, t) for p, t in left if any(s.split(".")[0] in ARTICLES for s in p.split("/"))]
-    if marked:  # the page names its article; the template can only take repeated blocks from it
-        inner = [t for p, t in marked if _hash(p, t) not in repeated]
-        return inner or [t for _, t in marked]
-    if article is not None and (inside := [(p, t) for p, t in left if p == article or p.startswith(article + "/")]):
-        left = inside
-    return [t for p, t in left if _hash(p, t) not in repeated]
+def main_blocks(page: str, article: str | None) -> list[str]:
+    """Texts of the blocks in the template's article, or, without it, in the elements that name themselves so, or in all."""
+    left = [(path, text) for path, bad, text in blocks_of(page)[1] if not bad]
+    tag = lambda path: path.rpartition("/")[2].split(".")[0]
+    if article is not None and any(p == article or p.startswith(article + "/") for p, _ in left):
+        # a title above an article that is not named by its tag belongs to it
+        named, above, begun, out = tag(article) in ARTICLES, article.rpartition("/")[0], False, []
+        for p, t in left:
+            inside = p == article or p.startswith(article + "/")
+            begun |= inside
+            if inside or not named and not begun and tag(p) in TITLES and p.startswith(above + "/"):
+                out.append(t)
+        return out
+    marked = [t for p, t in left if any(s.split(".")[0] in ARTICLES for s in p.split("/"))]
+    return marked or [t for _, t in left]

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns; brute force where SQL can't tell."""
 
+import html
 import random
 import re
 import zlib
@@ -563,7 +564,104 @@ def test_html_text_keeps_repeated_values_of_an_article(spark):
     pages += [page.format(h="Copied", p="The same text", n="c")] * 900
     df = spark.createDataFrame([(n, "http://a.org/x", h) for n, h in enumerate(pages)], "page_id bigint, url string, html string")
     by = {r["page_id"]: r["text"] for r in htmltext.extract_main_text(df).collect()}
-    assert by[4] == "Methods\n\nText 4\n\nn4" and by[500] == "Copied\n\nThe same text\n\nc"
+    assert by[4] == "Printed by us\n\nMethods\n\nText 4\n\nn4" and by[500] == "Printed by us\n\nCopied\n\nThe same text\n\nc"
+
+
+UNNAMED = "<html><body><div class=top><b>Site</b></div><div class=page><h1>Title {n}</h1><div class=body>{p}</div></div><div class=end><i>Read {m}</i></div></body></html>"
+
+
+def test_html_text_without_an_article_element(spark):
+    rng = random.Random(40)
+    rows = []
+    for host, pages in (("one", 1), ("nine", 9), ("ten", 10), ("equal", 12)):
+        for n in range(pages):
+            i = 0 if host == "equal" else n
+            paragraphs = [f"Body {i} {k} {words(random.Random(100 + i + k), 9)}" for k in range(4 + i % 3)]
+            rows.append((len(rows), f"http://{host}.org/{n}", UNNAMED.format(n=i, p="".join(f"<p>{x}</p>" for x in paragraphs), m=rng.randrange(3)), "\n\n".join([f"Title {i}", *paragraphs])))
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltext.extract_main_text(df.union(df.limit(1))).collect()}
+    assert all(got[k] == text for k, _, _, text in rows)
+
+
+def plain_article(pages):
+    """The article of a host by occurrence vectors written out, page by page."""
+    parsed = [htmltext.blocks_of(p) for p in pages]
+    vectors = {path: tuple(c.get(path, 0) for c, _ in parsed) for c, _ in parsed for path in c}
+    often = {p: v for p, v in vectors.items() if sum(x > 0 for x in v) >= 0.5 * len(pages)}
+    groups = {v: [p for p in often if often[p] == v] for v in often.values()}
+
+    def parent(v):
+        found = set()
+        for p in groups[v]:
+            parts = p.split("/")
+            tops = ["/".join(parts[:i]) for i in range(len(parts) - 1, 1, -1)]
+            outer = [t for t in tops if often.get(t) != v]
+            if outer:
+                found.add(often.get(outer[0], outer[0]))
+        return found
+
+    def nests(v):
+        up = parent(v)
+        return len(up) <= 1 and all(u in groups and u != v and nests(u) for u in up)
+
+    once = sorted((p for v in groups if set(v) <= {0, 1} and nests(v) for p in groups[v]), key=lambda p: (p.count("/"), p))
+    texts: dict = {}
+    for _, blocks in parsed:
+        for path, bad, text in blocks:
+            if not bad:
+                texts.setdefault(path, []).append(text)
+    inside = lambda a, p: p == a or p.startswith(a + "/")
+    varied = {p: len(set(t)) * sum(map(len, t)) / len(t) for p, t in texts.items()}
+    share = lambda a: sum(n for p, n in varied.items() if inside(a, p)) / max(1, sum(varied.values()))
+    named = [a for a in once if a.split("/")[-1].split(".")[0] in ("article", "main") and share(a) >= 0.5]
+    if named:
+        return named[0]
+    best = None
+    for a in once:
+        if (best is None or inside(best, a)) and share(a) >= 0.7:
+            best = a
+    return best
+
+
+def random_hosts(rng):
+    out = {}
+    for h in range(12):
+        shell = rng.choice(["<body><div class=a>{x}</div><p>end {n}</p></body>", "<body><main>{x}</main></body>", "<body><ul><li>q<li>r</ul><section><div>{x}</div></section><div class=z><i>t {n}</i></div></body>", "<article>{x}</article>"])
+        pages = []
+        for n in range(rng.randrange(1, 9)):
+            parts = [rng.choice(["<p>w {r}</p>", "<h2>head</h2>", "<table><tr><td>{r}<td>c</table>", "<div class=in><p>{r}</p></div>"]).replace("{r}", str(rng.randrange(50))) for _ in range(rng.randrange(1, 6))]
+            pages.append(shell.replace("{x}", "".join(parts)).replace("{n}", str(n)))
+        out[f"h{h}.org"] = pages
+    return out
+
+
+def test_templates_match_vectors_written_out(spark):
+    hosts = random_hosts(random.Random(41))
+    rows = [(i, h, p) for i, (h, p) in enumerate((h, p) for h, pages in hosts.items() for p in pages)]
+    df = spark.createDataFrame(rows, "k bigint, host string, h string")
+    got = {r["host"]: r["article"] for r in htmltext.templates(df, "k", "h").collect()}
+    want = {h: plain_article(pages) for h, pages in hosts.items()}
+    assert got == want and len({*want.values()}) > 3
+
+
+def test_occurrence_vectors_decide():
+    tokens = {p: (1, 1, 9, 9) for p in ("/html", "/html/body", "/html/body/div", "/html/body/i")} | {"/html/body/div/p": (7, 7, 9, 30)}
+    varied = {"/html/body/div/p": 30, "/html/body/i": 9}
+    assert htmltext.article_of(tokens, 9, varied) == "/html/body/div"
+    # with vectors that tell other classes, the same supports and counts give no such template
+    mixed = tokens | {"/html/body/div": (2, 2, 9, 9), "/html": (2, 2, 9, 9)}
+    assert htmltext.article_of(mixed, 9, varied) != "/html/body/div"
+
+
+def test_main_texts_of_pages_are_the_article_paragraphs(spark):
+    """The synthetic pages name their article, so a parser that knows its plain markup can tell what must come out."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in htmltext.extract_main_text(pages).collect()}
+    for r in pages.collect():
+        bodies = re.findall(r"<article[^>]*>(.*?)</article>", r["html"] or "", re.S)
+        if len(bodies) == 1 and not re.search(r"<(?!/?(?:p|h1|b|br|i|em|strong|a|span)\b)", bodies[0]):
+            parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", bodies[0])]
+            assert got[r["page_id"]] == "\n\n".join(x for x in parts if x)
 
 
 def test_boilerplate_lines_are_taken_out(spark):
