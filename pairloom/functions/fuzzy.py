@@ -22,65 +22,76 @@ def processed(text: str) -> str:
     return NOT_WORD.sub(" ", text).lower().strip()
 
 
-def plain(a: str, b: str) -> int:
-    return round(100 * sequence_ratio(a, b))
-
-
-def partial(a: str, b: str) -> int:
-    """Best ratio of the shorter text with windows of its length that the matching blocks suggest."""
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    if not short:
-        return 0 if long else 100
-    best = 0.0
-    for block in SequenceMatcher(None, short, long).get_matching_blocks():
-        start = max(0, block.b - block.a)
-        r = sequence_ratio(short, long[start : start + len(short)])
-        if r > 0.995:
-            return 100
-        best = max(best, r)
-    return round(100 * best)
-
-
-def _sorted(text: str) -> str:
-    return " ".join(sorted(processed(text).split()))
-
-
-def token_sort(a: str, b: str, score=plain) -> int:
-    x, y = _sorted(a), _sorted(b)
-    return score(x, y) if x and y else 0
-
-
-def token_set(a: str, b: str, score=plain) -> int:
-    """Best score among the shared words and the shared words with each side's own."""
-    x, y = set(processed(a).split()), set(processed(b).split())
-    if not x or not y:
-        return 0
-    both, one, two = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
-    first, second = f"{both} {one}".strip(), f"{both} {two}".strip()
-    return max(score(both, first), score(both, second), score(first, second))
-
-
-def qratio(a: str, b: str) -> int:
-    x, y = processed(a), processed(b)
-    return plain(x, y) if x and y else 0
-
-
-def wratio(a: str, b: str) -> int:
-    """Weighted best of the ratios; partial ones count where one text is half as long again as the other."""
-    x, y = processed(a), processed(b)
-    if not x or not y:
-        return 0
-    base, size = plain(x, y), max(len(x), len(y)) / min(len(x), len(y))
-    if size < 1.5:
-        return round(max(base, 0.95 * token_sort(x, y), 0.95 * token_set(x, y)))
-    scale = 0.6 if size > 8 else 0.9
-    return round(max(base, scale * partial(x, y), 0.95 * scale * token_sort(x, y, partial), 0.95 * scale * token_set(x, y, partial)))
+class Ratios:
+    """The ratios of one pair of texts; what several of them need is found once."""
+
+    def __init__(self, a: str, b: str):
+        self.a, self.b = a, b
+        self.x, self.y = processed(a), processed(b)
+        self.known: dict[tuple[bool, str, str], int] = {}
+
+    def plain(self, a: str, b: str) -> int:
+        key = (False, a, b)
+        if key not in self.known:
+            self.known[key] = 100 if a == b else round(100 * sequence_ratio(a, b))
+        return self.known[key]
+
+    def partial(self, a: str, b: str) -> int:
+        """Best ratio of the shorter text with windows of its length that the matching blocks suggest."""
+        key = (True, a, b)
+        if key not in self.known:
+            self.known[key] = self._partial(*((a, b) if len(a) <= len(b) else (b, a)))
+        return self.known[key]
+
+    def _partial(self, short: str, long: str) -> int:
+        if not short:
+            return 0 if long else 100
+        best, tried = 0.0, set()
+        for block in SequenceMatcher(None, short, long).get_matching_blocks():
+            start = max(0, block.b - block.a)
+            if start in tried:
+                continue
+            tried.add(start)
+            m = SequenceMatcher(None, short, long[start : start + len(short)])
+            if m.real_quick_ratio() <= best or m.quick_ratio() <= best:  # both bound the ratio from above
+                continue
+            best = max(best, m.ratio())
+            if best > 0.995:
+                return 100
+        return round(100 * best)
+
+    def qratio(self) -> int:
+        return self.plain(self.x, self.y) if self.x and self.y else 0
+
+    def token_sort(self, score) -> int:
+        x, y = (" ".join(sorted(t.split())) for t in (self.x, self.y))
+        return score(x, y) if x and y else 0
+
+    def token_set(self, score) -> int:
+        """Best score among the shared words and the shared words with each side's own."""
+        x, y = set(self.x.split()), set(self.y.split())
+        if not x or not y:
+            return 0
+        both, one, two = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+        first, second = f"{both} {one}".strip(), f"{both} {two}".strip()
+        return max(score(both, first), score(both, second), score(first, second))
+
+    def wratio(self) -> int:
+        """Weighted best of the ratios; partial ones count where one text is half as long again as the other."""
+        x, y = self.x, self.y
+        if not x or not y:
+            return 0
+        base, size = self.plain(x, y), max(len(x), len(y)) / min(len(x), len(y))
+        if size < 1.5:
+            return round(max(base, 0.95 * self.token_sort(self.plain), 0.95 * self.token_set(self.plain)))
+        scale = 0.6 if size > 8 else 0.9
+        return round(max(base, scale * self.partial(x, y), 0.95 * scale * self.token_sort(self.partial), 0.95 * scale * self.token_set(self.partial)))
 
 
 FUZZ = {
-    "fuzz_qratio": qratio, "fuzz_WRatio": wratio, "fuzz_partial_ratio": partial,
-    "fuzz_partial_token_set_ratio": lambda a, b: token_set(a, b, partial), "fuzz_partial_token_sort_ratio": lambda a, b: token_sort(a, b, partial),
-    "fuzz_token_set_ratio": token_set, "fuzz_token_sort_ratio": token_sort,
+    "fuzz_qratio": Ratios.qratio, "fuzz_WRatio": Ratios.wratio, "fuzz_partial_ratio": lambda r: r.partial(r.a, r.b),
+    "fuzz_partial_token_set_ratio": lambda r: r.token_set(r.partial), "fuzz_partial_token_sort_ratio": lambda r: r.token_sort(r.partial),
+    "fuzz_token_set_ratio": lambda r: r.token_set(r.plain), "fuzz_token_sort_ratio": lambda r: r.token_sort(r.plain),
 }
 
 
@@ -91,4 +102,4 @@ def diff_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in FUZZ]))
 def fuzzy(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([[f(x, y) for f in FUZZ.values()] for x, y in zip(a, b, strict=True)], columns=list(FUZZ)).astype("int32")
+    return pd.DataFrame([[f(r) for f in FUZZ.values()] for r in map(Ratios, a, b)], columns=list(FUZZ)).astype("int32")

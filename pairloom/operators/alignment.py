@@ -61,10 +61,13 @@ def text_context(s: list[dict], t: list[dict], i: int, j: int) -> list[tuple[int
     return [(k, m) for k in near(i, len(s)) for m in near(j, len(t))]
 
 
-def align(s: list[dict], t: list[dict], similarity: Similarity) -> set[tuple[int, int]]:
+def align(s: list[dict], t: list[dict], similarity: Similarity, faithful: bool = True) -> set[tuple[int, int]]:
     """Greedy alignment by dependency context, joined with one by text context.
 
-    Scores fall; ties go by (i, j). The text pass does not leave out what the first pass aligned.
+    Scores fall; ties go by (i, j); a pair needs some similar context. The text pass does not leave
+    out what the first pass aligned. In the dependency pass the context of a pair is aligned, too:
+    faithful does so for every scored pair, whether it was accepted or not, and then takes (i, j) and not the
+    context's tokens as used; otherwise only an accepted pair brings its context, whose tokens are then used.
     """
     sim = [[similarity(a, b) for b in t] for a in s]
 
@@ -72,18 +75,18 @@ def align(s: list[dict], t: list[dict], similarity: Similarity) -> set[tuple[int
         scored = []
         for i in range(len(s)):
             for j in range(len(t)):
-                if sim[i][j] > 0:
-                    around = [(k, m) for k, m in context(i, j) if sim[k][m] > 0]
-                    if around or not keep_context:
-                        scored.append((-(WORD_SHARE * sim[i][j] + (1 - WORD_SHARE) * sum(sim[k][m] for k, m in around)), i, j, around))
+                if sim[i][j] > 0 and (around := [(k, m) for k, m in context(i, j) if sim[k][m] > 0]):
+                    scored.append((-(WORD_SHARE * sim[i][j] + (1 - WORD_SHARE) * sum(sim[k][m] for k, m in around)), i, j, around))
         out, left, right = set(), set(), set()
         for _, i, j, around in sorted(scored, key=lambda x: x[:3]):
-            if i not in left and j not in right:
+            accepted = i not in left and j not in right
+            if accepted:
                 out.add((i, j)), left.add(i), right.add(j)
-                if keep_context:
-                    for k, m in around:
-                        if k not in left and m not in right:
-                            out.add((k, m)), left.add(k), right.add(m)
+            if keep_context and (accepted or faithful):
+                for k, m in around:
+                    if k not in left and m not in right:
+                        out.add((k, m))
+                        left.add(i if faithful else k), right.add(j if faithful else m)
         return out
 
     return greedy(lambda i, j: dependency_context(s, t, sim, i, j), True) | greedy(lambda i, j: text_context(s, t, i, j), False)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import char_ngrams, common, ngrams, only_stops, q_text, ratio, ratio_or_zero, split_words, tokenize, without_stops
+from pairloom.functions.grams import SIMHASH_KINDS, gram_overlaps, simhash_distances
+from pairloom.functions.text import common, ngrams, only_stops, q_text, ratio, ratio_or_zero, split_words, tokenize, without_stops
+from pairloom.sources.tables import spread
 
 QUESTION_WORDS = ("how", "what", "which", "who", "where", "when", "why")
 
@@ -117,48 +119,22 @@ def weighted_share_features(pairs: DataFrame) -> DataFrame:
     return out.withColumns({"word_match_ratio_2_root": F.sqrt("word_match_ratio_2"), "diff_stops_r": F.col("stops1_ratio") - F.col("stops2_ratio")})
 
 
-def simhash_halves(grams: Column) -> Column:
-    """The 64-bit simhash of a gram array as two 32-bit halves; an empty array gives zeros."""
-    half = lambda at: F.transform(grams, lambda g: F.conv(F.substring(F.md5(g.cast("binary")), at, 8), 16, 10).cast("bigint"))
-
-    def fold(h: Column) -> Column:
-        # as a lambda's variable the hashes are made once, not once a bit
-        return F.element_at(F.transform(F.array(h), folded), 1)
-
-    def folded(h: Column) -> Column:
-        bits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.aggregate(h, F.lit(0), lambda s, x: s + 2 * F.call_function("getbit", x, b).cast("int") - 1))
-        return F.aggregate(F.transform(bits, lambda s, i: F.when(s > 0, F.expr("1L") * F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, x: s + x)
-
-    return F.array(fold(half(17)), fold(half(25)))
-
-
 def simhash_features(pairs: DataFrame) -> DataFrame:
     """Hamming distances of simhashes over tokens, word and character n-grams."""
-    p = with_texts(pairs).select("pair_id", without_stops(tokenize(F.col("a"), lower=False)).alias("k1"), without_stops(tokenize(F.col("b"), lower=False)).alias("k2"))
-    p = p.withColumns({"c1": F.array_join("k1", " "), "c2": F.array_join("k2", " ")})
-    kinds = {"tokenize": lambda i: F.col(f"k{i}"), "word_2gram": lambda i: ngrams(F.col(f"k{i}"), 2), "char_2gram": lambda i: char_ngrams(F.col(f"c{i}"), 2), "word_3gram": lambda i: ngrams(F.col(f"k{i}"), 3), "char_3gram": lambda i: char_ngrams(F.col(f"c{i}"), 3)}
-    halves = p.select("pair_id", *[simhash_halves(grams(i)).alias(f"{name}_{i}") for name, grams in kinds.items() for i in (1, 2)])
-    distance = lambda name: sum(F.bit_count(F.element_at(f"{name}_1", k).bitwiseXOR(F.element_at(f"{name}_2", k))) for k in (1, 2))
-    return halves.select("pair_id", *[distance(name).alias(f"simhash_{name}_distance") for name in kinds])
-
-
-def shared_copies(x: Column, y: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    count = lambda g, grams: F.size(F.filter(grams, lambda o: o == g))
-    return F.aggregate(F.transform(F.array_intersect(x, y), lambda g: F.least(count(g, x), count(g, y))), F.lit(0), lambda s, v: s + v)
+    p = spread(with_texts(pairs).select("pair_id", without_stops(tokenize(F.col("a"), lower=False)).alias("k1"), without_stops(tokenize(F.col("b"), lower=False)).alias("k2")))
+    found = p.select("pair_id", simhash_distances("k1", "k2").alias("d"))
+    return found.select("pair_id", *[F.col(f"d.{name}").alias(f"simhash_{name}_distance") for name in SIMHASH_KINDS])
 
 
 def char_jaccard_features(pairs: DataFrame) -> DataFrame:
     """Set and multiset Jaccard of character 1- to 3-grams of the lower-case text; 0 where a trigram denominator is 0."""
-    p = with_texts(pairs, "").select("pair_id", F.lower("a").alias("a"), F.lower("b").alias("b"))
+    p = spread(with_texts(pairs, "").select("pair_id", F.lower("a").alias("a"), F.lower("b").alias("b"))).select("pair_id", gram_overlaps("a", "b").alias("n"))
     cols = {}
     for name, n in (("unigram", 1), ("bigram", 2), ("trigram", 3)):
-        x, y = char_ngrams(F.col("a"), n), char_ngrams(F.col("b"), n)
-        low = shared_copies(x, y)
-        both = F.size(x) + F.size(y)
+        shared, either, low, total = (F.col(f"n.{what}{n}") for what in ("shared", "either", "low", "total"))
         div = ratio_or_zero if n == 3 else ratio
-        cols[f"{name}_jaccard"] = div(common(x, y), F.size(F.array_union(x, y)))
-        cols[f"{name}_all_jaccard"] = div(low, both)
-        cols[f"{name}_all_jaccard_max"] = div(low, both - low)
+        cols[f"{name}_jaccard"] = div(shared, either)
+        cols[f"{name}_all_jaccard"] = div(low, total)
+        cols[f"{name}_all_jaccard_max"] = div(low, total - low)
     cols["bigram_jaccard"] = F.least(F.lit(1.0), F.greatest(F.lit(-1.478751), cols["bigram_jaccard"]))
     return p.select("pair_id", *[c.alias(n) for n, c in cols.items()])

@@ -3,7 +3,6 @@
 from pairloom.plans.lexical_sql import EMPTY_TEXTS, STOPS, TEXTS, chars, div, nostops, pairs_sql, tokens
 
 DIMS = 64
-N_VECTORS = 500
 UNPIVOT = "SELECT pair_id, 1 AS side, a AS text FROM x UNION ALL SELECT pair_id, 2, b FROM x"
 # Stand-in scores for rules and metrics: a fixed function of the pair.
 SCORE = "((pair_id * 7919 + 13) % 1000)::DOUBLE / 1000"
@@ -39,6 +38,17 @@ _EDGE = "SELECT coalesce(question1,'{n}') AS src, coalesce(question2,'{n}') AS d
 SIMPLE, MULTI = _EDGE.format(n="", a=""), _EDGE.format(n="", a="ALL")
 STEPS = 5
 
+
+
+def _pagerank(steps: int) -> str:
+    step = "r{i} AS MATERIALIZED (SELECT dst AS node, 0.15/(SELECT count(*) FROM dg)+0.85*sum(pr/d) AS pr FROM ed JOIN dg USING (src) JOIN r{j} ON src=node GROUP BY dst)"
+    return pairs_sql(
+        f"SELECT pair_id, round(r1.pr, 9) AS q1_pr, round(r2.pr, 9) AS q2_pr FROM pairs JOIN r{steps} r1 ON coalesce(question1,'')=r1.node JOIN r{steps} r2 ON coalesce(question2,'')=r2.node",
+        f"ed AS MATERIALIZED ({MULTI})", "dg AS MATERIALIZED (SELECT src, count(*) AS d FROM ed GROUP BY src)", "r0 AS (SELECT src AS node, 1.0::DOUBLE/(SELECT count(*) FROM dg) AS pr FROM dg)",
+        *[step.format(i=i, j=i - 1) for i in range(1, steps + 1)],
+    )
+
+
 SQL = {
     "pair_tfidf": pairs_sql(
         "SELECT p.pair_id, " + ", ".join(f"round(coalesce({f}, 0), 6) AS tfidf_{n}{i}" if n != "len" else f"coalesce({f}, 0) AS tfidf_{n}{i}" for i in (1, 2) for n, f in (("sum", f"sum(wt) FILTER (side={i})"), ("mean", f"avg(wt) FILTER (side={i})"), ("len", f"count(wt) FILTER (side={i})"))) + " FROM pairs p LEFT JOIN u USING (pair_id) GROUP BY p.pair_id",
@@ -53,11 +63,8 @@ SQL = {
         "g AS (SELECT src, dst, CASE WHEN len(w1)=0 OR len(w2)=0 THEN 0 ELSE " + div("2*len(list_intersect(w1,w2))", "len(w1)+len(w2)") + " END AS w FROM dm)", "tt AS (SELECT src, sum(w) AS total FROM g GROUP BY src)",
         "h AS (SELECT pair_id, count(*) AS k, sum(g1.w+g2.w) AS sw FROM x JOIN g g1 ON x.a=g1.src JOIN g g2 ON x.b=g2.src AND g1.dst=g2.dst GROUP BY pair_id)",
     ),
-    "graph_pagerank": pairs_sql(
-        f"SELECT pair_id, round(r1.pr, 9) AS q1_pr, round(r2.pr, 9) AS q2_pr FROM pairs JOIN r{STEPS} r1 ON coalesce(question1,'')=r1.node JOIN r{STEPS} r2 ON coalesce(question2,'')=r2.node",
-        f"ed AS ({MULTI})", "dg AS (SELECT src, count(*) AS d FROM ed GROUP BY src)", "r0 AS (SELECT src AS node, 1.0::DOUBLE/(SELECT count(*) FROM dg) AS pr FROM dg)",
-        *[f"r{i} AS (SELECT dst AS node, 0.15/(SELECT count(*) FROM dg)+0.85*sum(pr/d) AS pr FROM ed JOIN dg USING (src) JOIN r{i - 1} ON src=node GROUP BY dst)" for i in range(1, STEPS + 1)],
-    ),
+    "graph_pagerank": _pagerank(STEPS),
+    "graph_pagerank_40": _pagerank(40),
     "graph_triangles": pairs_sql(
         "SELECT p.pair_id, count(h.n) AS triangles FROM pairs p LEFT JOIN h USING (pair_id) GROUP BY p.pair_id", f"ed AS (SELECT * FROM ({SIMPLE}) WHERE src <> dst)",
         "h AS (SELECT pair_id, e1.dst AS n FROM pairs JOIN ed e1 ON question1=e1.src JOIN ed e2 ON question2=e2.src AND e1.dst=e2.dst WHERE question1 <> question2)",
@@ -97,11 +104,11 @@ SQL["sequence_encode"] = pairs_sql(
     TEXTS, f"s AS ({UNPIVOT})", SQL["sequence_vocabulary"][SQL["sequence_vocabulary"].index("v AS ("):SQL["sequence_vocabulary"].rindex("\n")],
     "vv AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS word_id FROM v GROUP BY word)", "ll AS (SELECT pair_id, list(word_id ORDER BY loc) FILTER (side=1) AS l1, list(word_id ORDER BY loc) FILTER (side=2) AS l2 FROM v JOIN vv USING (word) GROUP BY pair_id)",
 )
-_VEC = "(('0x'||substr(md5(word),17,8))::BIGINT % 500)"
+_VEC = "(('0x'||substr(md5(word),17,8))::BIGINT % (SELECT count(*) FROM embeddings))"
 SQL["pair_embedding"] = pairs_sql(
     "SELECT p.pair_id, " + "round(coalesce(1-dot, NULL), 5) AS emb_cosine_distance, round(coalesce(l1, 0), 4) AS emb_cityblock_distance, round(coalesce(l2, 0), 5) AS emb_euclidean_distance FROM pairs p LEFT JOIN dd USING (pair_id)",
     TEXTS, f"s AS ({UNPIVOT})", f"wd AS (SELECT pair_id, side, unnest(list_filter({nostops(tokens('text'))}, lambda w: regexp_matches(w, '^\\p{{L}}+$'))) AS word FROM s)",
-    "ve AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)", f"sv AS (SELECT pair_id, side, i, sum(v) AS v FROM wd JOIN ve ON vec_id={_VEC} GROUP BY ALL)",
+    "ve AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)", f"wv AS MATERIALIZED (SELECT pair_id, side, {_VEC} AS vid FROM wd)", "sv AS (SELECT pair_id, side, i, sum(v) AS v FROM wv JOIN ve ON vec_id=vid GROUP BY ALL)",
     "nv AS (SELECT pair_id, side, i, v/sqrt(sum(v*v) OVER (PARTITION BY pair_id, side)) AS v FROM sv)",
     "dd AS (SELECT pair_id, CASE WHEN max(f.v) IS NULL OR max(g.v) IS NULL THEN NULL ELSE sum(coalesce(f.v,0)*coalesce(g.v,0)) END AS dot, sum(abs(coalesce(f.v,0)-coalesce(g.v,0))) AS l1, sqrt(sum((coalesce(f.v,0)-coalesce(g.v,0))*(coalesce(f.v,0)-coalesce(g.v,0)))) AS l2 FROM (SELECT * FROM nv WHERE side=1) f FULL JOIN (SELECT * FROM nv WHERE side=2) g USING (pair_id, i) GROUP BY pair_id)",
 )
@@ -117,6 +124,18 @@ def _round(i: int, edge: str, change: str, limit: str) -> tuple[str, str]:
 _UP = ("(split='train' AND is_duplicate=1) OR (split='test' AND p>0.5)", "p+least(0.2,(0.98-p)/2)", "p<0.98")
 _DOWN = ("(split='train' AND is_duplicate=0) OR (split='test' AND p<0.1)", "p-least(0.2,(p-0.01)/2)", "p>0.01")
 SQL["transitivity"] = pairs_sql("SELECT pair_id, round(p, 9) AS p FROM k4 WHERE split='test'", SCORED, "k0 AS (SELECT * FROM sc)", *_round(1, *_UP), *_round(2, *_UP), *_round(3, *_DOWN), *_round(4, *_DOWN))
+# the weight at which the mean of the moved scores is the target, by bisection
+_MOVED = "w*p/(w*p+(1-w)*(1-p))"
+SQL["mean_matching"] = pairs_sql(
+    f"SELECT pair_id, round({_MOVED}, 6) AS p FROM sc, (SELECT (lo+hi)/2 AS w FROM bs WHERE i=48)",
+    SCORED, "bs AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi UNION ALL SELECT i+1, CASE WHEN m<0.3 THEN w ELSE lo END, CASE WHEN m<0.3 THEN hi ELSE w END FROM "
+    f"(SELECT i, lo, hi, w, avg({_MOVED}) AS m FROM (SELECT i, lo, hi, (lo+hi)/2 AS w FROM bs WHERE i<48), sc GROUP BY ALL))",
+)
+SQL["oversampled"] = pairs_sql(
+    "SELECT pair_id, is_duplicate, unnest(range(1, c+1))::INT AS copy FROM (SELECT pair_id, is_duplicate, CASE WHEN is_duplicate=0 THEN greatest(floor(times+(('0x'||substr(md5(pair_id||':2017'),17,8))::BIGINT % 1000000)/1000000.0::DOUBLE)::INT, 1) ELSE 1 END AS c FROM tr, nt)",
+    "tr AS (SELECT * FROM pairs WHERE split='train')", "nt AS (SELECT greatest(1.0::DOUBLE, sum((is_duplicate=1)::INT)*(1-0.05::DOUBLE)/0.05::DOUBLE/greatest(1, sum((is_duplicate=0)::INT))) AS times FROM tr)",
+)
+SQL["mean_matching"] = SQL["mean_matching"].replace("WITH ", "WITH RECURSIVE ", 1)
 SQL["pair_surface"] = pairs_sql(
     "SELECT pair_id, " + ", ".join(f"least(len(list_filter({x}, lambda w: regexp_matches(w, '^\\p{{Lu}}') AND NOT list_contains(list_transform({y}, lambda v: lower(v)), lower(w)))), 3)::INT AS {n}_unmatch_ner" for x, y, n in (("s", "t", "S"), ("t", "s", "T"))) + f", abs(len(s)-len(t))::INT AS len_dif, round({div('2*abs(len(s)-len(t))', 'len(s)+len(t)')}, 6) AS len_dif_p FROM y",
     "y AS (SELECT pair_id, " + tokens("coalesce(question1, 'Null')", False) + " AS s, " + tokens("coalesce(question2, 'Null')", False) + " AS t FROM pairs)",

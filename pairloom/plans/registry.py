@@ -12,7 +12,7 @@ from pairloom.functions.vectors import distances, kurtosis, skewness
 from pairloom.operators import alignment, graph, lexical, modeling, neural, postprocess, sequences, vector_features
 from pairloom.plans import lexical_sql, more_sql
 from pairloom.sources.pairs import pairs_from_documents
-from pairloom.sources.tables import shared_table
+from pairloom.sources.tables import shared_table, spread
 
 DIMS = 64
 
@@ -39,16 +39,18 @@ def scored(pairs: DataFrame) -> DataFrame:
 def word_vectors(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
     """(word, vec): each word takes a row of the table embeddings by its hash, which stands in for trained vectors."""
     words = vector_features.sides(pairs).select(F.explode(F.array_union(F.split(F.lower("text"), r"\s+"), F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))).alias("word")).distinct()
-    ids = words.withColumn("vec_id", F.conv(F.substring(F.md5(F.col("word").cast("binary")), 17, 8), 16, 10).cast("bigint") % 500)
-    return ids.join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id").select("word", F.col("embedding").alias("vec"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vec"))
+    size = max(1, vectors.count())  # ids run from 0 to it
+    ids = words.withColumn("vec_id", F.conv(F.substring(F.md5(F.col("word").cast("binary")), 17, 8), 16, 10).cast("bigint") % size)
+    return ids.join(vectors, "vec_id").select("word", "vec")
 
 
 def fuzzy_features(pairs: DataFrame) -> DataFrame:
-    return pairs.select("pair_id", fuzzy(q_text("question1"), q_text("question2")).alias("f")).select("pair_id", "f.*")
+    return spread(pairs.select("pair_id", "question1", "question2")).select("pair_id", fuzzy(q_text("question1"), q_text("question2")).alias("f")).select("pair_id", "f.*")
 
 
 def difflib_features(pairs: DataFrame) -> DataFrame:
-    return pairs.select("pair_id", diff_ratios(q_text("question1"), q_text("question2")).alias("diff_ratios"))
+    return spread(pairs.select("pair_id", "question1", "question2")).select("pair_id", diff_ratios(q_text("question1"), q_text("question2")).alias("diff_ratios"))
 
 
 def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,16 +130,16 @@ def stacked_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mean_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postprocess.match_mean(scored(pairs_from_documents(spark, sf_dir)), "p", 0.3).select("pair_id", "p")
+    return rounded(postprocess.match_mean(scored(pairs_from_documents(spark, sf_dir)), "p", 0.3).select("pair_id", "p"))
 
 
 def neural_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forward passes of the three networks with seeded weights, and of the two with a feature branch."""
     pairs = pairs_from_documents(spark, sf_dir)
-    vocab = sequences.vocabulary(pairs)
+    vocab = shared_table(sequences.vocabulary(pairs), "vocabulary")
     extra = lexical.length_features(pairs).select("pair_id", *[(F.col(c) / 100).alias(c) for c in ("char_len1", "char_len2", "word_len1", "word_len2")])
     seqs = shared_table(sequences.encode(pairs, vocab).join(extra, "pair_id"), "sequences")
-    table = np.random.default_rng(7).normal(0, 0.1, (20_000, 16))
+    table = np.random.default_rng(7).normal(0, 0.1, (vocab.count() + 1, 16))  # a row a word of the bounded vocabulary
     table[0] = 0
     names = ["char_len1", "char_len2", "word_len1", "word_len2"]
     nets = {"lstm": (neural.LstmConcat(table, 8), None), "lstm_features": (neural.LstmConcat(table, 8, 4), names), "attention": (neural.DecomposableAttention(table, 8, 500), None), "attention_features": (neural.DecomposableAttention(table, 8, 500, 4), names), "cnn": (neural.Convolutions(table, (8, 8, 8, 8, 4, 4)), None)}
@@ -219,7 +221,7 @@ MODELS = {
 }
 RULES = {
     "pair_surface": on_pairs(lambda p: alignment.surface_features(alignment.annotated_simply(p))),
-    "pair_alignment": on_pairs(lambda p: alignment.alignment_features(alignment.annotated_simply(p))),
+    "pair_alignment": on_pairs(lambda p: alignment.alignment_features(alignment.annotated_simply(spread(p)))),
     "transitivity": on_pairs(lambda p: postprocess.transitivity(scored(p)), 9),
     "implied_labels": on_pairs(postprocess.implied_labels),
 }

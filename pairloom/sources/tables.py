@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and even work for dear row-wise features."""
 
 from __future__ import annotations
 
@@ -9,8 +9,20 @@ from pyspark.sql import DataFrame
 
 
 def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir (a local folder where that is unset) and read back."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", "") or f"{tempfile.gettempdir()}/pairloom-shared"
-    path = f"{base.rstrip('/')}/pairloom/{label}-{uuid.uuid4().hex}"
+    """df written as Parquet under spark.checkpoint.dir and read back.
+
+    Where that is unset, one machine may use its own temp folder; a cluster must name one.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(base or tempfile.gettempdir() + '/pairloom-shared').rstrip('/')}/pairloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over the cores: short rows that are dear to compute would share a few tasks by their bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -1,6 +1,7 @@
 """Micro fixtures for the pair features: overlap, empty and null sides, stop words only, self pairs."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,8 +58,42 @@ def test_simhash(pairs):
 
 
 def test_fuzzy_ratios():
-    assert fuzzy.qratio("New York", "new york!") == 100 and fuzzy.token_sort("b a", "a b") == 100 and fuzzy.token_set("a b c", "a b") == 100
-    assert fuzzy.partial("york", "new york city") == 100 and fuzzy.qratio("", "x") == 0 and fuzzy.wratio("abc def", "def abc") == 95
+    ratio = lambda name, a, b: fuzzy.FUZZ[f"fuzz_{name}"](fuzzy.Ratios(a, b))
+    assert ratio("qratio", "New York", "new york!") == 100 and ratio("token_sort_ratio", "b a", "a b") == 100 and ratio("token_set_ratio", "a b c", "a b") == 100
+    assert ratio("partial_ratio", "york", "new york city") == 100 and ratio("qratio", "", "x") == 0 and ratio("WRatio", "abc def", "def abc") == 95
+
+
+def test_fuzzy_ratios_match_plain_definitions():
+    """Every ratio written out without shortcuts, on random texts."""
+    from difflib import SequenceMatcher
+
+    def plain(a, b):
+        return round(100 * SequenceMatcher(None, a, b).ratio())
+
+    def partial(a, b):
+        a, b = sorted((a, b), key=len)
+        if not a:
+            return 0 if b else 100
+        found = [SequenceMatcher(None, a, b[max(0, m.b - m.a) :][: len(a)]).ratio() for m in SequenceMatcher(None, a, b).get_matching_blocks()]
+        return 100 if max(found) > 0.995 else round(100 * max(found))
+
+    def tokens(a, b, score, sets):
+        x, y = (fuzzy.processed(t).split() for t in (a, b))
+        if not x or not y:
+            return 0
+        if not sets:
+            return score(" ".join(sorted(x)), " ".join(sorted(y)))
+        parts = [" ".join(sorted(s)) for s in (set(x) & set(y), set(x) - set(y), set(y) - set(x))]
+        full = [f"{parts[0]} {p}".strip() for p in parts[1:]]
+        return max(score(parts[0], full[0]), score(parts[0], full[1]), score(*full))
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = (" ".join(rng.choice(["new", "york", "City?", "of", "A", "cityof", "ynew", "--"]) for _ in range(rng.randrange(0, 9))) for _ in range(2))
+        got = {n: f(fuzzy.Ratios(a, b)) for n, f in fuzzy.FUZZ.items()}
+        assert got["fuzz_partial_ratio"] == partial(*((a, b) if len(a) <= len(b) else (b, a)))
+        assert got["fuzz_token_sort_ratio"] == tokens(a, b, plain, False) and got["fuzz_token_set_ratio"] == tokens(a, b, plain, True)
+        assert got["fuzz_partial_token_sort_ratio"] == tokens(a, b, partial, False) and got["fuzz_partial_token_set_ratio"] == tokens(a, b, partial, True)
 
 
 def test_graph_rules(spark):
@@ -129,6 +164,56 @@ def test_mean_matching_and_folds(spark):
     assert m["auc"] == m["f1"] == 1.0 and m["log_loss"] == pytest.approx(-math.log(0.9))
 
 
+def written_out(s, t, sim, faithful):
+    """The alignment as plain loops over all pairs."""
+    value = {(i, j): sim(s[i], t[j]) for i in range(len(s)) for j in range(len(t))}
+    out = set()
+    for by_text in (False, True):
+        found = []
+        for (i, j), v in value.items():
+            if by_text:
+                near = [(k, m) for (k, m) in value if 0 < abs(k - i) <= 3 and 0 < abs(m - j) <= 3]
+            else:
+                near = alignment.dependency_context(s, t, [[value[a, b] for b in range(len(t))] for a in range(len(s))], i, j)
+            total = sum(value[c] for c in near)
+            if v > 0 and total > 0:
+                found.append((0.75 * v + 0.25 * total, i, j, [c for c in near if value[c] > 0]))
+        used = [], []
+        for _, i, j, near in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
+            free = i not in used[0] and j not in used[1]
+            if free:
+                out.add((i, j))
+                used[0].append(i), used[1].append(j)
+            if by_text or not (free or faithful):
+                continue
+            for k, m in near:
+                if k not in used[0] and m not in used[1]:
+                    out.add((k, m))
+                    used[0].append(i if faithful else k)
+                    used[1].append(j if faithful else m)
+    return out
+
+
+def test_alignment_modes_match_loops_written_out():
+    rng = random.Random(8)
+    sim = alignment.Similarity({("v", "chase", "hunt")}, {("mice", "rats")})
+    different = 0
+
+    def sentence():
+        n = rng.randrange(0, 7)
+        out = [{"word": w, "lemma": w, "pos": rng.choice(["NN", "VB"]), "deps": {}, "ner": "O"} for w in rng.choices(["cat", "chase", "hunt", "mice", "rats", "dog"], k=n)]
+        for i in range(1, n):
+            out[i]["deps"][rng.randrange(i)] = rng.choice(["subj", "obj"])
+        return out
+
+    for _ in range(400):
+        s, t = sentence(), sentence()
+        for faithful in (True, False):
+            assert alignment.align(s, t, sim, faithful) == written_out(s, t, sim, faithful)
+        different += alignment.align(s, t, sim, True) != alignment.align(s, t, sim, False)
+    assert different
+
+
 def test_alignment():
     token = lambda w, pos, deps=None: {"word": w, "pos": pos, "ner": "O", "deps": deps or {}}
     s = [token("cats", "NNS", {}), token("chase", "VBP", {0: "nsubj", 2: "dobj"}), token("mice", "NNS")]
@@ -136,7 +221,9 @@ def test_alignment():
     sim = alignment.Similarity({("v", "chase", "hunt")}, {("mice", "rats")})
     assert alignment.align(s, t, sim) == {(0, 0), (1, 1), (2, 2)}
     got = alignment.sentence_features(s, t, alignment.Similarity())
-    assert got["sem_sim"] == pytest.approx(1 / 3) and got["S_unmatch_n"] == 1 and got["S_unmatch_n_p"] == 0.5 and got["S_unmatch_v"] == 1
+    # the only equal words have no similar words around them, without which nothing is aligned
+    assert got["sem_sim"] == 0 and got["S_unmatch_n"] == 1 and got["S_unmatch_n_p"] == 0.5 and got["S_unmatch_v"] == 1
+    assert alignment.sentence_features(s, t, sim)["sem_sim"] == 1
     assert alignment.sentence_features(None, t, sim)["sem_sim"] is None and alignment.sentence_features([], t, sim)["S_sem_sim"] is None
 
 
