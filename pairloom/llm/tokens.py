@@ -28,7 +28,7 @@ from pairloom.llm.common import tidy
 SPACE = "▁"
 CHUNKS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 # Bounds of a Python worker's caches: entries, and characters of a chunk that is kept.
-KEPT_CHUNKS, KEPT_PREFIXES, KEPT_PAIRS, SHORT = 200_000, 300_000, 300_000, 48
+KEPT_CHUNKS, KEPT_PREFIXES, KEPT_PAIRS, SHORT = 300_000, 500_000, 500_000, 48
 
 
 class _Totals(dict):
