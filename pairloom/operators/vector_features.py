@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.text import char_ngrams, q_text, ratio, split_words, stop_array, tokenize, without_stops
 from pairloom.functions.vectors import distances, kurtosis, skewness, total, unit
+from pairloom.operators.spectral import BUCKETS, bucket, projected, truncated_svd
+from pairloom.sources.tables import shared_table
 
 
 def sides(pairs: DataFrame, null_as: str = "nan") -> DataFrame:
@@ -168,33 +170,31 @@ def wmd_features(pairs: DataFrame, vectors: DataFrame, name: str) -> DataFrame:
     return pairs.select("pair_id").join(got, "pair_id", "left").na.fill(math.inf)
 
 
-def svd_features(pairs: DataFrame, k: int = 20, buckets: int = 1024) -> DataFrame:
-    """Distances of both questions in a shared truncated SVD basis, and the first two components of the joint one.
+def svd_points(pairs: DataFrame, k: int = 100, buckets: int = BUCKETS) -> DataFrame:
+    """(pair_id, joint, p1, p2): coordinates of the joined term counts of both questions, and of each in one shared basis.
 
-    Term counts are hashed; the basis comes from the Gram matrix, summed in the cluster.
+    Terms are hashed into buckets; the joined rows have twice as many.
     """
-    from pyspark.ml.feature import HashingTF
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    rows = pairs.select("pair_id", *[F.transform(split_words(q_text(f"question{i}", "")), lambda w: bucket(w, buckets)).alias(f"i{i}") for i in (1, 2)])
+    rows = shared_table(rows.withColumn("both", F.concat("i1", F.transform("i2", lambda x: x + buckets))), "term_places")
+    stacked = rows.select(F.explode(F.array("i1", "i2")).alias("ids"))
+    joint, shared = truncated_svd(rows, "both", 2 * buckets, k), truncated_svd(stacked, "ids", buckets, k)
+    out = projected(projected(projected(rows, "both", joint, "joint"), "i1", shared, "p1"), "i2", shared, "p2")
+    return shared_table(out.select("pair_id", "joint", "p1", "p2"), "svd_points")
 
-    tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=buckets)
-    rows = tf.transform(sides(pairs, "").select("pair_id", "side", split_words(F.col("text")).alias("words")))
-    basis = RowMatrix(rows.select("tf").rdd.map(lambda r: OldVectors.fromML(r["tf"]))).computeSVD(k).V.toArray()
-    shared = pairs.sparkSession.sparkContext.broadcast(basis)  # buckets x k numbers
 
-    @F.pandas_udf("array<double>")
-    def project(words: pd.Series) -> pd.Series:
-        return pd.Series([(np.asarray(w, float) @ shared.value).tolist() for w in words])
+def svd_features(pairs: DataFrame, k: int = 100, buckets: int = BUCKETS, faithful: bool = True) -> DataFrame:
+    """The first components of the joined decomposition, and distances of both questions in the shared basis.
 
-    from pyspark.ml.functions import vector_to_array
-
-    points = rows.select("pair_id", "side", project(vector_to_array("tf")).alias("p"))
-    side = lambda i: points.filter(F.col("side") == i).select("pair_id", F.col("p").alias(f"p{i}"))
-    both = side(1).join(side(2), "pair_id")
+    The reference fills both component columns with the first one; faithful=False gives the second its own.
+    The Euclidean distance is a mean of squares without a root, and a zero vector has cosine distance 1.
+    """
+    points = svd_points(pairs, k, buckets)
+    k = min(k, buckets)
     dot = lambda x, y: total(F.zip_with(x, y, lambda a, b: a * b))
     den = F.sqrt(dot(F.col("p1"), F.col("p1"))) * F.sqrt(dot(F.col("p2"), F.col("p2")))
-    return both.select(
-        "pair_id", (F.col("p1")[0] + F.col("p2")[0]).alias("m_q1_q2_tf_svd0"), (F.col("p1")[1] + F.col("p2")[1]).alias("m_q1_q2_tf_svd1"),
+    return points.select(
+        "pair_id", F.col("joint")[0].alias("m_q1_q2_tf_svd0"), F.col("joint")[0 if faithful else 1].alias("m_q1_q2_tf_svd1"),
         (total(F.zip_with("p1", "p2", lambda a, b: (a - b) * (a - b))) / k).alias("m_vstack_svd_q1_q1_euclidean"),
         (1 - F.coalesce(ratio(dot(F.col("p1"), F.col("p2")), den), F.lit(0.0))).alias("m_vstack_svd_q1_q1_cosine"),
     )

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.fuzzy import diff_ratios, fuzzy
 from pairloom.functions.text import q_text
 from pairloom.functions.vectors import distances, kurtosis, skewness
-from pairloom.operators import alignment, graph, lexical, modeling, neural, postprocess, sequences, vector_features
+from pairloom.operators import alignment, graph, lexical, modeling, neural, postprocess, sequences, term_blocks, vector_features
 from pairloom.plans import lexical_sql, more_sql
-from pairloom.sources.pairs import pairs_from_documents
-from pairloom.sources.tables import shared_table, spread
+from pairloom.sources.pairs import pairs_from_documents, read_features, write_features
+from pairloom.sources.tables import shared_folder, shared_table, spread
 
 DIMS = 64
+#: Boosting rounds of the base models in the stack.
+STACK_ROUNDS = 10
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -23,8 +28,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def on_pairs(feature, digits: int = 6):
-    """A query that applies a pair feature to the derived pair table."""
-    return lambda spark, sf_dir: rounded(feature(pairs_from_documents(spark, sf_dir)), digits)
+    """A query that applies a pair feature to the derived pair table, or to a given one."""
+    return lambda spark, sf_dir, pairs=None: rounded(feature(pairs_from_documents(spark, sf_dir) if pairs is None else pairs), digits)
 
 
 def score() -> Column:
@@ -60,8 +65,8 @@ def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(both.select("vec_id", *[c.alias(n) for n, c in cols.items()]))
 
 
-def pair_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = pairs_from_documents(spark, sf_dir)
+def pair_embedding(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
+    pairs = pairs_from_documents(spark, sf_dir) if pairs is None else pairs
     e = vector_features.embedding_features(pairs, word_vectors(spark, sf_dir, pairs), DIMS, "emb")
     return e.select("pair_id", F.round("emb_cosine_distance", 5).alias("emb_cosine_distance"), F.round("emb_cityblock_distance", 4).alias("emb_cityblock_distance"), F.round("emb_euclidean_distance", 5).alias("emb_euclidean_distance"))
 
@@ -82,51 +87,69 @@ def sequence_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair_id", F.array_join("ids1", " ").alias("ids1"), F.array_join("ids2", " ").alias("ids2"))
 
 
+#: Families of the feature matrix: each is written by itself and read back by key.
+MATRIX = (
+    "pair_len pair_caps pair_question_words pair_capped_len pair_match pair_weighted_share pair_simhash pair_char_jaccard pair_tfidf pair_trigram_distances "
+    "pair_lemma_distances pair_embedding graph_frequency graph_common_neighbours graph_pagerank graph_triangles graph_subgraphs pair_surface"
+).split()
+
+
+def feature_matrix(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
+    """All families of MATRIX over one pair table, written as feature tables and joined by pair_id."""
+    pairs = shared_table(pairs_from_documents(spark, sf_dir), "pairs") if pairs is None else pairs
+    folder, found = shared_folder(spark, "features"), queries()
+
+    def write(name: str) -> None:
+        write_features(pairs.select("pair_id", "split").join(found[name](spark, sf_dir, pairs), "pair_id"), f"{folder}/{name}")
+
+    with ThreadPool(4) as pool:
+        pool.map(write, MATRIX)
+    return read_features(spark, folder, MATRIX)
+
+
 def model_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    """Pairs with lexical features and folds, as one written table."""
+    """Pairs with the feature matrix and folds, as one written table."""
     pairs = shared_table(pairs_from_documents(spark, sf_dir), "pairs")
-    df = pairs.select("pair_id", "split", "is_duplicate")
-    names: list[str] = []
-    for f in (lexical.length_features, lexical.match_features, lexical.weighted_share_features):
-        part = f(pairs)
-        names += part.columns[1:]
-        df = df.join(part, "pair_id")
+    matrix = feature_matrix(spark, sf_dir, pairs)
+    names = [c for c in matrix.columns if c != "pair_id"]
+    df = pairs.select("pair_id", "split", "is_duplicate").join(matrix, "pair_id")
     return shared_table(modeling.with_fold(modeling.assembled(df, names)), "model"), names
 
 
 def oof_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold elastic-net regressions on hashed term blocks, calibrated."""
-    from pyspark.ml.feature import HashingTF
-
-    pairs = shared_table(pairs_from_documents(spark, sf_dir), "pairs")
-    words = pairs.select("pair_id", "split", "is_duplicate", lexical.split_words(q_text("question1", "")).alias("w1"), lexical.split_words(q_text("question2", "")).alias("w2"))
-    tf = words
-    for i in (1, 2):
-        tf = HashingTF(inputCol=f"w{i}", outputCol=f"tf{i}", numFeatures=256).transform(tf)
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    tf = tf.withColumns({"a": vector_to_array("tf1"), "b": vector_to_array("tf2")})
-    blocks = {"tf": F.concat("a", "b"), "diff_tf": F.zip_with("a", "b", lambda x, y: x - y), "svd_absdiff": F.zip_with("a", "b", lambda x, y: F.abs(x - y)), "svd_mult": F.zip_with("a", "b", lambda x, y: x * y)}
-    tf = shared_table(modeling.with_stratified_fold(tf.drop("w1", "w2", "tf1", "tf2"), 3), "blocks")
-    out = None
-    for name, column in blocks.items():
-        mixing, strength, calibrate = modeling.BLOCKS[name]
-        got = modeling.out_of_fold(tf.withColumn("features", array_to_vector(column)), lambda m=mixing, s=strength: modeling.logistic(m, s).setMaxIter(15), 3, f"m_{name}_oof", calibrate)
-        out = got if out is None else out.join(got.select("pair_id", f"m_{name}_oof"), "pair_id")
-    return out
+    """The six out-of-fold regressions of the reference's blocks: ten folds, 100 iterations, calibrated where it does."""
+    return term_blocks.regressions(shared_table(pairs_from_documents(spark, sf_dir), "pairs"))
 
 
 def gbt_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees over the feature matrix, stopped early by the held-out fold, with the shifted prior beside it."""
     df, _ = model_table(spark, sf_dir)
-    out = modeling.out_of_fold(df, lambda: modeling.boosted_trees(depth=4, rounds=8), 5, "p")
+    out = modeling.out_of_fold(df, lambda: modeling.boosted_trees(valid="held"), 5, "p")
     return out.select("pair_id", "split", "p", postprocess.prior_shift(F.col("p")).alias("p_shifted"))
 
 
 def stacked_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, _ = model_table(spark, sf_dir)
-    a = modeling.out_of_fold(df, lambda: modeling.boosted_trees(depth=3, rounds=4), 5, "gbt")
-    b = modeling.out_of_fold(df, lambda: modeling.logistic(0.01, 1e-3).setMaxIter(10), 5, "lr")
-    return modeling.stacked([a, b], ["gbt", "lr"])
+    """Second-level trees over five base models, and their average with the best single one."""
+    from pyspark.ml.feature import StandardScaler
+
+    df, names = model_table(spark, sf_dir)
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(df)
+    scaled = scaler.transform(df).drop("features").withColumnRenamed("scaled", "features")
+    words = pooled_words(spark, sf_dir, df).select("pair_id", F.col("features").alias("words"))
+    both = VectorAssembler(inputCols=["features", "words"], outputCol="both").transform(scaled.join(words, "pair_id"))
+    deep = both.drop("features", "both").withColumnRenamed("words", "features")
+    deep_features = both.drop("features", "words").withColumnRenamed("both", "features")
+    rounds = STACK_ROUNDS
+    base = {
+        "first": (df, lambda: modeling.boosted_trees(rounds=rounds, valid="held", **modeling.BOOSTERS["first"] | {"depth": 5, "rate": 0.1})),
+        "second": (df, lambda: modeling.boosted_trees(rounds=rounds, valid="held", **modeling.BOOSTERS["second"] | {"rate": 0.1})),
+        "linear": (scaled, lambda: modeling.logistic(0.01, 1e-3)),
+        "words": (deep, lambda: modeling.perceptron(2 * DIMS)),
+        "words_features": (deep_features, lambda: modeling.perceptron(2 * DIMS + len(names))),
+    }
+    scores = [modeling.out_of_fold(table, estimator, 5, name) for name, (table, estimator) in base.items()]
+    out = modeling.stacked(scores, list(base))
+    return out.join(scores[0].select("pair_id", "first"), "pair_id").withColumn("average", (F.col("stacked") + F.col("first")) / 2)
 
 
 def mean_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,14 +173,19 @@ def neural_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def perceptron_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pooled_words(spark: SparkSession, sf_dir: str, kept: DataFrame) -> DataFrame:
+    """(pair_id, split, is_duplicate, features): pooled word vectors of the pairs in kept."""
     from pyspark.ml.functions import array_to_vector
 
     pairs = shared_table(pairs_from_documents(spark, sf_dir), "pairs")
     vocab = shared_table(sequences.vocabulary(pairs), "vocabulary")
     matrix = sequences.embedding_matrix(vocab, word_vectors(spark, sf_dir, pairs), DIMS)
     pooled = neural.pooled(sequences.encode(pairs, vocab), matrix, DIMS).withColumn("features", array_to_vector(F.concat("abs_diff", "product")))
-    df = modeling.with_fold(pairs.select("pair_id", "split", "is_duplicate").join(pooled.select("pair_id", "features"), "pair_id"), 2)
+    return kept.select("pair_id", "split", "is_duplicate").join(pooled.select("pair_id", "features"), "pair_id")
+
+
+def perceptron_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = modeling.with_fold(pooled_words(spark, sf_dir, pairs_from_documents(spark, sf_dir)), 2)
     return modeling.out_of_fold(df, lambda: modeling.perceptron(2 * DIMS).setMaxIter(10), 2, "p")
 
 
@@ -213,6 +241,7 @@ MODELS = {
     "standardised": on_pairs(lambda p: modeling.standardised(lexical.with_texts(p).select("pair_id", F.length("a").cast("double").alias("l1"), F.length("b").cast("double").alias("l2")), ["l1", "l2"])),
     "fold_average": on_pairs(fold_average, 9),
     "oversampled": on_pairs(lambda p: modeling.oversampled(p.filter("split = 'train'"), 0.05).select("pair_id", "is_duplicate", "copy")),
+    "feature_matrix": feature_matrix,
     "oof_logistic": oof_logistic,
     "gbt_predictions": gbt_predictions,
     "stacked_predictions": stacked_predictions,
@@ -232,4 +261,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return lexical_sql.SQL | more_sql.SQL
+    found = lexical_sql.SQL | more_sql.SQL
+    parts = [f"({found[name]}) AS f{i}" + (" USING (pair_id)" if i else "") for i, name in enumerate(MATRIX)]
+    return found | {"feature_matrix": "SELECT * FROM " + " JOIN ".join(parts)}

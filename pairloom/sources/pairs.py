@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,6 +119,18 @@ def write_features(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def read_features(spark: SparkSession, folder: str, families: list[str]) -> DataFrame:
+    """The written feature tables of a folder side by side, by pair_id: one shuffle a family, each by the same key.
+
+    Pairs that a family lacks are left out; a column that two families name is an error.
+    """
+    tables = [spark.read.parquet(f"{folder.rstrip('/')}/{name}").drop("split") for name in families]
+    names = [c for t in tables for c in t.columns if c != "pair_id"]
+    if twice := sorted({c for c in names if names.count(c) > 1}):
+        raise ValueError(f"columns of more than one family: {twice}")
+    return reduce(lambda a, b: a.join(b, "pair_id"), tables)
+
+
 def write_predictions(df: DataFrame, path: str, calibrated: DataFrame | None = None) -> None:
     """(test_id, is_duplicate) as CSV, raw and, if given, calibrated."""
     df.write.mode("overwrite").csv(f"{path}/raw", header=True)

@@ -5,21 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir and read back.
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path under spark.checkpoint.dir.
 
     Where that is unset, one machine may use its own temp folder; a cluster must name one.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{(base or tempfile.gettempdir() + '/pairloom-shared').rstrip('/')}/pairloom/{label}-{uuid.uuid4().hex}"
+    return f"{(base or tempfile.gettempdir() + '/pairloom-shared').rstrip('/')}/pairloom/{label}-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame, label: str, schema: StructType | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read back, by its own schema or a given one of the same layout."""
+    path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
