@@ -1,0 +1,165 @@
+"""Every opN_ query on the smallest tables: columns and types as agreed, and results against plain Python."""
+
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from pairloom.llm import queries
+
+SF = "/root/testdata/sf0.001"
+TYPES = {
+    "op1_ftrl_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op2_hierarchical_packing": {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op3_template_html_text": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
+    "op4_template_decontamination": {"doc_id": "bigint", "item_id": "bigint"},
+    "op5_partenum_jaccard_join": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+    "op6_prefix_token_counts": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
+    "op7_line_frequency_rules": {"doc_id": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "n_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op8_levenshtein_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op9_segment_line_dedup": {"doc_id": "bigint", "n_lines": "bigint", "n_removed": "bigint"},
+    "op10_prefix_sum_shards": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+}
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def run(spark):
+    """Rows of a query, whose columns and types are held against the contract first."""
+
+    def one(name):
+        df = queries.queries()[name](spark, SF)
+        found = dict(df.dtypes)
+        assert {c: found.get(c) for c in TYPES[name]} == TYPES[name]
+        return df.collect()
+
+    return one
+
+
+def held(doc_id, folds, fold):
+    return zlib.crc32(str(doc_id).encode()) % folds == fold
+
+
+def test_every_query_has_a_contract():
+    assert set(queries.queries()) == set(TYPES)
+
+
+def test_op1(run, texts, spark):
+    rows = run("op1_ftrl_language_id")
+    langs = {r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("lang").distinct().collect()}
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        letters = any(c.isalpha() for c in texts[r["doc_id"]])
+        assert r["held_out"] == held(r["doc_id"], 3, 1) and 0 <= r["score"] <= 1 and (r["lang_pred"] in langs if letters else r["lang_pred"] == "und")
+
+
+def test_op2(run, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in run("op2_hierarchical_packing"):
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append(r)
+    assert pieces.keys() == texts.keys()
+    for doc_id, found in pieces.items():
+        ids, at = [*library.encode(texts[doc_id], add_special_tokens=False).ids, 2], 0
+        for r in sorted(found, key=lambda r: r["start"]):
+            part = ids[at : at + r["length"]]
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(part)}I", *part))
+            at += r["length"]
+        assert at == len(ids)
+    padding = 0
+    for found in sequences.values():
+        at = 0
+        for r in sorted(found, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 4096
+        padding += 0 if at & (at - 1) == 0 else 4096 - at
+    assert padding * 20 <= sum(r["length"] for found in sequences.values() for r in found)
+
+
+def test_op3(run, spark):
+    rows = run("op3_template_html_text")
+    assert sorted(r["page_id"] for r in rows) == sorted(r["page_id"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id").collect())
+    assert all(r["n_chars"] == len(r["text"]) and not re.search(r"<[a-z/!][^>]*>|^\s|\s$|[ \t]{2}", r["text"]) for r in rows)
+
+
+def test_op4(run, texts):
+    assert all(r["doc_id"] in texts for r in run("op4_template_decontamination"))
+
+
+def test_op5(run, texts):
+    shingles = {}
+    for doc_id, text in texts.items():
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text))
+        shingles[doc_id] = {tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else set()
+    parent = {d: d for d in texts}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    ids = sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = shingles[a], shingles[b]
+            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in run("op5_partenum_jaccard_join")} == {d: (len(shingles[d]), root(d)) for d in ids}
+
+
+def test_op6(run, texts):
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    want = {d: (len(t.encode()), n := len(library.encode(t)), n > 4096) for d, t in texts.items()}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in run("op6_prefix_token_counts")} == want
+
+
+def test_op7(run, texts):
+    rows = {r["doc_id"]: r for r in run("op7_line_frequency_rules")}
+    assert rows.keys() == texts.keys()
+    for doc_id, text in texts.items():
+        words, r = WORD.findall(text), rows[doc_id]
+        windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        repeated = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"]) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)))
+        assert (r["n_dup_lines"], r["n_repeat_words"]) == (len(lines) - len(set(lines)), len(repeated))
+        assert r["base_failed"] == (len(words) < 50 or 100 * len(repeated) > 50 * len(words)) and not (r["base_failed"] and r["kept"])
+
+
+def test_op8(run, texts):
+    rows = run("op8_levenshtein_toxicity")
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    assert all(r["held_out"] == held(r["doc_id"], 5, 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+
+
+def test_op9(run, texts):
+    rows = run("op9_segment_line_dedup")
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts) and all(r["n_removed"] <= r["n_lines"] for r in rows)
+
+
+def test_op10(run, texts):
+    rows, sizes, slots = run("op10_prefix_sum_shards"), defaultdict(int), defaultdict(list)
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        raw = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    largest = max(r["size"] for r in rows)
+    assert all(0 <= s < 8 and sorted(x) == list(range(len(x))) for s, x in slots.items()) and max(sizes.values()) - min(sizes.values()) <= 2 * largest
