@@ -41,6 +41,30 @@ class Similarity:
         return 0.7 if (x, y) in self.paraphrases or (y, x) in self.paraphrases else 0.0
 
 
+class FormSimilarity(Similarity):
+    """Stand-in for dictionaries, by word forms: words of one coarse tag that differ by an ending of ENDINGS count as
+    synonyms (0.9), and words of five letters or more with equal first four letters as paraphrases (0.7)."""
+
+    ENDINGS = ("ing", "ed", "es", "s", "ly")
+
+    def _stem(self, word: str) -> str:
+        return next((word[: -len(e)] for e in self.ENDINGS if word.endswith(e) and len(word) > len(e) + 2), word)
+
+    def __call__(self, a: dict, b: dict) -> float:
+        known = super().__call__(a, b)
+        if known:
+            return known
+        x, y, tag = a["word"], b["word"], coarse(a["pos"])
+        if tag and tag == coarse(b["pos"]) and self._stem(x) == self._stem(y):
+            return 0.9
+        return 0.7 if min(len(x), len(y)) >= 5 and x[:4] == y[:4] else 0.0
+
+
+def diagonal_similarity(s: list[dict], t: list[dict], similarity: Similarity) -> list[float]:
+    """Similarity of tokens at equal places, as far as the shorter sentence goes."""
+    return [similarity(a, b) for a, b in zip(s, t, strict=False)]
+
+
 def _label(sentence: list[dict], i: int, k: int) -> str | None:
     """Label of the dependency edge between two tokens, whichever is the head."""
     return sentence[i]["deps"].get(k) or sentence[k]["deps"].get(i)
@@ -137,7 +161,8 @@ def surface_features(annotated: DataFrame) -> DataFrame:
 
 
 def simple_annotation(text: Column) -> Column:
-    """Stand-in annotator: tags by form, capitalised words as entities, each word hanging on the one before.
+    """Stand-in annotator: tags by form, capitalised words as entities, each word hanging on the one before
+    by a label of its own tag.
 
     Numbers are CD, capitalised words NNP with entity NAME, words in -ed or -ing VB, in -ly or -al JJ, other words NN.
     """
@@ -145,7 +170,8 @@ def simple_annotation(text: Column) -> Column:
 
     def token(w: Column, i: Column) -> Column:
         pos = F.when(w.rlike(r"^\p{N}+$"), "CD").when(w.rlike(r"^\p{Lu}"), "NNP").when(w.rlike(r"(ed|ing)$"), "VB").when(w.rlike(r"(ly|al)$"), "JJ").when(w.rlike(r"^\p{L}"), "NN").otherwise(".")
-        deps = F.when(i > 0, F.create_map(i - 1, F.lit("dep"))).otherwise(F.create_map().cast("map<int,string>"))
+        label = F.when(pos == "CD", "nummod").when(pos == "VB", "conj").when(pos == "JJ", "amod").when(pos == ".", "punct").otherwise("nmod")
+        deps = F.when(i > 0, F.create_map(i - 1, label)).otherwise(F.create_map().cast("map<int,string>"))
         return F.struct(F.lower(w).alias("word"), pos.alias("pos"), F.when(w.rlike(r"^\p{Lu}"), "NAME").otherwise("O").alias("ner"), deps.alias("deps"))
 
     return F.transform(raw, token)

@@ -138,3 +138,9 @@ def char_jaccard_features(pairs: DataFrame) -> DataFrame:
         cols[f"{name}_all_jaccard_max"] = div(low, total - low)
     cols["bigram_jaccard"] = F.least(F.lit(1.0), F.greatest(F.lit(-1.478751), cols["bigram_jaccard"]))
     return p.select("pair_id", *[c.alias(n) for n, c in cols.items()])
+
+
+def term_totals(pairs: DataFrame) -> DataFrame:
+    """(term, total): how often each word stands in all questions of both sides (the column sums of the counts)."""
+    texts = F.array(*[split_words(q_text(f"question{i}", "")) for i in (1, 2)])
+    return pairs.select(F.explode(F.flatten(texts)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("total"))

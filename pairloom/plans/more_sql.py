@@ -124,6 +124,8 @@ def _round(i: int, edge: str, change: str, limit: str) -> tuple[str, str]:
 _UP = ("(split='train' AND is_duplicate=1) OR (split='test' AND p>0.5)", "p+least(0.2,(0.98-p)/2)", "p<0.98")
 _DOWN = ("(split='train' AND is_duplicate=0) OR (split='test' AND p<0.1)", "p-least(0.2,(p-0.01)/2)", "p>0.01")
 SQL["transitivity"] = pairs_sql("SELECT pair_id, round(p, 9) AS p FROM k4 WHERE split='test'", SCORED, "k0 AS (SELECT * FROM sc)", *_round(1, *_UP), *_round(2, *_UP), *_round(3, *_DOWN), *_round(4, *_DOWN))
+SQL["question_dense_ids"] = pairs_sql("SELECT question, row_number() OVER (ORDER BY min(loc)) - 1 AS qid FROM (SELECT question1 AS question, 2*pair_id AS loc FROM pairs UNION ALL SELECT question2, 2*pair_id+1 FROM pairs) GROUP BY question")
+SQL["term_totals"] = pairs_sql("SELECT term, count(*) AS total FROM (SELECT unnest(list_filter(string_split_regex(lower(t), '\\s+'), lambda w: w <> '')) AS term FROM (SELECT coalesce(question1, '') AS t FROM pairs UNION ALL SELECT coalesce(question2, '') FROM pairs)) GROUP BY term")
 # the weight at which the mean of the moved scores is the target, by bisection
 _MOVED = "w*p/(w*p+(1-w)*(1-p))"
 SQL["mean_matching"] = pairs_sql(

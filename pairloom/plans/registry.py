@@ -157,7 +157,7 @@ def mean_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neural_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forward passes of the three networks with seeded weights, and of the two with a feature branch."""
+    """Forward passes of the four networks with seeded weights, and of the two with a feature branch."""
     pairs = pairs_from_documents(spark, sf_dir)
     vocab = shared_table(sequences.vocabulary(pairs), "vocabulary")
     extra = lexical.length_features(pairs).select("pair_id", *[(F.col(c) / 100).alias(c) for c in ("char_len1", "char_len2", "word_len1", "word_len2")])
@@ -165,7 +165,7 @@ def neural_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = np.random.default_rng(7).normal(0, 0.1, (vocab.count() + 1, 16))  # a row a word of the bounded vocabulary
     table[0] = 0
     names = ["char_len1", "char_len2", "word_len1", "word_len2"]
-    nets = {"lstm": (neural.LstmConcat(table, 8), None), "lstm_features": (neural.LstmConcat(table, 8, 4), names), "attention": (neural.DecomposableAttention(table, 8, 500), None), "attention_features": (neural.DecomposableAttention(table, 8, 500, 4), names), "cnn": (neural.Convolutions(table, (8, 8, 8, 8, 4, 4)), None)}
+    nets = {"lstm": (neural.LstmConcat(table, 8), None), "lstm_features": (neural.LstmConcat(table, 8, 4), names), "attention": (neural.DecomposableAttention(table, 8, 500), None), "attention_features": (neural.DecomposableAttention(table, 8, 500, 4), names), "birnn": (neural.BiRecurrent(table, 8), None), "cnn": (neural.Convolutions(table, (8, 8, 8, 8, 4, 4)), None)}
     out = None
     for name, (net, more) in nets.items():
         got = neural.score(seqs, net, more).withColumnRenamed("p", name)
@@ -206,6 +206,7 @@ LEXICAL = {
     "pair_char_jaccard": on_pairs(lexical.char_jaccard_features),
     "pair_difflib": on_pairs(difflib_features),
     "pair_fuzzy": on_pairs(fuzzy_features),
+    "term_totals": on_pairs(lexical.term_totals),
 }
 VECTORS = {
     "pair_tfidf": on_pairs(vector_features.tfidf_features),
@@ -219,6 +220,7 @@ VECTORS = {
 }
 GRAPH = {
     "question_ids": on_pairs(graph.question_ids),
+    "question_dense_ids": on_pairs(graph.dense_ids),
     "graph_frequency": on_pairs(graph.frequency),
     "graph_common_neighbours": on_pairs(graph.common_neighbours),
     "graph_pagerank": on_pairs(lambda p: graph.pagerank(p, steps=more_sql.STEPS), 9),
@@ -251,6 +253,7 @@ MODELS = {
 RULES = {
     "pair_surface": on_pairs(lambda p: alignment.surface_features(alignment.annotated_simply(p))),
     "pair_alignment": on_pairs(lambda p: alignment.alignment_features(alignment.annotated_simply(spread(p)))),
+    "pair_alignment_dictionary": on_pairs(lambda p: alignment.alignment_features(alignment.annotated_simply(spread(p)), alignment.FormSimilarity())),
     "transitivity": on_pairs(lambda p: postprocess.transitivity(scored(p)), 9),
     "implied_labels": on_pairs(postprocess.implied_labels),
 }

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from pairloom.operators import modeling, spectral, term_blocks
+from pairloom.operators import alignment, graph, lexical, modeling, neural, spectral, term_blocks
 from pairloom.sources import pairs as sources
 
 ROWS = [(1, "a b b", "b c", 1, "train"), (2, "", "x", 0, "train"), (3, None, None, 0, "test"), (4, "The cat", "the cat", 1, "train"), (5, "a", "a a a", 0, "test")]
@@ -78,3 +78,58 @@ def test_feature_tables_are_read_side_by_side(spark, tmp_path):
     sources.write_features(one, f"{tmp_path}/three")
     with pytest.raises(ValueError, match="more than one family"):
         sources.read_features(spark, str(tmp_path), ["one", "three"])
+
+
+def test_annotated_pickles_are_read_as_plain_values(spark, tmp_path):
+    import gzip
+    import pickle
+
+    toks = lambda *words: [{"index": i, "word": w, "pos": "NN", "ner": "O"} for i, w in enumerate(words, 1)]
+    deps = [{"governor": 0, "dependent": 2, "dep": "ROOT"}, {"governor": 2, "dependent": 1, "dep": "amod"}]
+    pairs = [{"id": i, "is_duplicate": i % 2, "q1": {"raw": "Big dog", "toks": toks("Big", "dog"), "deps": deps}, "q2": {"raw": "", "toks": [], "deps": []}} for i in range(2500)]
+    with gzip.open(tmp_path / "a.nlp", "wb") as out:
+        for p in pairs:
+            pickle.dump(p, out, protocol=pickle.HIGHEST_PROTOCOL)
+    got = sources.read_annotated_pickles(spark, f"{tmp_path}/a.nlp")
+    rows = {r["pair_id"]: r for r in got.collect()}
+    assert len(rows) == 2500 and rows[3]["is_duplicate"] == 1 and rows[3]["t"] == []
+    assert [(w["word"], w["deps"]) for w in rows[3]["s"]] == [("big", {}), ("dog", {0: "amod"})]
+    sources.write_annotated(got, f"{tmp_path}/parsed")
+    assert sorted(sources.read_annotated(spark, f"{tmp_path}/parsed").select("pair_id", "s.word").collect()) == sorted(got.select("pair_id", "s.word").collect())
+    assert alignment.alignment_features(got).count() == 2500
+    (tmp_path / "code.nlp").write_bytes(pickle.dumps({"id": print}))
+    with pytest.raises(Exception, match="plain values"):
+        sources.read_annotated_pickles(spark, f"{tmp_path}/code.nlp").collect()
+    (tmp_path / "p.pkl").write_bytes(pickle.dumps([0.5, 0.25], protocol=3))
+    assert sorted(r["p"] for r in sources.read_pickled_rows(spark, f"{tmp_path}/p.pkl", "p double").collect()) == [0.25, 0.5]
+    (tmp_path / "t.pkl").write_bytes(pickle.dumps([(1, "a"), (2, None)]) + pickle.dumps([]))
+    assert sorted(map(tuple, sources.read_pickled_rows(spark, f"{tmp_path}/t.pkl", "id bigint, word string").collect())) == [(1, "a"), (2, None)]
+
+
+def test_dense_ids_follow_first_appearance(spark):
+    texts = [(i, f"q{(i * 7) % 40}", None if i % 9 == 0 else f"q{(i * 3) % 50}", 0, "train") for i in range(300)]
+    want, seen = {}, [t for r in texts for t in r[1:3]]
+    for t in seen:
+        want.setdefault(t, len(want))
+    df = spark.createDataFrame(texts, SCHEMA).repartition(5)
+    assert {r["question"]: r["qid"] for r in graph.dense_ids(df).collect()} == want
+    assert graph.dense_ids(df.limit(0)).count() == 0
+    totals = {r["term"]: r["total"] for r in lexical.term_totals(df).collect()}
+    assert sum(totals.values()) == sum(t is not None for t in seen) and totals["q0"] == seen.count("q0")
+
+
+def test_word_forms_and_diagonal():
+    word = lambda w, pos="NN": {"word": w, "pos": pos}
+    sim = alignment.FormSimilarity(paraphrases={("car", "auto")})
+    assert sim(word("dog"), word("dog")) == 1 and sim(word("dogs"), word("dog")) == 0.9 and sim(word("dogs"), word("dog", "VB")) == 0
+    assert sim(word("compute"), word("company")) == 0.7 and sim(word("car"), word("auto")) == 0.7 and sim(word("cat"), word("dog")) == 0
+    assert alignment.diagonal_similarity([word("a"), word("dogs"), word("x")], [word("a"), word("dog")], sim) == [1.0, 0.9]
+
+
+def test_two_way_net_sums_positions(spark):
+    table = np.random.default_rng(0).normal(size=(30, 5))
+    net = neural.BiRecurrent(table, 4)
+    ids = np.array([[1, 2, 3], [3, 2, 1]])
+    x = net.encode(ids)
+    states = [sum(neural._lstm(table[ids[:, :t]], net.w["forth"], 4) for t in range(1, 4)), sum(neural._lstm(table[ids[:, ::-1][:, :t]], net.w["back"], 4) for t in range(1, 4))]
+    assert np.allclose(x, np.concatenate(states, 1)) and ((p := net(ids, ids[::-1])) > 0).all() and (p < 1).all()
