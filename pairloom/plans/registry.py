@@ -41,12 +41,12 @@ def scored(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", "question1", "question2", "split", "is_duplicate", score().alias("p"))
 
 
-def word_vectors(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
-    """(word, vec): each word takes a row of the table embeddings by its hash, which stands in for trained vectors."""
+def word_vectors(spark: SparkSession, sf_dir: str, pairs: DataFrame, salt: str = "") -> DataFrame:
+    """(word, vec): each word takes a row of the table embeddings by its salted hash, which stands in for trained vectors."""
     words = vector_features.sides(pairs).select(F.explode(F.array_union(F.split(F.lower("text"), r"\s+"), F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))).alias("word")).distinct()
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vec"))
     size = max(1, vectors.count())  # ids run from 0 to it
-    ids = words.withColumn("vec_id", F.conv(F.substring(F.md5(F.col("word").cast("binary")), 17, 8), 16, 10).cast("bigint") % size)
+    ids = words.withColumn("vec_id", F.conv(F.substring(F.md5(F.concat("word", F.lit(salt)).cast("binary")), 17, 8), 16, 10).cast("bigint") % size)
     return ids.join(vectors, "vec_id").select("word", "vec")
 
 
@@ -76,6 +76,22 @@ def pair_embedding_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_features.embedding_features(pairs, word_vectors(spark, sf_dir, pairs), DIMS, "emb")
 
 
+#: The vector sources of the reference, each with the salt that stands in for it, and whether it has word mover's distances.
+SOURCES = {"google_news": ("", True), "glove": (":2", True), "fasttext": (":3", False)}
+
+
+def pair_embedding_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 37 columns of the embedding family: eleven a vector source, and four word mover's distances."""
+    pairs = shared_table(pairs_from_documents(spark, sf_dir), "pairs")
+    out = pairs.select("pair_id")
+    for name, (salt, movers) in SOURCES.items():
+        vectors = shared_table(word_vectors(spark, sf_dir, pairs, salt), "word_vectors")
+        out = out.join(vector_features.embedding_features(pairs, vectors, DIMS, name), "pair_id")
+        if movers:
+            out = out.join(vector_features.wmd_features(pairs, vectors, name), "pair_id")
+    return rounded(out)
+
+
 def pair_wmd(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = pairs_from_documents(spark, sf_dir)
     return vector_features.wmd_features(pairs, word_vectors(spark, sf_dir, pairs), "emb")
@@ -215,6 +231,7 @@ VECTORS = {
     "vector_distances": vector_distances,
     "pair_embedding": pair_embedding,
     "pair_embedding_all": pair_embedding_all,
+    "pair_embedding_sources": pair_embedding_sources,
     "pair_wmd": pair_wmd,
     "pair_svd": on_pairs(vector_features.svd_features),
 }
