@@ -29,6 +29,7 @@ SPACE = "▁"
 CHUNKS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 # Bounds of a Python worker's caches: entries, and characters of a chunk that is kept.
 KEPT_CHUNKS, KEPT_PREFIXES, KEPT_PAIRS, SHORT = 300_000, 500_000, 500_000, 48
+ONE = (1,)
 
 
 class _Totals(dict):
@@ -48,6 +49,18 @@ class _Totals(dict):
         return n
 
 
+class _Alone(dict):
+    """Piece -> whether it is the encoding of its own text, filled on demand; at most the vocabulary."""
+
+    def __init__(self, of: PrefixCounter):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, piece: str) -> bool:
+        known = self[piece] = len(piece) == 1 or self.of.split(piece) is not None
+        return known
+
+
 class PrefixCounter:
     """Prefix token counts for one sentencepiece BPE model with byte fallback."""
 
@@ -63,9 +76,15 @@ class PrefixCounter:
         spaced = [p for p in self.score if SPACE in p.lstrip(SPACE) or "\n" in p or " " in p]
         if spaced:
             raise ValueError(f"pieces with inner spaces, so texts can't be cut at spaces: {spaced[:3]}")
-        self.longest = max(map(len, self.score), default=1)
+        # lengths of the pieces with the same last two characters, longest first
+        found: dict[str, set[int]] = {}
+        for piece in self.score:
+            if len(piece) > 1:
+                found.setdefault(piece[-2:], set()).add(len(piece))
+        self.lengths = {tail: (*sorted(n, reverse=True), 1) for tail, n in found.items()}
         self.states: dict[str, tuple[int, str]] = {"": (0, "")}
         self.totals = _Totals(self)
+        self.alone = _Alone(self)
         self.joined: dict[tuple[str, str], bool] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
 
@@ -83,10 +102,6 @@ class PrefixCounter:
             self.halves[piece] = (parts[0], parts[1]) if len(parts) == 2 else None
         return self.halves[piece]
 
-    def alone(self, piece: str) -> bool:
-        """Whether the piece is the encoding of its own text."""
-        return len(piece) == 1 or self.split(piece) is not None
-
     def neighbours(self, left: str, right: str) -> bool:
         """Whether [left, right] is the encoding of left + right: no merge across the seam comes first."""
         key = (left, right)
@@ -127,13 +142,19 @@ class PrefixCounter:
         have = n - 1
         while text[:have] not in states:
             have -= 1
-        score, longest, neighbours = self.score, self.longest, self.neighbours
+        score, lengths, neighbours, alone, joined = self.score, self.lengths, self.neighbours, self.alone, self.joined
         for end in range(have + 1, n + 1):
-            for start in range(max(0, end - longest), end):
+            for size in lengths.get(text[max(0, end - 2) : end], ONE):
+                start = end - size
+                if start < 0:
+                    continue
                 piece = text[start:end]
                 if piece in score:
-                    before = states[text[:start]] if start > have or text[:start] in states else self.state(text[:start])
-                    if (self.alone(piece)) if start == 0 else (self.alone(piece) and neighbours(before[1], piece)):
+                    if not alone[piece]:
+                        continue
+                    before = states.get(text[:start]) or self.state(text[:start])
+                    fits_on = joined.get((before[1], piece)) if start else True
+                    if neighbours(before[1], piece) if fits_on is None else fits_on:
                         found = (before[0] + 1, piece)
                         break
                 elif end - start == 1:
@@ -147,13 +168,16 @@ class PrefixCounter:
 
     def counts(self, chunk: str) -> array:
         """counts[i] for i = 0..len(chunk): the same recurrence, with states by position."""
-        n, score, longest, neighbours = len(chunk), self.score, self.longest, self.neighbours
+        n, score, lengths, neighbours = len(chunk), self.score, self.lengths, self.neighbours
         counts, begin = array("q", bytes(8 * (n + 1))), array("q", bytes(8 * (n + 1)))  # begin: of the last piece
         for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
+            for size in lengths.get(chunk[max(0, end - 2) : end], ONE):
+                start = end - size
+                if start < 0:
+                    continue
                 piece = chunk[start:end]
                 if piece in score:
-                    if self.alone(piece) and (start == 0 or neighbours(chunk[begin[start] : start], piece)):
+                    if self.alone[piece] and (start == 0 or neighbours(chunk[begin[start] : start], piece)):
                         counts[end], begin[end] = counts[start] + 1, start
                         break
                 elif end - start == 1:
