@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import decontaminate, htmltext, langid, linededup, ngramjoin, oracles, packing, quality, sharding, tokens, toxicity
+from pairloom.llm import collocations, decontaminate, divergence, htmltext, langid, licenses, linededup, ngramjoin, oracles, packing, quality, sharding, tokens, toxicity
 from pairloom.llm.common import held_out, read
 
 SHARDS = 8
@@ -64,8 +64,20 @@ def op10_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_license_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ftrl_language_id, op2_hierarchical_packing, op3_template_html_text, op4_template_decontamination, op5_partenum_jaccard_join, op6_prefix_token_counts, op7_line_frequency_rules, op8_levenshtein_toxicity, op9_segment_line_dedup, op10_prefix_sum_shards)}
+    return {f.__name__: f for f in (op1_ftrl_language_id, op2_hierarchical_packing, op3_template_html_text, op4_template_decontamination, op5_partenum_jaccard_join, op6_prefix_token_counts, op7_line_frequency_rules, op8_levenshtein_toxicity, op9_segment_line_dedup, op10_prefix_sum_shards, op11_source_divergence, op12_phrase_collocations, op13_license_containment)}
 
 
 def oracle_sql() -> dict[str, str]:
