@@ -110,16 +110,18 @@ def containment_join(blocks: DataFrame, templates: DataFrame, threshold: int) ->
     word match nothing; equal templates of one label count once.
     """
     numbered = templates.select("label", "template", F.array_distinct(words_of(lower(F.col("template")))).alias("tokens")).filter("size(tokens) > 0").dropDuplicates(["label", "template"])
-    vocabulary = numbered.select(F.explode("tokens").alias("token")).distinct()
+    # small tables are written first, so that Spark knows their size when it picks a join: templates of any number stay right
+    vocabulary = materialize(numbered.select(F.explode("tokens").alias("token")).distinct().coalesce(1), "template-tokens")
     # frequencies of the templates' tokens over all blocks; the others never match and need no place in the order
     counts = blocks.select(F.explode("tokens").alias("token")).join(vocabulary, "token").groupBy("token").agg(F.count(F.lit(1)).alias("blocks"))
-    ranks = materialize(vocabulary.join(counts, "token", "left").select("token", F.struct(F.coalesce("blocks", F.lit(0)).alias("blocks"), "token").alias("rank")), "token-order")
+    ranks = materialize(vocabulary.join(counts, "token", "left").select("token", F.struct(F.coalesce("blocks", F.lit(0)).alias("blocks"), "token").alias("rank")).coalesce(1), "token-order")
     need = F.expr(f"cast((size(ranks) * {threshold} + 99) div 100 as int)")
-    ordered = (
+    ordered = materialize(
         numbered.select("label", "template", F.explode("tokens").alias("token")).join(ranks, "token")
-        .groupBy("label", "template").agg(F.sort_array(F.collect_list("rank")).alias("ranks")).withColumn("need", need)
+        .groupBy("label", "template").agg(F.sort_array(F.collect_list("rank")).alias("ranks")).withColumn("need", need).coalesce(1), "templates"
     )
     prefix = ordered.select("label", "template", F.posexplode(F.expr("slice(ranks, 1, size(ranks) - need + 1)")).alias("at", "rank"), "need", F.size("ranks").alias("size")).withColumn("token", F.col("rank.token"))
+    prefix = materialize(prefix.coalesce(1), "prefixes")
     # length: a block of fewer words than a template's need can't hold it
     hits = materialize(blocks.withColumn("token", F.explode("tokens")).join(prefix, "token").filter(F.size("tokens") >= F.col("need")).drop("token"), "prefix-hits")
     one = ["key", "row", "line", "block"]
