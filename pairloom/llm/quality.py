@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialize, tidy
+from pairloom.llm.common import free_name, matching, materialize, row_hash, tidy
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NOT_SYMBOL = re.compile(r"[^#*$%&|<>]+")
@@ -72,7 +72,7 @@ def line_key(line: str) -> tuple[int, int] | None:
     return xxhash.xxh3_64_intdigest(DIGITS.sub("0", " ".join(words).lower()).encode("utf-8", "surrogatepass")) - (1 << 63), sum(map(len, words))
 
 
-FACTS = pa.schema([("key", pa.int64()), ("host", pa.string())] + [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("lines", pa.list_(pa.int64())), ("chars", pa.list_(pa.int64()))])
+FACTS = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("host", pa.string())] + [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("lines", pa.list_(pa.int64())), ("chars", pa.list_(pa.int64()))])
 
 
 def document_facts(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
@@ -82,24 +82,35 @@ def document_facts(docs: DataFrame, key: str, text: str, host: str) -> DataFrame
     def facts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             out: list[list] = [[] for _ in FACTS]
-            for k, h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for k, r, h, x in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 t = x.as_py() or ""
                 lines: dict[int, int] = {}
                 for line in t.split("\n"):
                     if found := line_key(line):
                         lines[found[0]] = lines.get(found[0], 0) + found[1]
-                for c, v in zip(out, (k, h, *base_counts(t), list(lines), list(lines.values())), strict=True):
+                for c, v in zip(out, (k, r, h, *base_counts(t), list(lines), list(lines.values())), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, FACTS, strict=True)], schema=FACTS)
 
-    schema = "key bigint, host string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<bigint>, chars array<bigint>"
+    schema = "key bigint, row bigint, host string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<bigint>, chars array<bigint>"
     # a null host is a host of its own, marked by a character that names don't hold
-    return docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(host), F.lit("\0")).alias("host"), F.col(text).alias("text")).mapInArrow(facts, schema)
+    return docs.select(F.col(key).cast("long").alias("key"), row_hash(key, text).alias("row"), F.coalesce(F.col(host), F.lit("\0")).alias("host"), F.col(text).alias("text")).mapInArrow(facts, schema)
 
 
 def host_lines(facts: DataFrame) -> DataFrame:
-    """(key, host, line, chars) of each distinct line of a document."""
-    return facts.select("key", "host", F.explode(F.arrays_zip("lines", "chars")).alias("x")).select("key", "host", F.col("x.lines").alias("line"), F.col("x.chars").alias("chars"))
+    """(key, row, host, line, chars) of each distinct line of a document."""
+    return facts.select("key", "row", "host", F.explode(F.arrays_zip("lines", "chars")).alias("x")).select("key", "row", "host", F.col("x.lines").alias("line"), F.col("x.chars").alias("chars"))
+
+
+def boilerplate(facts: DataFrame, min_docs: int, min_share: float) -> DataFrame:
+    """(key, row, host, line, chars) of the lines above the limits, once for rows that are equal in key, text and host."""
+    lines = host_lines(facts)
+    # one row a line on the small side; AQE splits the partitions of very common lines
+    return lines.join(frequent_lines(facts, lines, min_docs, min_share), ["host", "line"]).groupBy("key", "row", "host", "line").agg(F.max("chars").alias("chars"))
+
+
+#: A row is known by its key, the hash of key and text, and its host; null keys are keys.
+SAME_ROW = {"key": "_key", "row": "_row", "host": "_host"}
 
 
 def frequent_lines(facts: DataFrame, lines: DataFrame, min_docs: int, min_share: float) -> DataFrame:
@@ -117,18 +128,15 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
 
     Returns key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept and boilerplate_chars (word characters in lines above the limits). Null and empty
-    texts have no words and fail the base rule. Null hosts form one host. Keys are expected
-    unique; rows that repeat a key count as documents of their own for the line counts and
-    share their sum of boilerplate. An empty table gives no rows; other columns are not read.
+    texts have no words and fail the base rule. Null hosts form one host. Rows that repeat a key, or
+    have a null one, are documents of their own, for the line counts and for the verdict. An empty table gives no
+    rows; other columns are not read.
     """
     facts = materialize(document_facts(docs, key, text, host), "quality")
-    lines = host_lines(facts)
-    frequent = frequent_lines(facts, lines, min_docs, min_share)
-    # one row a line on the small side; AQE splits the partitions of very common lines
-    lost = lines.join(frequent, ["host", "line"]).groupBy("key").agg(F.sum("chars").alias("boilerplate_chars"))
+    lost = boilerplate(facts, min_docs, min_share).groupBy("key", "row", "host").agg(F.sum("chars").alias("boilerplate_chars")).withColumnsRenamed(SAME_ROW)
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        facts.drop("host", "lines", "chars").join(lost, "key", "left")
+        matching(facts.drop("lines", "chars"), lost, SAME_ROW, "left")
         .withColumn("boilerplate_chars", F.coalesce("boilerplate_chars", F.lit(0)))
         .withColumn("base_failed", base_failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("boilerplate_chars") <= depleted * F.col("word_chars")))
@@ -137,20 +145,23 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
 
 
 def without_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """docs with the lines above the limits taken out of `text`, and removed (their positions from 0).
+    """docs with the lines above the limits taken out of `text`, and their positions from 0 in `removed` (with underscores before it if docs has such a column).
 
-    The lines are those that quality_rules counts. Null texts stay null. Rows that repeat a key
-    lose the lines that are boilerplate of any row with that key and host.
+    The lines are those that quality_rules counts. Null texts stay null, null keys are keys, and rows that repeat a
+    key lose their own lines only. Other columns stay, whatever their names.
     """
     facts = materialize(document_facts(docs, key, text, host), "quality")
-    lines = host_lines(facts)
-    frequent = frequent_lines(facts, lines, min_docs, min_share)
+    taken = list(docs.columns)
+    names = {}
+    for n in ("removed", "lost", "key", "row", "host", "line_key", "line_row", "line_host"):
+        names[n] = free_name(taken, n)
+        taken.append(names[n])
     # bounded by the lines of one document
-    lost = lines.join(frequent, ["host", "line"]).groupBy("key", "host").agg(F.collect_set("line").alias("__lost")).withColumnsRenamed({"key": "__key", "host": "__host"})
-    there = (F.col(key).cast("long").eqNullSafe(F.col("__key"))) & (F.coalesce(F.col(host), F.lit("\0")) == F.col("__host"))
-    kind = "removed array<int>, cleaned string"
+    lost = boilerplate(facts, min_docs, min_share).groupBy("key", "row", "host").agg(F.collect_set("line").alias(names["lost"]))
+    lost = lost.withColumnsRenamed({n: names[f"line_{n}"] for n in ("key", "row", "host")})
+    named = docs.withColumns({names["key"]: F.col(key).cast("long"), names["row"]: row_hash(key, text), names["host"]: F.coalesce(F.col(host), F.lit("\0"))})
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf("removed array<int>, cleaned string")
     def cut(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
         rows = []
         for t, d in zip(texts, drops, strict=True):
@@ -163,5 +174,5 @@ def without_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text"
             rows.append((at, "\n".join(x for i, x in enumerate(split) if i not in out)))
         return pd.DataFrame(rows, columns=["removed", "cleaned"])
 
-    joined = docs.join(lost, there, "left").withColumn("__cut", cut(F.col(text), F.col("__lost")))
-    return joined.withColumn(text, F.col("__cut.cleaned")).withColumn("removed", F.col("__cut.removed")).select(*docs.columns, "removed")
+    joined = matching(named, lost, {names[n]: names[f"line_{n}"] for n in ("key", "row", "host")}, "left").withColumn(names["lost"], cut(F.col(text), F.col(names["lost"])))
+    return joined.withColumn(text, F.col(names["lost"])["cleaned"]).withColumn(names["removed"], F.col(names["lost"])["removed"]).select(*docs.columns, names["removed"])
