@@ -7,7 +7,7 @@ with one vector is valid if it is on enough pages and nests: above its tokens li
 class, or none. The nested valid classes are the template; the blocks of text at their paths fill
 its slots. The article is an element that a valid class has once on each of its pages: the outermost one that is
 named so by its tag and holds most of the text that varies, or else the deepest one that holds
-nearly all of it. Pages are cut to that element; blocks in elements that are never article text (menus, forms,
+nearly all of it; an element holds the different texts of all blocks below it, however rare their own paths are. Pages are cut to that element; blocks in elements that are never article text (menus, forms,
 adverts, comments by tag, role and class) go wherever they are. Pages without the template's article are
 cut by such elements alone.
 """
@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import materialize, tidy
 
-MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
+UNENDED = re.compile(r"<[!?]")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 # Elements without an end, those whose content is no markup, those that begin a new block.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -40,9 +43,11 @@ NOT_WORDS = frozenset(
 )
 ARTICLES = frozenset(("article", "main"))
 TITLES = frozenset("h1 h2".split())
-# Share of a host's pages that a class must be on to be valid, and that a token must be on to be looked at;
-# shares of the varying text that the article holds, if its tag names it and if not.
-VALID, LEAST_SHARE, NAMED_SHARE, ARTICLE_SHARE = 0.5, 0.02, 0.5, 0.7
+# Share of a host's pages that a class must be on to be valid; shares of the varying text that the article holds, if
+# its tag names it and if not.
+VALID, NAMED_SHARE, ARTICLE_SHARE = 0.5, 0.5, 0.7
+# Elements below this depth count to the path of the one at it; longer labels are hashed. No text is lost by either.
+MAX_DEPTH, MAX_LABEL = 200, 300
 
 
 def blocks_of(page: str) -> tuple[dict[str, int], list[tuple[str, bool, str]]]:
@@ -69,11 +74,17 @@ def blocks_of(page: str) -> tuple[dict[str, int], list[tuple[str, bool, str]]]:
             if where:
                 held.append(text)
 
-    at, size = 0, len(page)
+    at, size, last = 0, len(page), page.rfind(">")
+    open_: Counter[str] = Counter()  # tags of the stack
+
+    def close(depth: int) -> None:
+        open_.subtract(s[0] for s in stack[depth:])
+        del stack[depth:]
+
     while at < size:
-        m = MARKUP.search(page, at)
-        if m is None:
-            add(page[at:])
+        m = MARKUP.search(page, at) if at <= last else None
+        if m is None:  # no tag ends any more
+            add(UNENDED.split(page[at:], maxsplit=1)[0])
             break
         add(page[at : m.start()])
         at = m.end()
@@ -81,29 +92,28 @@ def blocks_of(page: str) -> tuple[dict[str, int], list[tuple[str, bool, str]]]:
             continue
         tag = m[2].lower()
         if m[1]:  # an end tag closes up to its element, if that is open
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if tag in BLOCKS:
                 flush()
-            if depth:
-                del stack[depth:]
+            if open_[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             elif tag == "p" or tag == "br":
                 add(" ")
             continue
         if tag in BLOCKS:
             flush()
             closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):  # an open p, or an item of the same list, ends here
-                if stack[i][0] == "p" or stack[i][0] in closes:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
+            if any(open_[t] > 0 for t in ("p", *closes)):
+                for i in range(len(stack) - 1, 0, -1):  # an open p, or an item of the same list, ends here
+                    if stack[i][0] == "p" or stack[i][0] in closes:
+                        close(i)
+                        break
+                    if stack[i][0] in BLOCKS:
+                        break
         attrs = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(m[3])} if m[3] else {}
         names = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()) if attrs else []
-        label = tag + "".join(f".{n}" for n in sorted(set(re.sub(r"\d+", "0", attrs.get("class", "").lower()).split())))
-        path = f"{stack[-1][1]}/{label}"
+        path = path_below(stack[-1][1], tag, attrs.get("class", ""), len(stack))
         hidden = bool(m[3]) and (re.search(r"(?:^|\s)hidden(?:\s|=|$)", m[3]) is not None or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""))
-        inside = any(s[0] in ARTICLES for s in stack)
+        inside = any(open_[t] > 0 for t in ARTICLES)
         bad = stack[-1][2] or tag in NOT_TEXT or hidden or attrs.get("role", "").lower() in NOT_ROLES or (tag not in ("html", "body", *ARTICLES) and not NOT_WORDS.isdisjoint(names)) or (tag == "header" and not inside)
         counts[path] = counts.get(path, 0) + 1
         if tag == "br":
@@ -111,14 +121,38 @@ def blocks_of(page: str) -> tuple[dict[str, int], list[tuple[str, bool, str]]]:
         if tag in VOID or m[3].endswith("/"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            end = raw_end(tag).search(page, at)
             at = end.end() if end else size
             continue
         stack.append((tag, path, bad))
+        open_[tag] += 1
     flush()
     return counts, out
 
 
+def path_below(above: str, tag: str, classes: str, depth: int) -> str:
+    """The path of an element below another: its tag and sorted classes, with digits as 0 and without the slash of paths."""
+    if depth > MAX_DEPTH:
+        return above
+    label = tag + "".join(f".{n}" for n in sorted(set(re.sub(r"\d+", "0", classes.lower()).replace("/", "\u2215").split())))
+    return f"{above}/{label if len(label) <= MAX_LABEL else f'{tag[:MAX_LABEL]}.{_hash(label)}'}"
+
+
+@cache
+def raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>", re.I)
+
+
+@lru_cache(1 << 14)
+def places_above(path: str) -> list[int]:
+    """Hashes of the path itself, of those of all elements above it, and of '' for the page."""
+    out = [_hash(path)]
+    while path:
+        path = path.rpartition("/")[0]
+        out.append(_hash(path))
+    return out
+
+
 def _hash(*parts: object) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -154,15 +188,15 @@ def nested_classes(tokens: dict[str, tuple]) -> dict[str, tuple]:
     return template
 
 
-def article_of(tokens: dict[str, tuple], pages: int, varied: dict[str, float]) -> str | None:
-    """The path of the article in a host's template, from its tokens (vector: hashes, support, total) and the characters of each slot's different texts."""
-    valid = {p: v for p, v in tokens.items() if v[-2] >= VALID * pages}
-    template = nested_classes(valid)
-    total = sum(varied.values())
-
-    def share(path: str) -> float:
-        return sum(n for p, n in varied.items() if p == path or p.startswith(path + "/")) / total if total else 0.0
+def article_of(tokens: dict[str, tuple], pages: int, varied: dict[str, int]) -> str | None:
+    """The path of the article in a host's template.
 
+    tokens: vectors (hashes, support, total) of the paths; varied: the characters of the different texts that
+    are below a path, '' being the page.
+    """
+    template = nested_classes({p: v for p, v in tokens.items() if v[-2] >= VALID * pages})
+    total = varied.get("", 0)
+    share = lambda path: varied.get(path, 0) / total if total else 0.0
     once = sorted((p for p, v in template.items() if v[-1] == v[-2]), key=lambda p: (p.count("/"), p))
     for p in once:
         if p.rpartition("/")[2].split(".")[0] in ARTICLES and share(p) >= NAMED_SHARE:
@@ -175,11 +209,13 @@ def article_of(tokens: dict[str, tuple], pages: int, varied: dict[str, float]) -
 
 
 def deduce(tokens: pd.DataFrame) -> pd.DataFrame:
-    """(host, article) of one host from its tokens: (path, fp1, fp2, support, total, blocks, varied, pages)."""
-    elements, slots = tokens[tokens["support"] > 0], tokens[tokens["blocks"] > 0]
-    vectors = {p: v for p, *v in elements[["path", "fp1", "fp2", "support", "total"]].itertuples(index=False)}
-    article = article_of({p: tuple(v) for p, v in vectors.items()}, int(tokens["pages"].iloc[0]), dict(zip(slots["path"], slots["varied"].tolist(), strict=True)))
-    return pd.DataFrame({"host": [tokens["host"].iloc[0]], "article": [article]})
+    """(host, article) of one host from its tokens: (path, fp1, fp2, support, total, varied, pages, all_chars)."""
+    vectors = {p: tuple(v) for p, *v in tokens[["path", "fp1", "fp2", "support", "total"]].itertuples(index=False)}
+    varied = dict(zip(tokens["path"], tokens["varied"].tolist(), strict=True)) | {"": int(tokens["all_chars"].iloc[0])}
+    return pd.DataFrame({"host": [tokens["host"].iloc[0]], "article": [article_of(vectors, int(tokens["pages"].iloc[0]), varied)]})
+
+
+ELEMENTS = pa.schema([("host", pa.string()), ("path", pa.string()), *[(n, pa.int64()) for n in ("place", "occurrence", "n", "said")]])
 
 
 def templates(pages: DataFrame, key: str, html_column: str) -> DataFrame:
@@ -188,29 +224,37 @@ def templates(pages: DataFrame, key: str, html_column: str) -> DataFrame:
     @tidy
     def tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[tuple] = []
+            said: dict[tuple, int] = {}
             for k, host, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 counts, blocks = blocks_of(x.as_py() or "")
-                for path, n in counts.items():
-                    for r, v in zip(rows, (host, path, _hash(k, n), n, None), strict=True):
-                        r.append(v)
+                rows += [(host, path, _hash(path), _hash(k, n), n, None) for path, n in counts.items()]
                 for path, bad, text in blocks:
                     if not bad:
-                        for r, v in zip(rows, (host, path, None, len(text), _hash(text)), strict=True):
-                            r.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), *[pa.array(r, pa.int64()) for r in rows[2:]]], names=["host", "path", "occurrence", "n", "said"])
-
-    found = pages.select(F.col(key).alias("k"), "host", F.col(html_column).alias("h")).mapInArrow(tokens, "host string, path string, occurrence bigint, n bigint, said bigint")
-    # sums of 32 bits each can't overflow, and a page that is there twice counts twice for all its tokens
-    counted = found.groupBy("host", "path").agg(
-        F.sum(F.col("occurrence").bitwiseAND(0xFFFFFFFF)).alias("fp1"), F.sum(F.shiftrightunsigned("occurrence", 32)).alias("fp2"),
-        F.count("occurrence").alias("support"), F.coalesce(F.sum(F.when(F.col("occurrence").isNotNull(), F.col("n"))), F.lit(0)).alias("total"),
-        F.count("said").alias("blocks"), (F.approx_count_distinct("said") * F.avg(F.when(F.col("said").isNotNull(), F.col("n")))).alias("varied"),
+                        h = _hash(text)
+                        for p in places_above(path):
+                            said[host, p, h] = len(text)
+            rows += [(host, None, p, None, n, h) for (host, p, h), n in said.items()]
+            columns = zip(*rows, strict=True) if rows else [()] * len(ELEMENTS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ELEMENTS, strict=True)], schema=ELEMENTS)
+
+    found = pages.select(F.col(key).alias("k"), "host", F.col(html_column).alias("h")).mapInArrow(tokens, "host string, path string, place bigint, occurrence bigint, n bigint, said bigint")
+    # one pass: element counts have a path, texts a hash; both are summed before they are shuffled
+    summed = materialize(
+        found.groupBy("host", "place", "said").agg(
+            F.first("path", ignorenulls=True).alias("path"),
+            # sums of 32 bits each can't overflow, and a page that is there twice counts twice for all its tokens
+            F.sum(F.col("occurrence").bitwiseAND(0xFFFFFFFF)).alias("fp1"), F.sum(F.shiftrightunsigned("occurrence", 32)).alias("fp2"),
+            F.count("occurrence").alias("support"), F.sum("n").alias("total"), F.max("n").alias("chars"),
+        ), "elements",
     )
+    texts = summed.filter("said is not null").groupBy("host", "place").agg(F.sum("chars").alias("varied"))
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    # rare tokens can't be in a template, so a host has at most a few tokens a page / LEAST_SHARE rows here
-    kept = counted.join(sizes, "host").filter((F.col("support") >= LEAST_SHARE * F.col("pages")) | (F.col("blocks") >= LEAST_SHARE * F.col("pages")))
-    return kept.groupBy("host").applyInPandas(deduce, "host string, article string")
+    # only elements on VALID of the pages can be in a template: at most the elements of a page / VALID a host
+    kept = summed.filter("said is null").join(sizes, "host").filter(F.col("support") >= VALID * F.col("pages"))
+    whole = texts.filter(F.col("place") == _hash("")).select("host", F.col("varied").alias("all_chars"))
+    known = kept.join(texts, ["host", "place"], "left").join(whole, "host", "left").na.fill(0, ["varied", "all_chars"])
+    return known.select("host", "path", "fp1", "fp2", "support", "total", "varied", "pages", "all_chars").groupBy("host").applyInPandas(deduce, "host string, article string")
 
 
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html_column: str = "html") -> DataFrame:

@@ -21,6 +21,9 @@ TYPES = {
     "op8_levenshtein_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op9_segment_line_dedup": {"doc_id": "bigint", "n_lines": "bigint", "n_removed": "bigint"},
     "op10_prefix_sum_shards": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op11_source_divergence": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
+    "op12_phrase_collocations": {"lang": "string", "rank": "bigint", "phrase": "string", "a": "bigint", "l": "bigint", "r": "bigint", "n": "bigint", "score": "bigint"},
+    "op13_license_containment": {"doc_id": "bigint", "n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint", "base_labels": "string", "labels": "string", "score": "double"},
 }
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -163,3 +166,26 @@ def test_op10(run, texts):
         slots[r["shard"]].append(r["slot"])
     largest = max(r["size"] for r in rows)
     assert all(0 <= s < 8 and sorted(x) == list(range(len(x))) for s, x in slots.items()) and max(sizes.values()) - min(sizes.values()) <= 2 * largest
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return [(r["doc_id"], r["lang"], r["source"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+
+
+def test_op11(run, documents):
+    from tests.llm.test_statistics import plain_divergence
+
+    assert sorted(map(tuple, run("op11_source_divergence"))) == plain_divergence([d[1:] for d in documents], 10, 10)
+
+
+def test_op12(run, documents):
+    from tests.llm.test_statistics import plain_collocations
+
+    assert sorted(map(tuple, run("op12_phrase_collocations"))) == plain_collocations([(d[1], d[3]) for d in documents], 10, 2000)
+
+
+def test_op13(run, documents):
+    from tests.llm.test_statistics import plain_licenses
+
+    assert sorted(map(tuple, run("op13_license_containment"))) == sorted((d[0], *plain_licenses(d[3])) for d in documents)

@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -583,6 +584,41 @@ def test_html_text_without_an_article_element(spark):
     assert all(got[k] == text for k, _, _, text in rows)
 
 
+WRAPPED = "<html><body><div class=box><p>Latest item number {n} of the day</p></div><div class=page><div class='w-{name}'><h1>Title {n}</h1>{p}</div></div></body></html>"
+
+
+def test_the_size_of_a_host_changes_no_page(spark):
+    """Wrappers whose class differs by page leave no path on many pages; their text still counts to the elements above."""
+    letters = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    rows, want = [], {}
+    for size in (10, 60, 200, 1500):
+        for n in range(size):
+            parts = [f"Body {n} {k} {words(random.Random(100 * n + k), 9)}" for k in range(3)]
+            want[len(rows)] = "\n\n".join([f"Title {n}", *parts])
+            rows.append((len(rows), f"http://h{size}.org/{n}", WRAPPED.format(n=n, name=letters(n), p="".join(f"<p>{x}</p>" for x in parts))))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["text"] for r in htmltext.extract_main_text(df).collect()} == want
+    hosts = {"h300.org": [h for _, u, h in rows if "h1500" in u][:300]}
+    wide = spark.createDataFrame([(i, h, p) for i, (h, p) in enumerate((h, p) for h, ps in hosts.items() for p in ps)], "k bigint, host string, h string")
+    assert {r["host"]: r["article"] for r in htmltext.templates(wide, "k", "h").collect()} == {h: plain_article(ps) for h, ps in hosts.items()}
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<a \"" * 100_000 + ">", "<div>" * 100_000 + "inner", "<span>" * 20_000 + "<hr>" * 20_000, "<i>" * 50_000 + "</b>" * 100_000, "<p class='" + "x y" * 300_000 + "'>t", "<!--" * 200_000], ids=lambda p: p[:12])
+def test_broken_pages_are_parsed_in_linear_time(page):
+    began = time.perf_counter()
+    counts, blocks = htmltext.blocks_of("<p>before</p>" + page)
+    assert time.perf_counter() - began < 8 and blocks[0][2] == "before"
+    assert max(map(len, counts)) < 100_000
+
+
+def test_slashes_in_class_names_are_no_levels():
+    page = '<div class="w-1"><p>A</p></div><div class="w-1/2"><p>B</p></div><div class="md/main"><p>C</p></div>'
+    paths = [p for p, _, _ in htmltext.blocks_of(page)[1]]
+    assert [p.count("/") for p in paths] == [2, 2, 2]
+    assert htmltext.main_blocks(page, "/div.w-0") == ["A"] and htmltext.main_blocks(page, None) == ["A", "B", "C"]
+    assert htmltext.main_blocks("<div>" * 300 + "<p>deep</p>", "/div/div") == ["deep"]
+
+
 def plain_article(pages):
     """The article of a host by occurrence vectors written out, page by page."""
     parsed = [htmltext.blocks_of(p) for p in pages]
@@ -605,14 +641,10 @@ def plain_article(pages):
         return len(up) <= 1 and all(u in groups and u != v and nests(u) for u in up)
 
     once = sorted((p for v in groups if set(v) <= {0, 1} and nests(v) for p in groups[v]), key=lambda p: (p.count("/"), p))
-    texts: dict = {}
-    for _, blocks in parsed:
-        for path, bad, text in blocks:
-            if not bad:
-                texts.setdefault(path, []).append(text)
     inside = lambda a, p: p == a or p.startswith(a + "/")
-    varied = {p: len(set(t)) * sum(map(len, t)) / len(t) for p, t in texts.items()}
-    share = lambda a: sum(n for p, n in varied.items() if inside(a, p)) / max(1, sum(varied.values()))
+    kept = {(path, text) for _, blocks in parsed for path, bad, text in blocks if not bad}
+    size = lambda a: sum(map(len, {text for path, text in kept if a is None or inside(a, path)}))
+    share = lambda a: size(a) / max(1, size(None))
     named = [a for a in once if a.split("/")[-1].split(".")[0] in ("article", "main") and share(a) >= 0.5]
     if named:
         return named[0]
@@ -646,7 +678,7 @@ def test_templates_match_vectors_written_out(spark):
 
 def test_occurrence_vectors_decide():
     tokens = {p: (1, 1, 9, 9) for p in ("/html", "/html/body", "/html/body/div", "/html/body/i")} | {"/html/body/div/p": (7, 7, 9, 30)}
-    varied = {"/html/body/div/p": 30, "/html/body/i": 9}
+    varied = {"": 39, "/html": 39, "/html/body": 39, "/html/body/div": 30, "/html/body/div/p": 30, "/html/body/i": 9}
     assert htmltext.article_of(tokens, 9, varied) == "/html/body/div"
     # with vectors that tell other classes, the same supports and counts give no such template
     mixed = tokens | {"/html/body/div": (2, 2, 9, 9), "/html": (2, 2, 9, 9)}
@@ -670,3 +702,22 @@ def test_boilerplate_lines_are_taken_out(spark):
     by = {r["doc_id"]: r for r in quality.without_boilerplate(df).collect()}
     assert len(by) == len(rows) and by[99]["text"] is None and by[100]["text"] == rows[-1][1]
     assert all(by[k]["removed"] == [1] and by[k]["text"].split("\n") == t.split("\n")[::2] for k, t, _ in rows[:30])
+
+
+def test_rows_are_judged_by_themselves(spark):
+    line = "all rights reserved by the host of these pages forever"
+    clean = " ".join(f"word{i}" for i in range(80))
+    rows = [(k, f"{clean} {'x' * (k + 1)}\n{line}", "s") for k in range(30)] + [(5, clean, "s"), (5, "\n".join([line] * 9), "s"), (None, "\n".join([line] * 9), "s"), (5, clean, "t"), (5, clean, "s")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = quality.quality_rules(df, min_docs=20).collect()
+    lost = 9 * len(line.replace(" ", ""))
+    assert len(got) == len(rows)
+    assert sorted(r["boilerplate_chars"] for r in got if r["doc_id"] == 5) == [0, 0, 0, len(line.replace(" ", "")), lost]
+    assert all(r["kept"] for r in got if r["doc_id"] == 5 and r["boilerplate_chars"] == 0)
+    (null,) = [r for r in got if r["doc_id"] is None]
+    assert null["boilerplate_chars"] == lost and not null["kept"]
+    more = df.withColumns({c: F.lit(1) for c in ("removed", "__lost", "lost", "key", "row", "host", "line_key", "Line_Row")})
+    out = quality.without_boilerplate(more, min_docs=20)
+    assert out.columns == [*more.columns, "_removed"] and out.count() == len(rows)
+    assert sorted(len(r["_removed"]) for r in out.filter("doc_id = 5").collect()) == [0, 0, 0, 1, 9]
+    assert out.filter("doc_id is null").first()["text"] == ""
