@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import gzip
-import io
-import pickle
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pairloom.sources import splits
+from pairloom.sources.splits import SENTENCE
+
 TRAIN_SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("id", "qid1", "qid2")] + [T.StructField(n, T.StringType()) for n in ("question1", "question2")] + [T.StructField("is_duplicate", T.IntegerType())])
 TEST_SCHEMA = T.StructType([T.StructField("test_id", T.LongType()), T.StructField("question1", T.StringType()), T.StructField("question2", T.StringType())])
 PREDICTION_SCHEMA = T.StructType([T.StructField("test_id", T.LongType()), T.StructField("is_duplicate", T.DoubleType())])
@@ -89,29 +86,10 @@ def read_word_vectors(spark: SparkSession, path: str, dims: int, header: bool =
     return rows.select(F.array_join(F.slice("p", 1, F.size("p") - dims), " ").alias("word"), F.slice("p", F.size("p") - dims + 1, dims).cast("array<float>").alias("vec"))
 
 
-def read_word_vectors_binary(spark: SparkSession, path: str) -> DataFrame:
-    """(word, vec) from the binary word-vector format, one file a task."""
-    import numpy as np
-
-    def parse(it):
-        import pandas as pd
-
-        for pdf in it:
-            for raw in pdf["content"]:
-                head, _, rest = raw.partition(b"\n")
-                n, dims = map(int, head.split())
-                words, vecs, at = [], [], 0
-                for _ in range(n):
-                    space = rest.index(b" ", at)
-                    words.append(rest[at:space].lstrip(b"\n").decode("utf-8", "replace"))
-                    vecs.append(np.frombuffer(rest, "<f4", dims, space + 1).tolist())
-                    at = space + 1 + 4 * dims
-                    if len(words) == 50_000:
-                        yield pd.DataFrame({"word": words, "vec": vecs})
-                        words, vecs = [], []
-                yield pd.DataFrame({"word": words, "vec": vecs})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "word string, vec array<float>")
+def read_word_vectors_binary(spark: SparkSession, path: str, split_bytes: int = splits.SPLIT_BYTES) -> DataFrame:
+    """(word, vec) of files in the binary word-vector format, of any size, cut into ranges of split_bytes; 0: a task a file."""
+    spark.dataSource.register(splits.WordVectors)
+    return spark.read.format("word_vectors").option("split_bytes", split_bytes).load(path)
 
 
 def read_dictionary(spark: SparkSession, path: str, pos: str) -> DataFrame:
@@ -137,57 +115,15 @@ def read_features(spark: SparkSession, folder: str, families: list[str]) -> Data
     return reduce(lambda a, b: a.join(b, "pair_id"), tables)
 
 
-#: Layout of a parsed sentence, and of a pair of them.
-SENTENCE = "array<struct<word:string,pos:string,ner:string,deps:map<int,string>>>"
-ANNOTATED = f"pair_id bigint, is_duplicate int, question1 string, question2 string, s {SENTENCE}, t {SENTENCE}"
-
-
-class _PlainValues(pickle.Unpickler):
-    """Reads containers, numbers and texts only: a file that names any class or function is refused."""
-
-    def find_class(self, module: str, name: str):
-        raise pickle.UnpicklingError(f"{module}.{name} in a file of plain values")
-
-
-def _values(raw: bytes) -> Iterator[object]:
-    """The pickled values of a file, one after the other; gzip is recognised by its first bytes."""
-    stream = gzip.GzipFile(fileobj=io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
-    reader = io.BufferedReader(stream)
-    while reader.peek(1):
-        yield _PlainValues(reader).load()
-
-
-def _sentence(side: dict) -> list[dict]:
-    """Tokens by place, each with the labels of the tokens that hang on it; the root is no token."""
-    tokens = [{"word": str(t["word"]).lower(), "pos": t["pos"], "ner": t["ner"], "deps": {}} for t in sorted(side["toks"], key=lambda t: t["index"])]
-    for d in side["deps"]:
-        if d["governor"] > 0:
-            tokens[d["governor"] - 1]["deps"][d["dependent"] - 1] = d["dep"]
-    return tokens
-
-
-def read_annotated_pickles(spark: SparkSession, path: str) -> DataFrame:
+def read_annotated_pickles(spark: SparkSession, path: str, split_bytes: int = splits.SPLIT_BYTES) -> DataFrame:
     """(pair_id, is_duplicate, question1, question2, s, t) from files of pickled annotated pairs, gzipped or not.
 
-    A file is one stream of dictionaries (id, is_duplicate, q1 and q2 with raw, toks and deps) and goes to one
-    task; give many files for many tasks (Spark reads at most 2 GB of one). Values are plain data: code in a file is refused.
-    A pair without the key of the test split has a null label.
+    A file is one stream of dictionaries (id, is_duplicate, q1 and q2 with raw, toks and deps), of any size. A gzipped
+    one is cut at its members, which must hold whole dictionaries; others go to one task. Values are plain data: code in
+    a file is refused. A pair without the key of the test split has a null label.
     """
-
-    def parse(batches):
-        for batch in batches:
-            for raw in batch.column(0):
-                rows = []
-                for d in _values(raw.as_py()):
-                    rows.append({"pair_id": d.get("id", d.get("test_id")), "is_duplicate": d.get("is_duplicate"), "question1": d["q1"]["raw"], "question2": d["q2"]["raw"], "s": _sentence(d["q1"]), "t": _sentence(d["q2"])})
-                    if len(rows) == 1000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=layout)
-                        rows = []
-                yield pa.RecordBatch.from_pylist(rows, schema=layout)
-
-    token = pa.struct([("word", pa.string()), ("pos", pa.string()), ("ner", pa.string()), ("deps", pa.map_(pa.int32(), pa.string()))])
-    layout = pa.schema([("pair_id", pa.int64()), ("is_duplicate", pa.int32()), ("question1", pa.string()), ("question2", pa.string()), ("s", pa.list_(token)), ("t", pa.list_(token))])
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, ANNOTATED)
+    spark.dataSource.register(splits.AnnotatedPickles)
+    return spark.read.format("annotated_pickles").option("split_bytes", split_bytes).load(path)
 
 
 def write_annotated(df: DataFrame, path: str) -> None:
@@ -199,20 +135,14 @@ def read_annotated(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_pickled_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_pickled_rows(spark: SparkSession, path: str, schema: str, split_bytes: int = splits.SPLIT_BYTES) -> DataFrame:
     """Rows of files that each hold pickled lists of tuples (or scalars, for one column), in the given schema.
 
-    Files of plain values only. Parquet is the format to write: see write_features and write_predictions.
+    Files of plain values only, cut as by read_annotated_pickles. Parquet is the format to write: see write_features
+    and write_predictions.
     """
-    names = spark.createDataFrame([], schema).columns
-
-    def parse(it):
-        for pdf in it:
-            for raw in pdf["content"]:
-                for value in _values(raw):
-                    yield pd.DataFrame([x if len(names) > 1 else (x,) for x in value], columns=names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, schema)
+    spark.dataSource.register(splits.PickledRows)
+    return spark.read.format("pickled_rows").schema(schema).option("split_bytes", split_bytes).load(path)
 
 
 def write_predictions(df: DataFrame, path: str, calibrated: DataFrame | None = None) -> None:

@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application; results that still read them must be written first."""
+    base = shared_folder(spark, "").rsplit("/", 1)[0]
+    where = spark._jvm.org.apache.hadoop.fs.Path(base)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new path under spark.checkpoint.dir.
 
@@ -17,7 +24,7 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(base or tempfile.gettempdir() + '/pairloom-shared').rstrip('/')}/pairloom/{label}-{uuid.uuid4().hex}"
+    return f"{(base or tempfile.gettempdir() + '/pairloom-shared').rstrip('/')}/pairloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def shared_table(df: DataFrame, label: str, schema: StructType | None = None) -> DataFrame:
