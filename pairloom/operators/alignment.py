@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import ratio, tokenize
+from pairloom.operators.tagging import Tagger, tags
+from pairloom.sources.tables import shared_table
 
 WORD_SHARE, WINDOW, NER_CAP = 0.75, 3, 3
 KINDS = ("n", "a", "v", "pp", "wp", "num")
@@ -41,6 +43,13 @@ class Similarity:
         return 0.7 if (x, y) in self.paraphrases or (y, x) in self.paraphrases else 0.0
 
 
+class RowSimilarity(Similarity):
+    """The same from the dictionary entries between one pair's own words: (tag, word, other) to 0.9 and ('', word, other) to 0.7."""
+
+    def __init__(self, known: list):
+        super().__init__({(k["tag"], k["word"], k["other"]) for k in known if k["tag"]}, {(k["word"], k["other"]) for k in known if not k["tag"]})
+
+
 class FormSimilarity(Similarity):
     """Stand-in for dictionaries, by word forms: words of one coarse tag that differ by an ending of ENDINGS count as
     synonyms (0.9), and words of five letters or more with equal first four letters as paraphrases (0.7)."""
@@ -136,19 +145,58 @@ def sentence_features(s: list[dict] | None, t: list[dict] | None, similarity: Si
     return out
 
 
-def alignment_features(annotated: DataFrame, similarity: Similarity | None = None) -> DataFrame:
-    """The 31 features of annotated pairs (pair_id, s, t); null where a sentence is null or empty."""
-    similarity = similarity or Similarity()
-    names = list(sentence_features(None, None, similarity))
-    shared = annotated.sparkSession.sparkContext.broadcast(similarity)
+def known_pairs(annotated: DataFrame, synonyms: DataFrame, paraphrases: DataFrame | None = None) -> DataFrame:
+    """(pair_id, known): the dictionary entries that link a word of s with one of t, in either direction.
+
+    synonyms: (pos, word, other), for words of one coarse tag; paraphrases: (word, other), for any. Dictionaries of
+    any size: each is cut to the words of the corpus, then joined by word and by pair, never collected; Spark broadcasts
+    one only below its own size limit. A pair's entries are bounded by its words.
+    """
+    words = lambda c: annotated.select("pair_id", F.explode(c).alias("x")).select("pair_id", F.col("x.word").alias("word"), coarse_column(F.col("x.pos")).alias("tag")).distinct()
+    s, t = shared_table(words("s"), "words_s"), shared_table(words("t"), "words_t")
+    seen = shared_table(s.select("word", "tag").union(t.select("word", "tag")).distinct(), "words")
+    entries = synonyms.select(F.col("pos").alias("tag"), "word", "other").filter("tag <> ''")
+    both = entries.union(entries.select("tag", "other", "word")).distinct()
+    used = both.join(seen, ["word", "tag"], "left_semi").join(seen.withColumnRenamed("word", "other"), ["other", "tag"], "left_semi")
+    found = s.join(used, ["word", "tag"]).join(t.withColumnRenamed("word", "other"), ["pair_id", "tag", "other"], "left_semi").select("pair_id", "tag", "word", "other")
+    if paraphrases is not None:
+        forms = seen.select("word").distinct()
+        loose = paraphrases.select("word", "other").union(paraphrases.select("other", "word")).distinct()
+        used = loose.join(forms, "word", "left_semi").join(forms.withColumnRenamed("word", "other"), "other", "left_semi")
+        near = s.select("pair_id", "word").distinct().join(used, "word").join(t.select("pair_id", F.col("word").alias("other")).distinct(), ["pair_id", "other"], "left_semi")
+        found = found.union(near.select("pair_id", F.lit("").alias("tag"), "word", "other"))
+    # lookups go by (s, t) and (t, s), so the entries of one direction are enough
+    return found.groupBy("pair_id").agg(F.collect_set(F.struct("tag", "word", "other")).alias("known"))
+
+
+def coarse_column(pos: Column) -> Column:
+    first = F.substring(pos, 1, 1)
+    return F.when(first == "N", "n").when(first == "J", "a").when(first == "V", "v").otherwise("")
+
+
+def alignment_features(annotated: DataFrame, similarity: Similarity | None = None, synonyms: DataFrame | None = None, paraphrases: DataFrame | None = None) -> DataFrame:
+    """The 31 features of annotated pairs (pair_id, s, t); null where a sentence is null or empty.
+
+    Words are similar by `similarity` (a small object that goes to every task; equal words by default), or by dictionary
+    tables of any size: synonyms (pos, word, other) and paraphrases (word, other), see known_pairs.
+    """
+    names = list(sentence_features(None, None, Similarity()))
+    rows = annotated.select("pair_id", "s", "t")
+    entries = "array<struct<tag:string,word:string,other:string>>"
+    if synonyms is None and paraphrases is None:
+        rows = rows.withColumn("known", F.lit(None).cast(entries))
+    else:
+        empty = annotated.sparkSession.createDataFrame([], "pos string, word string, other string")
+        rows = rows.join(known_pairs(annotated, empty if synonyms is None else synonyms, paraphrases), "pair_id", "left").withColumn("known", F.coalesce("known", F.array().cast(entries)))
+    fixed = similarity or Similarity()
 
     def run(it):
         tokens = lambda x: None if x is None else [{"word": w["word"], "pos": w["pos"], "deps": dict(w["deps"] or {})} for w in x]
         for pdf in it:
-            rows = [sentence_features(tokens(s), tokens(t), shared.value) for s, t in zip(pdf["s"], pdf["t"], strict=True)]
-            yield pd.DataFrame(rows, columns=names, dtype="float64").assign(pair_id=pdf["pair_id"].to_numpy())[["pair_id", *names]]
+            found = [sentence_features(tokens(s), tokens(t), fixed if known is None else RowSimilarity(known)) for s, t, known in zip(pdf["s"], pdf["t"], pdf["known"], strict=True)]
+            yield pd.DataFrame(found, columns=names, dtype="float64").assign(pair_id=pdf["pair_id"].to_numpy())[["pair_id", *names]]
 
-    aligned = annotated.select("pair_id", "s", "t").mapInPandas(run, "pair_id bigint, " + ", ".join(f"{n} double" for n in names))
+    aligned = rows.mapInPandas(run, "pair_id bigint, " + ", ".join(f"{n} double" for n in names))
     return aligned.join(surface_features(annotated), "pair_id")
 
 
@@ -160,22 +208,40 @@ def surface_features(annotated: DataFrame) -> DataFrame:
     return annotated.select("pair_id", lost("s", "t").alias("S_unmatch_ner"), lost("t", "s").alias("T_unmatch_ner"), diff.alias("len_dif"), ratio(2 * diff, F.size("s") + F.size("t")).alias("len_dif_p"))
 
 
+def annotation(words: Column) -> Column:
+    """Annotated tokens of an array of (word, pos): proper nouns as entities, each word hanging on the one before by a label of its own tag."""
+
+    def token(x: Column, i: Column) -> Column:
+        pos = x["pos"]
+        label = F.when(pos == "CD", "nummod").when(pos == "VB", "conj").when(pos == "JJ", "amod").when(pos == ".", "punct").otherwise("nmod")
+        deps = F.when(i > 0, F.create_map(i - 1, label)).otherwise(F.create_map().cast("map<int,string>"))
+        return F.struct(F.lower(x["word"]).alias("word"), pos.alias("pos"), F.when(pos == "NNP", "NAME").otherwise("O").alias("ner"), deps.alias("deps"))
+
+    return F.transform(words, token)
+
+
 def simple_annotation(text: Column) -> Column:
-    """Stand-in annotator: tags by form, capitalised words as entities, each word hanging on the one before
-    by a label of its own tag.
+    """Stand-in annotator: tags by form.
 
     Numbers are CD, capitalised words NNP with entity NAME, words in -ed or -ing VB, in -ly or -al JJ, other words NN.
     """
-    raw = tokenize(text, lower=False)
 
-    def token(w: Column, i: Column) -> Column:
+    def tagged(w: Column) -> Column:
         pos = F.when(w.rlike(r"^\p{N}+$"), "CD").when(w.rlike(r"^\p{Lu}"), "NNP").when(w.rlike(r"(ed|ing)$"), "VB").when(w.rlike(r"(ly|al)$"), "JJ").when(w.rlike(r"^\p{L}"), "NN").otherwise(".")
-        label = F.when(pos == "CD", "nummod").when(pos == "VB", "conj").when(pos == "JJ", "amod").when(pos == ".", "punct").otherwise("nmod")
-        deps = F.when(i > 0, F.create_map(i - 1, label)).otherwise(F.create_map().cast("map<int,string>"))
-        return F.struct(F.lower(w).alias("word"), pos.alias("pos"), F.when(w.rlike(r"^\p{Lu}"), "NAME").otherwise("O").alias("ner"), deps.alias("deps"))
+        return F.struct(w.alias("word"), pos.alias("pos"))
 
-    return F.transform(raw, token)
+    return annotation(F.transform(tokenize(text, lower=False), tagged))
 
 
 def annotated_simply(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", *[simple_annotation(F.coalesce(F.col(f"question{i}"), F.lit("Null"))).alias(x) for i, x in ((1, "s"), (2, "t"))])
+
+
+def annotated_by(pairs: DataFrame, tagger: Tagger) -> DataFrame:
+    """(pair_id, s, t) with the tags of a trained tagger."""
+
+    def side(i: int) -> Column:
+        tokens = tokenize(F.coalesce(F.col(f"question{i}"), F.lit("Null")), lower=False)
+        return annotation(F.arrays_zip(tokens.alias("word"), tags(tokens, tagger).alias("pos")))
+
+    return pairs.select("pair_id", side(1).alias("s"), side(2).alias("t"))

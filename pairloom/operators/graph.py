@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,20 +48,47 @@ def simple_edges(pairs: DataFrame, null_as: str = "", loops: bool = True) -> Dat
     return both if loops else both.filter("src <> dst")
 
 
+#: Neighbours of a node that one task walks; those of a larger node are dealt over several slices.
+HUB = 10_000
+
+
+def walked(asked: DataFrame, edges: DataFrame, hub: int = HUB) -> DataFrame:
+    """(x, y, high, n, ...): for each asked pair (x, y), the neighbours n of its end of lower degree; high is its other end.
+
+    edges: symmetric, distinct (src, dst), whose further columns follow n; asked: distinct. A pair of a hub and a
+    leaf brings the leaf's neighbours, so the rows are the sum of the lower degrees, which for pairs that
+    are edges is linear on stars and at most edges^1.5. Nodes of more than `hub` neighbours are dealt over
+    slices, each of which meets the pairs that walk them.
+    """
+    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    end = lambda name, column: degree.select(F.col("src").alias(name), F.struct("degree", "src").alias(column))
+    ends = asked.select("x", "y").join(end("x", "dx"), "x").join(end("y", "dy"), "y")
+    slices = lambda size: (F.floor((size - 1) / hub) + 1).cast("int")
+    low, high = F.least("dx", "dy"), F.greatest("dx", "dy")
+    walks = ends.select("x", "y", low["src"].alias("src"), high["src"].alias("high"), F.explode(F.sequence(F.lit(0), slices(low["degree"]) - 1)).alias("slice"))
+    dealt = edges.join(degree, "src").withColumn("slice", F.pmod(F.xxhash64("dst"), slices(F.col("degree"))).cast("int")).withColumnRenamed("dst", "n").drop("degree")
+    return walks.join(dealt, ["src", "slice"]).drop("src", "slice")
+
+
 def common_neighbours(pairs: DataFrame) -> DataFrame:
     """Number of shared neighbours, and their share of edge weight (word match ratio), on the simple graph."""
     weight = word_match_ratio(F.array_distinct(without_stops(split_words(F.col("src")))), F.array_distinct(without_stops(split_words(F.col("dst")))))
     edges = shared_table(simple_edges(pairs, "nan").withColumn("w", weight), "edges")
     totals = edges.groupBy("src").agg(F.sum("w").alias("total"))
-    keyed = pairs.select("pair_id", q_text("question1").alias("a"), q_text("question2").alias("b"))
-    # only wanted pairs walk their two hops: the pair's first question's neighbours, then a lookup of the second edge
-    hops = keyed.join(edges.select(F.col("src").alias("a"), F.col("dst").alias("n"), F.col("w").alias("w1")), "a")
-    shared = hops.join(edges.select(F.col("src").alias("b"), F.col("dst").alias("n"), F.col("w").alias("w2")), ["b", "n"])
-    sums = shared.groupBy("pair_id").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("w1") + F.col("w2")).alias("sw"))
-    out = keyed.join(sums, "pair_id", "left").join(totals.select(F.col("src").alias("a"), F.col("total").alias("t1")), "a").join(totals.select(F.col("src").alias("b"), F.col("total").alias("t2")), "b")
+    keyed = with_ends(pairs, "nan")
+    second = edges.select(F.col("src").alias("high"), F.col("dst").alias("n"), F.col("w").alias("w2"))
+    # the edge weight is symmetric, so it does not matter which end was walked
+    sums = walked(keyed.select("x", "y").distinct(), edges).join(second, ["high", "n"]).groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("w") + F.col("w2")).alias("sw"))
+    out = keyed.join(sums, ["x", "y"], "left").join(totals.select(F.col("src").alias("x"), F.col("total").alias("t1")), "x").join(totals.select(F.col("src").alias("y"), F.col("total").alias("t2")), "y")
     return out.select("pair_id", F.coalesce("k", F.lit(0)).alias("q1_q2_intersect"), F.coalesce(F.try_divide("sw", F.col("t1") + F.col("t2")), F.lit(0.0)).alias("q1_q2_wm_ratio"))
 
 
+def with_ends(pairs: DataFrame, null_as: str = "") -> DataFrame:
+    """(pair_id, x, y): the pair's questions in order, so that both directions ask the same."""
+    a, b = q_text("question1", null_as), q_text("question2", null_as)
+    return pairs.select("pair_id", F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
+
+
 def pagerank(pairs: DataFrame, damping: float = 0.85, steps: int = 40, every: int = 8) -> DataFrame:
     """PageRank of both questions on the undirected multigraph, by synchronous steps.
 
@@ -87,9 +115,10 @@ def pagerank(pairs: DataFrame, damping: float = 0.85, steps: int = 40, every: in
 def triangles(pairs: DataFrame) -> DataFrame:
     """Triangles that each pair's edge closes, without self loops."""
     edges = shared_table(simple_edges(pairs, "", loops=False), "edges")
-    keyed = pairs.select("pair_id", q_text("question1", "").alias("a"), q_text("question2", "").alias("b"))
-    hit = keyed.filter("a <> b").join(edges.select(F.col("src").alias("a"), F.col("dst").alias("n")), "a").join(edges.select(F.col("src").alias("b"), F.col("dst").alias("n")), ["b", "n"])
-    return keyed.select("pair_id").join(hit.groupBy("pair_id").agg(F.count(F.lit(1)).alias("k")), "pair_id", "left").select("pair_id", F.coalesce("k", F.lit(0)).alias("triangles"))
+    keyed = with_ends(pairs)
+    third = edges.select(F.col("src").alias("high"), F.col("dst").alias("n"))
+    hit = walked(keyed.filter("x <> y").select("x", "y").distinct(), edges).join(third, ["high", "n"], "left_semi").groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"))
+    return keyed.join(hit, ["x", "y"], "left").select("pair_id", F.coalesce("k", F.lit(0)).alias("triangles"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -116,43 +145,133 @@ def component_sizes(pairs: DataFrame) -> DataFrame:
     return keyed.join(nodes, "component").join(inner, "component", "left").select("pair_id", "subgraph_nodes", F.coalesce("subgraph_edges", F.lit(0)).alias("subgraph_edges"))
 
 
-def largest_clique(neighbours: dict[str, set[str]], inside: set[str]) -> int:
-    """Size of the largest clique among the nodes, by branch and bound with pivots."""
-    best, work = 0, [(0, set(inside))]
+def peeled(edges: DataFrame) -> DataFrame:
+    """(node, level) of symmetric, distinct edges without loops: rounds of core peeling.
+
+    A round takes away every node of at most twice the average degree of what is left, which is half of the
+    nodes at least; so rounds are logarithmic in the nodes, and a node has at most four times as many
+    neighbours of its own level or higher as the densest part of the graph has edges a node.
+    """
+    live, levels, level = edges.select("src", "dst"), [], 0
+    while True:
+        degree = shared_table(live.groupBy("src").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+        nodes, ends = degree.agg(F.count(F.lit(1)), F.sum("degree")).first()
+        if not nodes:
+            break
+        leaves = F.col("degree") * nodes <= 2 * ends
+        levels.append(degree.filter(leaves).select(F.col("src").alias("node"), F.lit(level).alias("level")))
+        rest = degree.filter(~leaves).select("src")
+        live = shared_table(live.join(rest, "src", "left_semi").join(rest.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"), "core")
+        level += 1
+        # nodes that have lost all their neighbours in this round
+        levels.append(rest.join(live, "src", "left_anti").select(F.col("src").alias("node"), F.lit(level).alias("level")))
+    empty = edges.select(F.col("src").alias("node"), F.lit(0).alias("level")).limit(0)
+    return reduce(DataFrame.union, levels, empty)
+
+
+def largest_clique(neighbours: list[int], inside: int, floor: int = 0) -> int:
+    """A largest clique among the nodes of `inside` if it has more than `floor` nodes, else 0; sets are bits of numbers.
+
+    Branch and bound: nodes are coloured greedily, and a branch ends where colours cannot beat the best clique.
+    """
+    best, found = floor, 0
+
+    def coloured(free: int) -> list[tuple[int, int]]:
+        """Nodes with the number of colours up to theirs, which bounds a clique of them and those before."""
+        out, colour = [], 0
+        while free:
+            colour += 1
+            same = free
+            while same:
+                bit = same & -same
+                v = bit.bit_length() - 1
+                out.append((v, colour))
+                free ^= bit
+                same &= ~(neighbours[v] | bit)
+        return out
+
+    work = [(inside, 0, 0, coloured(inside))]
     while work:
-        size, free = work.pop()
-        if not free:
-            best = max(best, size)
-            continue
-        if size + len(free) <= best:
+        free, chosen, size, order = work.pop()
+        if not order or size + order[-1][1] <= best:
             continue
-        pivot = max(free, key=lambda v: len(neighbours[v] & free))
-        for v in [pivot, *(free - neighbours[pivot] - {pivot})]:
-            work.append((size + 1, free & neighbours[v]))
-            free = free - {v}
-    return best
+        v, _ = order.pop()
+        work.append((free & ~(1 << v), chosen, size, order))
+        inner = free & neighbours[v]
+        if inner:
+            work.append((inner, chosen | 1 << v, size + 1, coloured(inner)))
+        elif size + 1 > best:
+            best, found = size + 1, chosen | 1 << v
+    return found
 
 
-def clique_size(pairs: DataFrame) -> DataFrame:
-    """Size of the largest clique that holds the pair's edge; -1 for a self pair.
+def bits(mask: int) -> Iterator[int]:
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
+
 
-    A clique on an edge lies in the common neighbours of its ends, so each edge only needs the
-    edges among these: one group an edge, bounded by the neighbours it shares.
+def edge_cliques(neighbours: list[int]) -> dict[tuple[int, int], int]:
+    """Size of the largest clique that holds each edge (i < j) of a graph; a clique settles all its edges at once."""
+    sizes = {(i, j): 2 for i, near in enumerate(neighbours) for j in bits(near >> i << i) if j > i}
+    for i, j in sizes:
+        inside = neighbours[i] & neighbours[j]
+        found = largest_clique(neighbours, inside, sizes[i, j] - 2)
+        if found:
+            members = sorted(bits(found | 1 << i | 1 << j))
+            for k, a in enumerate(members):
+                for b in members[k + 1 :]:
+                    sizes[a, b] = max(sizes[a, b], len(members))
+    return sizes
+
+
+def edges_with_cliques(edges: DataFrame) -> DataFrame:
+    """(x, y, size), x < y, of the edges that lie in a triangle: the largest clique that holds them.
+
+    Nodes are ordered by their peeling level. A clique lies in the later neighbours of its first node,
+    which are few whatever the degree; the triangles that a node begins give the graph among them, and each node
+    is solved by itself, many in a task.
     """
+    levels = shared_table(peeled(edges), "levels")
+    rank = lambda name: levels.select(F.col("node").alias(name), F.struct("level", F.col("node")).alias(f"{name}_rank"))
+    later = shared_table(edges.select("src", "dst").join(rank("src"), "src").join(rank("dst"), "dst").filter("src_rank < dst_rank").select("src", "dst"), "later")
+    two = later.select(F.col("src").alias("v"), F.col("dst").alias("n")).join(later.select(F.col("src").alias("n"), F.col("dst").alias("o")), "n")
+    begun = two.join(later.select(F.col("src").alias("v"), F.col("dst").alias("o")), ["v", "o"], "left_semi")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(v: str, inner: list[tuple[str, str]]) -> pa.RecordBatch:
+            names = sorted({x for e in inner for x in e} | {v})
+            at = {x: i for i, x in enumerate(names)}
+            near = [0] * len(names)
+            for a, b in [*inner, *((v, x) for x in names if x != v)]:
+                near[at[a]] |= 1 << at[b]
+                near[at[b]] |= 1 << at[a]
+            found = edge_cliques(near)
+            return pa.RecordBatch.from_pydict({"x": [names[i] for i, _ in found], "y": [names[j] for _, j in found], "size": list(found.values())}, schema=pa.schema([("x", pa.string()), ("y", pa.string()), ("size", pa.int64())]))
+
+        open_node, inner = None, []
+        for batch in batches:
+            for v, n, o in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if v != open_node and inner:
+                    yield solved(open_node, inner)
+                    inner = []
+                open_node = v
+                inner.append((n, o))
+        if inner:
+            yield solved(open_node, inner)
+
+    solved = begun.select("v", "n", "o").repartition("v").sortWithinPartitions("v").mapInArrow(solve, "x string, y string, size long")
+    return solved.groupBy("x", "y").agg(F.max("size").alias("size"))
+
+
+def clique_size(pairs: DataFrame) -> DataFrame:
+    """Size of the largest clique that holds the pair's edge; -1 for a self pair."""
     edges = shared_table(simple_edges(pairs, "", loops=False), "edges")
-    keyed = shared_table(pairs.select("pair_id", q_text("question1", "").alias("a"), q_text("question2", "").alias("b")), "keyed")
-    asked = keyed.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).filter("x <> y").distinct()
-    mates = shared_table(asked.join(edges.select(F.col("src").alias("x"), F.col("dst").alias("n")), "x").join(edges.select(F.col("src").alias("y"), F.col("dst").alias("n")), ["y", "n"]).select("x", "y", "n"), "mates")
-    inner = mates.join(edges.select(F.col("src").alias("n"), F.col("dst").alias("o")), "n").join(mates.withColumnRenamed("n", "o"), ["x", "y", "o"]).select("x", "y", "n", "o")
-    rows = mates.select("x", "y", "n", F.lit(None).cast("string").alias("o")).union(inner)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        graph: dict[str, set[str]] = {n: set() for n in pdf["n"]}
-        for n, o in zip(pdf["n"], pdf["o"], strict=True):
-            if o is not None:
-                graph[n].add(o)
-        return pd.DataFrame({"x": [pdf["x"].iloc[0]], "y": [pdf["y"].iloc[0]], "size": [2 + largest_clique(graph, set(graph))]})
-
-    sizes = rows.groupBy("x", "y").applyInPandas(solve, "x string, y string, size long")
-    out = keyed.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(sizes, ["x", "y"], "left")
-    return out.select("pair_id", F.when(F.col("a") == F.col("b"), -1).otherwise(F.coalesce("size", F.lit(2))).cast("long").alias("clique_size"))
+    out = with_ends(pairs).join(edges_with_cliques(edges), ["x", "y"], "left")
+    return out.select("pair_id", F.when(F.col("x") == F.col("y"), -1).otherwise(F.coalesce("size", F.lit(2))).cast("long").alias("clique_size"))
+
+
+def small_cliques(pairs: DataFrame) -> DataFrame:
+    """clique_size up to 4: whether the pair's edge lies in a triangle, and in two that share a further edge."""
+    return clique_size(pairs).select("pair_id", F.least("clique_size", F.lit(4)).cast("long").alias("clique_to_4"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.text import char_ngrams, q_text, ratio, split_words, stop_array, tokenize, without_stops
 from pairloom.functions.vectors import distances, kurtosis, skewness, total, unit
+from pairloom.operators import paradigms
 from pairloom.operators.spectral import BUCKETS, bucket, projected, truncated_svd
 from pairloom.sources.tables import shared_table
 
@@ -47,21 +48,34 @@ def tfidf_features(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id").join(sums, "pair_id", "left").na.fill(0)
 
 
-def weighted_distances(pairs: DataFrame, terms, prefix: str, kinds: dict[str, tuple[bool, int, str]], null_as: str = "") -> DataFrame:
-    """Distances of the weighted term vectors: name -> (idf, norm, 'cosine' or 'euclidean')."""
-    out = pairs.select("pair_id")
-    for name, (idf, power, kind) in kinds.items():
-        w = weighted_terms(pairs, terms, null_as, idf, power)
-        side = lambda i, w=w: w.filter(F.col("side") == i).select("pair_id", "term", F.col("weight").alias(f"w{i}"))
-        both = side(1).join(side(2), ["pair_id", "term"], "full").na.fill(0.0)
+def weighted_distances(pairs: DataFrame, terms, prefix: str, kinds: dict[str, tuple[bool, int, str]], null_as: str = "", replace=None) -> DataFrame:
+    """Distances of the weighted term vectors: name -> (idf, norm, 'cosine' or 'euclidean').
+
+    Terms are exploded once; each term of a pair carries its counts on both sides, and one aggregate gives the sums from
+    which all norms and distances follow. replace: a function of the rows (pair_id, side, term), such as a lemmatiser.
+    """
+    rows = sides(pairs, null_as).select("pair_id", "side", F.explode(terms(F.col("text"))).alias("term"))
+    rows = rows if replace is None else replace(rows)
+    on = lambda i: F.sum(F.when(F.col("side") == i, 1.0).otherwise(0.0)).alias(f"tf{i}")
+    counts = rows.groupBy("pair_id", "term").agg(on(1), on(2))
+    df = counts.groupBy("term").agg(F.sum((F.col("tf1") > 0).cast("long") + (F.col("tf2") > 0).cast("long")).alias("df"))
+    n = pairs.agg((2 * F.count(F.lit(1))).alias("n"))  # one row
+    weighted = counts.join(df, "term").crossJoin(F.broadcast(n)).withColumn("idf", F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1)
+    x = {(idf, i): F.col(f"tf{i}") * F.col("idf") if idf else F.col(f"tf{i}") for idf in (True, False) for i in (1, 2)}
+    name = lambda what, idf: f"{what}_{'idf' if idf else 'tf'}"
+    sums = [f.alias(name(what, idf)) for idf in (True, False) for what, f in (("l1", F.sum(x[idf, 1])), ("l2", F.sum(x[idf, 2])), ("s1", F.sum(x[idf, 1] * x[idf, 1])), ("s2", F.sum(x[idf, 2] * x[idf, 2])), ("dot", F.sum(x[idf, 1] * x[idf, 2])))]
+
+    def distance(idf: bool, power: int, kind: str) -> Column:
+        c = {what: F.col(name(what, idf)) for what in ("l1", "l2", "s1", "s2", "dot")}
+        size = {i: c[f"l{i}"] if power == 1 else F.sqrt(c[f"s{i}"]) for i in (1, 2)}
+        over = lambda v, d: F.when(d > 0, v / d).otherwise(0.0)
+        cross = over(c["dot"], size[1] * size[2])
         if kind == "cosine":
-            agg = both.groupBy("pair_id").agg(F.sum(F.col("w1") * F.col("w2")).alias("dot"), F.sum("w1").alias("one"), F.sum("w2").alias("two"))
-            value = F.when((F.col("one") > 0) & (F.col("two") > 0), 1 - F.col("dot")).otherwise(0.0)
-        else:
-            agg = both.groupBy("pair_id").agg(F.sum((F.col("w1") - F.col("w2")) * (F.col("w1") - F.col("w2"))).alias("sq"))
-            value = F.sqrt("sq")
-        out = out.join(agg.select("pair_id", value.alias(f"{prefix}_{name}")), "pair_id", "left")
-    return out.na.fill(0.0)
+            return F.when((size[1] > 0) & (size[2] > 0), 1 - cross).otherwise(0.0)
+        return F.sqrt(F.greatest(over(c["s1"], size[1] * size[1]) + over(c["s2"], size[2] * size[2]) - 2 * cross, F.lit(0.0)))
+
+    found = weighted.groupBy("pair_id").agg(*sums).select("pair_id", *[distance(*kind).alias(f"{prefix}_{k}") for k, kind in kinds.items()])
+    return pairs.select("pair_id").join(found, "pair_id", "left").na.fill(0.0)
 
 
 def trigram_distance_features(pairs: DataFrame) -> DataFrame:
@@ -73,8 +87,15 @@ def lemmas(text: Column) -> Column:
     return F.filter(tokenize(text), lambda w: w.rlike(r"[\p{L}\p{N}]"))
 
 
-def lemma_distance_features(pairs: DataFrame, lemmatise=lemmas, prefix: str = "1wl") -> DataFrame:
-    return weighted_distances(pairs, lemmatise, prefix, {"tfidf_cosine": (True, 2, "cosine"), "tfidf_l2_euclidean": (True, 2, "euclidean"), "tf_l2_euclidean": (False, 2, "euclidean")})
+def lemma_distance_features(pairs: DataFrame, lemmatise=lemmas, prefix: str = "1wl", replace=None) -> DataFrame:
+    return weighted_distances(pairs, lemmatise, prefix, {"tfidf_cosine": (True, 2, "cosine"), "tfidf_l2_euclidean": (True, 2, "euclidean"), "tf_l2_euclidean": (False, 2, "euclidean")}, replace=replace)
+
+
+def learned_lemma_distance_features(pairs: DataFrame, prefix: str = "1wl") -> DataFrame:
+    """The same on lemmas that are mined from all questions: each distinct word is lemmatised once and joined to its places."""
+    words = shared_table(sides(pairs, "").select(F.explode(lemmas(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word_counts")
+    found = shared_table(paradigms.lemma_table(words, paradigms.mined(words)), "lemmas")
+    return lemma_distance_features(pairs, prefix=prefix, replace=lambda rows: rows.join(found.withColumnRenamed("word", "term"), "term").select("pair_id", "side", F.col("lemma").alias("term")))
 
 
 def sentence_vectors(pairs: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:

@@ -69,6 +69,11 @@ SQL = {
         "SELECT p.pair_id, count(h.n) AS triangles FROM pairs p LEFT JOIN h USING (pair_id) GROUP BY p.pair_id", f"ed AS (SELECT * FROM ({SIMPLE}) WHERE src <> dst)",
         "h AS (SELECT pair_id, e1.dst AS n FROM pairs JOIN ed e1 ON question1=e1.src JOIN ed e2 ON question2=e2.src AND e1.dst=e2.dst WHERE question1 <> question2)",
     ),
+    "graph_small_cliques": pairs_sql(
+        "SELECT pair_id, (CASE WHEN question1 = question2 THEN -1 ELSE coalesce(2 + k, 2) END)::BIGINT AS clique_to_4 FROM pairs LEFT JOIN z ON a=question1 AND b=question2", f"ed AS MATERIALIZED (SELECT * FROM ({SIMPLE}) WHERE src <> dst)",
+        "t AS MATERIALIZED (SELECT e1.src AS a, e2.src AS b, e1.dst AS n FROM ed JOIN ed e1 ON e1.src=ed.src JOIN ed e2 ON e2.src=ed.dst AND e2.dst=e1.dst)",
+        "z AS (SELECT t.a, t.b, max(CASE WHEN u.n IS NULL THEN 1 ELSE 2 END) AS k FROM t LEFT JOIN (SELECT t.a, t.b, t.n FROM t JOIN t o ON o.a=t.a AND o.b=t.b JOIN ed ON ed.src=t.n AND ed.dst=o.n) u ON u.a=t.a AND u.b=t.b AND u.n=t.n GROUP BY 1, 2)",
+    ),
     "graph_subgraphs": (
         "WITH RECURSIVE " + pairs_sql("", f"ed AS ({SIMPLE})", "reach AS (SELECT src AS node, src AS other FROM ed UNION SELECT reach.node, ed.dst FROM reach JOIN ed ON reach.other=ed.src)", "cc AS (SELECT node, min(other) AS c FROM reach GROUP BY node)", "nn AS (SELECT c, count(*) AS subgraph_nodes FROM cc GROUP BY c)", "ee AS (SELECT c, count(*) AS subgraph_edges FROM ed JOIN cc ON src=node WHERE src < dst GROUP BY c)").removeprefix("WITH ")
         + "SELECT pair_id, subgraph_nodes, coalesce(subgraph_edges, 0) AS subgraph_edges FROM pairs JOIN cc ON question1=node JOIN nn USING (c) LEFT JOIN ee USING (c)"

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from pairloom.functions.fuzzy import diff_ratios, fuzzy
 from pairloom.functions.text import q_text
 from pairloom.functions.vectors import distances, kurtosis, skewness
-from pairloom.operators import alignment, graph, lexical, modeling, neural, postprocess, sequences, term_blocks, vector_features
+from pairloom.operators import alignment, graph, lexical, modeling, neural, postprocess, sequences, tagging, term_blocks, training, vector_features
 from pairloom.plans import lexical_sql, more_sql
 from pairloom.sources.pairs import pairs_from_documents, read_features, write_features
 from pairloom.sources.tables import shared_folder, shared_table, spread
 
 DIMS = 64
-#: Boosting rounds of the base models in the stack.
-STACK_ROUNDS = 10
+#: Boosting rounds of the base models in the stack; rounds of the networks; words of a question in the derived pair table.
+STACK_ROUNDS, NETWORK_ROUNDS, QUESTION_WORDS = 10, 30, 12
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -58,6 +58,19 @@ def difflib_features(pairs: DataFrame) -> DataFrame:
     return spread(pairs.select("pair_id", "question1", "question2")).select("pair_id", diff_ratios(q_text("question1"), q_text("question2")).alias("diff_ratios"))
 
 
+def learned_noun_features(pairs: DataFrame) -> DataFrame:
+    """Noun matches by the tagger that is trained on all questions of the table."""
+    pairs = shared_table(pairs, "pairs")
+    found = lexical.match_features(pairs, tagging.noun_tagger(tagging.train_on_pairs(pairs)))
+    return found.select("pair_id", "noun_match_count", "noun_match_ratio")
+
+
+def learned_alignment_features(pairs: DataFrame) -> DataFrame:
+    """Alignment on the tags of the trained tagger."""
+    pairs = shared_table(pairs, "pairs")
+    return alignment.alignment_features(alignment.annotated_by(spread(pairs), tagging.train_on_pairs(pairs)))
+
+
 def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
@@ -173,19 +186,26 @@ def mean_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neural_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forward passes of the four networks with seeded weights, and of the two with a feature branch."""
-    pairs = pairs_from_documents(spark, sf_dir)
+    """Out-of-fold probabilities of the six networks, trained on the pairs; their weights are written and read again."""
+    pairs = shared_table(pairs_from_documents(spark, sf_dir), "pairs")
     vocab = shared_table(sequences.vocabulary(pairs), "vocabulary")
-    extra = lexical.length_features(pairs).select("pair_id", *[(F.col(c) / 100).alias(c) for c in ("char_len1", "char_len2", "word_len1", "word_len2")])
-    seqs = shared_table(sequences.encode(pairs, vocab).join(extra, "pair_id"), "sequences")
-    table = np.random.default_rng(7).normal(0, 0.1, (vocab.count() + 1, 16))  # a row a word of the bounded vocabulary
-    table[0] = 0
     names = ["char_len1", "char_len2", "word_len1", "word_len2"]
+    extra = lexical.length_features(pairs).select("pair_id", *[(F.col(c) / 100).alias(c) for c in names])
+    seqs = sequences.encode(pairs, vocab, QUESTION_WORDS).join(extra, "pair_id").join(pairs.select("pair_id", "split", "is_duplicate"), "pair_id")
+    seqs = shared_table(modeling.with_fold(seqs), "sequences")
+    rows = sequences.embedding_matrix(vocab, word_vectors(spark, sf_dir, pairs), DIMS).select("word_id", "vec").collect()  # a row a word of the bounded vocabulary
+    table = np.zeros((len(rows), DIMS), np.float32)
+    for r in rows:
+        table[r["word_id"]] = r["vec"]
     nets = {"lstm": (neural.LstmConcat(table, 8), None), "lstm_features": (neural.LstmConcat(table, 8, 4), names), "attention": (neural.DecomposableAttention(table, 8, 500), None), "attention_features": (neural.DecomposableAttention(table, 8, 500, 4), names), "birnn": (neural.BiRecurrent(table, 8), None), "cnn": (neural.Convolutions(table, (8, 8, 8, 8, 4, 4)), None)}
+    fits = training.train_folds(seqs, nets, rounds=NETWORK_ROUNDS)
+    path = shared_folder(spark, "networks")
+    training.save_weights(spark, {name: [f.best for f in own] for name, own in fits.items()}, path)
     out = None
-    for name, (net, more) in nets.items():
-        got = neural.score(seqs, net, more).withColumnRenamed("p", name)
-        out = got if out is None else out.join(got, "pair_id")
+    for name, weights in training.load_weights(spark, path).items():
+        net, more = nets[name]
+        got = training.predict_folds(seqs, net, weights, name, more)
+        out = got if out is None else out.join(got.select("pair_id", name), "pair_id")
     return out
 
 
@@ -222,12 +242,14 @@ LEXICAL = {
     "pair_char_jaccard": on_pairs(lexical.char_jaccard_features),
     "pair_difflib": on_pairs(difflib_features),
     "pair_fuzzy": on_pairs(fuzzy_features),
+    "pair_noun_match": on_pairs(learned_noun_features),
     "term_totals": on_pairs(lexical.term_totals),
 }
 VECTORS = {
     "pair_tfidf": on_pairs(vector_features.tfidf_features),
     "pair_trigram_distances": on_pairs(vector_features.trigram_distance_features),
     "pair_lemma_distances": on_pairs(lambda p: vector_features.lemma_distance_features(p, prefix="lemma")),
+    "pair_learned_lemma_distances": on_pairs(lambda p: vector_features.learned_lemma_distance_features(p, prefix="lemma")),
     "vector_distances": vector_distances,
     "pair_embedding": pair_embedding,
     "pair_embedding_all": pair_embedding_all,
@@ -244,6 +266,7 @@ GRAPH = {
     "graph_pagerank_40": on_pairs(graph.pagerank, 9),
     "graph_triangles": on_pairs(graph.triangles),
     "graph_clique": on_pairs(graph.clique_size),
+    "graph_small_cliques": on_pairs(graph.small_cliques),
     "graph_subgraphs": on_pairs(graph.component_sizes),
 }
 MODELS = {
@@ -271,6 +294,7 @@ RULES = {
     "pair_surface": on_pairs(lambda p: alignment.surface_features(alignment.annotated_simply(p))),
     "pair_alignment": on_pairs(lambda p: alignment.alignment_features(alignment.annotated_simply(spread(p)))),
     "pair_alignment_dictionary": on_pairs(lambda p: alignment.alignment_features(alignment.annotated_simply(spread(p)), alignment.FormSimilarity())),
+    "pair_alignment_tagged": on_pairs(learned_alignment_features),
     "transitivity": on_pairs(lambda p: postprocess.transitivity(scored(p)), 9),
     "implied_labels": on_pairs(postprocess.implied_labels),
 }

@@ -278,3 +278,79 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for f in (lexical.length_features, lexical.match_features, lexical.weighted_share_features, lexical.capped_length_features, vector_features.tfidf_features, graph.frequency, graph.clique_size, graph.pagerank):
         assert f(empty).count() == 0
+
+
+def star_and_ring(leaves, ring):
+    """One hub with many leaves, and a ring of which every tenth node hangs on the hub, too."""
+    edges = [("hub", f"leaf{i}") for i in range(leaves)] + [(f"r{i}", f"r{(i + 1) % ring}") for i in range(ring)]
+    return edges + [("hub", f"r{i}") for i in range(0, ring, 10)]
+
+
+def test_hubs_are_walked_from_the_other_end(spark):
+    edges = star_and_ring(50_000, 1000)
+    pairs = spark.createDataFrame([(i, a, b, 0, "train") for i, (a, b) in enumerate(edges)], SCHEMA)
+    both = graph.simple_edges(pairs, "", loops=False)
+    asked = graph.with_ends(pairs).select("x", "y").distinct()
+    for hub in (7, graph.HUB):  # few and many slices give the same rows
+        rows = graph.walked(asked, both, hub)
+        assert rows.count() <= 2 * both.count() and rows.distinct().count() == rows.count()
+    found = by_id(graph.triangles(pairs))
+    assert {r["triangles"] for r in found.values()} == {0}
+    near = by_id(graph.common_neighbours(pairs.filter("question1 not like 'leaf%' and question2 not like 'leaf%'")))
+    assert sum(r["q1_q2_intersect"] for r in near.values()) == 0
+    # two hubs that share all their leaves: either end is walked once, in slices
+    twins = spark.createDataFrame([(i, h, f"leaf{i % 30}", 0, "train") for i in range(30) for h in ("h1", "h2")] + [(99, "h1", "h2", 0, "train"), (100, None, "h1", 0, "train")], SCHEMA)
+    one = graph.walked(graph.with_ends(twins.filter("pair_id = 99")).select("x", "y"), graph.simple_edges(twins, "", loops=False), 7)
+    assert one.filter("n like 'leaf%'").count() == 30
+    assert by_id(graph.triangles(twins))[99]["triangles"] == 30
+
+
+def test_cliques_match_brute_force(spark):
+    import itertools
+
+    rng = random.Random(4)
+    for n, share in ((9, 0.7), (14, 0.5), (40, 0.15)):
+        edges = [(f"n{i}", f"n{j}") for i in range(n) for j in range(i) if rng.random() < share]
+        near = {x: {a if b == x else b for a, b in edges if x in (a, b)} for e in edges for x in e}
+
+        def grown(clique, free):
+            return max([len(clique), *(grown(clique | {v}, free & near[v]) for v in free if v > max(clique - set(pair), default=""))])
+
+        pairs = spark.createDataFrame([(i, a, b, 0, "train") for i, (a, b) in enumerate(edges)] + [(9999, "n0", "n0", 0, "train")], SCHEMA)
+        got = by_id(graph.clique_size(pairs))
+        for i, pair in enumerate(edges):
+            assert got[i]["clique_size"] == grown(set(pair), near[pair[0]] & near[pair[1]])
+        assert got[9999]["clique_size"] == -1
+        levels = {r["node"]: r["level"] for r in graph.peeled(graph.simple_edges(pairs, "", loops=False)).collect()}
+        assert levels.keys() == near.keys() and min(levels.values()) == 0
+    # a node that loses all its neighbours in one round has a level, too
+    star = spark.createDataFrame([(i, "hub", f"l{i}", 0, "train") for i in range(20)] + [(99, "a", "b", 0, "train")], SCHEMA)
+    assert {r["node"]: r["level"] for r in graph.peeled(graph.simple_edges(star, "", loops=False)).collect()}.keys() == {"hub", "a", "b", *(f"l{i}" for i in range(20))}
+    # a full graph of 40 nodes: no recursion, one clique settles it
+    whole = [((1 << 40) - 1) ^ 1 << i for i in range(40)]
+    assert set(graph.edge_cliques(whole).values()) == {40}
+    assert sum(1 for a, b in itertools.combinations(range(40), 2)) == len(graph.edge_cliques(whole))
+
+
+def test_transitivity_of_null_and_equal_questions(spark):
+    rows = [(1, "a", "c", 1, "train", None), (2, "b", "c", 1, "train", None), (3, "a", "b", None, "test", 0.4), (4, None, "a", None, "test", 0.4), (5, "a", "a", None, "test", 0.4)]
+    got = {r["pair_id"]: r["p"] for r in postprocess.transitivity(spark.createDataFrame(rows, SCHEMA + ", p double"), rounds=1).collect()}
+    assert got[3] == pytest.approx(0.6) and got[4] == 0.4 and got[5] == pytest.approx(0.6)
+
+
+def test_dictionary_tables_match_lookups(spark, tmp_path):
+    (tmp_path / "n.json").write_text('{"cat": ["feline", "kitty"], "dog": ["hound"], "unused": ["other"]}')
+    (tmp_path / "v.json").write_text('{"sleep": ["doze"], "cat": ["dog"]}')
+    nouns, verbs = (sources.read_dictionary(spark, str(tmp_path / f"{k}.json"), k) for k in "nv")
+    loose = spark.createDataFrame([("big", "large"), ("ran", "sleep")], "word string, other string")
+    tag = {"cat": "NN", "feline": "NNS", "dog": "NN", "hound": "NN", "sleep": "VB", "doze": "VBD", "big": "JJ", "large": "JJ", "ran": "VBD"}
+    token = lambda w, i: {"word": w, "pos": tag.get(w, "IN"), "ner": "O", "deps": {i - 1: "x"} if i else {}}
+    texts = [("big cat sleep", "large feline doze"), ("feline ran", "cat sleep"), ("dog cat", "cat dog"), ("hound", ""), ("hound of cat", "dog of kitty")]
+    annotated = spark.createDataFrame([(i, *[[token(w, k) for k, w in enumerate(x.split())] for x in pair]) for i, pair in enumerate(texts)], f"pair_id bigint, s {sources.SENTENCE}, t {sources.SENTENCE}")
+    plain = alignment.Similarity({("n", "cat", "feline"), ("n", "cat", "kitty"), ("n", "dog", "hound"), ("v", "sleep", "doze"), ("v", "cat", "dog")}, {("big", "large"), ("ran", "sleep")})
+    want = by_id(alignment.alignment_features(annotated, plain))
+    got = by_id(alignment.alignment_features(annotated, synonyms=nouns.union(verbs), paraphrases=loose))
+    assert got == want and got[0]["sem_sim"] == 1.0 and got[1]["sem_sim"] == 1.0
+    known = by_id(alignment.known_pairs(annotated, nouns.union(verbs), loose))
+    assert sorted(map(tuple, known[0]["known"])) == [("", "big", "large"), ("n", "cat", "feline"), ("v", "sleep", "doze")] and 2 not in known
+    assert by_id(alignment.alignment_features(annotated, paraphrases=loose))[0]["S_sem_sim"] is not None
