@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.fuzzy import diff_ratios, fuzzy
 from pairloom.functions.text import q_text
 from pairloom.functions.vectors import distances, kurtosis, skewness
-from pairloom.operators import alignment, graph, lexical, modeling, neural, postprocess, sequences, tagging, term_blocks, training, vector_features
+from pairloom.operators import alignment, boosting, graph, lexical, modeling, neural, postprocess, sequences, tagging, term_blocks, training, vector_features
 from pairloom.plans import lexical_sql, more_sql
 from pairloom.sources.pairs import pairs_from_documents, read_features, write_features
 from pairloom.sources.tables import shared_folder, shared_table, spread
@@ -22,6 +22,10 @@ DIMS = 64
 STACK_ROUNDS, NETWORK_ROUNDS, QUESTION_WORDS = 10, 30, 12
 
 
+#: Small enough for the derived pair table; the reference's second booster has hundreds of leaves and thousands of rounds.
+LEAFWISE = boosting.Leafwise(leaves=15, rounds=12, rate=0.1, least=20, bins=32, sample=0.8, columns=0.75, patience=3)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to so many digits, as in the SQL; -0.0 as 0.0."""
     return df.select(*[(F.round(n, digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
@@ -157,6 +161,17 @@ def gbt_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair_id", "split", "p", postprocess.prior_shift(F.col("p")).alias("p_shifted"))
 
 
+def leafwise_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf-wise boosted trees over the feature matrix, stopped early by the held-out fold, with the shifted prior beside them."""
+    from pyspark.ml.functions import vector_to_array
+
+    df, names = model_table(spark, sf_dir)
+    features = vector_to_array("features")
+    boosters = boosting.train_folds(df, features, len(names), 5, LEAFWISE)
+    out = boosting.predict_folds(df, features, len(names), boosters, "p")
+    return out.select("pair_id", "split", "p", postprocess.prior_shift(F.col("p")).alias("p_shifted"))
+
+
 def stacked_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second-level trees over five base models, and their average with the best single one."""
     from pyspark.ml.feature import StandardScaler
@@ -286,6 +301,7 @@ MODELS = {
     "feature_matrix": feature_matrix,
     "oof_logistic": oof_logistic,
     "gbt_predictions": gbt_predictions,
+    "leafwise_predictions": leafwise_predictions,
     "stacked_predictions": stacked_predictions,
     "neural_scores": neural_scores,
     "perceptron_scores": perceptron_scores,
