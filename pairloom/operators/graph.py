@@ -89,17 +89,29 @@ def with_ends(pairs: DataFrame, null_as: str = "") -> DataFrame:
     return pairs.select("pair_id", F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
 
 
-def pagerank(pairs: DataFrame, damping: float = 0.85, steps: int = 40, every: int = 8) -> DataFrame:
-    """PageRank of both questions on the undirected multigraph, by synchronous steps.
-
-    A step is one join and one pre-aggregated sum; every few steps the ranks are written to the
-    shared folder, so plans stay short and a lost executor costs a few steps at most.
-    """
+def _links(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, share of src's rank that flows to dst) of the undirected multigraph, and its nodes."""
     e = pairs.select(q_text("question1", "").alias("src"), q_text("question2", "").alias("dst"))
     edges = e.union(e.select("dst", "src")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
     degree = edges.groupBy("src").agg(F.sum("m").alias("degree"))
-    links = shared_table(edges.join(degree, "src").select("src", "dst", (F.col("m") / F.col("degree")).alias("share")), "links")
-    nodes = shared_table(degree.select(F.col("src").alias("node")), "nodes")
+    return shared_table(edges.join(degree, "src").select("src", "dst", (F.col("m") / F.col("degree")).alias("share")), "links"), shared_table(degree.select(F.col("src").alias("node")), "nodes")
+
+
+def _both_ranks(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
+    one, two = ranks.select(F.col("node").alias("a"), F.col("pr").alias("q1_pr")), ranks.select(F.col("node").alias("b"), F.col("pr").alias("q2_pr"))
+    return pairs.select("pair_id", q_text("question1", "").alias("a"), q_text("question2", "").alias("b")).join(one, "a").join(two, "b").select("pair_id", "q1_pr", "q2_pr")
+
+
+def pagerank(pairs: DataFrame, damping: float = 0.85, steps: int = 40, every: int = 8, tol: float | None = None) -> DataFrame:
+    """PageRank of both questions on the undirected multigraph, by synchronous steps, or with tol up to an error.
+
+    A step is one join and one pre-aggregated sum; every few steps the ranks are written to the
+    shared folder, so plans stay short and a lost executor costs a few steps at most. With tol, the absolute
+    errors of all ranks sum up to tol at most (see converged_ranks), and steps is not used.
+    """
+    links, nodes = _links(pairs)
+    if tol is not None:
+        return _both_ranks(pairs, converged_ranks(links, nodes, damping, tol)[0])
     n = nodes.count()
     ranks = nodes.withColumn("pr", F.lit(1.0 / max(n, 1)))
     for step in range(1, steps + 1):
@@ -107,9 +119,27 @@ def pagerank(pairs: DataFrame, damping: float = 0.85, steps: int = 40, every: in
         ranks = flow.select(F.col("dst").alias("node"), ((1 - damping) / max(n, 1) + damping * F.col("flow")).alias("pr"))
         if step % every == 0 and step < steps:
             ranks = shared_table(ranks, "ranks")
-    ranks = shared_table(ranks, "ranks")
-    one, two = ranks.select(F.col("node").alias("a"), F.col("pr").alias("q1_pr")), ranks.select(F.col("node").alias("b"), F.col("pr").alias("q2_pr"))
-    return pairs.select("pair_id", q_text("question1", "").alias("a"), q_text("question2", "").alias("b")).join(one, "a").join(two, "b").select("pair_id", "q1_pr", "q2_pr")
+    return _both_ranks(pairs, shared_table(ranks, "ranks"))
+
+
+def converged_ranks(links: DataFrame, nodes: DataFrame, damping: float, tol: float) -> tuple[DataFrame, list[int]]:
+    """(node, pr) with a summed error of tol at most, and the number of nodes that sent in each round.
+
+    A node keeps a residual, what has flowed in and was not passed on. Only nodes with more than tol (1 - damping) / nodes
+    of it take it into their rank and send it on, so rounds get cheaper; what is left at the end bounds the error.
+    """
+    n = max(nodes.count(), 1)
+    least = tol * (1 - damping) / n
+    state, sent = shared_table(nodes.select("node", F.lit(0.0).alias("pr"), F.lit((1 - damping) / n).alias("left")), "ranks"), []
+    while True:
+        due = F.col("left") > least
+        active = state.filter(due)
+        sent.append(active.count())
+        if not sent[-1]:
+            return state.select("node", "pr"), sent
+        flow = active.join(links, F.col("node") == F.col("src")).groupBy("dst").agg((damping * F.sum(F.col("left") * F.col("share"))).alias("flow")).withColumnRenamed("dst", "node")
+        passed = F.when(due, F.col("left")).otherwise(0.0)
+        state = shared_table(state.join(flow, "node", "left").select("node", (F.col("pr") + passed).alias("pr"), (F.col("left") - passed + F.coalesce("flow", F.lit(0.0))).alias("left")), "ranks")
 
 
 def triangles(pairs: DataFrame) -> DataFrame:

@@ -118,74 +118,109 @@ def embedding_features(pairs: DataFrame, vectors: DataFrame, dims: int, name: st
     return v.select("pair_id", *[c.alias(n) for n, c in cols.items()])
 
 
-def transport_cost(supply: list[float], demand: list[float], cost: list[list[float]]) -> float:
-    """Least cost of moving supply to demand (equal totals): successive shortest paths with potentials."""
-    n, m = len(supply), len(demand)
-    source, sink, size = n + m, n + m + 1, n + m + 2
-    graph: list[list[list]] = [[] for _ in range(size)]
-
-    def edge(u: int, v: int, cap: float, c: float) -> None:
-        graph[u].append([v, cap, c, len(graph[v])])
-        graph[v].append([u, 0.0, -c, len(graph[u]) - 1])
-
-    for i, s in enumerate(supply):
-        edge(source, i, s, 0.0)
-    for j, d in enumerate(demand):
-        edge(n + j, sink, d, 0.0)
-    for i in range(n):
-        for j in range(m):
-            edge(i, n + j, math.inf, cost[i][j])
-    spent, potential, eps = 0.0, [0.0] * size, 1e-12
-    while True:
-        dist, done, back = [math.inf] * size, [False] * size, [None] * size
-        dist[source] = 0.0
-        for _ in range(size):
-            u = min((x for x in range(size) if not done[x]), key=lambda x: dist[x], default=None)
-            if u is None or dist[u] == math.inf:
+def transport_cost(supply, demand, cost) -> float:
+    """Least cost of moving supply to demand (equal totals, all above 0): a network simplex on arrays.
+
+    If each supply can go to its nearest demand, or each demand come from its nearest supply, that is the answer. Otherwise a
+    tree of cells is improved, cell by cell, until no price difference is negative; tiny additions to the masses
+    keep the tree from standing still, and the prices of the last tree give the cost for the true masses.
+    """
+    s, d, c = np.asarray(supply, float), np.asarray(demand, float), np.asarray(cost, float)
+    n, m = c.shape
+    rows, columns = c.argmin(axis=1), c.argmin(axis=0)
+    if np.allclose(np.bincount(rows, s, m), d, rtol=0, atol=1e-12):
+        return float((s * c[np.arange(n), rows]).sum())
+    if n == 1 or m == 1 or np.allclose(np.bincount(columns, d, n), s, rtol=0, atol=1e-12):
+        return float((s[:, None] * c if m == 1 else d * c if n == 1 else d * c[columns, np.arange(m)]).sum())
+    little = 1e-7 * min(s.min(), d.min())
+    left, right = s + little, d.copy()
+    right[-1] += n * little
+    flow: dict[tuple[int, int], float] = {}
+    near: list[set[int]] = [set() for _ in range(n + m)]  # the tree: rows, then columns
+    open_row, open_column, cells = np.ones(n, bool), np.ones(m, bool), np.argsort(c, axis=None, kind="stable")
+    for i, j in zip(*np.divmod(cells, m), strict=True):  # cheapest cells first
+        if open_row[i] and open_column[j]:
+            f = flow[i, j] = min(left[i], right[j])
+            near[i].add(n + j)
+            near[n + j].add(i)
+            row_ends = left[i] <= right[j] and open_row.sum() > 1 or open_column.sum() == 1
+            left[i], right[j] = left[i] - f, right[j] - f
+            if row_ends:
+                open_row[i] = False
+            else:
+                open_column[j] = False
+            if len(flow) == n + m - 1:
                 break
-            done[u] = True
-            for k, (v, cap, c, _) in enumerate(graph[u]):
-                d = dist[u] + c + potential[u] - potential[v]
-                if cap > eps and d < dist[v] - 1e-15:
-                    dist[v], back[v] = d, (u, k)
-        if dist[sink] == math.inf:
-            return spent
-        potential = [p + (d if d < math.inf else 0.0) for p, d in zip(potential, dist, strict=True)]
-        flow, v = math.inf, sink
-        while v != source:
-            u, k = back[v]
-            flow, v = min(flow, graph[u][k][1]), u
-        v = sink
-        while v != source:
-            u, k = back[v]
-            e = graph[u][k]
-            e[1] -= flow
-            graph[v][e[3]][1] += flow
-            spent += flow * e[2]
-            v = u
-
-
-def movers_distance(a: list, b: list) -> float:
-    """Word mover's distance of two lists of (word, vector); infinite where a side has no known word."""
+    enough = -1e-11 * max(1.0, float(c.max()))
+    while True:
+        price, up, order = np.zeros(n + m), [-1] * (n + m), [0]
+        for v in order:  # prices by walking the tree from the first row
+            for w in near[v]:
+                if w != up[v]:
+                    up[w] = v
+                    price[w] = (c[v, w - n] if v < n else c[w, v - n]) - price[v]
+                    order.append(w)
+        over = c - price[:n, None] - price[None, n:]
+        at = int(over.argmin())
+        if over.flat[at] >= enough:
+            return float(s @ price[:n] + d @ price[n:])
+        i, j = divmod(at, m)
+        above, v = {}, i
+        while v >= 0:
+            above[v] = len(above)
+            v = up[v]
+        path = [n + j]
+        while path[-1] not in above:
+            path.append(up[path[-1]])
+        down, v = [], i
+        while v != path[-1]:
+            down.append(v)
+            v = up[v]
+        path += reversed(down)  # from the column to the row
+        cycle = [(min(a, b), max(a, b) - n) for a, b in zip(path, path[1:], strict=False)]
+        least, out = min((flow[x], x) for x in cycle[::2])
+        for k, x in enumerate(cycle):
+            flow[x] += -least if k % 2 == 0 else least
+        del flow[out]
+        near[out[0]].discard(n + out[1])
+        near[n + out[1]].discard(out[0])
+        flow[i, j] = least
+        near[i].add(n + j)
+        near[n + j].add(i)
+
+
+def movers_distances(a: list, b: list, fields: tuple[str, ...]) -> list[float]:
+    """Word mover's distances of two lists of words by each of their vectors in fields; infinite where a side has no word."""
     if not a or not b:
-        return math.inf
-    x, y = {w: v for w, v in a}, {w: v for w, v in b}
-    share = lambda rows, words: [sum(w == k for w, _ in rows) / len(rows) for k in words]
-    vx, vy = np.array(list(x.values()), float), np.array(list(y.values()), float)
-    cost = np.sqrt(((vx[:, None, :] - vy[None, :, :]) ** 2).sum(2))
-    return transport_cost(share(a, x), share(b, y), cost.tolist())
+        return [math.inf] * len(fields)
+    x, y = {r["word"]: r for r in a}, {r["word"]: r for r in b}
+    masses = [np.array([sum(r["word"] == w for r in rows) for w in own]) / len(rows) for rows, own in ((a, x), (b, y))]
+    if x.keys() == y.keys() and dict(zip(x, masses[0], strict=True)) == dict(zip(y, masses[1], strict=True)):
+        return [0.0] * len(fields)
+    out = []
+    for f in fields:
+        u, v = (np.array([r[f] for r in own.values()], float) for own in (x, y))
+        out.append(transport_cost(*masses, np.sqrt(np.maximum(((u[:, None, :] - v[None, :, :]) ** 2).sum(2), 0))))
+    return out
 
 
 def wmd_features(pairs: DataFrame, vectors: DataFrame, name: str) -> DataFrame:
-    """Word mover's distances with raw and with normalised word vectors."""
+    """Word mover's distances with raw and with normalised word vectors, once for pairs of the same words."""
     words = without_stops(split_words(F.col("text")))
     known = sides(pairs).select("pair_id", "side", F.posexplode(words).alias("at", "word")).join(vectors.select("word", F.col("vec").cast("array<double>").alias("vec")), "word")
     lists = known.groupBy("pair_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == i, F.struct("at", "word", "vec", unit(F.col("vec")).alias("unit"))))).alias(f"l{i}") for i in (1, 2)])
 
     @F.pandas_udf("wmd double, norm_wmd double")
     def measure(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        of = lambda rows, k: [(r["word"], r[k]) for r in (rows if rows is not None else [])]
-        return pd.DataFrame([[movers_distance(of(a, k), of(b, k)) for k in ("vec", "unit")] for a, b in zip(x, y, strict=True)], columns=["wmd", "norm_wmd"], dtype="float64")
+        seen: dict[tuple, list[float]] = {}  # of a batch
+        rows = []
+        for a, b in zip(x, y, strict=True):
+            a, b = (rows if rows is not None else [] for rows in (a, b))
+            key = tuple(sorted(r["word"] for r in a)), tuple(sorted(r["word"] for r in b))
+            if key not in seen:
+                seen[key] = movers_distances(list(a), list(b), ("vec", "unit"))
+            rows.append(seen[key])
+        return pd.DataFrame(rows, columns=["wmd", "norm_wmd"], dtype="float64")
 
     got = lists.select("pair_id", measure("l1", "l2").alias("m")).select("pair_id", F.col("m.wmd").alias(f"{name}_wmd"), F.col("m.norm_wmd").alias(f"{name}_norm_wmd"))
     return pairs.select("pair_id").join(got, "pair_id", "left").na.fill(math.inf)

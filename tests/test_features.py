@@ -132,6 +132,49 @@ def test_transport_matches_assignment():
     assert vector_features.transport_cost([1 / 3] * 3, [1 / 3] * 3, cost) == pytest.approx(best)
 
 
+def test_transport_costs_by_brute_force():
+    """Masses of whole units: every way to match units is tried."""
+    from itertools import permutations
+
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        size = int(rng.integers(2, 7))
+        cuts = lambda: np.bincount(rng.integers(0, int(rng.integers(1, size + 1)), size))
+        a, b = (x[x > 0] for x in (cuts(), cuts()))
+        cost = rng.integers(0, 4, (len(a), len(b))).astype(float) if rng.random() < 0.5 else rng.random((len(a), len(b)))
+        rows, columns = np.repeat(np.arange(len(a)), a), np.repeat(np.arange(len(b)), b)
+        best = min(sum(cost[rows[i], columns[j]] for i, j in enumerate(p)) for p in permutations(range(size))) / size
+        assert vector_features.transport_cost(a / size, b / size, cost) == pytest.approx(best, abs=1e-9)
+
+
+def test_large_transport_has_no_better_prices():
+    """Weak duality: the cost lies between any feasible flow and any feasible prices; row and column minima are such prices."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    for n, m in ((40, 60), (30, 30), (1, 50)):
+        s, d, cost = rng.dirichlet(np.ones(n)), rng.dirichlet(np.ones(m)), rng.random((n, m))
+        found = vector_features.transport_cost(s, d, cost)
+        low = cost.min(axis=1)
+        assert low @ s + (cost - low[:, None]).min(axis=0) @ d - 1e-9 <= found <= (s[:, None] * d * cost).sum() + 1e-9
+        assert found == pytest.approx(vector_features.transport_cost(d, s, cost.T), abs=1e-9)
+
+
+def test_residual_ranks_match_a_hundred_steps(spark):
+    rng = random.Random(11)
+    rows = [(i, f"n{min(rng.randrange(60), rng.randrange(60))}", f"n{rng.randrange(60)}", 0, "train") for i in range(150)] + [(900, "x", "x", 0, "train"), (901, None, "y", 0, "train")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want, got = by_id(graph.pagerank(df, steps=100, every=50)), by_id(graph.pagerank(df, tol=1e-6))
+    assert got.keys() == want.keys() and all(abs(got[k][c] - want[k][c]) < 1e-6 for k in want for c in ("q1_pr", "q2_pr"))
+    links, nodes = graph._links(df)
+    ranks, sent = graph.converged_ranks(links, nodes, 0.85, 1e-3)
+    assert sent[0] == nodes.count() and sent[-1] == 0 and sum(sent) < sent[0] * len(sent) and min(sent[:-1]) < sent[0]
+    assert ranks.agg(F.sum("pr")).first()[0] == pytest.approx(1, abs=1e-3)
+    assert graph.pagerank(df.limit(0), tol=0.1).count() == 0
+
+
 def test_sequences(pairs):
     vocab = sequences.vocabulary(pairs)
     ids = {r["word"]: r["word_id"] for r in vocab.collect()}
