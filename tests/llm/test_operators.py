@@ -161,8 +161,8 @@ def brute_lines(rows):
     for a, b in combinations(seen, 2):
         x, y = a.split(), b.split()
         short = min(len(x), len(y))
-        near = short >= 20 and lev(x, y) <= (1 if short < 40 else 2 if short < 150 else 3)
-        if near or max(len(x), len(y)) < 22 and min(len(a), len(b)) >= 30 and lev(a, b) <= 2:
+        near = short >= 8 and lev(x, y) <= (1 if short < 30 else 2 if short < 60 else 3)
+        if near or max(len(x), len(y)) < 10 and min(len(a), len(b)) >= 30 and lev(a, b) <= 2:
             up[root(a)] = root(b)
     return root
 
@@ -188,7 +188,7 @@ def changed_lines(rng, pool, n):
 
 def test_line_dedup_matches_brute_force(spark):
     rng = random.Random(4)
-    pool = [words(rng, n) for n in (1, 4, 6, 12, 18, 19, 20, 21, 25, 39, 41, 60, 148, 152, 200)]
+    pool = [words(rng, n) for n in (1, 4, 6, 7, 8, 9, 12, 18, 25, 29, 31, 58, 60, 62, 200)]
     rows = [(k // 2 * 2 if k % 7 == 0 else k, "\n".join([*changed_lines(rng, pool, 5), "", "short", " Short "])) for k in range(40)]
     root = brute_lines(rows)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -207,13 +207,14 @@ def test_line_dedup_matches_brute_force(spark):
         assert r["text"] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
 
 
-def test_line_dedup_finds_a_changed_word_in_long_lines(spark):
+def test_line_dedup_finds_changed_words(spark):
     rng = random.Random(31)
     rows = []
     for k in range(0, 300, 2):
-        line = words(rng, rng.randrange(20, 120), 9999).split()
+        line = words(rng, rng.randrange(8, 120), 9999).split()
         copy = list(line)
-        copy[rng.randrange(len(copy))] = "replacement"
+        for i in rng.sample(range(len(copy)), 1 if len(copy) < 30 else 2 if len(copy) < 60 else 3):
+            copy[i] = "replacement"
         rows += [(k, " ".join(line)), (k + 1, " ".join(copy))]
     got = {r["doc_id"]: r["removed"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert all(got[k] == [k % 2 - 1] * (k % 2) for k, _ in rows)
@@ -230,7 +231,7 @@ def test_edit_distance_and_keys():
 def test_copies_within_the_bound_share_a_key():
     rng = random.Random(16)
     for _ in range(400):
-        base = words(rng, rng.choice([4, 7, 15, 19, 20, 21, 23, 38, 39, 40, 41, 42, 90, 148, 150, 153, 240]), 30)
+        base = words(rng, rng.choice([4, 6, 7, 8, 9, 10, 11, 15, 21, 28, 29, 30, 31, 32, 58, 59, 60, 61, 63, 90, 240]), 30)
         a, b = base, changed_lines(rng, [base], 1)[0]
         if a != b and linededup.linked(a, b):
             keys = {0: [set(), set()], 1: [set(), set()]}
@@ -260,20 +261,45 @@ def test_rows_that_repeat_a_key_keep_their_own_text(spark):
 
 
 def test_shards_are_contiguous_and_balanced(spark, docs, empty):
-    rows = [(i, "x" * (i * 37 % 900)) for i in range(3000)]
-    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id bigint, text string"), 8).orderBy("doc_id").collect()
+    rows = [(i, f"{i} " + "x" * (i * 37 % 900)) for i in range(3000)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id bigint, text string"), 8).orderBy("global_row").collect()
     at = [r["shard"] for r in got]
-    assert at == sorted(at) and set(at) == set(range(8))
+    assert at == sorted(at) and set(at) == set(range(8)) and [r["global_row"] for r in got] == list(range(3000))
+    assert [(r["text_hash"], r["doc_id"]) for r in got] == sorted((r["text_hash"], r["doc_id"]) for r in got)
     sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
-    assert max(sizes) - min(sizes) <= 2 * 901
+    assert max(sizes) - min(sizes) <= 2 * 910
     for s in range(8):
         assert [r["slot"] for r in got if r["shard"] == s] == list(range(at.count(s)))
-    assert all(r["size"] == len(t) + 1 and r["text_crc32"] == zlib.crc32(t.encode()) for r, (_, t) in zip(got, rows, strict=True))
+    texts = dict(rows)
+    assert all(r["size"] == len(t := texts[r["doc_id"]]) + 1 and r["text_crc32"] == zlib.crc32(t.encode()) for r in got)
     odd = sharding.shard_by_bytes(docs, 8).collect()
     assert len(odd) == docs.count() and {r["size"] for r in odd if r["doc_id"] in (5, 6)} == {1}
     assert sharding.shard_by_bytes(empty, 8).count() == 0
 
 
+@pytest.mark.parametrize("copies", [3, 16])
+def test_equal_texts_stay_in_one_shard(spark, copies):
+    rows = [(i, f"text {i // copies} " + "y" * (i // copies * 31 % 500)) for i in range(6000)] + [(9000, None), (9001, ""), (None, None)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 8, group_share=0.05).collect()
+    where: dict = {}
+    for r in got:
+        where.setdefault(r["text_hash"], set()).add(r["shard"])
+    assert len(got) == len(rows) and all(len(s) == 1 for s in where.values()) and len(where) == 6000 // copies + 1
+    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 2 * 16 * 520
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_a_group_larger_than_a_shard_is_cut(spark):
+    rows = [(i, "the same text" if i % 3 == 0 else f"text number {i}") for i in range(3000)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id bigint, text string"), 8).collect()
+    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 60 and len({r["shard"] for r in got if r["doc_id"] % 3 == 0}) >= 3
+    one = sharding.shard_by_bytes(spark.createDataFrame(rows[:1] * 50, "doc_id bigint, text string"), 8).collect()
+    assert len(one) == 50 and max(sum(r["shard"] == s for r in one) for s in range(8)) <= 7
+
+
 def test_windows_hold_every_id_once_without_padding():
     rng = random.Random(8)
     for _ in range(60):
