@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.text import char_ngrams, q_text, ratio, split_words, stop_array, tokenize, without_stops
 from pairloom.functions.vectors import distances, kurtosis, skewness, total, unit
-from pairloom.operators import paradigms
+from pairloom.operators import paradigms, tallqr
 from pairloom.operators.spectral import BUCKETS, bucket, projected, truncated_svd
 from pairloom.sources.tables import shared_table
 
@@ -239,14 +239,28 @@ def svd_points(pairs: DataFrame, k: int = 100, buckets: int = BUCKETS) -> DataFr
     return shared_table(out.select("pair_id", "joint", "p1", "p2"), "svd_points")
 
 
-def svd_features(pairs: DataFrame, k: int = 100, buckets: int = BUCKETS, faithful: bool = True) -> DataFrame:
+def vocabulary_svd_points(pairs: DataFrame, k: int = 100, passes: int = 6) -> DataFrame:
+    """The same from the whole vocabulary, without buckets; questions without a word have coordinates of 0."""
+    words = sides(pairs, "").select("pair_id", "side", F.explode(split_words(F.col("text"))).alias("term")).groupBy("pair_id", "side", "term").agg(F.count(F.lit(1)).alias("n"))
+    words = shared_table(words, "words")
+    beside = words.select(F.col("pair_id").alias("row"), F.concat(F.col("side").cast("string"), F.lit(":"), "term").alias("term"), "n")
+    stacked = words.select((2 * F.col("pair_id") + F.col("side") - 1).alias("row"), "term", "n")
+    joint, shared = (shared_table(tallqr.vocabulary_svd(x, k, passes=passes).rows, "rows") for x in (beside, stacked))
+    zero = F.array_repeat(F.lit(0.0), k)
+    side = lambda i: shared.filter(F.pmod("row", F.lit(2)) == i - 1).select(F.floor(F.col("row") / 2).cast("long").alias("pair_id"), F.col("v").alias(f"p{i}"))
+    out = pairs.select("pair_id").join(joint.select(F.col("row").alias("pair_id"), F.col("v").alias("joint")), "pair_id", "left").join(side(1), "pair_id", "left").join(side(2), "pair_id", "left")
+    return shared_table(out.select("pair_id", *[F.coalesce(c, zero).alias(c) for c in ("joint", "p1", "p2")]), "svd_points")
+
+
+def svd_features(pairs: DataFrame, k: int = 100, buckets: int | None = BUCKETS, faithful: bool = True) -> DataFrame:
     """The first components of the joined decomposition, and distances of both questions in the shared basis.
 
     The reference fills both component columns with the first one; faithful=False gives the second its own.
-    The Euclidean distance is a mean of squares without a root, and a zero vector has cosine distance 1.
+    The Euclidean distance is a mean of squares without a root, and a zero vector has cosine distance 1. Without buckets
+    (None) the whole vocabulary is decomposed.
     """
-    points = svd_points(pairs, k, buckets)
-    k = min(k, buckets)
+    points = svd_points(pairs, k, buckets) if buckets else vocabulary_svd_points(pairs, k)
+    k = min(k, buckets or k)
     dot = lambda x, y: total(F.zip_with(x, y, lambda a, b: a * b))
     den = F.sqrt(dot(F.col("p1"), F.col("p1"))) * F.sqrt(dot(F.col("p2"), F.col("p2")))
     return points.select(

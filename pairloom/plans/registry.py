@@ -271,6 +271,7 @@ VECTORS = {
     "pair_embedding_sources": pair_embedding_sources,
     "pair_wmd": pair_wmd,
     "pair_svd": on_pairs(vector_features.svd_features),
+    "pair_svd_vocabulary": on_pairs(lambda p: vector_features.svd_features(p, k=20, buckets=None)),
 }
 GRAPH = {
     "question_ids": on_pairs(graph.question_ids),
