@@ -266,9 +266,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         return search
 
     found = None
-    for b in range(blocks):
+    for b in range(blocks):  # one block is live at a time: its leaks are written before the next one is built
         rows = sorted(((r["i"], r["t"]) for r in items.filter(F.col("block") == b).collect()), key=str)
-        one = chosen.mapInArrow(searcher(spark.sparkContext.broadcast(([i for i, _ in rows], ItemIndex([t for _, t in rows], width)))), schema)
+        shared = spark.sparkContext.broadcast(([i for i, _ in rows], ItemIndex([t for _, t in rows], width)))
+        one = materialize(chosen.mapInArrow(searcher(shared), schema), "leaks")
+        shared.destroy()
         found = one if found is None else found.union(one)
     best = found.groupBy("key", "row", "item").agg(F.max(F.struct("coverage", "consistency")).alias("best"))
     return best.select("key", "item", F.col("best.coverage").alias("coverage"), F.col("best.consistency").alias("consistency"), "row")
