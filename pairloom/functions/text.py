@@ -32,6 +32,21 @@ def tokenize(text: Column, lower: bool = True) -> Column:
     return F.regexp_extract_all(F.lower(text) if lower else text, F.lit(f"({TOKEN_PATTERN})"), 1)
 
 
+#: Rules that part words from what is joined to them, in order: quotes, marks, possessives and contractions.
+CONTRACTION_RULES = (
+    (r"^\"|([ (\[{<])\"", "$1 `` "), (r"\"", " '' "), (r"([,;:@#$%&?!()\[\]{}<>]|\.\.\.|--)", " $1 "), (r"\.(['\")\]}]*)\s*$", " .$1 "),
+    (r"(?i)([^' ])'(s|m|d|ll|re|ve) ", "$1 '$2 "), (r"(?i)([^' ])n't ", "$1 n't "), (r"([^' ])' ", "$1 ' "), (r"(?i)\b(can)(not)\b", "$1 $2"), (r"(?i)\b(gon|wan)(na)\b", "$1 $2"), (r"(?i)\b(got)(ta)\b", "$1 $2"), (r"(?i)\b(gim|lem)(me)\b", "$1 $2"),
+)
+
+
+def contraction_tokens(text: Column, lower: bool = True) -> Column:
+    """Tokens with contractions parted as in treebanks: do + n't, it + 's, can + not; a full stop is a token at the end only."""
+    out = F.concat(F.lit(" "), F.regexp_replace(F.lower(text) if lower else text, r"\s+", " "), F.lit(" "))
+    for pattern, into in CONTRACTION_RULES:
+        out = F.regexp_replace(out, pattern, into)
+    return F.filter(F.split(out, r"\s+"), lambda w: w != "")
+
+
 def stop_array() -> Column:
     return F.array(*map(F.lit, STOPWORDS))
 

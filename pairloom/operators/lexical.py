@@ -55,12 +55,12 @@ def nouns(text: Column) -> Column:
     return F.filter(without_stops(tokenize(text)), lambda w: F.length(w) >= 4)
 
 
-def match_features(pairs: DataFrame, noun_tagger=nouns) -> DataFrame:
-    """Noun, word and n-gram matches; noun_tagger is a Column -> Column of noun tokens."""
+def match_features(pairs: DataFrame, noun_tagger=nouns, tokenizer=tokenize) -> DataFrame:
+    """Noun, word and n-gram matches; noun_tagger is a Column -> Column of noun tokens, tokenizer one of all tokens."""
     p = with_texts(pairs)
     p = p.select(
         "pair_id", F.array_distinct(without_stops(split_words(F.col("a")))).alias("w1"), F.array_distinct(without_stops(split_words(F.col("b")))).alias("w2"),
-        without_stops(tokenize(F.col("a"))).alias("u1"), without_stops(tokenize(F.col("b"))).alias("u2"), noun_tagger(F.col("a")).alias("n1"), noun_tagger(F.col("b")).alias("n2"),
+        without_stops(tokenizer(F.col("a"))).alias("u1"), without_stops(tokenizer(F.col("b"))).alias("u2"), noun_tagger(F.col("a")).alias("n1"), noun_tagger(F.col("b")).alias("n2"),
     )
     matched = F.size(F.filter("n1", lambda w: F.array_contains("n2", w)))
     cols = {

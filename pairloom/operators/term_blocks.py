@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from pairloom.functions.text import q_text, split_words
+from pairloom.functions.text import split_words
 from pairloom.operators import modeling
 from pairloom.operators.spectral import BUCKETS, bucket
 from pairloom.operators.vector_features import lemmas, sides, svd_points, weighted_terms

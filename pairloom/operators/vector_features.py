@@ -21,9 +21,10 @@ def sides(pairs: DataFrame, null_as: str = "nan") -> DataFrame:
     return pairs.select("pair_id", F.explode(F.array(*[F.struct(F.lit(i).alias("side"), q_text(f"question{i}", null_as).alias("text")) for i in (1, 2)])).alias("x")).select("pair_id", "x.side", "x.text")
 
 
-def tfidf_terms(text: Column) -> Column:
-    """Lower-case words of two letters or more that are no stop words."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), 1), lambda w: ~F.array_contains(stop_array(), w))
+def tfidf_terms(text: Column, stops: list[str] | None = None) -> Column:
+    """Lower-case words of two letters or more that are no stop words: those of a given list, or those of the other families."""
+    found = stop_array() if stops is None else F.array(*map(F.lit, stops)).cast("array<string>")
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), 1), lambda w: ~F.array_contains(found, w))
 
 
 def weighted_terms(pairs: DataFrame, terms=tfidf_terms, null_as: str = "nan", use_idf: bool = True, power: int = 2) -> DataFrame:
@@ -40,9 +41,9 @@ def weighted_terms(pairs: DataFrame, terms=tfidf_terms, null_as: str = "nan", us
     return counts.join(size, ["pair_id", "side"]).select("pair_id", "side", "term", (F.col("raw") / F.col("size")).alias("weight"))
 
 
-def tfidf_features(pairs: DataFrame) -> DataFrame:
-    """Sum, mean and count of the nonzero tf-idf weights of either question; 0 where there is none."""
-    w = weighted_terms(pairs)
+def tfidf_features(pairs: DataFrame, stops: list[str] | None = None) -> DataFrame:
+    """Sum, mean and count of the nonzero tf-idf weights of either question; 0 where there is none. stops: a list of its own."""
+    w = weighted_terms(pairs, lambda t: tfidf_terms(t, stops))
     of = lambda side: F.when(F.col("side") == side, F.col("weight"))
     sums = w.groupBy("pair_id").agg(*[f.alias(f"tfidf_{n}{i}") for i in (1, 2) for n, f in (("sum", F.sum(of(i))), ("mean", F.avg(of(i))), ("len", F.count(of(i))))])
     return pairs.select("pair_id").join(sums, "pair_id", "left").na.fill(0)

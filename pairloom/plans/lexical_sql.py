@@ -1,6 +1,6 @@
 """DuckDB SQL of the lexical families."""
 
-from pairloom.functions.text import STOPWORDS, TOKEN_PATTERN
+from pairloom.functions.text import CONTRACTION_RULES, STOPWORDS, TOKEN_PATTERN
 from pairloom.operators.lexical import QUESTION_WORDS
 from pairloom.sources.pairs import PAIRS_SQL
 
@@ -15,6 +15,13 @@ def tokens(c: str, lower: bool = True) -> str:
     return f"regexp_extract_all({f'lower({c})' if lower else c}, '{TOKEN_PATTERN}')"
 
 
+def contraction_tokens(c: str) -> str:
+    out = f"' ' || regexp_replace(lower({c}), '\\s+', ' ', 'g') || ' '"
+    for pattern, into in CONTRACTION_RULES:
+        out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern.replace("'", "''"), into.replace("'", "''").replace("$", "\\"))
+    return f"list_filter(string_split_regex({out}, '\\s+'), lambda w: w <> '')"
+
+
 def nostops(c: str) -> str:
     return f"list_filter({c}, lambda w: NOT list_contains({STOPS}, w))"
 
@@ -70,6 +77,11 @@ SQL = {
         "n AS (SELECT *, list_filter(u1, lambda w: length(w) >= 4) AS n1, list_filter(u2, lambda w: length(w) >= 4) AS n2 FROM y)",
         "z AS (SELECT *, len(list_filter(n1, lambda w: list_contains(n2, w))) AS nm, u1 AS g1, u2 AS g2, " + ", ".join(f"{grams(f'u{i}', n)} AS {g}{i}" for g, n in (("h", 2), ("t", 3)) for i in (1, 2)) + " FROM n)",
     ),
+    "pair_match_contractions": pairs_sql(
+        "SELECT pair_id, " + ", ".join(f"len(list_intersect({g}1, {g}2))::INT AS {n}_nostop_match_count, round({div(f'len(list_intersect({g}1, {g}2))', f'greatest(len(list_distinct(list_concat({g}1, {g}2))), 1)')}, 6) AS {n}_nostop_match_ratio" for g, n in (("g", "unigrams"), ("h", "bigrams"), ("t", "trigrams"))) + " FROM z",
+        TEXTS, "y AS (SELECT pair_id, " + ", ".join(f"{nostops(contraction_tokens(c))} AS u{i}" for i, c in ((1, "a"), (2, "b"))) + " FROM x)",
+        "z AS (SELECT pair_id, u1 AS g1, u2 AS g2, " + ", ".join(f"{grams(f'u{i}', n)} AS {g}{i}" for g, n in (("h", 2), ("t", 3)) for i in (1, 2)) + " FROM y)",
+    ),
     "pair_word_weights": pairs_sql(f"SELECT word, round(CASE WHEN count(*) < 2 THEN 0 ELSE 1.0::DOUBLE/(count(*)+10000) END, 12) AS weight FROM (SELECT unnest({words('q')}) AS word FROM (SELECT a AS q FROM x WHERE split='train' UNION ALL SELECT b FROM x WHERE split='train')) GROUP BY word", TEXTS),
     "pair_weighted_share": pairs_sql(
         "SELECT pair_id, " + ", ".join(f"round(CASE WHEN none THEN 0 ELSE {e} END, 6) AS {n}" for n, e in {

@@ -5,12 +5,11 @@ from __future__ import annotations
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.fuzzy import diff_ratios, fuzzy
-from pairloom.functions.text import q_text
+from pairloom.functions.text import contraction_tokens, q_text
 from pairloom.functions.vectors import distances, kurtosis, skewness
 from pairloom.operators import alignment, boosting, graph, lexical, modeling, neural, postprocess, sequences, tagging, term_blocks, training, vector_features
 from pairloom.plans import lexical_sql, more_sql
@@ -173,27 +172,23 @@ def leafwise_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stacked_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second-level trees over five base models, and their average with the best single one."""
+    """Second-level trees over seven base models (two boosters, a regression, four trained networks), and their average with the best single one."""
     from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import vector_to_array
 
     df, names = model_table(spark, sf_dir)
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(df)
-    scaled = scaler.transform(df).drop("features").withColumnRenamed("scaled", "features")
-    words = pooled_words(spark, sf_dir, df).select("pair_id", F.col("features").alias("words"))
-    both = VectorAssembler(inputCols=["features", "words"], outputCol="both").transform(scaled.join(words, "pair_id"))
-    deep = both.drop("features", "both").withColumnRenamed("words", "features")
-    deep_features = both.drop("features", "words").withColumnRenamed("both", "features")
-    rounds = STACK_ROUNDS
-    base = {
-        "first": (df, lambda: modeling.boosted_trees(rounds=rounds, valid="held", **modeling.BOOSTERS["first"] | {"depth": 5, "rate": 0.1})),
-        "second": (df, lambda: modeling.boosted_trees(rounds=rounds, valid="held", **modeling.BOOSTERS["second"] | {"rate": 0.1})),
-        "linear": (scaled, lambda: modeling.logistic(0.01, 1e-3)),
-        "words": (deep, lambda: modeling.perceptron(2 * DIMS)),
-        "words_features": (deep_features, lambda: modeling.perceptron(2 * DIMS + len(names))),
+    scaled = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(df).transform(df).drop("features").withColumnRenamed("scaled", "features")
+    features = vector_to_array("features")
+    boosters = boosting.train_folds(df, features, len(names), 5, LEAFWISE)
+    networks = shared_table(neural_scores(spark, sf_dir), "networks")
+    scores = {
+        "first": modeling.out_of_fold(df, lambda: modeling.boosted_trees(rounds=STACK_ROUNDS, valid="held", **modeling.BOOSTERS["first"] | {"depth": 5, "rate": 0.1}), 5, "first"),
+        "second": shared_table(boosting.predict_folds(df, features, len(names), boosters, "second"), "second"),
+        "linear": modeling.out_of_fold(scaled, lambda: modeling.logistic(0.01, 1e-3), 5, "linear"),
     }
-    scores = [modeling.out_of_fold(table, estimator, 5, name) for name, (table, estimator) in base.items()]
-    out = modeling.stacked(scores, list(base))
-    return out.join(scores[0].select("pair_id", "first"), "pair_id").withColumn("average", (F.col("stacked") + F.col("first")) / 2)
+    scores |= {name: networks.select("pair_id", "split", "is_duplicate", name) for name in ("lstm", "lstm_features", "attention", "attention_features")}
+    out = modeling.stacked(list(scores.values()), list(scores))
+    return out.join(scores["first"].select("pair_id", "first"), "pair_id").withColumn("average", (F.col("stacked") + F.col("first")) / 2)
 
 
 def mean_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,6 +253,7 @@ LEXICAL = {
     "pair_difflib": on_pairs(difflib_features),
     "pair_fuzzy": on_pairs(fuzzy_features),
     "pair_noun_match": on_pairs(learned_noun_features),
+    "pair_match_contractions": on_pairs(lambda p: lexical.match_features(p, tokenizer=contraction_tokens).drop("noun_match_count", "noun_match_ratio", "word_match_ratio")),
     "term_totals": on_pairs(lexical.term_totals),
 }
 VECTORS = {

@@ -47,6 +47,22 @@ def test_overlaps(pairs):
     assert chars[2]["trigram_jaccard"] == 0.0 and chars[8]["unigram_all_jaccard"] == 0.5 and chars[8]["unigram_all_jaccard_max"] == 1.0
 
 
+def test_contractions_are_parted(spark):
+    from pairloom.functions.text import contraction_tokens
+
+    want = {
+        "Don't they've it's": "do n't they 've it 's", "I cannot, gonna go.": "i can not , gon na go .", 'He said "well..." (3.5%)!': "he said `` well ... '' ( 3.5 % ) !",
+        "the dogs' bone": "the dogs ' bone", "a.b. c": "a.b. c", "": "", "  x\t\ny ": "x y", "What're you--": "what 're you --",
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r["t"]: " ".join(r["w"]) for r in df.select("t", contraction_tokens(F.col("t")).alias("w")).collect()} == want
+    pairs = spark.createDataFrame([(1, "Don't go", "don't stop", 1, "train"), (2, None, "", 0, "test")], SCHEMA)
+    one, two = (by_id(lexical.match_features(pairs, tokenizer=t)) for t in (lexical.tokenize, contraction_tokens))
+    assert two[1]["unigrams_nostop_match_count"] == 1 and one[1]["unigrams_nostop_match_count"] == 1 and len(two) == 2
+    assert by_id(vector_features.tfidf_features(pairs, ["go"]))[1]["tfidf_len1"] == 1 and by_id(vector_features.tfidf_features(pairs))[1]["tfidf_len1"] == 1
+    assert by_id(vector_features.tfidf_features(pairs, []))[1]["tfidf_len1"] == 2
+
+
 def test_capped_lengths(pairs):
     got = by_id(lexical.capped_length_features(pairs))
     assert got[8]["ratio_len1_len2"] == 1.0 and got[2]["len1"] == 0.0 and got[2]["log_abs_diff_len1_len2"] <= math.log(2)
