@@ -178,14 +178,14 @@ def test_large_transport_has_no_better_prices():
         assert found == pytest.approx(vector_features.transport_cost(d, s, cost.T), abs=1e-9)
 
 
-def test_residual_ranks_match_a_hundred_steps(spark):
+def test_residual_ranks_match_many_steps(spark):
     rng = random.Random(11)
     rows = [(i, f"n{min(rng.randrange(60), rng.randrange(60))}", f"n{rng.randrange(60)}", 0, "train") for i in range(150)] + [(900, "x", "x", 0, "train"), (901, None, "y", 0, "train")]
     df = spark.createDataFrame(rows, SCHEMA)
-    want, got = by_id(graph.pagerank(df, steps=100, every=50)), by_id(graph.pagerank(df, tol=1e-6))
+    want, got = by_id(graph.pagerank(df, 0.5, steps=32)), by_id(graph.pagerank(df, 0.5, tol=1e-6))
     assert got.keys() == want.keys() and all(abs(got[k][c] - want[k][c]) < 1e-6 for k in want for c in ("q1_pr", "q2_pr"))
     links, nodes = graph._links(df)
-    ranks, sent = graph.converged_ranks(links, nodes, 0.85, 1e-3)
+    ranks, sent = graph.converged_ranks(links, nodes, 0.6, 1e-3)
     assert sent[0] == nodes.count() and sent[-1] == 0 and sum(sent) < sent[0] * len(sent) and min(sent[:-1]) < sent[0]
     assert ranks.agg(F.sum("pr")).first()[0] == pytest.approx(1, abs=1e-3)
     assert graph.pagerank(df.limit(0), tol=0.1).count() == 0
