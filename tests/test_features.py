@@ -79,6 +79,19 @@ def test_fuzzy_ratios():
     assert ratio("partial_ratio", "york", "new york city") == 100 and ratio("qratio", "", "x") == 0 and ratio("WRatio", "abc def", "def abc") == 95
 
 
+def test_matching_blocks_are_those_of_the_sequence_matcher(monkeypatch):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    text = lambda most: "".join(rng.choice("abc d") for _ in range(rng.randrange(most)))
+    pairs = [(text(60), text(60)) for _ in range(400)] + [(text(40), text(400)) for _ in range(20)] + [("", ""), ("", "a"), ("abcabc", "abc")]
+    plain = [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert [fuzzy.sequence_ratio(a, b) for a, b in pairs] == plain
+    monkeypatch.setattr(fuzzy, "SequenceMatcher", lambda *_: pytest.fail("the slow matcher on a short text"))
+    short = [(p, r) for p, r in zip(pairs, plain, strict=True) if len(p[1]) < fuzzy.POPULAR]
+    assert [fuzzy.sequence_ratio(*p) for p, _ in short] == [r for _, r in short]
+
+
 def test_fuzzy_ratios_match_plain_definitions():
     """Every ratio written out without shortcuts, on random texts."""
     from difflib import SequenceMatcher
