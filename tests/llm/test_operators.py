@@ -228,6 +228,27 @@ def test_edit_distance_and_keys():
             assert linededup.within(a, b, e) == (lev(a, b) <= e) == linededup.within(list(a), list(b), e)
 
 
+def test_lines_of_a_family_are_decided_without_a_step_a_pair(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    base = [words(rng, n) for n in (6, 8, 9, 12, 31, 62)]
+    lines = sorted({" ".join(w if rng.random() > 0.06 else words(rng, 1) for w in rng.choice(base).split()) for _ in range(150)} | {"a b"})
+    bound, linked, looked, tested = linededup.bound, linededup.linked, [], []
+    monkeypatch.setattr(linededup, "bound", lambda *x: looked.append(x) or bound(*x))
+    monkeypatch.setattr(linededup, "linked", lambda *x: tested.append(x) or linked(*x))
+    half = len(lines) // 2
+    for x, y in ((lines, None), (lines[:half], lines[half:])):
+        n = len(x)
+        got, forest = set(linededup.verify_lines(pa.table({"text": x}), None if y is None else pa.table({"text": y}))), linking.Forest(len(lines))
+        for i, j in got:
+            forest.join(i, j if y is None else n + j)
+        assert tested and len(looked) <= 2 * len(tested)
+        pairs = [(i, j) for i, j in combinations(range(len(lines)), 2) if (y is None or i < n <= j) and linked(lines[i], lines[j])]
+        assert got <= {(i, j if y is None else j - n) for i, j in pairs} and all(forest.root(i) == forest.root(j) for i, j in pairs)
+        looked.clear(), tested.clear()
+
+
 def test_copies_within_the_bound_share_a_key():
     rng = random.Random(16)
     for _ in range(400):
