@@ -204,6 +204,42 @@ def test_residual_ranks_match_many_steps(spark):
     assert graph.pagerank(df.limit(0), tol=0.1).count() == 0
 
 
+def test_all_words_are_numbered(spark, monkeypatch):
+    from pairloom.plans import registry
+
+    monkeypatch.setattr(sequences.vocabulary, "__defaults__", (3,))
+    pairs = spark.createDataFrame([(i, f"w{i % 7} a b", f"w{i % 5} a", "train", 0) for i in range(40)], "pair_id long, question1 string, question2 string, split string, is_duplicate int")
+    counts = {}
+    for r in pairs.collect():
+        for w in f"{r['question1']} {r['question2']}".split():
+            counts[w] = counts.get(w, 0) + 1
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    got = registry.queries()["sequence_vocabulary"](spark, "", pairs)
+    assert [tuple(r) for r in got.orderBy("word_id").collect()] == [(w, i) for i, w in enumerate(ranked, 1)]
+
+
+def test_mean_matching_reads_the_documents_once(spark, tmp_path, monkeypatch):
+    from pairloom.plans import registry
+
+    spark.createDataFrame([(i, f"Same words {i} here", "en", "s", 9) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    read, match = [], postprocess.match_mean
+    monkeypatch.setattr(postprocess, "match_mean", lambda df, *a: read.extend(df.inputFiles()) or match(df, *a))
+    assert registry.queries()["mean_matching"](spark, str(tmp_path)).count() > 30
+    assert read and not any("documents" in f for f in read)
+
+
+def test_questions_are_cut_before_they_are_split(spark, tmp_path):
+    texts = ["  two  spaces", "a\nb\tc\r\nd", "", None, " ".join(f"W{i}" for i in range(200)), "x " * 59 + "y z", "\u039f\u0394\u039f\u03a3 one"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sources.pairs_from_documents(spark, str(tmp_path))
+    flat = F.regexp_replace("text", "[ \\n\\r\\t]+", " ")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    plain = {r[0]: r[1] for r in docs.select("doc_id", F.array_join(F.slice(F.split(flat, " "), 1, 12), " ")).collect()}
+    rows = got.collect()
+    assert {r["qid1"] for r in rows} >= set(range(len(texts) - 1)) and all(r["question1"] == plain[r["qid1"]] and r["question2"] == plain[r["qid2"]] for r in rows)
+    assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sequences(pairs):
     vocab = sequences.vocabulary(pairs)
     ids = {r["word"]: r["word_id"] for r in vocab.collect()}
