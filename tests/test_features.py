@@ -204,6 +204,19 @@ def test_residual_ranks_match_many_steps(spark):
     assert graph.pagerank(df.limit(0), tol=0.1).count() == 0
 
 
+def test_graph_rounds_move_numbers_not_texts(spark, monkeypatch):
+    seen, share = {}, graph.shared_table
+    for module in (graph, postprocess):
+        monkeypatch.setattr(module, "shared_table", lambda df, label, *a: seen.setdefault(label, set()).update(t for _, t in df.dtypes) or share(df, label, *a))
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", "c", "d", None]), rng.choice(["a", "b", "e", None]), "train" if i % 2 else "test", i % 2, 0.6) for i in range(30)]
+    pairs = spark.createDataFrame(rows, "pair_id long, question1 string, question2 string, split string, is_duplicate int, p double")
+    got = {f.__name__: f(pairs).count() for f in (graph.component_sizes, graph.common_neighbours, graph.triangles, postprocess.transitivity)}
+    got["pagerank"] = graph.pagerank(pairs, steps=2).count()
+    assert got == {"component_sizes": 30, "common_neighbours": 30, "triangles": 30, "transitivity": 15, "pagerank": 30}
+    assert seen["edges"] and all("string" not in seen[label] for label in ("edges", "labels", "links", "ranks", "weights"))
+
+
 def test_all_words_are_numbered(spark, monkeypatch):
     from pairloom.plans import registry
 
