@@ -49,7 +49,7 @@ def blocks(pairs: DataFrame, folds: int = 10, k: int = 100, buckets: int = BUCKE
     places = shared_table(words.select("pair_id", "side", bucket(F.col("term"), buckets).alias("at")), "places")
     beside = F.col("at") + (F.col("side") - 1) * buckets
     lemma = weighted_terms(pairs, lemmas, "").select("pair_id", "side", bucket(F.col("term"), buckets).alias("at"), "weight")
-    points = keyed.join(svd_points(pairs, k, buckets), "pair_id")
+    points = keyed.join(shared_table(svd_points(pairs, k, buckets), "svd_points"), "pair_id")  # three blocks read them
     dense = lambda c: points.select(*KEEP, "fold", array_to_vector(c).alias("features"))
     return {
         "tf": vectors(keyed, sparse_rows(places.select("pair_id", beside.alias("at"), F.lit(1.0).alias("weight")), 2 * buckets), 2 * buckets),
