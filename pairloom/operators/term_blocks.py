@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
@@ -16,6 +17,8 @@ from pairloom.operators.spectral import BUCKETS, bucket
 from pairloom.operators.vector_features import lemmas, sides, svd_points, weighted_terms
 from pairloom.sources.tables import shared_table
 
+#: Rows of a regression's task: a step of a fit sends a sum of all coefficients from each task, which is dearer than so many short rows.
+TASK_ROWS = 25_000
 KEEP = ["pair_id", "split", "is_duplicate"]
 
 
@@ -63,8 +66,11 @@ def blocks(pairs: DataFrame, folds: int = 10, k: int = 100, buckets: int = BUCKE
 
 def regressions(pairs: DataFrame, folds: int = 10, rounds: int = 100, k: int = 100, buckets: int = BUCKETS) -> DataFrame:
     """(pair_id, split, is_duplicate, m_<block>_oof): an elastic-net regression a block and fold."""
-    columns = []
-    for name, table in blocks(pairs, folds, k, buckets).items():
-        mixing, strength, calibrate = modeling.BLOCKS[name]
-        columns.append(modeling.out_of_fold(table, lambda m=mixing, s=strength: modeling.logistic(m, s).setMaxIter(rounds), folds, f"m_{name}_oof", calibrate))
+
+    def scores(item: tuple[str, DataFrame]) -> DataFrame:
+        mixing, strength, calibrate = modeling.BLOCKS[item[0]]
+        return modeling.out_of_fold(item[1], lambda: modeling.logistic(mixing, strength).setMaxIter(rounds), folds, f"m_{item[0]}_oof", calibrate, task_rows=TASK_ROWS, parallel=5)
+
+    with ThreadPool(2) as pool:
+        columns = pool.map(scores, blocks(pairs, folds, k, buckets).items(), 1)
     return reduce(lambda a, b: a.join(b.drop("split", "is_duplicate"), "pair_id"), columns)
